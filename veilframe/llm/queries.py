@@ -10,6 +10,7 @@ REGISTERED = {
     "op4_closed_syncmers": ("syncmers", "op4_query"),
     "op5_chat_format": ("chat", "op5_query"),
     "op6_bpe": ("bpe", "op6_query"),
+    "op7_simhash": ("simhash", "op7_query"),
     "op9_pfair_mix": ("mixing", "op9_query"),
     "op10_quality_rules": ("quality", "op10_query"),
 }
