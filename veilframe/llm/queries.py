@@ -11,6 +11,7 @@ REGISTERED = {
     "op5_chat_format": ("chat", "op5_query"),
     "op6_bpe": ("bpe", "op6_query"),
     "op7_simhash": ("simhash", "op7_query"),
+    "op8_repeats": ("repeats", "op8_query"),
     "op9_pfair_mix": ("mixing", "op9_query"),
     "op10_quality_rules": ("quality", "op10_query"),
 }
