@@ -7,6 +7,7 @@ from importlib import import_module
 #: name of the query: module, function
 REGISTERED = {
     "op2_byte_shards": ("sharding", "op2_query"),
+    "op3_toxicity": ("toxicity", "op3_query"),
     "op4_closed_syncmers": ("syncmers", "op4_query"),
     "op5_chat_format": ("chat", "op5_query"),
     "op6_bpe": ("bpe", "op6_query"),
