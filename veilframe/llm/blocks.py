@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import shuffle_partitions, stored
+from veilframe.llm.common import shuffle_partitions, stored_by
 
 BLOCK_BYTES = 8 << 20
 SCHEMA = "bid long, part int, n long, body binary, docs binary"
@@ -50,7 +50,7 @@ def split_words(packed: bytes, n: int) -> list[bytes]:
 
 
 def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str) -> DataFrame:
-    """Blocks (part -1: tokens) and the slices of their vocabularies, written once.
+    """Blocks (part -1: tokens) and the slices of their vocabularies, written once, bucketed so that tokens never move.
 
     docs: doc_id long, text string. words_of: the words of a text, none with a line feed.
     """
@@ -95,7 +95,7 @@ def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str) ->
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(rows.mapInPandas(run, SCHEMA), label)
+    return stored_by(rows.mapInPandas(run, SCHEMA), label, "bid", parts)
 
 
 def answered(blocks: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -32,6 +32,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """As stored, in hash buckets of key: later joins and groups on key read them without an exchange."""
+    spark, name = df.sparkSession, f"veilframe_{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name, format="parquet")
+    back = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and back knows them
+    return back
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
