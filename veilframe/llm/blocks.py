@@ -33,6 +33,19 @@ def unpack(b: bytes, dtype=None):
     return raw if dtype is None else np.frombuffer(raw, dtype)
 
 
+def pack_ints(a: np.ndarray) -> bytes:
+    """Whole numbers from 0, in the narrowest type, one byte plane after another."""
+    top = int(a.max()) if len(a) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    planes = np.ascontiguousarray(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpack_ints(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").ravel().astype(np.int64)
+
+
 def documents(block: pd.Series) -> list[tuple[int | None, int]]:
     """(doc_id, number of tokens) of a block's documents, in order."""
     ids, null, lengths = unpack(block["docs"], np.int64).reshape(3, -1).tolist()
@@ -49,10 +62,11 @@ def split_words(packed: bytes, n: int) -> list[bytes]:
     return unpack(packed).split(b"\n") if n else []
 
 
-def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str) -> DataFrame:
+def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str, counts: Callable | None = None) -> DataFrame:
     """Blocks (part -1: tokens) and the slices of their vocabularies, written once, bucketed so that tokens never move.
 
-    docs: doc_id long, text string. words_of: the words of a text, none with a line feed.
+    docs: doc_id long, text string. words_of: the words of a text, none with a line feed. counts: whether a document with that
+    id counts; a slice then holds, in `docs`, how often each word occurs in those.
     """
     parts = shuffle_partitions(docs.sparkSession)
 
@@ -66,15 +80,20 @@ def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str) ->
             order, at = by_slice(words, parts)
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
-            local = place[np.concatenate(tokens)] if words else np.zeros(0, np.uint32)
+            local = place[np.concatenate(tokens)].astype(np.int64) if words else np.zeros(0, np.int64)
             bid = (task << 24) + count
             held = np.array([[i or 0 for i in ids], [i is None for i in ids], lengths], np.int64)
-            rows = [(bid, -1, len(words), pack(local), pack(held))]
+            rows = [(bid, -1, len(words), pack_ints(local), pack(held))]
+            number = np.zeros(len(words), np.int64)
+            if counts:
+                used = np.repeat([counts(i) for i in ids], lengths)
+                number = np.bincount(local[used], minlength=len(words))
             edges = np.searchsorted(at[order], np.arange(parts + 1))
             for p in range(parts):
                 if edges[p] < edges[p + 1]:
                     some = [words[k] for k in order[edges[p] : edges[p + 1]]]
-                    rows.append((bid, p, len(some), pack(b"\n".join(some)), None))
+                    own = pack_ints(number[edges[p] : edges[p + 1]]) if counts else None
+                    rows.append((bid, p, len(some), pack(b"\n".join(some)), own))
             return pd.DataFrame(rows, columns=["bid", "part", "n", "body", "docs"])
 
         for batch in batches:
@@ -100,7 +119,7 @@ def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str) ->
 
 def answered(blocks: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """answer(all slices of one word partition, in any order) for each word partition."""
-    return blocks.where("part >= 0").select("bid", "part", "n", "body").groupBy("part").applyInPandas(answer, schema)
+    return blocks.where("part >= 0").groupBy("part").applyInPandas(answer, schema)
 
 
 def finished(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:

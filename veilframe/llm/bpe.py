@@ -97,7 +97,7 @@ def _finish(path: str, digest: bool):
         starts = np.cumsum(sizes) - sizes
         pieces = [t.id_to_token(k) for k in range(t.get_vocab_size(True))]
         spelt = [" ".join([pieces[i] for i in ids[a : a + n]]) for a, n in zip(starts, sizes, strict=True)]
-        tokens = blocks.unpack(block["body"], np.uint32).astype(np.int64)
+        tokens = blocks.unpack_ints(block["body"])
         rows, at = [], 0
         for doc, n in blocks.documents(block):
             own = tokens[at : at + n]

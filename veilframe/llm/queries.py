@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: name of the query: module, function
 REGISTERED = {
+    "op1_lm_score": ("lm", "op1_query"),
     "op2_byte_shards": ("sharding", "op2_query"),
     "op3_toxicity": ("toxicity", "op3_query"),
     "op4_closed_syncmers": ("syncmers", "op4_query"),
@@ -25,8 +26,14 @@ def _call(module: str, function: str):
     return run
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {name: _call(*where) for name, where in REGISTERED.items()}
+    return {name: _call(*where) for name, where in REGISTERED.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql():

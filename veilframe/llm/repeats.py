@@ -291,6 +291,20 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
     return done.select(*own, *[F.col(f"_rep_out.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept")])
 
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+    """docs, all columns, with repeated bytes taken out of the text (and n_chars, where there is one, counted anew). A character that
+    loses some of its bytes goes whole."""
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index(text_col)]
+    bare = without_repeats(docs.toDF(*own), length, text)
+    whole = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
+    done = bare.withColumn(text, whole("kept"))
+    if "n_chars" in docs.columns:
+        n = own[docs.columns.index("n_chars")]
+        done = done.withColumn(n, F.length(text).cast(docs.schema["n_chars"].dataType))
+    return done.select(*own).toDF(*docs.columns)
+
+
 def op8_query(spark, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")

@@ -34,16 +34,35 @@ from veilframe.llm.components import components
 BITS, SEED, HOT = 64, 42, 48
 
 
-def simhash(text: str, width: int = 3) -> int:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    hashes = shingle_hashes(words, width)
+def word_list(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def simhash(text: str | None, width: int = 3) -> int:
+    words = word_list(text)
+    return int(_majority(shingle_hashes(words, width))) if words else 0
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounds the unpacked bits of a very long text
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def many_simhashes(text: str | None, width: int, count: int) -> np.ndarray:
+    """`count` fingerprints whose shingle hashes are independent mixes of one another."""
+    words = word_list(text)
+    if not words:
+        return np.zeros(count, np.uint64)
+    h, out = shingle_hashes(words, width), np.empty(count, np.uint64)
+    for r in range(count):
+        x = h ^ np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[r] = _majority(x ^ (x >> np.uint64(31)))
+    return out
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -65,7 +84,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.mapInPandas(run, "doc_id string, fp long").select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
 
 
-def bit_groups(fps: DataFrame, m: int) -> list[list[int]]:
+def bit_groups(fps: DataFrame, m: int, width: int = BITS) -> list[list[int]]:
     """m groups of near-equal size, correlated bits together, from the joint counts of all fingerprints."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,8 +106,8 @@ def bit_groups(fps: DataFrame, m: int) -> list[list[int]]:
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
     alike = np.abs((joint - np.outer(mean, mean)) / np.outer(spread, spread))
     np.fill_diagonal(alike, 0)
-    free, groups = list(range(BITS)), []
-    for size in [BITS // m + (k < BITS % m) for k in range(m)]:
+    free, groups = list(range(width)), []
+    for size in [width // m + (k < width % m) for k in range(m)]:
         own = [max(free, key=lambda b: (alike[b, free].sum(), -b))]
         free.remove(own[0])
         while len(own) < size:
@@ -129,25 +148,24 @@ def allocation(counts: list[Column], groups: list[list[int]], distance: int, n:
     return best[budget]["t"]
 
 
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b): edges whose components are those of all pairs of fingerprints that differ in at most `distance` bits.
+def links(fps: DataFrame, distance: int = 2, width: int = BITS) -> DataFrame:
+    """(r, a, b): edges whose components are those of all pairs of fingerprints with the same r that differ in at most `distance` of
+    their `width` bits.
 
-    fps: fp long, distinct, written.
+    fps: r int, fp long (no bit beyond width), distinct, written.
     """
     if not 0 <= distance <= 2:
         raise ValueError("distances from 0 to 2 have an exact way for hot values")
-    n = fps.count()
-    # groups of about 21 bits hold few fingerprints each up to some tens of millions, beyond that groups of 32 bits do
-    groups = bit_groups(fps, 3 if n < 1 << 25 else 2)
+    n = max([r["count"] for r in fps.groupBy("r").count().collect()], default=0)  # one row for each kind of fingerprint
+    # three groups hold few fingerprints in a value up to 16 times as many values, beyond that two groups do
+    groups = bit_groups(fps, 3 if n < 16 << (width // 3) else 2, width)
     masks = [_signed(sum(1 << b for b in g)) for g in groups]
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("g"), F.col("fp").bitwiseAND(F.lit(x)).alias("v")) for k, x in enumerate(masks)]))
-    held = fps.select("fp", values.alias("x")).select("fp", "x.g", "x.v")
-    sizes = stored(held.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")), "values")
-    own = stored(
-        held.join(sizes, ["g", "v"])
-        .groupBy("fp")
-        .agg(*[F.max(F.when(F.col("g") == k, F.col("c"))).cast("double").alias(f"c{k}") for k in range(len(groups))]),
-        "counts",
+    held = fps.select("r", "fp", values.alias("x")).select("r", "fp", "x.g", "x.v")
+    key = ["r", "g", "v"]
+    sizes = stored(held.groupBy(*key).agg(F.count(F.lit(1)).alias("c")), "values")
+    own = held.join(sizes, key).groupBy("r", "fp").agg(
+        *[F.max(F.when(F.col("g") == k, F.col("c"))).cast("double").alias(f"c{k}") for k in range(len(groups))]
     )
     asked = own.withColumn("t", allocation([F.col(f"c{k}") for k in range(len(groups))], groups, distance, n))
     flips = [[F.array(*[F.lit(x) for x in _flips(g, e)]) for e in range(distance + 1)] for g in groups]
@@ -160,40 +178,46 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
             out = out.when(F.col("t")[k] == e, made)
         return out
 
-    sent = asked.select("fp", F.explode(F.concat(*[probes(k) for k in range(len(groups))])).alias("x")).select(
-        F.col("fp").alias("q"), "x.g", "x.v"
+    sent = asked.select("r", "fp", F.explode(F.concat(*[probes(k) for k in range(len(groups))])).alias("x")).select(
+        "r", F.col("fp").alias("q"), "x.g", "x.v"
+    )
+    # values that one fingerprint alone holds and asks for are left out: it would only meet itself
+    met = stored(
+        sent.join(sizes, key).where((F.col("c") > 1) | (F.col("v") != F.col("q").bitwiseAND(_mask(masks)))), "probes"
     )
-    met = stored(sent.join(sizes, ["g", "v"]), "probes")  # only probes of values that exist, with their counts
-    cool = held.join(sizes.where(F.col("c") <= HOT), ["g", "v"], "left_semi")
+    cool = held.join(sizes.where(F.col("c") <= HOT), key, "left_semi")
     differ = F.bit_count(F.col("q").bitwiseXOR(F.col("fp")))
     near = (
-        met.where(F.col("c").between(1, HOT))
-        .join(cool, ["g", "v"])
+        met.where(F.col("c") <= HOT)
+        .join(cool, key)
         .where((F.col("q") != F.col("fp")) & (differ <= distance))
-        .select(F.col("q").alias("a"), F.col("fp").alias("b"))
+        .select("r", F.col("q").alias("a"), F.col("fp").alias("b"))
     )
     hot = met.where(F.col("c") > HOT)
-    some = hot.select(F.col("q").alias("fp")).union(
-        held.join(hot.select("g", "v").distinct(), ["g", "v"], "left_semi").select("fp")
+    some = hot.select("r", F.col("q").alias("fp")).union(
+        held.join(hot.select(*key).distinct(), key, "left_semi").select("r", "fp")
     ).distinct()
-    if distance == 2:
-        keys = F.array(F.lit(0), *[F.lit(_signed(1 << b)) for b in range(BITS)])
-        keyed = some.select("fp", F.explode(F.transform(keys, lambda f: F.col("fp").bitwiseXOR(f))).alias("z"))
-        star = keyed.groupBy("z").agg(F.collect_list("fp").alias("of"))  # 65 at most
-    else:
-        # at most one bit: a fingerprint's neighbours are keys themselves
-        keys = F.array(F.lit(0), *([F.lit(_signed(1 << b)) for b in range(BITS)] if distance else []))
-        keyed = some.select("fp", F.explode(F.transform(keys, lambda f: F.col("fp").bitwiseXOR(f))).alias("z"))
-        star = keyed.join(some.select(F.col("fp").alias("z")), "z", "left_semi").groupBy("z").agg(F.collect_list("fp").alias("of"))
-    starred = star.where(F.size("of") > 1).select(F.array_min("of").alias("a"), F.explode("of").alias("b")).where("a <> b")
+    keys = F.array(F.lit(0), *([F.lit(_signed(1 << b)) for b in range(width)] if distance else []))
+    keyed = some.select("r", "fp", F.explode(F.transform(keys, lambda f: F.col("fp").bitwiseXOR(f))).alias("z"))
+    if distance == 1:  # two that differ in one bit: the key is one of them
+        keyed = keyed.join(some.select("r", F.col("fp").alias("z")), ["r", "z"], "left_semi")
+    star = keyed.groupBy("r", "z").agg(F.collect_list("fp").alias("of")).where(F.size("of") > 1)  # width + 1 at most
+    starred = star.select("r", F.array_min("of").alias("a"), F.explode("of").alias("b")).where("a <> b")
     return near.union(starred).distinct()
 
 
+def _mask(masks: list[int]) -> Column:
+    out = F.when(F.col("g") == 0, F.lit(masks[0]))
+    for k, x in enumerate(masks[1:], 1):
+        out = out.when(F.col("g") == k, F.lit(x))
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs."""
     marked = stored(fingerprints(docs, width), "simhash")
-    distinct = stored(marked.select("fp").distinct(), "distinct")
-    roots = components(links(distinct, distance))
+    distinct = stored(marked.select(F.lit(0).alias("r"), "fp").distinct(), "distinct")
+    roots = components(links(distinct, distance).select("a", "b"))
     named = distinct.join(roots, distinct["fp"] == roots["a"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     by_root = named.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
@@ -203,5 +227,64 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
     )
 
 
+#: Of `one_of_each`: fingerprints of a text, bits of each, words of a shingle, and rounds of representatives.
+COUNT, NARROW, WORDS, ROUNDS = 16, 48, 5, 4
+#: Words of the shingles that fingerprints are made of: an edit changes fewer short ones, so alike texts agree in more bits.
+SEARCH_WORDS = 3
+
+
+def jaccard(a: str | None, b: str | None, width: int = WORDS) -> float:
+    x, y = (set(shingle_hashes(w, width).tolist()) if (w := word_list(t)) else set() for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the copies and near copies of a document that stays.
+
+    Equal texts leave their first row. Texts are near copies when the Jaccard index of their WORDS-word shingles is `similarity` or
+    more. They are searched for by COUNT fingerprints: texts that agree in any of these to two bits, directly or over others, form a
+    class; the members alike enough to its least row go, the others form classes again without it, ROUNDS times. So a row
+    goes only for a row that stays and that it was compared with.
+    """
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index(text_col)]
+    held = stored(docs.toDF(*own).withColumn("_rid", F.monotonically_increasing_id()), "held")
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = np.uint64((1 << NARROW) - 1)
+            fps = [(many_simhashes(t, SEARCH_WORDS, COUNT) & keep).view(np.int64) for t in b["text"]]
+            sums = [xxhash.xxh128_hexdigest((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]
+            yield pd.DataFrame({"_rid": b["_rid"], "sum": sums, "fps": fps})
+
+    marks = held.select("_rid", F.col(text).alias("text")).mapInPandas(mark, "_rid long, sum string, fps array<long>")
+    marks = stored(marks, "marks")
+    first = marks.groupBy("sum").agg(F.min("_rid").alias("_rid"))
+    one = stored(marks.join(first, ["sum", "_rid"]).select("_rid", F.posexplode("fps").alias("r", "fp")), "firsts")
+    at = stored(one.groupBy("r", "fp").agg(F.min("_rid").alias("rep")), "reps")
+    near = links(at.select("r", "fp"), 2, NARROW)
+    ra, rb = at.select("r", F.col("fp").alias("a"), F.col("rep").alias("x")), at.select("r", F.col("fp").alias("b"), F.col("rep").alias("y"))
+    between = near.join(ra, ["r", "a"]).join(rb, ["r", "b"]).select("x", "y")
+    same = one.join(at, ["r", "fp"]).where("_rid <> rep").select(F.col("rep").alias("x"), F.col("_rid").alias("y"))
+    edges = stored(between.union(same).where("x <> y").distinct(), "pairs")
+    alike = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
+    gone = None
+    for _ in range(ROUNDS):
+        if edges.isEmpty():
+            break
+        classes = stored(components(edges), "classes")
+        member = classes.join(held.select(F.col("_rid").alias("a"), F.col(text).alias("ta")), "a")
+        root = classes.select("root").distinct().join(held.select(F.col("_rid").alias("root"), F.col(text).alias("tr")), "root")
+        same_as = stored(member.join(root, "root").where(alike("ta", "tr") >= similarity).select("a"), "gone")
+        gone = same_as if gone is None else gone.union(same_as)
+        settled = stored(same_as.union(classes.select("root").distinct()).select(F.col("a").alias("done")), "settled")
+        left = edges.join(settled, edges["x"] == settled["done"], "left_anti")
+        edges = stored(left.join(settled, left["y"] == settled["done"], "left_anti"), "pairs")
+    kept = held.join(first.select(F.col("_rid").alias("_f")), F.col("_rid") == F.col("_f"), "left_semi")
+    if gone is not None:
+        kept = kept.join(gone.select(F.col("a").alias("_g")), F.col("_rid") == F.col("_g"), "left_anti")
+    return kept.select(*own).toDF(*docs.columns)
+
+
 def op7_query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
