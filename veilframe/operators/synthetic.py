@@ -37,7 +37,11 @@ def gaussian_copula(df: DataFrame, columns=("movie_id", "rating", "month"), rows
     for c in columns:
         coded = coded.join(maps[c].select(F.col("value").alias(c), F.col("z").alias(f"_z_{c}")), c)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
-    corr = coded.agg(*[F.corr(f"_z_{columns[i]}", f"_z_{columns[j]}") for i, j in pairs]).first() if pairs else []
+
+    def alike(a: str, b: str):  # null for a column of one value
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+    corr = coded.agg(*[alike(f"_z_{columns[i]}", f"_z_{columns[j]}") for i, j in pairs]).first() if pairs else []
     matrix = np.eye(len(columns))
     for (i, j), x in zip(pairs, corr, strict=True):
         matrix[i, j] = matrix[j, i] = 0.0 if x is None or x != x else x
