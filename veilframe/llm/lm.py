@@ -120,7 +120,7 @@ def code(counts: np.ndarray) -> np.ndarray:
 QUESTION = "shard long, bid long, v binary, hot binary, u binary, w binary, code binary, at_v binary, at_u binary, at_w binary, doc binary, train binary, own binary"
 
 
-def _ask(uni: Unigrams, parts: int, shards: int):
+def _ask(uni: Unigrams, parts: int, shards: int, most: int):
     def run(block: pd.Series, back: pd.DataFrame) -> pd.DataFrame:
         none = np.zeros(0, np.int64)
         ids = np.concatenate([none, *[blocks.unpack_ints(b) * parts + 1 + p for b, p in zip(back["ids"], back["part"], strict=True)]])
@@ -143,7 +143,7 @@ def _ask(uni: Unigrams, parts: int, shards: int):
         alone = c_v == 0  # never seen as a context: the word's own probability
         score = np.bincount(doc[alone], uni.log_of_code(codes[alone]), len(docs))
         trains = np.array([training(i) for i, _ in docs], bool)
-        hot = c_v > HOT
+        hot = c_v > most
         to = np.where(hot, (v * 1_000_003 + w) % shards, v % shards)
         ask = np.nonzero(~alone)[0]
         ask = ask[np.lexsort((doc[ask], w[ask], u[ask], v[ask], to[ask]))]
@@ -328,7 +328,7 @@ def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; docs: doc_id, text."""
     parts = shuffle_partitions(docs.sparkSession)
     shards = 4 * parts  # a task works on one shard at a time
@@ -338,7 +338,7 @@ def scores(docs: DataFrame) -> DataFrame:
     starts = docs.where(~held).count()
     uni = Unigrams(size["n"] or 0, size["v"] or 0, starts)
     back = blocks.answered(cut, _count_words(parts), ANSWER)
-    asked = blocks.finished(cut, back, _ask(uni, parts, shards), QUESTION)
+    asked = blocks.finished(cut, back, _ask(uni, parts, shards, hot), QUESTION)
     partial = asked.groupBy("shard").applyInPandas(_answer(uni), PARTIAL)
     return partial.groupBy("bid").applyInPandas(_sum, SCORE).withColumn("train_tokens", F.lit(uni.n).cast("long"))
 

@@ -105,6 +105,9 @@ def pfair_mix(docs: DataFrame, weights: Mapping | None = None, block: int = BLOC
     if missing := sorted(set(sizes) - set(weights)):
         raise ValueError(f"no weight for {missing[:5]}")
     own = [c for c in docs.columns if c not in ("epoch", "slot", "position")]
+    held = [f"_c{i}" for i in range(len(own))]
+    # columns have other names inside, so that further ones can't clash with ours
+    rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(own, held, strict=True)])
     parts = whole_weights({s: weights[s] for s in sizes}, period) if sizes else {}
     turn = one_period(parts) if parts else {}
     total = sum(parts.values())
@@ -113,29 +116,32 @@ def pfair_mix(docs: DataFrame, weights: Mapping | None = None, block: int = BLOC
         (s, sizes[s], parts[s], (slots // total) * parts[s] + sum(t < slots % total for t in turn[s]), turn[s]) for s in parts
     ]
     at = spark.createDataFrame(plan, "_s string, _n long, _p long, _blocks long, _turn array<int>")
-    placed = numbered(docs.select(*own), group, F.col("doc_id"), shuffle_partitions(spark))
-    again = placed.join(F.broadcast(at), F.col("_group") == F.col("_s")).withColumn(  # PERIOD entries in all
+    named = dict(zip(own, held, strict=True))
+    source = F.coalesce(F.col(named["source"]).cast("string"), F.lit("\x00"))
+    placed = numbered(rows, source, F.col(named["doc_id"]), shuffle_partitions(spark))
+    again = placed.join(F.broadcast(at), F.col("_group") == F.col("_s")).withColumn(  # one period's slots in all
         "_at", F.explode(F.expr(f"sequence(_index, greatest(_index, _blocks * {block} - 1), _n)"))
     )
+    slot = f"(_block div _p) * {total} + _turn[cast(_block % _p as int)]"
     return (
         again.where(F.col("_at") < F.col("_blocks") * block)
         .withColumn("_block", F.expr(f"_at div {block}"))
         .select(
-            *[F.col(f"`{c}`") for c in own],
+            *[F.col(h).alias(c) for c, h in named.items()],
             F.expr("_at div _n").alias("epoch"),
-            F.expr(f"(_block div _p) * {total} + _turn[cast(_block % _p as int)]").alias("slot"),
-            F.expr(f"((_block div _p) * {total} + _turn[cast(_block % _p as int)]) * {block} + _at % {block}").alias("position"),
+            F.expr(slot).alias("slot"),
+            F.expr(f"({slot}) * {block} + _at % {block}").alias("position"),
         )
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The stream itself, with the columns of docs, each file a run of it in order."""
-    stream = pfair_mix(docs)
-    if taken := [c for c in docs.columns if c in ("epoch", "slot", "position")]:
-        raise ValueError(f"rename the columns {taken}")
+    clash = {c: f"_own_{c}" for c in ("epoch", "slot", "position") if c in docs.columns}
+    stream = pfair_mix(docs.withColumnsRenamed(clash))
     n = shuffle_partitions(docs.sparkSession)
-    return stream.repartitionByRange(n, "position").sortWithinPartitions("position").select(*docs.columns)
+    ordered = stream.repartitionByRange(n, "position").sortWithinPartitions("position")
+    return ordered.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

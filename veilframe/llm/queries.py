@@ -37,4 +37,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from veilframe.llm import oracles
+
+    return {"op2_byte_shards": oracles.SHARDS, "op10_quality_rules": oracles.quality()}
