@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,13 @@ def session(name: str = "veilframe", master: str | None = None, **conf: str) ->
     for k, v in (fixed | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver has it, if they don't find it otherwise (installed, or shipped with
+    --py-files)."""
+    root, held = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        held["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
