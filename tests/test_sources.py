@@ -42,6 +42,13 @@ def test_items_carry_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_folders_of_parts(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.txt").write_text(f"9{k},1,2001-01-01\n{k + 1}:\n10,{k + 1},2005-01-01\n")
+    got = read_ratings(spark, str(tmp_path)).select("movie_id", "rating").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_filters_and_pairs(spark, data_folder):
     pairs = read_pairs(spark, str(data_folder / "probe.txt"))
     assert [tuple(r) for r in pairs.collect()] == [(1, 10)]

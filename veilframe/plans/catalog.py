@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -75,6 +77,34 @@ def summary_stats(spark, d):
                          F.countDistinct("customer_id").alias("users"), F.countDistinct("movie_id").alias("movies")))
 
 
+def _folder(spark) -> str:
+    """A fresh folder that driver and executors share."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get().rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def header_block_source(spark, d):
+    """The ratings written as header-block files and read back."""
+    from veilframe.sources.header_block import read_ratings
+
+    line = F.concat_ws(",", "customer_id", "rating", "date")
+    path = _folder(spark)
+    blocks = ad.ratings(spark, d).groupBy("movie_id").agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    blocks.select(F.concat(F.col("movie_id").cast("string"), F.lit(":\n"), "lines").alias("value")).repartition(3, "value").write.text(path)
+    return read_ratings(spark, path)
+
+
+def titles_source(spark, d):
+    from veilframe.sources.tables import read_titles
+
+    path = _folder(spark)
+    held = ad.titles(spark, d)
+    held.select(F.concat_ws(",", F.col("movie_id").cast("string"), F.when(F.col("movie_id") % 7 == 0, "NULL").otherwise(F.col("year").cast("string")), F.concat("title", F.lit(", the film")))).write.text(path)
+    return read_titles(spark, path).withColumn("year", F.coalesce("year", F.lit(-1)))
+
+
 # --- k-anonymity and releases -----------------------------------------------------------------------------------------
 K_ANON = {
     "original": ("movie_id", "rating", "month"),
@@ -538,6 +568,36 @@ def privacy_utility(spark, d):
     return bias.frontier(attack.noisy_summary(reduce(DataFrame.unionByName, parts), ("scenario", "p", "n_known")), sweep(spark, d))
 
 
+def synthetic_checks(spark, d):
+    return fidelity.synthetic_checks(synthetic(spark, d), base(spark, d), key="id")
+
+
+def train_on_synthetic(spark, d):
+    from veilframe.operators.synthetic import train_on_synthetic as run
+
+    train, test = bias.split(base(spark, d), 0.2, SEED)
+    return rounded(run(synthetic(spark, d), train, test, epochs=2), 6)
+
+
+def raw_als(spark, d):
+    from veilframe.operators.als import raw_als_metrics
+
+    return raw_als_metrics(*bias.split(ad.ratings(spark, d), 0.2, SEED), rank=8, iterations=3)
+
+
+def multi_model(spark, d):
+    train, test = bias.split(ad.ratings(spark, d), 0.2, SEED)
+    models = {"bias": bias.bias_fit_predict(1), "item_knn": item_knn.knn_fit_predict(epochs=1)}
+    return bias.multi_model_sweep(train, test, releases.noise_grid(train, (0.0, 0.2), ("rating",), SEED), models)
+
+
+def scorecard(spark, d):
+    from veilframe.plans.report import presented
+    from veilframe.plans.report import scorecard as card
+
+    return presented(card(release_rmse(spark, d), release_attack_summary(spark, d)))
+
+
 def text_classifier(spark, d):
     from veilframe.operators.classifier import census_classifier
 
@@ -649,6 +709,13 @@ SELECT customer_id AS profile, COALESCE(a, false) AS top1_hit, COALESCE(b, false
         "utility_sweep": (sweep, None),
         "privacy_utility_frontier": (privacy_utility, None),
         "tabular_classifier": (text_classifier, None),
+        "header_block_source": (header_block_source, f"{CTE} SELECT CAST(movie_id AS INT) AS movie_id, CAST(customer_id AS INT) AS customer_id, CAST(rating AS TINYINT) AS rating, CAST(date AS VARCHAR) AS date FROM ratings"),
+        "titles_source": (titles_source, f"WITH {ad.TITLES} SELECT CAST(movie_id AS INT) AS movie_id, CASE WHEN movie_id % 7 = 0 THEN -1 ELSE year END AS year, title || ', the film' AS title FROM titles"),
+        "synthetic_checks": (synthetic_checks, None),
+        "train_on_synthetic": (train_on_synthetic, None),
+        "raw_als_metrics": (raw_als, None),
+        "multi_model_sweep": (multi_model, None),
+        "scorecard": (scorecard, None),
         "html_rating_extract": (html_ratings, "SELECT p_partkey, p_name AS title, CAST(1950 + p_size AS INT) AS year, CAST(1 + p_size % 10 AS DOUBLE) AS rating FROM part"),
     }
     for name, cols in K_ANON.items():

@@ -17,12 +17,12 @@ from veilframe.schema import PAIRS, RATINGS
 
 
 def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(line, file, split, at) of all lines that aren't blank; file: place in the list."""
+    """(line, file, split, at) of all lines that aren't blank; file: (place in the list, path), so that folders work too."""
     places = [F.lit(x) for i, f in enumerate(files) for x in (os.path.basename(f.rstrip("/")), i)]
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     lines = spark.read.text(files).select(
         F.trim(F.regexp_replace("value", "\r", "")).alias("line"),
-        F.coalesce(F.create_map(*places)[F.url_decode(name)], F.lit(0)).alias("file"),
+        F.struct(F.coalesce(F.create_map(*places)[F.url_decode(name)], F.lit(0)).alias("place"), F.col("_metadata.file_path").alias("path")).alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("at"),
     )
