@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,6 +25,11 @@ BLOCK_BYTES = 8 << 20
 SCHEMA = "bid long, part int, n long, body binary, docs binary"
 
 
+def release() -> None:
+    """Give memory that Arrow keeps for later back: workers live on, and an executor's limit counts all of them."""
+    pa.default_memory_pool().release_unused()
+
+
 def pack(a: np.ndarray | bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes())
 
@@ -62,7 +68,7 @@ def split_words(packed: bytes, n: int) -> list[bytes]:
     return unpack(packed).split(b"\n") if n else []
 
 
-def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str, counts: Callable | None = None) -> DataFrame:
+def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str, counts: Callable | None = None, size_limit: int = BLOCK_BYTES) -> DataFrame:
     """Blocks (part -1: tokens) and the slices of their vocabularies, written once, bucketed so that tokens never move.
 
     docs: doc_id long, text string. words_of: the words of a text, none with a line feed. counts: whether a document with that
@@ -94,6 +100,7 @@ def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str, cou
                     some = [words[k] for k in order[edges[p] : edges[p + 1]]]
                     own = pack_ints(number[edges[p] : edges[p + 1]]) if counts else None
                     rows.append((bid, p, len(some), pack(b"\n".join(some)), own))
+            release()
             return pd.DataFrame(rows, columns=["bid", "part", "n", "body", "docs"])
 
         for batch in batches:
@@ -105,7 +112,7 @@ def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str, cou
                 ids.append(None if null else int(doc))
                 lengths.append(len(words))
                 size += len(text or "") + 64
-                if size >= BLOCK_BYTES:
+                if size >= size_limit:
                     yield flush()
                     count += 1
                     vocab.clear()

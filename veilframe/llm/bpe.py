@@ -119,7 +119,8 @@ def _finish(path: str, digest: bool):
 
 def encoded(docs: DataFrame, tokenizer_path: str, digest: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of each row of docs; with digest, SHA-256 sums in place of ids and text."""
-    cut = blocks.cut(docs.select("doc_id", "text"), lambda text: words(text, tokenizer_path), "words")
+    size = blocks.BLOCK_BYTES if digest else blocks.BLOCK_BYTES // 4  # a block's ids and texts are returned together
+    cut = blocks.cut(docs.select("doc_id", "text"), lambda text: words(text, tokenizer_path), "words", size_limit=size)
     back = blocks.answered(cut, _encode_slices(tokenizer_path), "bid long, part int, lens binary, ids binary")
     return blocks.finished(cut, back, _finish(tokenizer_path, digest), DIGEST if digest else REAL)
 

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.blocks import release
 from veilframe.llm.common import shuffle_partitions, stored, table
 
 LENGTH, TRIGGER, BIN, GAP_BITS = 400, 12, 64, 6
@@ -147,6 +148,7 @@ def _parsed(length: int):
                     rids, texts, size = [], [], 0
             if rids:
                 yield flush(rids, texts)
+            release()
 
     return run
 

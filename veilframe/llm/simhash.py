@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.blocks import release
 from veilframe.llm.common import stored, table
 from veilframe.llm.components import components
 
@@ -255,6 +256,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
             keep = np.uint64((1 << NARROW) - 1)
             fps = [(many_simhashes(t, SEARCH_WORDS, COUNT) & keep).view(np.int64) for t in b["text"]]
             sums = [xxhash.xxh128_hexdigest((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]
+            release()
             yield pd.DataFrame({"_rid": b["_rid"], "sum": sums, "fps": fps})
 
     marks = held.select("_rid", F.col(text).alias("text")).mapInPandas(mark, "_rid long, sum string, fps array<long>")
