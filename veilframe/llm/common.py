@@ -25,10 +25,41 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+#: Paths that `stored` has written, for Scratch.
+_written: list[str] = []
+
+
+class Scratch:
+    """Deletes, at its end, the tables that were stored inside it but for those that are kept: use it only where what was kept no
+    longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Scratch:
+        self.start = len(_written)
+        return self
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        out = stored(df, label)
+        self.kept.add(_written[-1])
+        return out
+
+    def __exit__(self, kind, *_) -> None:
+        new = _written[self.start :]
+        _written[self.start :] = [p for p in new if p in self.kept]
+        if kind is None:
+            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+            for p in set(new) - self.kept:
+                at = jvm.org.apache.hadoop.fs.Path(p)
+                at.getFileSystem(conf).delete(at, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to a fresh table in the shared folder and read it back: cuts lineage and fixes every value."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

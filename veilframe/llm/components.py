@@ -6,12 +6,47 @@ nothing but two numbers a round comes to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import stored
 
 
+def forest(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
+    """Edges of the same components, fewer of them: tasks of about per_task edges each keep a spanning forest of theirs.
+
+    edges: written, columns a and b, and possibly r, which keeps graphs apart.
+    """
+    names = edges.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+
+        def find(x):
+            top = x
+            while parent.setdefault(top, top) != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for b in batches:
+            r = b["r"].tolist() if "r" in names else [0] * len(b)
+            keep = []
+            for k, (g, x, y) in enumerate(zip(r, b["a"].tolist(), b["b"].tolist(), strict=True)):
+                p, q = find((g, x)), find((g, y))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    keep.append(k)
+            yield b.iloc[keep]
+
+    tasks = max(1, edges.count() // per_task)
+    return edges.coalesce(tasks).mapInPandas(run, edges.schema)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

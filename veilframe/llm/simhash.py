@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.blocks import release
-from veilframe.llm.common import stored, table
-from veilframe.llm.components import components
+from veilframe.llm.common import Scratch, stored, table
+from veilframe.llm.components import components, forest
 
 BITS, SEED, HOT = 64, 42, 48
 
@@ -149,7 +149,7 @@ def allocation(counts: list[Column], groups: list[list[int]], distance: int, n:
     return best[budget]["t"]
 
 
-def links(fps: DataFrame, distance: int = 2, width: int = BITS) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, width: int = BITS, hot_from: int = HOT) -> DataFrame:
     """(r, a, b): edges whose components are those of all pairs of fingerprints with the same r that differ in at most `distance` of
     their `width` bits.
 
@@ -186,15 +186,15 @@ def links(fps: DataFrame, distance: int = 2, width: int = BITS) -> DataFrame:
     met = stored(
         sent.join(sizes, key).where((F.col("c") > 1) | (F.col("v") != F.col("q").bitwiseAND(_mask(masks)))), "probes"
     )
-    cool = held.join(sizes.where(F.col("c") <= HOT), key, "left_semi")
+    cool = held.join(sizes.where(F.col("c") <= hot_from), key, "left_semi")
     differ = F.bit_count(F.col("q").bitwiseXOR(F.col("fp")))
     near = (
-        met.where(F.col("c") <= HOT)
+        met.where(F.col("c") <= hot_from)
         .join(cool, key)
         .where((F.col("q") != F.col("fp")) & (differ <= distance))
         .select("r", F.col("q").alias("a"), F.col("fp").alias("b"))
     )
-    hot = met.where(F.col("c") > HOT)
+    hot = met.where(F.col("c") > hot_from)
     some = hot.select("r", F.col("q").alias("fp")).union(
         held.join(hot.select(*key).distinct(), key, "left_semi").select("r", "fp")
     ).distinct()
@@ -262,26 +262,29 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
     marks = held.select("_rid", F.col(text).alias("text")).mapInPandas(mark, "_rid long, sum string, fps array<long>")
     marks = stored(marks, "marks")
     first = marks.groupBy("sum").agg(F.min("_rid").alias("_rid"))
-    one = stored(marks.join(first, ["sum", "_rid"]).select("_rid", F.posexplode("fps").alias("r", "fp")), "firsts")
-    at = stored(one.groupBy("r", "fp").agg(F.min("_rid").alias("rep")), "reps")
-    near = links(at.select("r", "fp"), 2, NARROW)
-    ra, rb = at.select("r", F.col("fp").alias("a"), F.col("rep").alias("x")), at.select("r", F.col("fp").alias("b"), F.col("rep").alias("y"))
-    between = near.join(ra, ["r", "a"]).join(rb, ["r", "b"]).select("x", "y")
-    same = one.join(at, ["r", "fp"]).where("_rid <> rep").select(F.col("rep").alias("x"), F.col("_rid").alias("y"))
-    edges = stored(between.union(same).where("x <> y").distinct(), "pairs")
+    with Scratch(docs.sparkSession) as work:
+        one = stored(marks.join(first, ["sum", "_rid"]).select("_rid", F.posexplode("fps").alias("r", "fp")), "firsts")
+        at = stored(one.groupBy("r", "fp").agg(F.min("_rid").alias("rep")), "reps")
+        # a forest for each kind of fingerprint: a large class has as many edges as members, not as pairs
+        near = forest(stored(links(at.select("r", "fp"), 2, NARROW, 16), "near"))
+        ra, rb = at.select("r", F.col("fp").alias("a"), F.col("rep").alias("x")), at.select("r", F.col("fp").alias("b"), F.col("rep").alias("y"))
+        between = near.join(ra, ["r", "a"]).join(rb, ["r", "b"]).select("x", "y")
+        same = one.join(at, ["r", "fp"]).where("_rid <> rep").select(F.col("rep").alias("x"), F.col("_rid").alias("y"))
+        edges = work.keep(between.union(same).where("x <> y").distinct(), "pairs")
     alike = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
     gone = None
     for _ in range(ROUNDS):
         if edges.isEmpty():
             break
-        classes = stored(components(edges), "classes")
-        member = classes.join(held.select(F.col("_rid").alias("a"), F.col(text).alias("ta")), "a")
-        root = classes.select("root").distinct().join(held.select(F.col("_rid").alias("root"), F.col(text).alias("tr")), "root")
-        same_as = stored(member.join(root, "root").where(alike("ta", "tr") >= similarity).select("a"), "gone")
-        gone = same_as if gone is None else gone.union(same_as)
-        settled = stored(same_as.union(classes.select("root").distinct()).select(F.col("a").alias("done")), "settled")
-        left = edges.join(settled, edges["x"] == settled["done"], "left_anti")
-        edges = stored(left.join(settled, left["y"] == settled["done"], "left_anti"), "pairs")
+        with Scratch(docs.sparkSession) as work:
+            classes = stored(components(forest(edges.toDF("a", "b"))), "classes")
+            member = classes.join(held.select(F.col("_rid").alias("a"), F.col(text).alias("ta")), "a")
+            root = classes.select("root").distinct().join(held.select(F.col("_rid").alias("root"), F.col(text).alias("tr")), "root")
+            same_as = work.keep(member.join(root, "root").where(alike("ta", "tr") >= similarity).select("a"), "gone")
+            gone = same_as if gone is None else gone.union(same_as)
+            settled = stored(same_as.union(classes.select("root").distinct()).select(F.col("a").alias("done")), "settled")
+            left = edges.join(settled, edges["x"] == settled["done"], "left_anti")
+            edges = work.keep(left.join(settled, left["y"] == settled["done"], "left_anti"), "pairs")
     kept = held.join(first.select(F.col("_rid").alias("_f")), F.col("_rid") == F.col("_f"), "left_semi")
     if gone is not None:
         kept = kept.join(gone.select(F.col("a").alias("_g")), F.col("_rid") == F.col("_g"), "left_anti")
