@@ -120,6 +120,27 @@ def test_one_of_each_stays(spark):
     assert simhash.one_of_each(none(spark)).count() == 0
 
 
+def test_near_copies_are_found_wherever_the_edits_lie(spark):
+    rng = np.random.default_rng(12)
+    found, texts = {"scattered": [], "block": []}, []
+    for kind, of in found.items():
+        while len(of) < 150:
+            a = [f"v{i}" for i in rng.integers(0, 5000, 400)]
+            b, at = list(a), int(rng.integers(0, 350))
+            if kind == "block":
+                b[at : at + 40] = [f"b{i}" for i in rng.integers(0, 10**6, 40)]
+            else:
+                for k in rng.choice(400, 9, replace=False):
+                    b[k] = f"e{k}"
+            a, b = " ".join(a), " ".join(b)
+            if 0.8 <= simhash.jaccard(a, b) < 0.84:
+                of.append((simhash.band_values(a, 0.8) == simhash.band_values(b, 0.8)).any())
+                texts += [(a, b)] if kind == "block" and len(texts) < 40 else []
+        assert np.mean(of) >= 0.95, kind
+    df = spark.createDataFrame([(i, t) for i, pair in enumerate(texts) for t in pair], "doc_id long, text string")
+    assert simhash.one_of_each(df).count() <= 42  # of 80
+
+
 # --- repeats ------------------------------------------------------------------------------------------------------------
 def plain_removal(texts, length):
     seen = Counter()

@@ -52,20 +52,6 @@ def _majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
-def many_simhashes(text: str | None, width: int, count: int) -> np.ndarray:
-    """`count` fingerprints whose shingle hashes are independent mixes of one another."""
-    words = word_list(text)
-    if not words:
-        return np.zeros(count, np.uint64)
-    h, out = shingle_hashes(words, width), np.empty(count, np.uint64)
-    for r in range(count):
-        x = h ^ np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[r] = _majority(x ^ (x >> np.uint64(31)))
-    return out
-
-
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     if len(words) <= width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
@@ -228,10 +214,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
     )
 
 
-#: Of `one_of_each`: fingerprints of a text, bits of each, words of a shingle, and rounds of representatives.
-COUNT, NARROW, WORDS, ROUNDS = 16, 48, 5, 4
-#: Words of the shingles that fingerprints are made of: an edit changes fewer short ones, so alike texts agree in more bits.
-SEARCH_WORDS = 3
+#: Of `one_of_each`: words of a shingle, bands of a text, the chance that a pair at the asked similarity shares one, and rounds of
+#: representatives.
+WORDS, BANDS, FOUND, ROUNDS = 5, 20, 0.99, 4
+
+
+def band_rows(similarity: float) -> int:
+    """Least hashes of a band: as many as leave a pair at `similarity` a chance of FOUND to share one of BANDS."""
+    return max([1, *(r for r in range(1, 13) if 1 - (1 - similarity**r) ** BANDS >= FOUND)])
+
+
+def band_values(text: str | None, similarity: float) -> np.ndarray:
+    """BANDS numbers. A least hash agrees with a chance of the Jaccard index itself, wherever the edits lie."""
+    words, r = word_list(text), band_rows(similarity)
+    if not words:
+        return np.zeros(BANDS, np.int64)
+    rng = np.random.default_rng(SEED)
+    by, turn = (rng.integers(0, 2**63, BANDS * r, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    h, least = shingle_hashes(words, WORDS), np.full(BANDS * r, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 512):  # bounds the hashes of a very long text
+        np.minimum(least, ((h[at : at + 512, None] ^ turn) * by).min(0), out=least)
+    rows = least.reshape(BANDS, r)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in rows], np.uint64).view(np.int64)
 
 
 def jaccard(a: str | None, b: str | None, width: int = WORDS) -> float:
@@ -243,7 +247,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
     """docs, all columns, without the copies and near copies of a document that stays.
 
     Equal texts leave their first row. Texts are near copies when the Jaccard index of their WORDS-word shingles is `similarity` or
-    more. They are searched for by COUNT fingerprints: texts that agree in any of these to two bits, directly or over others, form a
+    more. They are searched for by BANDS bands of least hashes: texts that share any of these, directly or over others, form a
     class; the members alike enough to its least row go, the others form classes again without it, ROUNDS times. So a row
     goes only for a row that stays and that it was compared with.
     """
@@ -253,24 +257,19 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = np.uint64((1 << NARROW) - 1)
-            fps = [(many_simhashes(t, SEARCH_WORDS, COUNT) & keep).view(np.int64) for t in b["text"]]
+            bands = [band_values(t, similarity) for t in b["text"]]
             sums = [xxhash.xxh128_hexdigest((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]
             release()
-            yield pd.DataFrame({"_rid": b["_rid"], "sum": sums, "fps": fps})
+            yield pd.DataFrame({"_rid": b["_rid"], "sum": sums, "bands": bands})
 
-    marks = held.select("_rid", F.col(text).alias("text")).mapInPandas(mark, "_rid long, sum string, fps array<long>")
+    marks = held.select("_rid", F.col(text).alias("text")).mapInPandas(mark, "_rid long, sum string, bands array<long>")
     marks = stored(marks, "marks")
     first = marks.groupBy("sum").agg(F.min("_rid").alias("_rid"))
     with Scratch(docs.sparkSession) as work:
-        one = stored(marks.join(first, ["sum", "_rid"]).select("_rid", F.posexplode("fps").alias("r", "fp")), "firsts")
-        at = stored(one.groupBy("r", "fp").agg(F.min("_rid").alias("rep")), "reps")
-        # a forest for each kind of fingerprint: a large class has as many edges as members, not as pairs
-        near = forest(stored(links(at.select("r", "fp"), 2, NARROW, 16), "near"))
-        ra, rb = at.select("r", F.col("fp").alias("a"), F.col("rep").alias("x")), at.select("r", F.col("fp").alias("b"), F.col("rep").alias("y"))
-        between = near.join(ra, ["r", "a"]).join(rb, ["r", "b"]).select("x", "y")
-        same = one.join(at, ["r", "fp"]).where("_rid <> rep").select(F.col("rep").alias("x"), F.col("_rid").alias("y"))
-        edges = work.keep(between.union(same).where("x <> y").distinct(), "pairs")
+        one = marks.join(first, ["sum", "_rid"]).select("_rid", F.posexplode("bands").alias("band", "value"))
+        one = stored(one, "firsts")
+        heads = one.groupBy("band", "value").agg(F.min("_rid").alias("x"))
+        edges = work.keep(one.join(heads, ["band", "value"]).select("x", F.col("_rid").alias("y")).where("x <> y").distinct(), "pairs")
     alike = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
     gone = None
     for _ in range(ROUNDS):
