@@ -141,6 +141,38 @@ def test_near_copies_are_found_wherever_the_edits_lie(spark):
     assert simhash.one_of_each(df).count() <= 42  # of 80
 
 
+def plain_greedy(texts, similarity=0.8):
+    sets = [set(simhash.shingle_hashes(simhash.word_list(t), 5).tolist()) for t in texts]
+    kept = []
+    for i, s in enumerate(sets):
+        if not any(len(s & sets[j]) >= similarity * len(s | sets[j]) for j in kept):
+            kept.append(i)
+    return kept
+
+
+def test_no_two_that_stay_are_alike(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+
+    def edited(words, n):
+        words = list(words)
+        for k in rng.choice(len(words), n, replace=False):
+            words[k] = f"e{rng.integers(10**6)}"
+        return words
+
+    chain = [[f"v{i}" for i in rng.integers(0, 5000, 300)]]
+    while len(chain) < 60:
+        chain.append(edited(chain[-1], 2))  # revisions: each like its neighbours, not like the far ones
+    base = [f"v{i}" for i in rng.integers(0, 5000, 200)]
+    cloud = [edited(base, int(rng.integers(2, 6))) for _ in range(60)]  # some alike, some not, to nearly all others
+    texts = [" ".join(w) for w in chain + cloud]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = plain_greedy(texts)
+    assert 12 < len(want) < 100
+    for few in (50_000, 10):  # settled in one pass, or step by step first
+        monkeypatch.setattr(simhash, "FEW", few)
+        assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == want
+
+
 # --- repeats ------------------------------------------------------------------------------------------------------------
 def plain_removal(texts, length):
     seen = Counter()

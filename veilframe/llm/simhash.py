@@ -25,12 +25,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.blocks import release
 from veilframe.llm.common import Scratch, stored, table
-from veilframe.llm.components import components, forest
+from veilframe.llm.components import components
 
 BITS, SEED, HOT = 64, 42, 48
 
@@ -214,9 +214,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
     )
 
 
-#: Of `one_of_each`: words of a shingle, bands of a text, the chance that a pair at the asked similarity shares one, and rounds of
-#: representatives.
-WORDS, BANDS, FOUND, ROUNDS = 5, 20, 0.99, 4
+#: Of `one_of_each`: words of a shingle, bands of a text, the chance that a pair at the asked similarity shares one, and verified
+#: pairs that one task settles in one pass.
+WORDS, BANDS, FOUND, FEW = 5, 20, 0.99, 50_000
 
 
 def band_rows(similarity: float) -> int:
@@ -247,9 +247,14 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
     """docs, all columns, without the copies and near copies of a document that stays.
 
     Equal texts leave their first row. Texts are near copies when the Jaccard index of their WORDS-word shingles is `similarity` or
-    more. They are searched for by BANDS bands of least hashes: texts that share any of these, directly or over others, form a
-    class; the members alike enough to its least row go, the others form classes again without it, ROUNDS times. So a row
-    goes only for a row that stays and that it was compared with.
+    more. They are searched for by BANDS bands of least hashes; texts that share any of these are candidates. In the order of the
+    rows, a row goes if a candidate before it that stays is alike to it, and else stays: so a row goes only for a row that stays,
+    and no two candidates that stay are alike.
+
+    Each round compares the rows of a band value with its first `most` undecided ones. A row that is among these in all its
+    bands has met all candidates before it, so the verified pairs decide it, unless they hang on one that isn't. `most`
+    grows until no band value is shared by undecided rows: the first round takes the bulk of large groups of near copies in
+    linear time, and only rows that are alike to none are compared with each other.
     """
     own = [f"_c{i}" for i in range(len(docs.columns))]
     text = own[docs.columns.index(text_col)]
@@ -267,28 +272,80 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
     first = marks.groupBy("sum").agg(F.min("_rid").alias("_rid"))
     with Scratch(docs.sparkSession) as work:
         one = marks.join(first, ["sum", "_rid"]).select("_rid", F.posexplode("bands").alias("band", "value"))
-        one = stored(one, "firsts")
-        heads = one.groupBy("band", "value").agg(F.min("_rid").alias("x"))
-        edges = work.keep(one.join(heads, ["band", "value"]).select("x", F.col("_rid").alias("y")).where("x <> y").distinct(), "pairs")
+        shared = work.keep(_shared(stored(one, "firsts")), "shared")
+    texts = held.select("_rid", F.col(text).alias("text"))
     alike = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
-    gone = None
-    for _ in range(ROUNDS):
-        if edges.isEmpty():
-            break
+    gone, most = None, 1
+    while not shared.isEmpty():
         with Scratch(docs.sparkSession) as work:
-            classes = stored(components(forest(edges.toDF("a", "b"))), "classes")
-            member = classes.join(held.select(F.col("_rid").alias("a"), F.col(text).alias("ta")), "a")
-            root = classes.select("root").distinct().join(held.select(F.col("_rid").alias("root"), F.col(text).alias("tr")), "root")
-            same_as = work.keep(member.join(root, "root").where(alike("ta", "tr") >= similarity).select("a"), "gone")
-            gone = same_as if gone is None else gone.union(same_as)
-            settled = stored(same_as.union(classes.select("root").distinct()).select(F.col("a").alias("done")), "settled")
-            left = edges.join(settled, edges["x"] == settled["done"], "left_anti")
-            edges = work.keep(left.join(settled, left["y"] == settled["done"], "left_anti"), "pairs")
+            rank = F.row_number().over(Window.partitionBy("band", "value").orderBy("_rid"))
+            heads = stored(shared.withColumn("k", rank).where(F.col("k") <= most).drop("k"), "heads")
+            unmet = shared.join(heads, ["band", "value", "_rid"], "left_anti").select("_rid").distinct()
+            unmet = stored(unmet, "unmet")
+            met = shared.join(heads.withColumnRenamed("_rid", "x"), ["band", "value"]).where("x < _rid")
+            pairs = stored(met.select("x", F.col("_rid").alias("y")).distinct(), "pairs")
+            both = pairs.join(texts.toDF("y", "ty"), "y").join(texts.toDF("x", "tx"), "x")
+            near = stored(both.where(alike("tx", "ty") >= similarity).select("x", "y"), "near")
+            went, open_ = _decided(near, unmet)
+            went, open_ = work.keep(went, "gone"), stored(open_.union(unmet).distinct(), "open")
+            gone = went if gone is None else gone.union(went)
+            left = shared.join(open_, "_rid", "left_semi").join(went, "_rid", "left_anti")
+            shared = work.keep(_shared(left.select(*shared.columns)), "shared")
+        most *= 8
     kept = held.join(first.select(F.col("_rid").alias("_f")), F.col("_rid") == F.col("_f"), "left_semi")
     if gone is not None:
-        kept = kept.join(gone.select(F.col("a").alias("_g")), F.col("_rid") == F.col("_g"), "left_anti")
+        kept = kept.join(gone.select(F.col("_rid").alias("_g")), F.col("_rid") == F.col("_g"), "left_anti")
     return kept.select(*own).toDF(*docs.columns)
 
 
+def _shared(bands: DataFrame) -> DataFrame:
+    """The bands' values that more than one row has."""
+    many = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return bands.join(many.drop("c"), ["band", "value"], "left_semi")
+
+
+def _decided(near: DataFrame, unmet: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_rid that go, _rid that stay open though met), from the pairs of alike rows x < y; unmet rows may only go or stay open.
+
+    A row that no pair has as y, and that is met, stays, and all y of its pairs go. That is repeated until few pairs are left
+    or none changes; few are settled in one pass in the order of y.
+    """
+    flags = [unmet.select(F.col("_rid").alias(c), F.lit(True).alias(f"{c}_open")) for c in ("x", "y")]
+    left = near.join(flags[0], "x", "left").join(flags[1], "y", "left").select("x", "y", *[F.coalesce(f"{c}_open", F.lit(False)).alias(f"{c}_open") for c in ("x", "y")])
+    left, gone = stored(left, "left"), near.select(F.col("y").alias("_rid")).limit(0)
+    while left.count() > FEW:
+        free = left.where(~F.col("x_open")).join(left.select(F.col("y").alias("x")).distinct(), "x", "left_anti")
+        went = stored(free.select(F.col("y").alias("_rid")).distinct(), "went")
+        if went.isEmpty():
+            return gone, left.select(F.col("y").alias("_rid")).distinct()
+        gone = gone.union(went)
+        for c in ("x", "y"):
+            left = left.join(went.withColumnRenamed("_rid", c), c, "left_anti")
+        left = stored(left.select("x", "y", "x_open", "y_open"), "left")
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        goes: dict[int, bool] = {}  # a row that is not here stays if it is met
+        now, stays_before, open_before, is_open = None, False, False, False
+
+        def close() -> None:
+            if now is not None and (stays_before or open_before or is_open):
+                goes[now] = stays_before
+
+        for b in batches:
+            for x, y, xo, yo in zip(*[b[c].tolist() for c in ("x", "y", "x_open", "y_open")], strict=True):
+                if y != now:
+                    close()
+                    now, stays_before, open_before, is_open = y, False, False, yo
+                if x not in goes:
+                    stays_before, open_before = stays_before or not xo, open_before or xo
+                elif not goes[x]:
+                    open_before = True
+        close()
+        yield pd.DataFrame({"_rid": list(goes), "goes": list(goes.values())}).astype({"_rid": "int64", "goes": "bool"})
+
+    said = stored(left.repartition(1).sortWithinPartitions("y").mapInPandas(settle, "_rid long, goes boolean"), "settled")
+    return gone.union(said.where("goes").select("_rid")), said.where("not goes").select("_rid")
+
+
 def op7_query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
