@@ -213,6 +213,43 @@ def test_repeats_in_place(spark):
     assert repeats.remove_repeats(none(spark)).count() == 0
 
 
+def plain_word_removal(texts, words):
+    seen = Counter()
+    for t in texts:
+        w = t.split()
+        seen.update(tuple(w[p : p + words]) for p in range(len(w) - words + 1))
+    out = []
+    for t in texts:
+        w, gone = t.split(), set()
+        for p in range(len(w) - words + 1):
+            if seen[tuple(w[p : p + words])] > 1:
+                gone.update(range(p, p + words))
+        out.append([x for k, x in enumerate(w) if k not in gone])
+    return out
+
+
+def test_repeated_passages_of_words_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    made = [prose(900 + k, int(rng.integers(60, 400))) for k in range(30)]
+    shared = [prose(950 + k, n) for k, n in enumerate((51, 50, 52, 51, 75))]
+    texts = [t + "\n" + shared[k % 5].replace(" ", "  " if k % 2 else " ") + "\t" + made[-k] for k, t in enumerate(made[:20])]
+    texts += [shared[0], shared[1] + " x", "so " * 200, "", "a " * 50, "é ü " * 40, " ".join(shared[:3])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: bytes(r.kept).decode().split() for r in repeats.without_repeats(df, 10**6, words=51).collect()}
+    assert got == dict(enumerate(plain_word_removal(texts, 51)))
+
+
+def test_long_words_go_by_bytes(spark):
+    long = " ".join(f"{k:03d}{'y' * 17}" for k in range(30))  # 629 bytes in 30 words
+    long2 = "".join(f"{k:04d}" for k in range(120))  # 480 bytes without a blank
+    texts = [prose(970 + k, 40) + " " + x + ("." if k % 2 else "") for k, x in enumerate((long, long, long2, long2))]
+    texts += [texts[0][-200:] + " alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept).decode() for r in repeats.without_repeats(df, words=51).collect()}
+    want = {r.doc_id: bytes(r.kept).decode() for r in repeats.without_repeats(df).collect()}
+    assert got == want and all(len(got[k]) < 400 for k in range(4)) and got[4] == texts[4]
+
+
 def test_every_window_has_one_entry():
     rng = np.random.default_rng(6)
     texts = [bytes(rng.integers(97, 101, n, dtype=np.uint8)) for n in (2000, 400, 399, 0, 1700)] + [b"a" * 900]

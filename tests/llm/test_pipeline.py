@@ -30,6 +30,16 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert docs.where("n_tokens <> size(ids)").count() == 0
 
 
+def test_passages_of_51_short_words_go(spark):
+    shared = " ".join(f"{'abcdefghij'[k % 10]}{k}" for k in range(51))
+    made = [(k, prose(800 + k, 80) + " " + shared + " " + prose(850 + k, 80), 0) for k in range(3)] + [(3, prose(804, 90), 0)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    assert len(shared) < 200 and got[3] == made[3][1]
+    for k in range(3):
+        assert got[k] == made[k][1].replace(shared, "")
+
+
 def test_odd_and_no_documents(spark):
     for docs in (documents(spark), none(spark)):
         for name, stage in corpus_pipeline.STAGES:

@@ -14,6 +14,11 @@ change what repeats. The sort splits the most frequent passage over as many part
 Windows without a trigger in reach go through the first order one by one. Keys have 128 bits. The first and last entry of each
 sorted partition (two rows a partition) are compared with their neighbours on the driver.
 
+Where `words` is given, strings of that many words are windows too, equal when their words are, whatever blanks stand between. They
+go through the same parse and order, with words in place of bytes. A window of `length` bytes then goes through it only where it
+holds fewer whole words than that, as the others are caught by words; an entry goes if any of its windows does, so equal
+windows go together.
+
 Defined cases: null text counts as empty; texts under `length` bytes keep all; repeated rows and ids are documents of
 their own, so each is removed where long enough; an empty table gives no rows; further columns pass through unless they
 start with `_rep_`.
@@ -34,6 +39,10 @@ from veilframe.llm.blocks import release
 from veilframe.llm.common import shuffle_partitions, stored, table
 
 LENGTH, TRIGGER, BIN, GAP_BITS = 400, 12, 64, 6
+#: Of a parse by words: words of a trigger, windows of an entry, bits that make one word in eight a trigger.
+BY_WORDS = (3, 8, 3)
+#: In the number of windows of an entry: they are windows of words.
+OF_WORDS = 1 << 15
 CHUNK = 1 << 20
 ENTRY = "core long, whole long, rid long, at int, n int"
 
@@ -55,7 +64,8 @@ class Rolling:
             for g in grown:
                 g[0] = 1
             self.up, self.down = (np.cumprod(g, dtype=np.uint64) for g in grown)
-        terms = self.table[data] * self.up[: len(data)]
+        own = self.table[data] if data.dtype == np.uint8 else _mixed(data ^ self.table[0])
+        terms = own * self.up[: len(data)]
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
 
     def of(self, start, end):
@@ -75,33 +85,57 @@ def _runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word in data."""
+    blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)), [True]])
+    turn = np.diff(blank.astype(np.int8))
+    return np.nonzero(turn == -1)[0], np.nonzero(turn == 1)[0]
+
+
+def word_hashes(by: Rolling, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word in data."""
+    start, end = word_edges(data)
+    by.load(data)
+    return _mixed(by.of(start, end)), start, end
+
+
+def _light(start: np.ndarray, end: np.ndarray, at: np.ndarray, n: np.ndarray, length: int, words: int) -> np.ndarray:
+    """Whether any of the n windows of `length` bytes from `at` on holds fewer than `words` whole words."""
+    upto = int(at.max()) + int(n.max()) + length if len(at) else 0
+    begun, ended = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=upto + 1))]) for x in (start, end))
+    p = np.arange(max(0, upto - length + 1))
+    few = np.concatenate([[0], np.cumsum(ended[p + length + 1] - begun[p] < words)])
+    return few[at + n] > few[at]
+
+
 def _keys(one: Rolling, two: Rolling, core_a, core_b, a, b, shift) -> tuple[np.ndarray, np.ndarray]:
     tail = (b - a).astype(np.uint64) * np.uint64(1 << 20) + shift.astype(np.uint64)
     return _mixed(one.of(core_a, core_b)).view(np.int64), _mixed(two.of(a, b) + _mixed(tail)).view(np.int64)
 
 
-def entries(one: Rolling, two: Rolling, data: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(core, whole, document, first window, windows) of the documents data[edges[k]:edges[k + 1]]."""
+def entries(one: Rolling, two: Rolling, data: np.ndarray, edges: np.ndarray, length: int, scale=(TRIGGER, BIN, GAP_BITS)) -> tuple[np.ndarray, ...]:
+    """(core, whole, document, first window, windows) of the documents data[edges[k]:edges[k + 1]], of bytes or hashes of words."""
+    trigger, bin_, gap_bits = scale
     one.load(data)
     two.load(data)
-    spot = np.arange(max(0, len(data) - TRIGGER + 1))
-    hit = (one.of(spot, spot + TRIGGER) >> np.uint64(64 - GAP_BITS)) == 0
+    spot = np.arange(max(0, len(data) - trigger + 1))
+    hit = (one.of(spot, spot + trigger) >> np.uint64(64 - gap_bits)) == 0
     trig = spot[hit]
     doc = np.searchsorted(edges, trig, "right") - 1
-    inside = trig + TRIGGER <= edges[doc + 1]
+    inside = trig + trigger <= edges[doc + 1]
     trig, doc = trig[inside], doc[inside]
     last = edges[1:] - length  # the last window of each document
     new = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
     before = np.where(new, edges[doc], np.concatenate([[0], trig[:-1] + 1]) if len(trig) else trig)
-    reach = (length - TRIGGER) // BIN * BIN  # windows that start so far before their first trigger, or less, use it
+    reach = (length - trigger) // bin_ * bin_  # windows that start so far before their first trigger, or less, use it
     low, high = np.maximum(before, trig - reach + 1), np.minimum(trig, last[doc])
     some = low <= high
     t, d, lo, hi = trig[some], doc[some], low[some], high[some]
-    b0, b1 = (t - hi) // BIN, (t - lo) // BIN
+    b0, b1 = (t - hi) // bin_, (t - lo) // bin_
     which, b = _runs(b0, b1 - b0 + 1)
-    at = t[which] - b * BIN
-    a, z = np.maximum(lo[which], at - BIN + 1), np.minimum(hi[which], at)
-    core, whole = _keys(one, two, at, at - BIN + 1 + length, a, z + length, at - a)
+    at = t[which] - b * bin_
+    a, z = np.maximum(lo[which], at - bin_ + 1), np.minimum(hi[which], at)
+    core, whole = _keys(one, two, at, at - bin_ + 1 + length, a, z + length, at - a)
     # windows without a trigger in reach: before a trigger, and after the last one of a document
     tail_from = edges[:-1].copy()
     if len(trig):
@@ -110,7 +144,7 @@ def entries(one: Rolling, two: Rolling, data: np.ndarray, edges: np.ndarray, len
     stop = np.concatenate([np.minimum(trig - reach, last[doc]), last])
     owner = np.concatenate([doc, np.arange(len(edges) - 1)])
     w, p = _runs(start, stop - start + 1)
-    lone_core, lone_whole = _keys(one, two, p, p + length, p, p + length, np.full(len(p), BIN + 1))
+    lone_core, lone_whole = _keys(one, two, p, p + length, p, p + length, np.full(len(p), bin_ + 1))
     owner = owner[w]
     return (
         np.concatenate([core, lone_core]),
@@ -125,46 +159,66 @@ def _frame(core, whole, rid, at, n) -> pd.DataFrame:
     return pd.DataFrame({"core": core, "whole": whole, "rid": rid, "at": at.astype(np.int32), "n": n.astype(np.int32)})
 
 
-def _parsed(length: int):
+def _parsed(length: int, words: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two, open_ = Rolling(1), Rolling(2), zstandard.ZstdDecompressor()
-
-        def flush(rids: list, texts: list) -> pd.DataFrame:
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            edges = np.cumsum([0, *map(len, texts)])
+        one, two, three, open_ = Rolling(1), Rolling(2), Rolling(3), zstandard.ZstdDecompressor()
+        least = length if words is None else min(length, 2 * words - 1)
+
+        def flush(rids: list, texts: list) -> Iterator[pd.DataFrame]:
+            data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # a blank after each, so that words end
+            edges, rids = np.cumsum([0, *[len(t) + 1 for t in texts]]), np.array(rids, np.int64)
+            if words is None:
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                edges = np.cumsum([0, *map(len, texts)])
             core, whole, doc, at, n = entries(one, two, data, edges, length)
-            return _frame(core, whole, np.array(rids, np.int64)[doc], at, n)
+            if words is None:
+                yield _frame(core, whole, rids[doc], at, n)
+                return
+            hashes, start, end = word_hashes(three, data)
+            # the blank put after a text is in none of its windows
+            n = np.minimum(n, edges[doc + 1] - 1 - length - (at + edges[doc]) + 1)
+            some = n > 0
+            core, whole, doc, at, n = (x[some] for x in (core, whole, doc, at, n))
+            light = _light(start, end, at + edges[doc], n, length, words)
+            yield _frame(*(x[light] for x in (core, whole, rids[doc], at, n)))
+            core, whole, doc, at, n = entries(one, two, hashes, np.searchsorted(start, edges), words, BY_WORDS)
+            yield _frame(core, whole, rids[doc], at, n + OF_WORDS)
 
         for batch in batches:
             rids, texts, size = [], [], 0
             for rid, z in zip(batch["_rep_id"], batch["_rep_z"], strict=True):
                 text = open_.decompress(z)
-                if len(text) >= length:
+                if len(text) >= least:
                     rids.append(rid)
                     texts.append(text)
                     size += len(text)
                 if size >= CHUNK:
-                    yield flush(rids, texts)
+                    yield from flush(rids, texts)
                     rids, texts, size = [], [], 0
             if rids:
-                yield flush(rids, texts)
+                yield from flush(rids, texts)
             release()
 
     return run
 
 
-def _asked(length: int):
+def _asked(length: int, words: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two, open_ = Rolling(1), Rolling(2), zstandard.ZstdDecompressor()
+        one, two, three, open_ = Rolling(1), Rolling(2), Rolling(3), zstandard.ZstdDecompressor()
         for batch in batches:
             for rid, z, spans in zip(batch["_rep_id"], batch["_rep_z"], batch["spans"], strict=True):
                 data = np.frombuffer(open_.decompress(z), np.uint8)
-                one.load(data)
-                two.load(data)
                 spans = np.asarray(spans, np.int64)
-                _, p = _runs(spans >> 16, spans & 0xFFFF)
-                core, whole = _keys(one, two, p, p + length, p, p + length, np.zeros(len(p), np.int64))
-                yield _frame(core, whole, np.full(len(p), rid), p, np.ones(len(p)))
+                by_words = spans & OF_WORDS > 0
+                for flag, some, width in ((0, spans[~by_words], length), (OF_WORDS, spans[by_words], words)):
+                    if not len(some):
+                        continue
+                    units = word_hashes(three, data)[0] if flag else data
+                    one.load(units)
+                    two.load(units)
+                    _, p = _runs(some >> 16, some & (OF_WORDS - 1))
+                    core, whole = _keys(one, two, p, p + width, p, p + width, np.zeros(len(p), np.int64))
+                    yield _frame(core, whole, np.full(len(p), rid), p, np.ones(len(p), np.int64) + flag)
 
     return run
 
@@ -249,23 +303,31 @@ def _squeezed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: shut.compress((t or "").encode("utf-8", "surrogatepass")))
 
 
-def _spans(marks: np.ndarray | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _spans(marks: np.ndarray | None, length: int, text: bytes = b"", words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs (start, end)."""
     if marks is None or not len(marks):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    marks = np.sort(np.asarray(marks, np.int64))
-    a, b = marks >> 16, (marks >> 16) + (marks & 0xFFFF) - 1 + length
+    marks = np.asarray(marks, np.int64)
+    by_words = marks & OF_WORDS > 0
+    a, n = marks >> 16, marks & (OF_WORDS - 1)
+    b = a + n - 1 + length
+    if by_words.any():
+        start, end = word_edges(np.frombuffer(text, np.uint8))
+        b[by_words] = end[a[by_words] + n[by_words] - 2 + words]
+        a[by_words] = start[a[by_words]]
+    order = np.lexsort([b, a])
+    a, b = a[order], b[order]
     top = np.maximum.accumulate(b)
     new = np.concatenate([[True], a[1:] > top[:-1]])
     return a[new], top[np.concatenate([np.nonzero(new)[0][1:] - 1, [len(a) - 1]])]
 
 
-def _kept(length: int):
+def _kept(length: int, words: int | None):
     def run(z: pd.Series, marks: pd.Series) -> pd.DataFrame:
         open_, rows = zstandard.ZstdDecompressor(), []
         for packed, m in zip(z, marks, strict=True):
             text = open_.decompress(packed)
-            a, b = _spans(m, length)
+            a, b = _spans(m, length, text, words)
             starts, ends = [0, *b.tolist()], [*a.tolist(), len(text)]
             kept = b"".join(text[i:j] for i, j in zip(starts, ends, strict=True))
             rows.append((len(text), len(text) - len(kept), len(a), kept))
@@ -274,31 +336,33 @@ def _kept(length: int):
     return F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None) -> DataFrame:
     """docs without the text, and n_bytes, n_removed, n_spans, kept (binary): each text without the bytes that a string of
-    `length` bytes covers that also starts anywhere else."""
+    `length` bytes, or of `words` words, covers that also starts anywhere else."""
     if length < TRIGGER + BIN:
         raise ValueError(f"length must be {TRIGGER + BIN} at least")
+    if words is not None and words < sum(BY_WORDS[:2]):
+        raise ValueError(f"words must be {sum(BY_WORDS[:2])} at least")
     packed = docs.withColumn("_rep_z", F.pandas_udf(_squeezed, "binary")(F.col(text_col))).drop(text_col)
     texts = stored(packed.withColumn("_rep_id", F.monotonically_increasing_id()), "texts")
     bare = texts.select("_rep_id", "_rep_z")
-    full, ask = _marks(bare.mapInPandas(_parsed(length), ENTRY), "order")
+    full, ask = _marks(bare.mapInPandas(_parsed(length, words), ENTRY), "order")
     wanted = ask.groupBy("rid").agg(F.collect_list("span").alias("spans"))
     looked = bare.join(wanted, F.col("_rep_id") == F.col("rid")).select("_rep_id", "_rep_z", "spans")
-    more, _ = _marks(looked.mapInPandas(_asked(length), ENTRY), "windows")
+    more, _ = _marks(looked.mapInPandas(_asked(length, words), ENTRY), "windows")
     marks = full.union(more).groupBy("rid").agg(F.collect_list("span").alias("_rep_marks"))
     joined = texts.join(marks, F.col("_rep_id") == F.col("rid"), "left")
-    done = joined.withColumn("_rep_out", _kept(length)("_rep_z", "_rep_marks"))
+    done = joined.withColumn("_rep_out", _kept(length, words)("_rep_z", "_rep_marks"))
     own = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return done.select(*own, *[F.col(f"_rep_out.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept")])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None) -> DataFrame:
     """docs, all columns, with repeated bytes taken out of the text (and n_chars, where there is one, counted anew). A character that
     loses some of its bytes goes whole."""
     own = [f"_c{i}" for i in range(len(docs.columns))]
     text = own[docs.columns.index(text_col)]
-    bare = without_repeats(docs.toDF(*own), length, text)
+    bare = without_repeats(docs.toDF(*own), length, text, words)
     whole = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
     done = bare.withColumn(text, whole("kept"))
     if "n_chars" in docs.columns:
