@@ -110,6 +110,19 @@ def test_syncmers_by_hand(spark):
         assert r.anchors == marks and r.fingerprint == "".join(f"{x:08x}" for x in marks)
 
 
+def test_short_texts_without_syncmers_have_a_fingerprint(spark):
+    texts = [" ".join(f"t{i}x{j}" for j in range(n)) for n in (5, 6, 7) for i in range(100 * n, 100 * n + 40)]
+    bare = [t for t in texts if not plain_anchors(t)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*bare, ""])], "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in syncmers.fingerprints(df).collect()}
+    assert len(bare) > 10 and got.pop(len(bare)) == ""
+    assert len(set(got.values())) == len(bare) and all(len(x) == 8 for x in got.values())
+    near = df.crossJoin(df.select(F.col("text").alias("other"))).where("text < other").select(
+        syncmers.likeness(syncmers.anchors(F.col("text")), syncmers.anchors(F.col("other"))).alias("x")
+    )
+    assert near.where("x > 0").count() == 0
+
+
 def test_next_documents(spark):
     plain = [(i, f"text {i} " * (i + 1)) for i in range(25)]
     got = {r.doc_id: r.next_text for r in syncmers.with_next(spark.createDataFrame(plain, "doc_id long, text string")).collect()}

@@ -3,7 +3,7 @@
 A K-word window is kept when the smallest hash among its S-word windows is its first or its last: the choice depends on
 nothing outside the window, so an edit changes only the K-word windows that touch it and equal passages keep equal anchors
 wherever they stand. A fingerprint is the list of kept windows' 32-bit hashes in text order, eight hex digits each; a text
-of fewer than K words has the hash of its whole word sequence. The likeness of two fingerprints is the Jaccard index of their
+with words that keeps no window, or has fewer than K words, has the hash of its whole word sequence. The likeness of two fingerprints is the Jaccard index of their
 sets of anchors (1 for two empty ones). Everything is DataFrame expressions.
 
 Defined cases: null text counts as empty; texts without words have the empty fingerprint; repeated rows and equal ids are
@@ -39,7 +39,8 @@ def anchors(text: Column) -> Column:
         )
         kept = F.transform(closed, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)]).bitwiseAND(F.lit(0xFFFFFFFF)))
         whole = F.aggregate(h, F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x)).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.when(F.size(h) < K, F.array(whole)).otherwise(kept)
+        some = let(kept, lambda k: F.when(F.size(k) == 0, F.array(whole)).otherwise(k))
+        return F.when(F.size(h) < K, F.array(whole)).otherwise(some)
 
     words = F.split(core, BLANK)
     none = F.array().cast("array<bigint>")
