@@ -250,13 +250,38 @@ def test_long_words_go_by_bytes(spark):
     assert got == want and all(len(got[k]) < 400 for k in range(4)) and got[4] == texts[4]
 
 
-def test_every_window_has_one_entry():
+def test_every_window_has_one_context_or_stands_alone():
     rng = np.random.default_rng(6)
     texts = [bytes(rng.integers(97, 101, n, dtype=np.uint8)) for n in (2000, 400, 399, 0, 1700)] + [b"a" * 900]
     data, edges = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    _, _, doc, at, n = repeats.entries(repeats.Rolling(1), repeats.Rolling(2), data, edges, 400)
-    seen = sorted((d, p) for d, a, k in zip(doc.tolist(), at.tolist(), n.tolist(), strict=True) for p in range(a, a + k))
-    assert seen == [(d, p) for d, t in enumerate(texts) for p in range(len(t) - 399)]
+    p = repeats.Contexts(repeats.Rolling(1), repeats.Rolling(2), data, edges, 400, repeats.BYTES)
+    seen = [(d, t - k - edges[d]) for d, t, l, r in zip(p.doc, p.trig, p.l, p.r, strict=True) for k in range(max(0, 400 - r), l + 1)]
+    seen += [(d, x - edges[d]) for d, x in zip(*p.lone, strict=True)]
+    assert sorted(seen) == [(d, x) for d, t in enumerate(texts) for x in range(len(t) - 399)]
+
+
+def test_passages_with_edits_by_brute_force(spark):
+    """Many partial copies of a few passages: neighbours in the two orders don't prove all, so windows are put in order one by one."""
+    rng = np.random.default_rng(14)
+    base = [bytes(rng.integers(97, 123, 1500, dtype=np.uint8)) for _ in range(3)]
+    texts = []
+    for k in range(120):
+        own = bytearray(base[k % 3])
+        for at in rng.integers(0, 1500, int(rng.integers(0, 4))):
+            own[int(at)] = 65 + k % 20
+        a, z = sorted(int(x) for x in rng.integers(0, 1500, 2))
+        texts.append((bytes(rng.integers(97, 123, 30, dtype=np.uint8)) + bytes(own[a:z]) + bytes(rng.integers(97, 123, 30, dtype=np.uint8))).decode())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for length in (400, 97):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in repeats.without_repeats(df, length).withColumn("sha", F.sha2("kept", 256)).collect()}
+        assert got == dict(enumerate(plain_removal([t.encode() for t in texts], length)))
+
+
+def test_passages_are_counted_and_not_removed(spark):
+    texts = [prose(900, 90) + " " + prose(901, 51) + " x", "y " + prose(901, 51).replace("\n", " "), prose(902, 80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_passage_words) for r in repeats.without_repeats(df, passages=51).collect()}
+    assert got == {0: (0, 51), 1: (0, 51), 2: (0, 0)}
 
 
 def test_checksums_decide_who_trains():

@@ -1,22 +1,29 @@
-"""Repeated passages by a prefix-free parse, put in corpus order.
-
-A rolling hash of TRIGGER bytes cuts every text into phrases at positions that depend on nothing else, so equal passages are
-parsed alike. A string of `length` bytes (a window) is told by its first trigger: d bytes end a dictionary phrase, then the
-parse goes on from the trigger. Windows of one trigger whose d falls into one bin of BIN bytes are one entry with two keys:
-`core`, a hash of the bytes that all of them share, and `whole`, a hash of all bytes that any of them covers. Entries of all
-texts are sorted by (core, whole): the corpus order of their suffixes, cut off after `length` bytes, as a longer order can't
-change what repeats. The sort splits the most frequent passage over as many partitions as it fills, and neighbours in it tell:
-
-- same whole: each window of the entry repeats;
-- same core, other whole: some may. Such entries go through the order once more, window by window;
-- neither: none repeats.
-
-Windows without a trigger in reach go through the first order one by one. Keys have 128 bits. The first and last entry of each
+"""Repeated passages by a prefix-free parse, from suffix arrays of its parse and of its dictionary.
+
+A rolling hash of a few units (bytes, or words) triggers a cut, at places that depend on nothing else, so equal passages are
+parsed alike. A string of `length` units (a window) belongs to its first trigger: d units before it, the end of a
+dictionary phrase, and length - d units from it on, the beginning of a suffix of the parse. Two windows are equal if and only if
+their d is equal, their phrases have the last d units in common and their suffixes the first length - d. A phrase with the
+suffix that follows it, cut off after `length` units as a longer order can't change what repeats, is a context; its windows
+are an interval of d.
+
+1. Contexts that stand twice or more, as highly repetitive text is made of, need no order: all their windows repeat. Each is
+   handled once from here on.
+2. A window that two different contexts share has half its units on one side of the trigger, so contexts whose halves
+   (keys of the first units after the trigger, and of the last before it) no other context has are done with.
+3. The others' suffixes are sorted: the suffix array of the parse, with the longest common prefix (LCP) of neighbours. Their phrases
+   are sorted by their reversed units: the order of all the dictionary's phrase suffixes, with the longest common suffix (LCS) of
+   neighbours. A neighbour in the first order with both proves an interval of d from length - LCP to LCS; the largest LCP and the
+   largest LCS bound what may repeat.
+4. Windows inside the bounds that no neighbour proves, and windows without a trigger in reach, are put in corpus order one by one, by
+   128-bit hashes.
+
+Orders are range sorts, which split the most frequent passage over as many partitions as it fills; the first and last row of each
 sorted partition (two rows a partition) are compared with their neighbours on the driver.
 
 Where `words` is given, strings of that many words are windows too, equal when their words are, whatever blanks stand between. They
-go through the same parse and order, with words in place of bytes. A window of `length` bytes then goes through it only where it
-holds fewer whole words than that, as the others are caught by words; an entry goes if any of its windows does, so equal
+go through the same parse and orders, with words in place of bytes. A window of `length` bytes then goes through them only where it
+holds fewer whole words than that, as the others are caught by words; a context goes if any of its windows does, so equal
 windows go together.
 
 Defined cases: null text counts as empty; texts under `length` bytes keep all; repeated rows and ids are documents of
@@ -27,6 +34,7 @@ start with `_rep_`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,13 +46,14 @@ from pyspark.sql import functions as F
 from veilframe.llm.blocks import release
 from veilframe.llm.common import shuffle_partitions, stored, table
 
-LENGTH, TRIGGER, BIN, GAP_BITS = 400, 12, 64, 6
-#: Of a parse by words: words of a trigger, windows of an entry, bits that make one word in eight a trigger.
-BY_WORDS = (3, 8, 3)
-#: In the number of windows of an entry: they are windows of words.
+LENGTH = 400
+#: Units of a trigger, and bits that make one place in 64 bytes, or one word in eight, a trigger: of a parse by bytes, by words.
+BYTES, WORDS = (12, 6), (3, 3)
+#: In the number of windows of a span: they are windows of words.
 OF_WORDS = 1 << 15
 CHUNK = 1 << 20
-ENTRY = "core long, whole long, rid long, at int, n int"
+#: Neighbours on either side that are compared in the parse's order.
+NEAR = 3
 
 
 class Rolling:
@@ -99,90 +108,104 @@ def word_hashes(by: Rolling, data: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return _mixed(by.of(start, end)), start, end
 
 
-def _light(start: np.ndarray, end: np.ndarray, at: np.ndarray, n: np.ndarray, length: int, words: int) -> np.ndarray:
-    """Whether any of the n windows of `length` bytes from `at` on holds fewer than `words` whole words."""
-    upto = int(at.max()) + int(n.max()) + length if len(at) else 0
-    begun, ended = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=upto + 1))]) for x in (start, end))
-    p = np.arange(max(0, upto - length + 1))
-    few = np.concatenate([[0], np.cumsum(ended[p + length + 1] - begun[p] < words)])
-    return few[at + n] > few[at]
-
-
-def _keys(one: Rolling, two: Rolling, core_a, core_b, a, b, shift) -> tuple[np.ndarray, np.ndarray]:
-    tail = (b - a).astype(np.uint64) * np.uint64(1 << 20) + shift.astype(np.uint64)
-    return _mixed(one.of(core_a, core_b)).view(np.int64), _mixed(two.of(a, b) + _mixed(tail)).view(np.int64)
-
-
-def entries(one: Rolling, two: Rolling, data: np.ndarray, edges: np.ndarray, length: int, scale=(TRIGGER, BIN, GAP_BITS)) -> tuple[np.ndarray, ...]:
-    """(core, whole, document, first window, windows) of the documents data[edges[k]:edges[k + 1]], of bytes or hashes of words."""
-    trigger, bin_, gap_bits = scale
-    one.load(data)
-    two.load(data)
-    spot = np.arange(max(0, len(data) - trigger + 1))
-    hit = (one.of(spot, spot + trigger) >> np.uint64(64 - gap_bits)) == 0
-    trig = spot[hit]
-    doc = np.searchsorted(edges, trig, "right") - 1
-    inside = trig + trigger <= edges[doc + 1]
-    trig, doc = trig[inside], doc[inside]
-    last = edges[1:] - length  # the last window of each document
-    new = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-    before = np.where(new, edges[doc], np.concatenate([[0], trig[:-1] + 1]) if len(trig) else trig)
-    reach = (length - trigger) // bin_ * bin_  # windows that start so far before their first trigger, or less, use it
-    low, high = np.maximum(before, trig - reach + 1), np.minimum(trig, last[doc])
-    some = low <= high
-    t, d, lo, hi = trig[some], doc[some], low[some], high[some]
-    b0, b1 = (t - hi) // bin_, (t - lo) // bin_
-    which, b = _runs(b0, b1 - b0 + 1)
-    at = t[which] - b * bin_
-    a, z = np.maximum(lo[which], at - bin_ + 1), np.minimum(hi[which], at)
-    core, whole = _keys(one, two, at, at - bin_ + 1 + length, a, z + length, at - a)
-    # windows without a trigger in reach: before a trigger, and after the last one of a document
-    tail_from = edges[:-1].copy()
-    if len(trig):
-        np.maximum.at(tail_from, doc, trig + 1)
-    start = np.concatenate([before, tail_from])
-    stop = np.concatenate([np.minimum(trig - reach, last[doc]), last])
-    owner = np.concatenate([doc, np.arange(len(edges) - 1)])
-    w, p = _runs(start, stop - start + 1)
-    lone_core, lone_whole = _keys(one, two, p, p + length, p, p + length, np.full(len(p), bin_ + 1))
-    owner = owner[w]
-    return (
-        np.concatenate([core, lone_core]),
-        np.concatenate([whole, lone_whole]),
-        np.concatenate([d[which], owner]),
-        np.concatenate([a - edges[d[which]], p - edges[owner]]),
-        np.concatenate([z - a + 1, np.ones(len(p), np.int64)]),
-    )
-
-
-def _frame(core, whole, rid, at, n) -> pd.DataFrame:
-    return pd.DataFrame({"core": core, "whole": whole, "rid": rid, "at": at.astype(np.int32), "n": n.astype(np.int32)})
-
-
-def _parsed(length: int, words: int | None):
+def _light(start: np.ndarray, end: np.ndarray, size: int, length: int, words: int) -> np.ndarray:
+    """How many of the windows of `length` bytes that start before each place hold fewer than `words` whole words."""
+    begun, ended = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=size + 1))]) for x in (start, end))
+    p = np.arange(max(0, size - length + 1))
+    return np.concatenate([[0], np.cumsum(ended[p + length + 1] - begun[p] < words)])
+
+
+class Contexts:
+    """The parse of the documents units[edges[k]:edges[k + 1]]: for each context its document, the place of its trigger, the units before
+    (l) and after (r) that place; `lone`: (document, place) of each window without a trigger in reach."""
+
+    def __init__(self, one: Rolling, two: Rolling, units: np.ndarray, edges: np.ndarray, length: int, scale: tuple[int, int]):
+        trigger, gap_bits = scale
+        one.load(units)
+        two.load(units)
+        spot = np.arange(max(0, len(units) - trigger + 1))
+        trig = spot[(one.of(spot, spot + trigger) >> np.uint64(64 - gap_bits)) == 0]
+        doc = np.searchsorted(edges, trig, "right") - 1
+        inside = trig + trigger <= edges[doc + 1]
+        trig, doc = trig[inside], doc[inside]
+        last, reach = edges[1:] - length, length - trigger + 1
+        new = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
+        before = np.where(new, edges[doc], np.concatenate([[0], trig[:-1] + 1]) if len(trig) else trig)
+        l, r = np.minimum(trig - before, reach - 1), np.minimum(length, edges[doc + 1] - trig)
+        some = l + r >= length
+        self.doc, self.trig, self.l, self.r = doc[some], trig[some], l[some], r[some]
+        # windows without a trigger in reach: before a trigger, and after the last one of a document
+        tail_from = edges[:-1].copy()
+        if len(trig):
+            np.maximum.at(tail_from, doc, trig + 1)
+        start, stop = np.concatenate([before, tail_from]), np.concatenate([np.minimum(trig - reach, last[doc]), last])
+        which, place = _runs(start, stop - start + 1)
+        self.lone = np.concatenate([doc, np.arange(len(edges) - 1)])[which], place
+
+    def choose(self, some: np.ndarray) -> None:
+        self.doc, self.trig, self.l, self.r = self.doc[some], self.trig[some], self.l[some], self.r[some]
+
+
+def _halves(length: int) -> tuple[int, int]:
+    """(least units after a trigger, least units before it) of which any window has one or the other."""
+    return length // 2, length - length // 2
+
+
+def _half_keys(one: Rolling, trig: np.ndarray, l: np.ndarray, r: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the halves after and before the trigger; where there are fewer units the key isn't used."""
+    after, before = _halves(length)
+    ahead = _mixed(one.of(trig, trig + np.minimum(r, after)))
+    back = _mixed(one.of(trig - np.minimum(l, before), trig) + np.uint64(length))
+    return ahead.view(np.int64), back.view(np.int64)
+
+
+def _window_keys(one: Rolling, two: Rolling, a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    return _mixed(one.of(a, a + length)).view(np.int64), _mixed(two.of(a, a + length)).view(np.int64)
+
+
+#: place: twice the place in the text, and one more where units are words; lr: units before and after a trigger, or -1: a lone window.
+PARSED = "k long, c long, rid long, place long, lr long"
+
+
+def _parse_rows(p: Contexts, one: Rolling, two: Rolling, rids: np.ndarray, edges: np.ndarray, length: int, kind: int) -> Iterator[pd.DataFrame]:
+    trig, l, r = p.trig, p.l, p.r
+    after, before = _halves(length)
+    ahead, back = _half_keys(one, trig, l, r, length)
+    c = _mixed(two.of(trig - l, trig + r) + _mixed((l.astype(np.uint64) << np.uint64(32)) + r.astype(np.uint64))).view(np.int64)
+    place, lr = 2 * (trig - edges[p.doc]) + kind, (l << 32) + r
+    for k, has in ((ahead, r >= after), (back, l >= before)):
+        yield pd.DataFrame({"k": k[has], "c": c[has], "rid": rids[p.doc[has]], "place": place[has], "lr": lr[has]})
+    doc, at = p.lone
+    if len(doc):
+        k, c = _window_keys(one, two, at, length)
+        yield pd.DataFrame({"k": k, "c": c, "rid": rids[doc], "place": 2 * (at - edges[doc]) + kind, "lr": -1})
+
+
+def _parsed(length: int, words: int | None, light: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two, three, open_ = Rolling(1), Rolling(2), Rolling(3), zstandard.ZstdDecompressor()
         least = length if words is None else min(length, 2 * words - 1)
 
         def flush(rids: list, texts: list) -> Iterator[pd.DataFrame]:
-            data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # a blank after each, so that words end
-            edges, rids = np.cumsum([0, *[len(t) + 1 for t in texts]]), np.array(rids, np.int64)
-            if words is None:
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                edges = np.cumsum([0, *map(len, texts)])
-            core, whole, doc, at, n = entries(one, two, data, edges, length)
+            rids = np.array(rids, np.int64)
+            data, edges = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+            p = Contexts(one, two, data, edges, length, BYTES)
             if words is None:
-                yield _frame(core, whole, rids[doc], at, n)
+                yield from _parse_rows(p, one, two, rids, edges, length, 0)
                 return
-            hashes, start, end = word_hashes(three, data)
-            # the blank put after a text is in none of its windows
-            n = np.minimum(n, edges[doc + 1] - 1 - length - (at + edges[doc]) + 1)
-            some = n > 0
-            core, whole, doc, at, n = (x[some] for x in (core, whole, doc, at, n))
-            light = _light(start, end, at + edges[doc], n, length, words)
-            yield _frame(*(x[light] for x in (core, whole, rids[doc], at, n)))
-            core, whole, doc, at, n = entries(one, two, hashes, np.searchsorted(start, edges), words, BY_WORDS)
-            yield _frame(core, whole, rids[doc], at, n + OF_WORDS)
+            spaced = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # a blank after each, so that words end
+            hashes, start, end = word_hashes(three, spaced)
+            shift = np.arange(len(edges))
+            if light:
+                few = _light(start, end, len(spaced), length, words)
+                at = p.trig + p.doc
+                p.choose(few[at + 1 - length + p.r] > few[at - p.l])
+                doc, at = p.lone
+                thin = few[at + doc + 1] > few[at + doc]
+                p.lone = doc[thin], at[thin]
+            yield from _parse_rows(p, one, two, rids, edges, length, 0)
+            edges = np.searchsorted(start, edges + shift)
+            yield from _parse_rows(Contexts(one, two, hashes, edges, words, WORDS), one, two, rids, edges, words, 1)
 
         for batch in batches:
             rids, texts, size = [], [], 0
@@ -202,100 +225,291 @@ def _parsed(length: int, words: int | None):
     return run
 
 
-def _asked(length: int, words: int | None):
+CONTEXT = "kind int, rid long, place long, n int, ahead long, back long, l binary, r binary"
+
+
+def _fetched(lengths: tuple[int, int | None]):
+    """The units of contexts: r from the trigger on, l before it, the nearest first."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two, three, open_ = Rolling(1), Rolling(2), Rolling(3), zstandard.ZstdDecompressor()
+        one, three, open_ = Rolling(1), Rolling(3), zstandard.ZstdDecompressor()
         for batch in batches:
-            for rid, z, spans in zip(batch["_rep_id"], batch["_rep_z"], batch["spans"], strict=True):
+            for rid, z, asked in zip(batch["_rep_id"], batch["_rep_z"], batch["asked"], strict=True):
                 data = np.frombuffer(open_.decompress(z), np.uint8)
-                spans = np.asarray(spans, np.int64)
-                by_words = spans & OF_WORDS > 0
-                for flag, some, width in ((0, spans[~by_words], length), (OF_WORDS, spans[by_words], words)):
-                    if not len(some):
+                place, lr, n = (np.array([a[c] for a in asked], np.int64) for c in ("place", "lr", "n"))
+                for kind in (0, 1):
+                    k = np.nonzero(place & 1 == kind)[0]
+                    if not len(k):
                         continue
-                    units = word_hashes(three, data)[0] if flag else data
+                    units = word_hashes(three, data)[0] if kind else data
                     one.load(units)
-                    two.load(units)
-                    _, p = _runs(some >> 16, some & (OF_WORDS - 1))
-                    core, whole = _keys(one, two, p, p + width, p, p + width, np.zeros(len(p), np.int64))
-                    yield _frame(core, whole, np.full(len(p), rid), p, np.ones(len(p), np.int64) + flag)
+                    trig, l, r = place[k] >> 1, lr[k] >> 32, lr[k] & 0xFFFFFFFF
+                    ahead, back = _half_keys(one, trig, l, r, lengths[kind])
+                    spots = list(zip(trig.tolist(), l.tolist(), r.tolist(), strict=True))
+                    yield pd.DataFrame(
+                        {
+                            "kind": kind, "rid": rid, "place": place[k], "n": n[k], "ahead": ahead, "back": back,
+                            "l": [units[t - a : t][::-1].tobytes() for t, a, _ in spots],
+                            "r": [units[t : t + b].tobytes() for t, _, b in spots],
+                        }
+                    )
+            release()
 
     return run
 
 
-#: kind 0: all windows repeat; 1: to be looked at one by one; 2: an end of a partition.
-MARK = "kind int, rid long, span long, part int, core long, whole long, state int"
+def _padded(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    size = values.map(len).to_numpy(np.int64)
+    width = max(1, int(size.max(initial=0)))
+    return np.frombuffer(b"".join([v.ljust(width, b"\0") for v in values]), np.uint8).reshape(-1, width), size
 
 
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Marks from one sorted partition. state of an end: 1 first row, 2 last row, 4 marked as repeating, 8 asked for."""
-    part, held, first = TaskContext.get().partitionId(), None, True
+def _common(held: tuple[np.ndarray, np.ndarray], step: int) -> np.ndarray:
+    """Bytes that each row and the one `step` rows on begin with."""
+    rows, size = held
+    differ = rows[:-step] != rows[step:]
+    first = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return np.minimum(first, np.minimum(size[:-step], size[step:]))
 
-    def judged(rows: pd.DataFrame, began: bool, ended: bool) -> pd.DataFrame:
-        """rows: the last but one and last row seen before, new rows; the first is judged only at the beginning, the last only
-        at the end."""
-        core, whole = rows["core"].to_numpy(np.int64), rows["whole"].to_numpy(np.int64)
-        no = np.zeros(1, bool)
-        near = np.concatenate([no, core[1:] == core[:-1], no])
-        same = np.concatenate([no, (core[1:] == core[:-1]) & (whole[1:] == whole[:-1]), no])
-        full, ask = same[:-1] | same[1:], (near[:-1] & ~same[:-1]) | (near[1:] & ~same[1:])
-        lo, hi = 0 if began else 1, len(rows) if ended else len(rows) - 1
-        span = rows["at"].to_numpy(np.int64) * 65536 + rows["n"].to_numpy(np.int64)
-        rid, k = rows["rid"].to_numpy(np.int64), np.arange(len(rows))
-        judge = (k >= lo) & (k < hi)
-        out = [(0, np.nonzero(judge & full)[0]), (1, np.nonzero(judge & ask)[0])]
-        made = [
-            pd.DataFrame({"kind": kind, "rid": rid[i], "span": span[i], "part": part, "core": 0, "whole": 0, "state": 0})
-            for kind, i in out
-        ]
-        ends = [i for i in ([0] if began else []) + ([len(rows) - 1] if ended else [])]
-        for j, i in enumerate(ends):
-            state = (1 if began and j == 0 else 0) | (2 if ended and i == len(rows) - 1 else 0) | 4 * full[i] | 8 * ask[i]
-            if j and ends[0] == i:
+
+#: what: 0 a row of the order, 1 the first, 2 the last of a partition. before: units of the phrase; m, mm: largest LCP, LCS;
+#: proof: pairs of numbers, each an interval of d that a neighbour proves.
+ORDERED = "what int, part int, kind int, rid long, place long, n int, ahead long, back long, before int, behind int, m int, mm int, proof binary, l binary, r binary"
+NAMES = [c.split()[0] for c in ORDERED.split(", ")]
+
+
+def _ordered(lengths: tuple[int, int | None], deep: bool):
+    """Rows of a sorted partition with what their neighbours tell. deep: sorted by suffixes, else by phrases alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held, done, first = TaskContext.get().partitionId(), None, 0, True
+        near = NEAR if deep else 1
+
+        def told(rows: pd.DataFrame, lo: int, hi: int) -> pd.DataFrame:
+            """rows[lo:hi], whose neighbours are all in rows."""
+            kind, n = rows["kind"].to_numpy(), len(rows)
+            unit, length = np.where(kind, 8, 1), np.where(kind, lengths[1] or 0, lengths[0])
+            phrases, suffixes = _padded(rows["l"]), _padded(rows["r"]) if deep else None
+            m, mm = np.zeros(n, np.int32), np.zeros(n, np.int32)
+            proof = np.full((n, 2 * near, 2), -1, np.int32)
+            for s in range(1, min(near, n - 1) + 1):
+                like = kind[:-s] == kind[s:]
+                lcs = np.where(like, _common(phrases, s) // unit[s:], 0)
+                lcp = np.where(like, _common(suffixes, s) // unit[s:], 0) if deep else np.zeros(n - s, np.int64)
+                if s == 1:
+                    for a, x in ((m, lcp), (mm, lcs)):
+                        np.maximum(a[:-1], x, out=a[:-1], casting="unsafe")
+                        np.maximum(a[1:], x, out=a[1:], casting="unsafe")
+                ok = (length[s:] - lcp <= lcs) & like
+                both = np.stack([np.where(ok, np.maximum(length[s:] - lcp, 0), -1), np.where(ok, lcs, -1)], 1)
+                proof[:-s, 2 * s - 2], proof[s:, 2 * s - 1] = both, both
+            out = rows.iloc[lo:hi].copy()
+            size = out["l"].map(len).to_numpy() // unit[lo:hi]
+            behind = out["r"].map(len).to_numpy() // unit[lo:hi] if deep else 0
+            proofs = [p[p[:, 0] >= 0].tobytes() if deep else None for p in proof[lo:hi]]
+            out = out.assign(what=0, part=part, before=size, behind=behind, m=m[lo:hi], mm=mm[lo:hi], proof=proofs, l=None, r=None)
+            return out.reindex(columns=NAMES)
+
+        def end(row: pd.DataFrame, what: int) -> pd.DataFrame:
+            return row.assign(what=what, part=part).reindex(columns=NAMES)
+
+        for batch in batches:
+            if not len(batch):
                 continue
-            made.append(
-                pd.DataFrame(
-                    {"kind": [2], "rid": rid[[i]], "span": span[[i]], "part": part, "core": core[[i]], "whole": whole[[i]], "state": [int(state)]}
-                )
-            )
-        return pd.concat(made, ignore_index=True)
+            if first:
+                yield end(batch.iloc[:1], 1)
+                first = False
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            upto = max(done, len(rows) - near)
+            if upto > done:
+                yield told(rows, done, upto)
+            keep = max(0, upto - near)
+            held, done = rows.iloc[keep:].reset_index(drop=True), upto - keep
+        if held is not None:
+            if done < len(held):
+                yield told(held, done, len(held))
+            yield end(held.iloc[-1:], 2)
+        release()
+
+    return run
+
+
+def _met(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    x = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return int(x.argmax()) if x.any() else n
+
+
+def _array(contexts: DataFrame, lengths: tuple[int, int | None], deep: bool, label: str) -> DataFrame:
+    """The order of contexts with what neighbours tell, those on the other side of a partition's end among them."""
+    spark = contexts.sparkSession
+    order = ["kind", "r", "l", "rid", "place"] if deep else ["kind", "l", "rid", "place"]
+    rows = contexts if deep else contexts.select("kind", "rid", "place", "l")
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    told = stored(dealt.mapInPandas(_ordered(lengths, deep), ORDERED), label)
+    ends = told.where("what > 0").collect()  # two rows a partition
+    firsts, lasts = ({r["part"]: r for r in ends if r["what"] == w} for w in (1, 2))
+    more, parts = [], sorted(firsts)
+    for left, right in zip(parts, parts[1:], strict=False):
+        a, b = lasts[left], firsts[right]
+        if a["kind"] != b["kind"]:
+            continue
+        unit, length = (8, lengths[1]) if a["kind"] else (1, lengths[0])
+        lcs = _met(a["l"], b["l"]) // unit
+        lcp = _met(a["r"], b["r"]) // unit if deep else 0
+        proof = np.array([max(length - lcp, 0), lcs], np.int32).tobytes() if deep and length - lcp <= lcs else b""
+        more += [(r["rid"], r["place"], lcp, lcs, bytearray(proof)) for r in (a, b)]
+    ways = told.where("what = 0").drop("what", "part", "l", "r")
+    extra = spark.createDataFrame(more, "rid long, place long, m int, mm int, proof binary")
+    return ways.unionByName(extra, allowMissingColumns=True)
+
 
+#: what: 0 a proven interval of d, 1 one that nothing proves, 2 one that may repeat.
+SETTLED = "what int, rid long, place long, k long, a int, b int"
+
+
+def _settled(lengths: tuple[int, int | None]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x in batch.itertuples(index=False):
+                length = lengths[x.kind]
+                low, high = max(0, length - x.behind, length - x.m), min(x.before, x.mm)
+                if low > high:
+                    continue
+
+                def put(what: int, a: int, b: int, x=x, length=length) -> None:
+                    turn = _halves(length)[1]  # up to here the half after the trigger is whole
+                    for k, i, j in ((x.ahead, a, min(b, turn)), (x.back, max(a, turn + 1), b)):
+                        if i <= j:
+                            out.append((what, x.rid, x.place, k, i, j))
+
+                put(2, low, high)
+                if x.n > 1:  # stands twice: all its windows repeat
+                    continue
+                at = low
+                for a, b in sorted(map(tuple, np.concatenate([np.frombuffer(p, np.int32) for p in x.proofs] or [np.zeros(0, np.int32)]).reshape(-1, 2).tolist())):
+                    if a > at:
+                        put(1, at, min(a - 1, high))
+                    if b >= max(a, at):
+                        out.append((0, x.rid, x.place, 0, max(a, at), b))
+                        at = b + 1
+                    if at > high:
+                        break
+                if at <= high:
+                    put(1, at, high)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SETTLED.split(", ")])
+
+    return run
+
+
+WINDOW = "core long, whole long, rid long, span long"
+
+
+def _asked(lengths: tuple[int, int | None]):
+    """The windows a <= d <= b of contexts, one by one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one, two = Rolling(1), Rolling(2)
+        for batch in batches:
+            for kind, rows in batch.groupby("kind"):
+                for at in range(0, len(rows), 1000):
+                    some = rows.iloc[at : at + 1000]
+                    dtype = np.uint64 if kind else np.uint8
+                    texts = [np.concatenate([np.frombuffer(l, dtype)[::-1], np.frombuffer(r, dtype)]) for l, r in zip(some["l"], some["r"], strict=True)]
+                    size = np.array([len(l) for l in some["l"]], np.int64) // dtype().itemsize
+                    base = np.cumsum([0, *map(len, texts)])[:-1] + size
+                    units = np.concatenate(texts)
+                    one.load(units)
+                    two.load(units)
+                    a, b = some["a"].to_numpy(np.int64), some["b"].to_numpy(np.int64)
+                    which, d = _runs(a, b - a + 1)
+                    core, whole = _window_keys(one, two, base[which] - d, lengths[kind])
+                    start = (some["place"].to_numpy(np.int64) >> 1)[which] - d
+                    yield pd.DataFrame({"core": core, "whole": whole, "rid": some["rid"].to_numpy(np.int64)[which], "span": _span(start, 1, kind)})
+            release()
+
+    return run
+
+
+def _span(start, n, kind):
+    """Of n windows from start on; Spark columns or numbers."""
+    return start * (1 << 25) + (kind * (1 << 24) + n)
+
+
+MARK = "what int, part int, core long, whole long, rid long, span long"
+
+
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """what 0: windows that a neighbour equals; 1, 2: the first and the last of a partition."""
+    part, last = TaskContext.get().partitionId(), None
+    names = [c.split()[0] for c in MARK.split(", ")]
     for batch in batches:
         if not len(batch):
             continue
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if len(rows) < 2:
-            held = rows
-            continue
-        yield judged(rows, first, False)
-        first, held = False, rows.iloc[-2:]
-    if held is not None:
-        yield judged(held, first, True)
-
-
-def _marks(found: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(spans whose windows all repeat, spans to look at): both rid, span."""
-    spark = found.sparkSession
-    order = ["core", "whole", "rid", "at"]
-    sorted_ = found.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    marks = stored(sorted_.mapInPandas(_neighbours, MARK), label)
-    ends = marks.where("kind = 2").collect()  # two rows a partition
-    firsts = {r["part"]: r for r in ends if r["state"] & 1}
-    lasts = {r["part"]: r for r in ends if r["state"] & 2}
-    state = {(r["part"], r["state"] & 3): r["state"] for r in ends}
-    full, ask = [], []
-    parts = sorted(firsts)
+        if last is None:
+            yield batch.iloc[:1].assign(what=1, part=part)[names]
+        rows = batch if last is None else pd.concat([last, batch], ignore_index=True)
+        core, whole = rows["core"].to_numpy(np.int64), rows["whole"].to_numpy(np.int64)
+        same = (core[1:] == core[:-1]) & (whole[1:] == whole[:-1])
+        no = np.zeros(1, bool)
+        yield rows[np.concatenate([no, same]) | np.concatenate([same, no])].assign(what=0, part=part)[names]
+        last = rows.iloc[-1:]
+    if last is not None:
+        yield last.assign(what=2, part=part)[names]
+
+
+def _equal(windows: DataFrame) -> DataFrame:
+    """(rid, span) of the windows that equal another one; some may come twice."""
+    spark, order = windows.sparkSession, ["core", "whole", "rid", "span"]
+    dealt = windows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    marks = stored(dealt.mapInPandas(_neighbours, MARK), "windows")
+    ends = marks.where("what > 0").collect()  # two rows a partition
+    firsts, lasts = ({r["part"]: r for r in ends if r["what"] == w} for w in (1, 2))
+    parts, more = sorted(firsts), []
     for left, right in zip(parts, parts[1:], strict=False):
         a, b = lasts[left], firsts[right]
-        if a["core"] != b["core"]:
-            continue
-        for r in (a, b):
-            key, bit, to = (r["part"], r["state"] & 3), 4 if a["whole"] == b["whole"] else 8, full if a["whole"] == b["whole"] else ask
-            if not state[key] & bit:
-                state[key] |= bit
-                to.append((r["rid"], r["span"]))
-    more = [spark.createDataFrame(x, "rid long, span long") for x in (full, ask)]
-    return tuple(marks.where(F.col("kind") == k).select("rid", "span").union(more[k]) for k in (0, 1))
+        if (a["core"], a["whole"]) == (b["core"], b["whole"]):
+            more += [(r["rid"], r["span"]) for r in (a, b)]
+    return marks.where("what = 0").select("rid", "span").union(spark.createDataFrame(more, "rid long, span long"))
+
+
+def _repeats(texts: DataFrame, length: int, words: int | None, light: bool) -> DataFrame:
+    """(rid, span) of windows that repeat. texts: written, _rep_id and _rep_z."""
+    lengths = (length, words)
+    rows = stored(texts.mapInPandas(_parsed(length, words, light), PARSED), "parse")
+    parse, lone = rows.where("lr >= 0"), rows.where("lr < 0")
+    often = parse.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("k")
+    shared = stored(parse.join(often, "k"), "shared")
+    distinct = stored(
+        shared.groupBy("k", "c").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), F.min(F.struct("rid", "place", "lr")).alias("x")), "contexts"
+    )
+    l, r = F.expr("lr >> 32"), F.expr("lr & 4294967295")
+    size = F.when(F.expr("place % 2 = 1"), F.lit(words or 0)).otherwise(F.lit(length))
+    low = F.greatest(F.lit(0), size - r)
+    whole = shared.join(distinct.where("n > 1").select("k", "c"), ["k", "c"]).select(
+        "rid", _span(F.expr("place div 2") - l, l - low + 1, F.expr("place % 2")).alias("span")
+    )
+    several = distinct.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("k")
+    left = distinct.join(several, "k").select("x.rid", F.struct("x.place", "x.lr", "n").alias("y"))
+    asked = left.groupBy("rid").agg(F.collect_set("y").alias("asked"))
+    held = texts.join(asked, F.col("_rep_id") == F.col("rid")).select("_rep_id", "_rep_z", "asked")
+    contexts = stored(held.mapInPandas(_fetched(lengths), CONTEXT), "suffixes")
+    told = _array(contexts, lengths, True, "parse_order").unionByName(
+        _array(contexts, lengths, False, "phrase_order").select("rid", "place", "mm"), allowMissingColumns=True
+    )
+    scalars = [F.max(c).alias(c) for c in ("kind", "n", "ahead", "back", "before", "behind", "m", "mm")]
+    each = told.groupBy("rid", "place").agg(*scalars, F.collect_list("proof").alias("proofs"))
+    settled = stored(each.mapInPandas(_settled(lengths), SETTLED), "settled")
+    proven = settled.where("what = 0").select("rid", _span(F.expr("place div 2") - F.col("b"), F.col("b") - F.col("a") + 1, F.expr("place % 2")).alias("span"))
+    open_ = settled.where("what = 1").groupBy("k").agg(F.min("a").alias("_a"), F.max("b").alias("_b"))
+    ask = (
+        settled.where("what = 2").join(open_, "k")
+        .select("rid", "place", F.greatest("a", "_a").alias("a"), F.least("b", "_b").alias("b")).where("a <= b")
+    )
+    looked = contexts.select("kind", "rid", "place", "l", "r").join(ask, ["rid", "place"]).mapInPandas(_asked(lengths), WINDOW)
+    alone = lone.select(F.col("k").alias("core"), F.col("c").alias("whole"), "rid", _span(F.expr("place div 2"), F.lit(1), F.expr("place % 2")).alias("span"))
+    return reduce(DataFrame.union, [whole, proven, _equal(looked.union(alone))])
 
 
 def _squeezed(texts: pd.Series) -> pd.Series:
@@ -303,58 +517,64 @@ def _squeezed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: shut.compress((t or "").encode("utf-8", "surrogatepass")))
 
 
-def _spans(marks: np.ndarray | None, length: int, text: bytes = b"", words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal removed runs (start, end)."""
-    if marks is None or not len(marks):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    marks = np.asarray(marks, np.int64)
-    by_words = marks & OF_WORDS > 0
-    a, n = marks >> 16, marks & (OF_WORDS - 1)
-    b = a + n - 1 + length
-    if by_words.any():
-        start, end = word_edges(np.frombuffer(text, np.uint8))
-        b[by_words] = end[a[by_words] + n[by_words] - 2 + words]
-        a[by_words] = start[a[by_words]]
-    order = np.lexsort([b, a])
-    a, b = a[order], b[order]
+def _spans(marks: np.ndarray | None, length: int, text: bytes, words: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Maximal runs (start, end) that windows of bytes cover, in bytes; those that windows of words cover, in words."""
+    out = []
+    marks = np.asarray(marks if marks is not None else [], np.int64)
+    for kind, width in ((0, length), (1, words)):
+        some = marks[(marks >> 24) & 1 == kind]
+        a, n = some >> 25, some & ((1 << 24) - 1)
+        b = a + n - 1 + (width or 0)
+        order = np.lexsort([b, a])
+        out.append(_merged(a[order], b[order]))
+    return out
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(a):
+        return a, b
     top = np.maximum.accumulate(b)
     new = np.concatenate([[True], a[1:] > top[:-1]])
     return a[new], top[np.concatenate([np.nonzero(new)[0][1:] - 1, [len(a) - 1]])]
 
 
-def _kept(length: int, words: int | None):
+def _kept(length: int, words: int | None, remove_words: bool):
     def run(z: pd.Series, marks: pd.Series) -> pd.DataFrame:
         open_, rows = zstandard.ZstdDecompressor(), []
         for packed, m in zip(z, marks, strict=True):
             text = open_.decompress(packed)
-            a, b = _spans(m, length, text, words)
+            (a, b), (first, upto) = _spans(m, length, text, words)
+            if remove_words and len(first):
+                start, end = word_edges(np.frombuffer(text, np.uint8))
+                x, y = np.concatenate([a, start[first]]), np.concatenate([b, end[upto - 1]])
+                order = np.lexsort([y, x])
+                a, b = _merged(x[order], y[order])
             starts, ends = [0, *b.tolist()], [*a.tolist(), len(text)]
             kept = b"".join(text[i:j] for i, j in zip(starts, ends, strict=True))
-            rows.append((len(text), len(text) - len(kept), len(a), kept))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((len(text), len(text) - len(kept), len(a), kept, int((upto - first).sum())))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
 
-    return F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept binary")
+    return F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None, passages: int | None = None) -> DataFrame:
     """docs without the text, and n_bytes, n_removed, n_spans, kept (binary): each text without the bytes that a string of
-    `length` bytes, or of `words` words, covers that also starts anywhere else."""
-    if length < TRIGGER + BIN:
-        raise ValueError(f"length must be {TRIGGER + BIN} at least")
-    if words is not None and words < sum(BY_WORDS[:2]):
-        raise ValueError(f"words must be {sum(BY_WORDS[:2])} at least")
+    `length` bytes, or of `words` words, covers that also starts anywhere else. passages: strings of that many words are looked for, but
+    not removed; n_passage_words counts the words that they, or those of `words` words, cover."""
+    if length < 4 * BYTES[0]:
+        raise ValueError(f"length must be {4 * BYTES[0]} at least")
+    if words is not None and passages is not None:
+        raise ValueError("words are removed or counted, not both")
+    if (n := words or passages) is not None and n < 4 * WORDS[0]:
+        raise ValueError(f"words must be {4 * WORDS[0]} at least")
     packed = docs.withColumn("_rep_z", F.pandas_udf(_squeezed, "binary")(F.col(text_col))).drop(text_col)
     texts = stored(packed.withColumn("_rep_id", F.monotonically_increasing_id()), "texts")
-    bare = texts.select("_rep_id", "_rep_z")
-    full, ask = _marks(bare.mapInPandas(_parsed(length, words), ENTRY), "order")
-    wanted = ask.groupBy("rid").agg(F.collect_list("span").alias("spans"))
-    looked = bare.join(wanted, F.col("_rep_id") == F.col("rid")).select("_rep_id", "_rep_z", "spans")
-    more, _ = _marks(looked.mapInPandas(_asked(length, words), ENTRY), "windows")
-    marks = full.union(more).groupBy("rid").agg(F.collect_list("span").alias("_rep_marks"))
+    found = _repeats(texts.select("_rep_id", "_rep_z"), length, n, words is not None)
+    marks = found.groupBy("rid").agg(F.collect_list("span").alias("_rep_marks"))
     joined = texts.join(marks, F.col("_rep_id") == F.col("rid"), "left")
-    done = joined.withColumn("_rep_out", _kept(length, words)("_rep_z", "_rep_marks"))
+    done = joined.withColumn("_rep_out", _kept(length, n, words is not None)("_rep_z", "_rep_marks"))
     own = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return done.select(*own, *[F.col(f"_rep_out.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept")])
+    return done.select(*own, *[F.col(f"_rep_out.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept", "n_passage_words")])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None) -> DataFrame:
@@ -372,6 +592,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    """Bytes go by strings of 400 bytes; n_passage_words tells of passages of over 50 words, most of which are shorter than that."""
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=51).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words"
     )
