@@ -48,7 +48,8 @@ f AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS _n_words, length
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS _n_symbols, len({lines}) - len(list_distinct({lines})) AS _n_dup_lines,
   len(ls) AS _n_lines, CAST(COALESCE(c.n, 0) AS BIGINT) AS _n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS _n_upper,
   length(regexp_replace(t, '[^!]', '', 'g')) AS _n_shouts FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
-m AS (SELECT lang, source, unnest([{names}]) AS metric, unnest([{values}]) AS value FROM f WHERE NOT {q.BASE_FAILED}),
+m AS (SELECT lang, source, unnest([{names}]) AS metric, unnest([{values}]) AS raw, greatest(0, length(bin(raw)) - {q.DIGITS}) AS cut, (raw >> cut) << cut AS value
+  FROM f WHERE NOT {q.BASE_FAILED}),
 {", ".join(levels)}
 SELECT doc_id, _n_words AS n_words, _word_chars AS word_chars, _n_symbols AS n_symbols, _n_dup_lines AS n_dup_lines,
   _n_repeat_words AS n_repeat_words, {q.BASE_FAILED} AS base_failed, NOT {q.BASE_FAILED} AND NOT ({bad}) AS kept

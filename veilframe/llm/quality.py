@@ -1,9 +1,9 @@
 """Quality rules with thresholds learnt from mergeable quantile sketches.
 
-Each metric is an integer, a ratio in thousandths, so a sketch is a table of (group, metric, value, count): a fixed-width
-histogram whose merge is the addition of counts, exact whatever the order of merging, with a resolution of 0.001. Sketches
-are kept for each (lang, source), merged into one for each lang and one for all; a group with fewer than MIN_DOCS documents
-uses the next wider one. A document is rejected where a metric exceeds q75 + FENCE * max(q75 - q25, FLOOR[metric]) of its
+Each metric is an integer, a ratio in thousandths. A sketch is a table of (group, metric, value, count), its values rounded down to
+DIGITS binary digits: quantiles have a relative error below 1/64 at any size, a group has some hundred values at most, whatever
+the ratios are, and merging is the addition of counts, exact whatever the order. Sketches are kept for each (lang, source),
+merged into one for each lang and one for all; a group with fewer than MIN_DOCS documents uses the next wider one. A document is rejected where a metric exceeds q75 + FENCE * max(q75 - q25, FLOOR[metric]) of its
 group: quartiles stay put while less than a quarter of a group is junk. Everything is DataFrame expressions.
 
 Defined cases: null or blank text has no words and fails the base rule; null lang or source is a group of its own; ties
@@ -24,8 +24,8 @@ MIN_DOCS = 200
 FENCE = 6
 #: The least quartile distance of a metric, in thousandths: below it a group is too even to judge by its spread.
 FLOOR = {"symbols": 15, "dup_lines": 40, "upper": 40, "shouts": 15}
-#: Ratios are cut off here, so a sketch has a bounded number of values; it is far beyond any threshold.
-TOP = 8000
+#: Binary digits that a sketch keeps of a value.
+DIGITS = 7
 
 
 def repeated_words(words: Column, n_words: Column) -> Column:
@@ -90,17 +90,23 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 BASE_FAILED = "(_n_words < 20 OR 100 * _n_repeat_words > 30 * _n_words)"
 METRICS = {
-    "symbols": f"least({TOP}, (1000 * _n_symbols) div greatest(1, _n_words))",
-    "dup_lines": f"least({TOP}, (1000 * _n_dup_lines) div greatest(1, _n_lines))",
-    "upper": f"least({TOP}, (1000 * _n_upper) div greatest(1, _word_chars))",
-    "shouts": f"least({TOP}, (1000 * _n_shouts) div greatest(1, _n_words))",
+    "symbols": "(1000 * _n_symbols) div greatest(1, _n_words)",
+    "dup_lines": "(1000 * _n_dup_lines) div greatest(1, _n_lines)",
+    "upper": "(1000 * _n_upper) div greatest(1, _word_chars)",
+    "shouts": "(1000 * _n_shouts) div greatest(1, _n_words)",
 }
 
 
+def rounded(value: Column) -> Column:
+    """A sketch's value of a metric's value."""
+    return let(F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0)), lambda cut: F.call_function("shiftleft", F.call_function("shiftright", value, cut), cut))
+
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, metric, value, n) of the documents that pass the base rule."""
     good = measured.where(f"NOT {BASE_FAILED}").select(
-        "lang", "source", *[F.expr(e).alias(f"m_{m}") for m, e in METRICS.items()]
+        "lang", "source", *[rounded(F.expr(e)).alias(f"m_{m}") for m, e in METRICS.items()]
     )
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"m_{m}").alias("value")) for m in METRICS]))
     return (
@@ -133,7 +139,7 @@ def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def judged(measured: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Add base_failed and kept. The sketches are small beside the documents: a few hundred values for each group."""
+    """Add base_failed and kept. The sketches are small beside the documents: some hundred values for each group."""
     levels = [(sketch, ["lang", "source"]), (merged(sketch, ["lang"]), ["lang"]), (merged(sketch, []), [])]
     out = measured
     for depth, (level, keys) in enumerate(levels):
@@ -179,9 +185,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     renamed = docs.toDF(*own)
     at = {c.lower(): own[i] for i, c in enumerate(docs.columns) if c in ("doc_id", "text", "lang", "source")}
     wide = renamed.select("*", *[F.col(at[c]).alias(c) for c in ("text", "lang", "source")])
-    measured = with_features(wide)
-    sketch = stored(sketches(measured), "sketch")
-    return judged(measured, sketch).where("kept").select(*own).toDF(*docs.columns)
+    measured = stored(with_features(wide), "measured")  # counted once, for the sketches and for the verdict
+    return judged(measured, sketches(measured)).where("kept").select(*own).toDF(*docs.columns)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
