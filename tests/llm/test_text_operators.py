@@ -93,36 +93,64 @@ def plain_anchors(t):
     h = [long64(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words_of(t)]
     if not h:
         return []
-    if len(h) < 5:
+    small = [hash_longs(h[i : i + 2]) for i in range(len(h) - 1)]
+    keep = [i for i in range(len(h) - 4) if min(small[i], small[i + 3]) <= min(small[i + 1], small[i + 2])]
+    if not keep:
         acc = 42
         for x in h:
             acc = hash_longs([acc, x])
-        return [acc & 0xFFFFFFFF]
-    small = [hash_longs(h[i : i + 2]) for i in range(len(h) - 1)]
-    keep = [i for i in range(len(h) - 4) if min(small[i], small[i + 3]) <= min(small[i + 1], small[i + 2])]
-    return [hash_longs(h[i : i + 5]) & 0xFFFFFFFF for i in keep]
+        return [(acc & 0xFFFFFFFF, 0)]
+    return [(hash_longs(h[i : i + 5]) & 0xFFFFFFFF, then - i) for i, then in zip(keep, [*keep[1:], keep[-1]], strict=True)]
+
+
+def plain_likeness(a, b):
+    x, y = Counter(plain_anchors(a)), Counter(plain_anchors(b))
+    both = sum((x & y).values())
+    either = x.total() + y.total() - both
+    return both / either if either else 1.0
+
+
+def spelt(marks):
+    return " ".join(f"{h:08x}:{gap}" for h, gap in marks)
 
 
 def test_syncmers_by_hand(spark):
     got = syncmers.fingerprints(documents(spark).where("doc_id is not null")).collect()
     for r in got:
         marks = plain_anchors(TEXTS[r.doc_id])
-        assert r.anchors == marks and r.fingerprint == "".join(f"{x:08x}" for x in marks)
+        assert [tuple(x) for x in r.anchors] == marks and r.fingerprint == spelt(marks)
 
 
 def test_short_texts_without_syncmers_have_a_fingerprint(spark):
-    texts = [" ".join(f"t{i}x{j}" for j in range(n)) for n in (5, 6, 7) for i in range(100 * n, 100 * n + 40)]
-    bare = [t for t in texts if not plain_anchors(t)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate([*bare, ""])], "doc_id long, text string")
+    texts = [" ".join(f"t{i}x{j}" for j in range(n)) for n in range(1, 9) for i in range(100 * n, 100 * n + 40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, ""])], "doc_id long, text string")
     got = {r.doc_id: r.fingerprint for r in syncmers.fingerprints(df).collect()}
-    assert len(bare) > 10 and got.pop(len(bare)) == ""
-    assert len(set(got.values())) == len(bare) and all(len(x) == 8 for x in got.values())
+    assert got.pop(len(texts)) == "" and len(set(got.values())) == len(texts) and all(got.values())
     near = df.crossJoin(df.select(F.col("text").alias("other"))).where("text < other").select(
         syncmers.likeness(syncmers.anchors(F.col("text")), syncmers.anchors(F.col("other"))).alias("x")
     )
     assert near.where("x > 0").count() == 0
 
 
+def test_syncmer_query_by_its_contract(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"v{i}" for i in rng.integers(0, 40, n)) for n in [*range(9), 60, 200, 300, 300, 400]]
+    texts += [None, "a b " * 300, "c a b " * 200, texts[10], "Ünïcode 中文 😀 words go here and on " * 9]
+    data = [(int(i), t) for i, t in zip(rng.permutation(1000)[: len(texts)], texts, strict=True)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in syncmers.op4_query(spark, str(tmp_path)).collect()}
+    order = sorted(data, reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, then = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + then[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (spelt(plain_anchors(t)), spelt(plain_anchors(edited)))
+        assert r.near_edited == pytest.approx(plain_likeness(t, edited)) and r.near_next == pytest.approx(plain_likeness(t, then))
+    assert len(got) == len(data)
+
+
 def test_next_documents(spark):
     plain = [(i, f"text {i} " * (i + 1)) for i in range(25)]
     got = {r.doc_id: r.next_text for r in syncmers.with_next(spark.createDataFrame(plain, "doc_id long, text string")).collect()}

@@ -2,12 +2,17 @@
 
 A K-word window is kept when the smallest hash among its S-word windows is its first or its last: the choice depends on
 nothing outside the window, so an edit changes only the K-word windows that touch it and equal passages keep equal anchors
-wherever they stand. A fingerprint is the list of kept windows' 32-bit hashes in text order, eight hex digits each; a text
-with words that keeps no window, or has fewer than K words, has the hash of its whole word sequence. The likeness of two fingerprints is the Jaccard index of their
-sets of anchors (1 for two empty ones). Everything is DataFrame expressions.
+wherever they stand. A fingerprint is the list of kept windows in text order, each as eight hex digits of its hash, a colon and
+its distance in words to the next one (0 for the last). A text with words that keeps no window, or has fewer than K words, has
+the hash of its whole word sequence.
+
+Two anchors match when their hashes and the distances to the next anchors agree: that is a comparison by position which an edit
+elsewhere doesn't shift. The likeness of two fingerprints is the share of anchors that match, repeats counted: matched over all
+of both less matched, and 1 for two empty ones. Everything is DataFrame expressions.
 
 Defined cases: null text counts as empty; texts without words have the empty fingerprint; repeated rows and equal ids are
-ordered by text; an empty table gives no rows; further columns are ignored.
+ordered by text; an empty table gives no rows; further columns are ignored. Words are what blanks part, so a text without
+blanks is one word and alike only to its equals.
 """
 
 from __future__ import annotations
@@ -20,8 +25,11 @@ from veilframe.llm.common import BLANK, let, shuffle_partitions, table
 K, S = 5, 2
 
 
+ANCHORS = "array<struct<h:bigint,gap:int>>"
+
+
 def anchors(text: Column) -> Column:
-    """array<bigint> of the kept windows' hashes, in text order. text: not null."""
+    """ANCHORS of the kept windows in text order. text: not null."""
     core = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     inner = K - S + 1
 
@@ -37,24 +45,51 @@ def anchors(text: Column) -> Column:
                 <= F.least(*[F.get(m, i + j) for j in range(1, inner - 1)]),
             ),
         )
-        kept = F.transform(closed, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)]).bitwiseAND(F.lit(0xFFFFFFFF)))
-        whole = F.aggregate(h, F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x)).bitwiseAND(F.lit(0xFFFFFFFF))
-        some = let(kept, lambda k: F.when(F.size(k) == 0, F.array(whole)).otherwise(k))
-        return F.when(F.size(h) < K, F.array(whole)).otherwise(some)
+        kept = let(
+            closed,
+            lambda at: F.transform(
+                at,
+                lambda i, n: F.struct(
+                    F.xxhash64(*[F.get(h, i + j) for j in range(K)]).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"),
+                    F.coalesce(F.get(at, n + 1) - i, F.lit(0)).alias("gap"),
+                ),
+            ),
+        )
+        total = F.aggregate(h, F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x)).bitwiseAND(F.lit(0xFFFFFFFF))
+        whole = F.array(F.struct(total.alias("h"), F.lit(0).alias("gap")))
+        some = let(kept, lambda k: F.when(F.size(k) == 0, whole).otherwise(k))
+        return F.when(F.size(h) < K, whole).otherwise(some)
 
     words = F.split(core, BLANK)
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast(ANCHORS)
     return F.when(core == "", none).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of_words))
 
 
 def fingerprint(marks: Column) -> Column:
-    return F.array_join(F.transform(marks, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(marks, lambda x: F.concat(F.lpad(F.lower(F.hex(x["h"])), 8, "0"), F.lit(":"), x["gap"].cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / F.greatest(either, F.lit(1)))
+    """Each anchor is one number with a last bit for its side. In the sorted numbers of both, equal ones are a run, and a match
+    is the smaller of two runs that differ in that bit alone: linear but for the sort, however often an anchor repeats."""
+
+    def numbers(marks: Column, side: int) -> Column:
+        return F.transform(marks, lambda x: F.call_function("shiftleft", F.xxhash64(x["h"], x["gap"]), F.lit(1)).bitwiseOR(F.lit(side).cast("long")))
+
+    def matched(s: Column) -> Column:
+        def of_runs(at: Column) -> Column:
+            def smaller(p: Column, k: Column) -> Column:
+                then, end = F.get(at, k + 1), F.coalesce(F.get(at, k + 2), F.size(s))
+                return F.when((F.get(s, p) % 2 == 0) & (F.get(s, then) == F.get(s, p) + 1), F.least(then - p, end - then)).otherwise(F.lit(0))
+
+            return F.aggregate(F.transform(at, smaller), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+
+        runs = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(runs, of_runs)
+
+    total = F.size(a) + F.size(b)
+    both = let(F.sort_array(F.concat(numbers(a, 0), numbers(b, 1))), matched).cast("double")
+    return F.when(total == 0, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.greatest(total, F.lit(1)) - both))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -95,7 +130,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = base.withColumn("part", id_ranges(base, 4 * n))
+    ranged = base.withColumn("part", id_ranges(base, 8 * n))
     # the first row of each range (one row a range) is also put after the last row of the range before it
     heads = ranged.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "text")).alias("h"))
     desc = Window.orderBy(F.col("part").desc())
@@ -103,7 +138,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     tails = heads.select(F.lit(None).cast("long").alias("doc_id"), F.col("h.text").alias("text"), before.alias("part"), F.lit(True).alias("tail"))
     rows = ranged.select("doc_id", "text", "part", F.lit(False).alias("tail")).unionByName(tails)
     # anchors are made after the exchange, so that it carries texts alone
-    dealt = rows.repartition(n, "part").withColumn("anchors", anchors(F.col("text")))
+    dealt = rows.repartitionByRange(n, "part").withColumn("anchors", anchors(F.col("text")))
     along = Window.partitionBy("part").orderBy("tail", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     return (
         dealt.withColumn("next_text", F.lead("text").over(along))
