@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are normalised and split into words as the tokenizer's own normaliser and pre-tokenizer do; each block of documents
-keeps its words' positions (see blocks.py). The distinct words meet by hash, each is encoded once, and its ids are joined back
-by position. Decoding joins ids to the pieces of the vocabulary, a table whose size the tokenizer file fixes.
+keeps its words' positions (see blocks.py). The distinct words meet by hash and each is encoded once. Their ids are decoded by a
+join with the vocabulary, a table of id and piece whose size the tokenizer file fixes, and ids and decoded words are joined back
+by position.
 
 Only tokenizers of this form are accepted: lower case, white space dropped, words split by a pattern, no decoder (pieces are
 joined with a space). Special tokens inside a text become their own id, as the library does by default.
@@ -20,7 +21,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilframe.llm import blocks
 from veilframe.llm.common import table
@@ -60,43 +62,62 @@ def words(text: str, path: str) -> list[bytes]:
     return [w.encode("utf-8", "surrogatepass") for w in out]
 
 
-def _encode_slices(path: str):
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece): the tokenizer file fixes how many."""
+    t, _ = _tokenizer(path)
+    return spark.createDataFrame([(i, x) for x, i in t.get_vocab(True).items()], "id int, piece string")
+
+
+def _distinct(path: str):
     def run(slices: pd.DataFrame) -> pd.DataFrame:
+        """The distinct words of a word partition, each encoded once."""
         t, _ = _tokenizer(path)
-        each = [blocks.split_words(b, n) for b, n in zip(slices["body"], slices["n"], strict=True)]
-        distinct: dict[bytes, int] = {}
-        for some in each:
-            for w in some:
-                distinct.setdefault(w, len(distinct))
-        lens, flat, names = [], [], list(distinct)
+        names = sorted({w for b, n in zip(slices["body"], slices["n"], strict=True) for w in blocks.split_words(b, n)})
+        ids: list[list[int]] = []
         for at in range(0, len(names), 20_000):
-            for e in t.encode_batch([w.decode() for w in names[at : at + 20_000]], add_special_tokens=False):
-                lens.append(len(e.ids))
-                flat += e.ids
-        sizes, ids = np.array(lens, np.int64), np.array(flat, np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        rows = []
-        for bid, part, some in zip(slices["bid"], slices["part"], each, strict=True):
-            k = np.fromiter((distinct[w] for w in some), np.int64, len(some))
-            rows.append((bid, part, blocks.pack(sizes[k].astype(np.uint32)), blocks.pack(ids[blocks.gather(starts[k], sizes[k])])))
-        return pd.DataFrame(rows, columns=["bid", "part", "lens", "ids"])
+            ids += [e.ids for e in t.encode_batch([w.decode() for w in names[at : at + 20_000]], add_special_tokens=False)]
+        return pd.DataFrame({"part": int(slices["part"].iloc[0]), "word": names, "ids": ids})
 
     return run
 
 
+def spelt(coded: DataFrame, pieces: DataFrame) -> DataFrame:
+    """coded (columns, ids) with `text`: ids are joined to their pieces, which a space joins in the order of the ids."""
+    own = [c for c in coded.columns if c != "ids"]
+    each = coded.select(*own, F.posexplode_outer("ids").alias("_at", "id")).join(F.broadcast(pieces), "id", "left")
+    held = each.groupBy(*own).agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("_at", "id", "piece")))).alias("_p"))
+    return held.select(*own, F.col("_p.id").alias("ids"), F.array_join("_p.piece", " ").alias("text"))
+
+
+def _answers(slices: pd.DataFrame, words_: pd.DataFrame) -> pd.DataFrame:
+    """For each slice, in the order of its words: how many ids, the ids, how many bytes of text, the text."""
+    number = {bytes(w): k for k, w in enumerate(words_["word"])}
+    sizes = np.array([len(x) for x in words_["ids"]], np.int64)
+    ids = np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in words_["ids"]]])
+    texts = [t.encode("utf-8", "surrogatepass") for t in words_["text"]]
+    long = np.array([len(t) for t in texts], np.int64)
+    starts, rows = np.cumsum(sizes) - sizes, []
+    for bid, part, body, n in zip(slices["bid"], slices["part"], slices["body"], slices["n"], strict=True):
+        k = np.fromiter((number[w] for w in blocks.split_words(body, n)), np.int64, n)
+        own = blocks.pack(ids[blocks.gather(starts[k], sizes[k])])
+        rows.append((bid, part, blocks.pack_ints(sizes[k]), own, blocks.pack_ints(long[k]), blocks.pack(b"".join([texts[j] for j in k.tolist()]))))
+    return pd.DataFrame(rows, columns=["bid", "part", "lens", "ids", "long", "text"])
+
+
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 REAL = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
 
-def _finish(path: str, digest: bool):
+def _finish(digest: bool):
     def run(block: pd.Series, back: pd.DataFrame) -> pd.DataFrame:
-        t, _ = _tokenizer(path)
-        none = np.zeros(0, np.uint32)
-        sizes = np.concatenate([none, *[blocks.unpack(x, np.uint32) for x in back["lens"]]]).astype(np.int64)
-        ids = np.concatenate([none, *[blocks.unpack(x, np.uint32) for x in back["ids"]]])
+        none = np.zeros(0, np.int64)
+        sizes = np.concatenate([none, *[blocks.unpack_ints(x) for x in back["lens"]]])
+        ids = np.concatenate([none.astype(np.uint32), *[blocks.unpack(x, np.uint32) for x in back["ids"]]])
         starts = np.cumsum(sizes) - sizes
-        pieces = [t.id_to_token(k) for k in range(t.get_vocab_size(True))]
-        spelt = [" ".join([pieces[i] for i in ids[a : a + n]]) for a, n in zip(starts, sizes, strict=True)]
+        spelt: list[str] = []
+        for long, text in zip(back["long"], back["text"], strict=True):
+            raw, ends = blocks.unpack(text), np.cumsum(blocks.unpack_ints(long)).tolist()
+            spelt += [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends, strict=False)]
         tokens = blocks.unpack_ints(block["body"])
         rows, at = [], 0
         for doc, n in blocks.documents(block):
@@ -121,8 +142,11 @@ def encoded(docs: DataFrame, tokenizer_path: str, digest: bool = False) -> DataF
     """(doc_id, n_tokens, ids, decoded) of each row of docs; with digest, SHA-256 sums in place of ids and text."""
     size = blocks.BLOCK_BYTES if digest else blocks.BLOCK_BYTES // 4  # a block's ids and texts are returned together
     cut = blocks.cut(docs.select("doc_id", "text"), lambda text: words(text, tokenizer_path), "words", size_limit=size)
-    back = blocks.answered(cut, _encode_slices(tokenizer_path), "bid long, part int, lens binary, ids binary")
-    return blocks.finished(cut, back, _finish(tokenizer_path, digest), DIGEST if digest else REAL)
+    coded = blocks.answered(cut, _distinct(tokenizer_path), "part int, word binary, ids array<int>")
+    held = spelt(coded, vocabulary(docs.sparkSession, tokenizer_path))
+    slices = cut.where("part >= 0").groupBy("part")
+    back = slices.cogroup(held.groupBy("part")).applyInPandas(_answers, "bid long, part int, lens binary, ids binary, long binary, text binary")
+    return blocks.finished(cut, back, _finish(digest), DIGEST if digest else REAL)
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
