@@ -239,6 +239,41 @@ def test_mixture(spark):
         mixing.pfair_mix(docs, {"s0": 1.0})
 
 
+def plain_stream(sizes, parts, block):
+    """Sources by slot, by a simulation of earliest deadline first over the whole stream."""
+    total, done, out = sum(parts.values()), Counter(), []
+    while any(done[s] * block < n for s, n in sizes.items()) or len(out) < max(-(-(-(-n // block) + 1) * total // parts[s]) for s, n in sizes.items()):
+        t = len(out)
+        ready = [(-(-(done[s] + 1) * total // parts[s]), k, s) for k, s in enumerate(parts) if done[s] * total // parts[s] <= t]
+        out.append(min(ready)[2])
+        done[out[-1]] += 1
+    return out
+
+
+def test_stream_by_simulation(spark):
+    made = [(i, f"s{min(i % 7, 3)}") for i in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, source string")
+    got = mixing.pfair_mix(docs, block=3, period=40).collect()
+    size = Counter(s for _, s in made)
+    parts = mixing.whole_weights({s: n**0.7 for s, n in size.items()}, 40)
+    want = plain_stream(size, parts, 3)
+    assert {r.slot: r.source for r in got} == dict(enumerate(want)) and len(got) == 3 * len(want)
+
+
+def test_ties_have_the_same_places_however_rows_are_dealt(spark):
+    made = [(None if i % 9 == 0 else i // 10, f"text {i}", f"s{i % 2}") for i in range(400)] + [(3, "same", "s0")] * 5
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = [sorted((r.position, r.text) for r in mixing.pfair_mix(docs.repartition(n)).collect()) for n in (3, 7)]
+    assert got[0] == got[1] and Counter(t for _, t in got[0])["same"] >= 5 and len({t for _, t in got[0]}) == 401
+
+
+def test_mixing_query_by_its_contract(spark, tmp_path):
+    made = [(i, f"t{i}", f"s{i % 3}") for i in range(90)]
+    spark.createDataFrame(made, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op9_query(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(90)) and sorted(r.position for r in got) == list(range(len(got)))
+
+
 # --- language model -----------------------------------------------------------------------------------------------------
 def test_elias_fano():
     rng = np.random.default_rng(0)

@@ -7,13 +7,15 @@ than t*p/Q + 1 blocks. Whole weights with sum Q make the schedule repeat every Q
 (Q entries, whatever the corpus holds) and block i of a source follows in closed form.
 
 The stream is as long as the slowest source needs to be read whole once; a source that its weight runs through sooner
-starts again, so each document comes at least once and the parts match the weights to less than one block. Inside a source
-documents follow a hash of their id; the index of a document is an offset of its hash bucket plus its rank in the bucket, so
-a hot source is spread over all buckets.
+starts again, so each document comes at least once and the parts match the whole weights to less than one block; these differ
+from the weights asked for by less than 1/PERIOD each, with at most PERIOD / 8 sources (beyond that the period grows with them).
+Inside a source documents follow a hash of their id, rows of equal or null ids a hash of all their columns (maps aside), so the
+order is the same however the rows are dealt, but for rows that are equal in all. The index of a document is an offset of its hash
+bucket plus its rank in the bucket, and buckets are cut by both hashes, so a hot source or a hot id is spread over all of them.
 
 Defined cases: null source is a source of its own; null text and empty texts are ordinary documents; repeated rows are
-ordinary documents; an empty table gives an empty stream; further columns pass through unless they are named `epoch`,
-`slot` or `position`, which then carry this operator's values.
+ordinary documents, each with a place of its own; an empty table gives an empty stream; further columns pass through unless
+they are named `epoch`, `slot` or `position`, which then carry this operator's values.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from veilframe.llm.common import shuffle_partitions, table
 #: Slots of one period: weights are rounded to multiples of 1 / PERIOD.
 PERIOD = 1000
 BLOCK = 8
+#: Of a source's documents; the same whatever the session's settings, as the order depends on it.
+BUCKETS = 1 << 14
 #: Weights default to shares of the documents raised to this power: small sources count for more than their size.
 POWER = 0.7
 
@@ -69,21 +73,22 @@ def one_period(parts: Mapping) -> dict:
     return slots
 
 
-def numbered(docs: DataFrame, group: Column, key: Column, buckets: int) -> DataFrame:
-    """Add _group, _index: gapless positions from 0 inside each group, in an order given by a hash of key."""
-    hashed = docs.withColumn("_group", group).withColumn("_hash", F.xxhash64(key))
-    dealt = hashed.withColumn("_bucket", F.expr(f"pmod(_hash, {buckets})").cast("int"))
+def numbered(docs: DataFrame, group: Column, key: Column, buckets: int = BUCKETS) -> DataFrame:
+    """Add _group, _index: gapless positions from 0 inside each group, in an order given by a hash of key and then of all columns."""
+    every = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashed = docs.withColumn("_group", group).withColumn("_hash", F.xxhash64(key)).withColumn("_tie", F.xxhash64(*every))
+    dealt = hashed.withColumn("_bucket", F.expr(f"pmod(hash(_hash, _tie), {buckets})").cast("int"))
     sizes = dealt.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col("_group").alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    rank = F.row_number().over(Window.partitionBy("_bucket", "_group").orderBy("_hash")) - 1
+    rank = F.row_number().over(Window.partitionBy("_bucket", "_group").orderBy("_hash", "_tie")) - 1
     ranked = dealt.withColumn("_rank", rank)
     return (
         ranked.join(offsets, (F.col("_group") == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("_index", F.col("_before") + F.col("_rank"))
-        .drop("_hash", "_bucket", "_rank", "_g", "_b", "_before")
+        .drop("_hash", "_tie", "_bucket", "_rank", "_g", "_b", "_before")
     )
 
 
@@ -118,7 +123,7 @@ def pfair_mix(docs: DataFrame, weights: Mapping | None = None, block: int = BLOC
     at = spark.createDataFrame(plan, "_s string, _n long, _p long, _blocks long, _turn array<int>")
     named = dict(zip(own, held, strict=True))
     source = F.coalesce(F.col(named["source"]).cast("string"), F.lit("\x00"))
-    placed = numbered(rows, source, F.col(named["doc_id"]), shuffle_partitions(spark))
+    placed = numbered(rows, source, F.col(named["doc_id"]))
     again = placed.join(F.broadcast(at), F.col("_group") == F.col("_s")).withColumn(  # one period's slots in all
         "_at", F.explode(F.expr(f"sequence(_index, greatest(_index, _blocks * {block} - 1), _n)"))
     )
