@@ -288,7 +288,7 @@ def test_elias_fano():
         eliasfano.EliasFano.build(np.array([2, 1]))
 
 
-def plain_scores(texts, hot=None):
+def plain_scores(texts):
     tokens = {k: (t or "").encode().lower().split() + [b""] for k, t in texts}
     known = lambda k: zlib.crc32(str(k[0]).encode() if k[0] is not None else b"") % 7 != 2
     c, c2, c3 = Counter(), Counter(), Counter()
@@ -312,25 +312,23 @@ def plain_scores(texts, hot=None):
         for u, a, w in zip(s, s[1:], s[2:], strict=False):
             p = (c[w] + 1) / (n + v + 1)
             base += math.log10(p)
-            is_hot = hot is not None and cv[a] > hot
-            t = cv[a] ** 0.75 if is_hot else tv[a]
             if cv[a]:
-                p = (c2[a, w] + t * p) / (cv[a] + t)
-            if cu[u, a] and not is_hot:
+                p = (c2[a, w] + tv[a] * p) / (cv[a] + tv[a])
+            if cu[u, a]:
                 p = (c3[u, a, w] + tu[u, a] * p) / (cu[u, a] + tu[u, a])
             score += math.log10(p)
         out[k] = (not known(k), len(x), sum(c[w] > 0 for w in x), n, base, score)
     return out
 
 
-@pytest.mark.parametrize("hot", [None, 40])
+@pytest.mark.parametrize("hot", [None, 40, 0])
 def test_scores_by_hand(spark, hot):
     keyed = [((r[0], k), r[1]) for k, r in enumerate(rows())]
     want: dict = {}
-    for (i, _), x in plain_scores(keyed, hot).items():
+    for (i, _), x in plain_scores(keyed).items():
         want.setdefault(i, []).append(x)
     got: dict = {}
-    for r in lm.scores(documents(spark), hot or lm.HOT).collect():
+    for r in lm.scores(documents(spark), lm.HOT if hot is None else hot).collect():
         got.setdefault(r.doc_id, []).append(r)
     assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
     for i, found in got.items():
@@ -343,16 +341,21 @@ def test_scores_of_nothing(spark):
     assert lm.scores(none(spark)).count() == 0
 
 
-def test_trie_keeps_hot_words_apart():
-    """A hot word's successors are spread over shards: each has its count from outside."""
+def test_hot_words_have_the_same_scores(spark):
+    got = [{r.doc_id: r.score for r in lm.scores(documents(spark).where("doc_id > 1"), hot).collect()} for hot in (lm.HOT, 25)]
+    assert got[0] == got[1] and len(got[0]) > 10
+
+
+def test_trie_with_sums_from_outside():
+    """A hot word's successors are spread over shards: what sums over them comes from outside."""
     uni = lm.Unigrams(1000, 10, 5)
-    v, u, w = np.array([3, 3, 7]), np.array([0, 0, 2]), np.array([1, 4, 1])
-    n, hot, logs = np.array([30, 10, 2]), np.array([400, 400, 0]), np.log10(np.array([0.1, 0.05, 0.1]))
-    trie = lm.Trie.build(v, u, w, n, hot, logs)
-    got = trie.log(np.array([3, 3, 7, 7, 9]), np.array([0, 0, 2, 1, 0]), np.array([1, 9, 1, 1, 1]), np.log10(np.array([0.1, 0.2, 0.1, 0.1, 0.3])))
-    t = 400**0.75
-    p7 = (2 + 1 * 0.1) / 3
-    want = [(30 + t * 0.1) / (400 + t), t / (400 + t) * 0.2, (2 + p7) / 3, p7, 0.3]
+    v, u, w, n = np.array([3, 3, 7]), np.array([0, 6, 2]), np.array([1, 4, 1]), np.array([30, 10, 2])
+    ints = lambda *x: np.array(x, np.int64)
+    sums = lm.Sums(ints(3, 7), ints(400, 5), ints(60, 3), ints(0, 0, 1, 1), ints(0, 6, 2, 5), ints(100, 20, 2, 3), ints(9, 4, 1, 2))
+    trie = lm.Trie.build(v, u, w, n, np.log10(np.array([0.1, 0.05, 0.1])), sums)
+    got = trie.log(ints(3, 3, 7, 7, 9, 7), ints(0, 0, 2, 1, 0, 5), ints(1, 9, 1, 1, 1, 8), np.log10(np.array([0.1, 0.2, 0.1, 0.1, 0.3, 0.2])))
+    p3, p7 = (30 + 60 * 0.1) / 460, (2 + 3 * 0.1) / 8
+    want = [(30 + 9 * p3) / 109, 9 / 109 * 60 / 460 * 0.2, (2 + p7) / 3, p7, 0.3, 2 / 5 * 3 / 8 * 0.2]
     assert np.abs(got - np.log10(want)).max() < 0.06 and uni.log(np.array([9]))[0] == np.log10(10 / 1011)
 
 

@@ -19,8 +19,10 @@ words' own counts, so a shard answers alone and neither vocabulary nor trie is e
 corpus. Logarithms are rounded to 1/4096 (words) and 1/21 (trie levels) on fixed scales, so that scores don't depend on how the
 data is cut.
 
-A word v that occurs more than HOT times would make its shard large. Its successors are spread over all shards by w, its count
-comes with the question, t(v) is taken to be c(v)**0.75, and there is no third level for it.
+A word v that is a context more than HOT times would make its shard large, so its trigrams are spread over shards of their own by w.
+Such a shard has every c(v w) and c(u v w) whole. What it holds of c(u v), t(u v) and t(v) is a part of the sum over w: shards send
+these parts, one row for each u v that they hold, to be added up, and get the sums back. The scores are those that one shard
+would give. A pair v w stays in one shard.
 
 Defined cases: null text counts as empty and has the end alone; repeated rows and ids are rows of their own; a null id has
 the checksum of the empty text; an empty table gives no rows; words never seen have the add-one probability of a count of
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import blocks
-from veilframe.llm.common import shuffle_partitions, table
+from veilframe.llm.common import shuffle_partitions, stored, stored_by, table
 from veilframe.llm.eliasfano import EliasFano
 
 HOT = 1_000_000
@@ -86,17 +88,18 @@ def _count_words(parts: int):
     return run
 
 
-SIZES = "part int, n long, v long"
+SIZES = "part int, n long, v long, top long"
 
 
 def _size_words(slices: pd.DataFrame) -> pd.DataFrame:
-    """Tokens and distinct words of the training rows."""
-    seen, n = set(), 0
+    """Tokens, distinct words and the most frequent word's count in the training rows."""
+    total: dict[bytes, int] = {}
     for body, size, own in zip(slices["body"], slices["n"], slices["docs"], strict=True):
-        counts = blocks.unpack_ints(own)
-        n += int(counts.sum())
-        seen.update(w for w, c in zip(blocks.split_words(body, size), counts.tolist(), strict=True) if c)
-    return pd.DataFrame([(int(slices["part"].iloc[0]), n, len(seen))], columns=["part", "n", "v"])
+        for w, c in zip(blocks.split_words(body, size), blocks.unpack_ints(own).tolist(), strict=True):
+            if c:
+                total[w] = total.get(w, 0) + c
+    found = (int(slices["part"].iloc[0]), sum(total.values()), len(total), max(total.values(), default=0))
+    return pd.DataFrame([found], columns=["part", "n", "v", "top"])
 
 
 class Unigrams(NamedTuple):
@@ -116,7 +119,8 @@ def code(counts: np.ndarray) -> np.ndarray:
 
 
 #: shard rows: distinct numbers of v, u, w; the count of v where it is hot; the code of w; for each question the places of v, u, w in
-#: those and of its document, and whether it trains. Rows with a shard of n_shards or more carry a block's own figures.
+#: those and of its document, and whether it trains. Shards from n_shards on are those of hot words, twice that and more carry a
+#: block's own figures.
 QUESTION = "shard long, bid long, v binary, hot binary, u binary, w binary, code binary, at_v binary, at_u binary, at_w binary, doc binary, train binary, own binary"
 
 
@@ -144,15 +148,13 @@ def _ask(uni: Unigrams, parts: int, shards: int, most: int):
         score = np.bincount(doc[alone], uni.log_of_code(codes[alone]), len(docs))
         trains = np.array([training(i) for i, _ in docs], bool)
         hot = c_v > most
-        to = np.where(hot, (v * 1_000_003 + w) % shards, v % shards)
+        to = np.where(hot, shards + (v * 1_000_003 + w) % shards, v % shards)
         ask = np.nonzero(~alone)[0]
-        ask = ask[np.lexsort((doc[ask], w[ask], u[ask], v[ask], to[ask]))]
-        edges = np.searchsorted(to[ask], np.arange(shards + 1))
+        ask = ask[np.lexsort((v[ask], to[ask]))]  # documents stay in order within v
+        sent, edges = np.unique(to[ask], return_index=True)
         bid, rows = int(block["bid"]), []
-        for s in range(shards):
-            k = ask[edges[s] : edges[s + 1]]
-            if not len(k):
-                continue
+        for s, i, j in zip(sent.tolist(), edges, [*edges[1:], len(ask)], strict=True):
+            k = ask[i:j]
             dv, fv, iv = np.unique(v[k], return_index=True, return_inverse=True)
             du, iu = np.unique(u[k], return_inverse=True)
             dw, fw, iw = np.unique(w[k], return_index=True, return_inverse=True)
@@ -164,12 +166,25 @@ def _ask(uni: Unigrams, parts: int, shards: int, most: int):
             )
         held = np.array([[i or 0 for i, _ in docs], [i is None for i, _ in docs], lengths, known], np.int64)
         figures = held.tobytes() + np.array([base, score]).tobytes()
-        rows.append((shards + bid, bid, *[None] * 10, blocks.pack(figures)))
+        rows.append((2 * shards + bid, bid, *[None] * 10, blocks.pack(figures)))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in QUESTION.split(", ")])
 
     return run
 
 
+class Sums(NamedTuple):
+    """Of contexts over all shards: the words v, sorted, with c(v) and t(v); the pairs u v, sorted by (v, u), as owner (place of v)
+    and u, with c(u v) and t(u v)."""
+
+    words: np.ndarray
+    c_v: np.ndarray
+    t_v: np.ndarray
+    owner: np.ndarray
+    u: np.ndarray
+    c: np.ndarray
+    t: np.ndarray
+
+
 class Trie:
     """The shard of a trie, in one mapped file."""
 
@@ -193,28 +208,28 @@ class Trie:
         self.codes, self.span = {k: views[k] for k in codes}, span
 
     @classmethod
-    def build(cls, v, u, w, n, hot, uni_log) -> Trie:
-        """From distinct trigrams sorted by (v, u, w), their counts, the count of v where hot, and log P(w)."""
-        span = int(w.max()) + 2 if len(w) else 1
-        words, at = np.unique(v, return_inverse=True)
+    def build(cls, v, u, w, n, uni_log, sums: Sums | None = None) -> Trie:
+        """From distinct trigrams sorted by (v, u, w), their counts and log P(w); sums: of contexts, where the shard has not all w."""
+        words, at = np.unique(v, return_inverse=True) if sums is None else (sums.words, np.searchsorted(sums.words, v))
+        span = 2 + int(max(w.max(initial=0), u.max(initial=0), 0 if sums is None else sums.u.max(initial=0)))
         pair, back = np.unique(at * span + w, return_inverse=True)  # successors of v
         c_pair = np.bincount(back, n, len(pair))
         owner = pair // span
         log_w = np.zeros(len(pair))
         log_w[back] = uni_log
-        c_hot = np.zeros(len(words))
-        c_hot[at] = hot
-        follow = np.bincount(owner, minlength=len(words)).astype(float)
-        c_v = np.where(c_hot > 0, c_hot, np.bincount(owner, c_pair, len(words)))
-        t_v = np.where(c_hot > 0, np.maximum(c_hot, 1) ** 0.75, follow)
+        follow = np.bincount(owner, minlength=len(words))
+        c_v, t_v = (np.bincount(owner, c_pair, len(words)), follow) if sums is None else (sums.c_v, sums.t_v)
         p_pair = (c_pair + t_v[owner] * 10**log_w) / (c_v + t_v)[owner]
         start = np.concatenate([[0], np.cumsum(follow)]).astype(np.int64)
-        cold = hot == 0
-        before, ctx = np.unique((at * span + u)[cold], return_inverse=True)  # predecessors of v
-        c_ctx, t_ctx = np.bincount(ctx, n[cold], len(before)), np.bincount(ctx, minlength=len(before))
-        p_tri = (n[cold] + t_ctx[ctx] * p_pair[back[cold]]) / (c_ctx + t_ctx)[ctx]
+        if sums is None:
+            before, ctx = np.unique(at * span + u, return_inverse=True)  # predecessors of v
+            c_ctx, t_ctx = np.bincount(ctx, n, len(before)), np.bincount(ctx, minlength=len(before))
+        else:
+            before, c_ctx, t_ctx = sums.owner * span + sums.u, sums.c, sums.t
+            ctx = np.searchsorted(before, at * span + u)
+        p_tri = (n + t_ctx[ctx] * p_pair[back]) / (c_ctx + t_ctx)[ctx]
         widest = int(follow.max()) + 1 if len(follow) else 1
-        place = back[cold] - start[at[cold]]  # among the successors of v
+        place = back - start[at]  # among the successors of v
         return cls(
             {
                 "words": EliasFano.build(words),
@@ -263,10 +278,10 @@ def _value(codes: np.ndarray, i: np.ndarray) -> np.ndarray:
 PARTIAL = "bid long, doc binary, score binary, own binary"
 
 
-def _answer(uni: Unigrams):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["own"].iloc[0] is not None:  # a block's own figures pass through
-            return pd.DataFrame({"bid": rows["bid"], "doc": None, "score": None, "own": rows["own"]})[["bid", "doc", "score", "own"]]
+class Questions:
+    """The questions of a shard's rows, and their distinct trigrams sorted by (v, u, w) with counts n over the training rows."""
+
+    def __init__(self, rows: pd.DataFrame):
         cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         for r in rows.itertuples(index=False):
             dv, du, dw = (np.cumsum(blocks.unpack_ints(x)) for x in (r.v, r.u, r.w))
@@ -274,33 +289,105 @@ def _answer(uni: Unigrams):
             hot, codes = blocks.unpack_ints(r.hot), blocks.unpack_ints(r.code)
             for held, a in zip(cols, (dv[iv], du[iu], dw[iw], hot[iv], codes[iw].astype(np.int32), doc.astype(np.int32), train.astype(bool)), strict=True):
                 held.append(a)
-        sizes = [len(x) for x in cols[0]]
-        v, u, w, hot, codes, doc, train = (np.concatenate(x) for x in cols)
+        self.bids, self.sizes = rows["bid"].tolist(), [len(x) for x in cols[0]]
+        v, u, w, c_v, codes, self.doc, train = (np.concatenate(x) for x in cols)
         del cols
-        u = np.where(hot > 0, 0, u)  # a hot word has two levels
-        order = np.lexsort((w, u, v))
+        self.order = order = np.lexsort((w, u, v))
         new = np.ones(len(order), bool)
         sv, su, sw = v[order], u[order], w[order]
         new[1:] = (sv[1:] != sv[:-1]) | (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])
-        which = np.cumsum(new) - 1
-        n = np.bincount(which, train[order], int(which[-1]) + 1)
+        self.which = np.cumsum(new) - 1
+        self.n = np.bincount(self.which, train[order], int(self.which[-1]) + 1)
         head = np.nonzero(new)[0]
-        v, u, w, hot, log_w = sv[head], su[head], sw[head], hot[order][head], uni.log_of_code(codes[order][head].astype(float))
-        seen = n > 0
-        logs = log_w
-        if seen.any():
-            trie = Trie.build(v[seen], u[seen], w[seen], n[seen], hot[seen], log_w[seen])
-            logs = trie.log(v, u, w, log_w)
-        each = np.empty(len(order))
-        each[order] = logs[which]
+        self.v, self.u, self.w, self.c_v, self.codes = sv[head], su[head], sw[head], c_v[order][head], codes[order][head]
+
+    def answers(self, uni: Unigrams, sums: Sums | None = None) -> pd.DataFrame:
+        """Each block's documents with the sums of their questions' logarithms."""
+        logs, seen = uni.log_of_code(self.codes.astype(float)), self.n > 0
+        if seen.any() or sums is not None:
+            trie = Trie.build(self.v[seen], self.u[seen], self.w[seen], self.n[seen], logs[seen], sums)
+            logs = trie.log(self.v, self.u, self.w, logs)
+        each = np.empty(len(self.order))
+        each[self.order] = logs[self.which]
         out, at = [], 0
-        for bid, size in zip(rows["bid"], sizes, strict=True):
-            own, place = np.unique(doc[at : at + size], return_inverse=True)
+        for bid, size in zip(self.bids, self.sizes, strict=True):
+            own, place = np.unique(self.doc[at : at + size], return_inverse=True)
             total = np.bincount(place, each[at : at + size], len(own))
             at += size
             out.append((bid, blocks.pack_ints(own.astype(np.int64)), total.tobytes(), None))
         return pd.DataFrame(out, columns=["bid", "doc", "score", "own"])
 
+
+def _answer(uni: Unigrams):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["own"].iloc[0] is not None:  # a block's own figures pass through
+            return pd.DataFrame({"bid": rows["bid"], "doc": None, "score": None, "own": rows["own"]})[["bid", "doc", "score", "own"]]
+        return Questions(rows).answers(uni)
+
+    return run
+
+
+#: What a shard holds of c and t of contexts u v, of v alone where u is -1; `to` is where the parts are added up.
+PARTS = "to long, shard long, v binary, u binary, c binary, t binary"
+
+
+def _contexts(q: Questions) -> tuple[np.ndarray, ...]:
+    """(v, u, c, t): a row for each context that is asked for here, u + 1 in place of u and 0 for v alone."""
+    v, u = np.concatenate([q.v, q.v]), np.concatenate([q.u + 1, np.zeros(len(q.u), np.int64)])
+    order = np.lexsort((u, v))
+    sv, su = v[order], u[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sv[1:] != sv[:-1]) | (su[1:] != su[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    total, pairs = int(new.sum()), len(q.v)
+    seen = q.n > 0
+    c = np.bincount(which[:pairs], q.n, total)
+    t = np.bincount(which[:pairs][seen], minlength=total)
+    # of v alone: distinct w
+    first = np.unique(np.stack([which[pairs:][seen], q.w[seen]]), axis=1)[0]
+    t += np.bincount(first, minlength=total)
+    c += np.bincount(which[pairs:], q.n, total)
+    head = np.nonzero(new)[0]
+    return sv[head], su[head], c.astype(np.int64), t
+
+
+def _parts(parts: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        v, u, c, t = _contexts(Questions(rows))
+        to, out = (v * 1_000_003 + u) % parts, []
+        for k in np.unique(to):
+            i = np.nonzero(to == k)[0]
+            out.append((int(k), int(rows["shard"].iloc[0]), *[blocks.pack_ints(x[i]) for x in (v, u, c, t)]))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in PARTS.split(", ")])
+
+    return run
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """The parts of each row replaced by the sums over all rows."""
+    cols = [[blocks.unpack_ints(x) for x in rows[k]] for k in ("v", "u", "c", "t")]
+    sizes = [len(x) for x in cols[0]]
+    v, u, c, t = (np.concatenate(x) for x in cols)
+    _, which = np.unique(np.stack([v, u]), axis=1, return_inverse=True)
+    which = which.ravel()
+    c, t = (np.bincount(which, x)[which].astype(np.int64) for x in (c, t))
+    edges = np.cumsum(sizes)[:-1]
+    for name, x in (("c", c), ("t", t)):
+        rows[name] = [blocks.pack_ints(y) for y in np.split(x, edges)]
+    return rows
+
+
+def _answer_hot(uni: Unigrams):
+    def run(rows: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        q = Questions(rows)
+        v, u, c, t = (np.concatenate([blocks.unpack_ints(x) for x in back[k]]) for k in ("v", "u", "c", "t"))
+        order = np.lexsort((u, v))
+        v, u, c, t = v[order], u[order], c[order].astype(float), t[order].astype(float)
+        words, first = np.unique(q.v, return_index=True)
+        alone, some = u == 0, (u > 0) & (c > 0)
+        return q.answers(uni, Sums(words, q.c_v[first].astype(float), t[alone], np.searchsorted(words, v[some]), u[some] - 1, c[some], t[some]))
+
     return run
 
 
@@ -333,13 +420,21 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
     parts = shuffle_partitions(docs.sparkSession)
     shards = 4 * parts  # a task works on one shard at a time
     cut = blocks.cut(docs.select("doc_id", "text"), tokens, "lm", training)
-    size = blocks.answered(cut, _size_words, SIZES).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    size = blocks.answered(cut, _size_words, SIZES).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.max("top").alias("top")).first()
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     starts = docs.where(~held).count()
     uni = Unigrams(size["n"] or 0, size["v"] or 0, starts)
     back = blocks.answered(cut, _count_words(parts), ANSWER)
     asked = blocks.finished(cut, back, _ask(uni, parts, shards, hot), QUESTION)
-    partial = asked.groupBy("shard").applyInPandas(_answer(uni), PARTIAL)
+    if max(size["top"] or 0, starts) > hot:
+        asked = stored(asked, "questions")
+        some = stored_by(asked.where(f"shard >= {shards} AND shard < {2 * shards}"), "hot", "shard", parts)
+        added = some.groupBy("shard").applyInPandas(_parts(parts), PARTS).groupBy("to").applyInPandas(_added, PARTS)
+        partial = some.groupBy("shard").cogroup(added.groupBy("shard")).applyInPandas(_answer_hot(uni), PARTIAL)
+        asked = asked.where(f"shard < {shards} OR shard >= {2 * shards}")
+        partial = partial.union(asked.groupBy("shard").applyInPandas(_answer(uni), PARTIAL))
+    else:
+        partial = asked.groupBy("shard").applyInPandas(_answer(uni), PARTIAL)
     return partial.groupBy("bid").applyInPandas(_sum, SCORE).withColumn("train_tokens", F.lit(uni.n).cast("long"))
 
 
