@@ -7,19 +7,23 @@ their d is equal, their phrases have the last d units in common and their suffix
 suffix that follows it, cut off after `length` units as a longer order can't change what repeats, is a context; its windows
 are an interval of d.
 
-1. Contexts that stand twice or more, as highly repetitive text is made of, need no order: all their windows repeat. Each is
-   handled once from here on.
-2. A window that two different contexts share has half its units on one side of the trigger, so contexts whose halves
-   (keys of the first units after the trigger, and of the last before it) no other context has are done with.
+Windows without a trigger in reach take the first of a denser set of triggers (twice), which depends on the window alone too; what is left
+(runs of one letter, say) goes window by window.
+
+1. Contexts are sorted by hashes of half a window's units after the trigger (another row: before it) and of all their units. Those that
+   stand twice or more, as highly repetitive text is made of, are neighbours: all their windows repeat, and each is handled once
+   from here on. A window that two different contexts share has half its units on one side of the trigger, so contexts whose halves no
+   other one has are done with.
+2. Only the rest, distinct contexts that share half a window, need their units.
 3. The others' suffixes are sorted: the suffix array of the parse, with the longest common prefix (LCP) of neighbours. Their phrases
    are sorted by their reversed units: the order of all the dictionary's phrase suffixes, with the longest common suffix (LCS) of
    neighbours. A neighbour in the first order with both proves an interval of d from length - LCP to LCS; the largest LCP and the
    largest LCS bound what may repeat.
-4. Windows inside the bounds that no neighbour proves, and windows without a trigger in reach, are put in corpus order one by one, by
-   128-bit hashes.
+4. Windows inside the bounds that no neighbour proves are put in corpus order one by one, by 128-bit hashes.
 
-Orders are range sorts, which split the most frequent passage over as many partitions as it fills; the first and last row of each
-sorted partition (two rows a partition) are compared with their neighbours on the driver.
+Orders are range sorts, which split the most frequent passage over as many partitions as it fills; the first and last rows of each
+sorted partition (two a partition) are compared with their neighbours on the driver. Texts stay where they are, in blocks of some MB that
+are written once, bucketed; only places and the units of contexts travel.
 
 Where `words` is given, strings of that many words are windows too, equal when their words are, whatever blanks stand between. They
 go through the same parse and orders, with words in place of bytes. A window of `length` bytes then goes through them only where it
@@ -38,20 +42,23 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import zstandard
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veilframe.llm.blocks import release
-from veilframe.llm.common import shuffle_partitions, stored, table
+from veilframe.llm.common import shuffle_partitions, stored, stored_by, table
 
 LENGTH = 400
-#: Units of a trigger, and bits that make one place in 64 bytes, or one word in eight, a trigger: of a parse by bytes, by words.
-BYTES, WORDS = (12, 6), (3, 3)
-#: In the number of windows of a span: they are windows of words.
-OF_WORDS = 1 << 15
+#: Units of a trigger, and bits that make one place in 128 bytes, or one word in 16, a trigger, and those of the denser sets: of a
+#: parse by bytes, by words.
+BYTES, WORDS = (12, 7, 4, 2), (3, 4, 2, 1)
 CHUNK = 1 << 20
+#: Bytes of text and documents of a block.
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
 #: Neighbours on either side that are compared in the parse's order.
 NEAR = 3
 
@@ -119,28 +126,35 @@ class Contexts:
     """The parse of the documents units[edges[k]:edges[k + 1]]: for each context its document, the place of its trigger, the units before
     (l) and after (r) that place; `lone`: (document, place) of each window without a trigger in reach."""
 
-    def __init__(self, one: Rolling, two: Rolling, units: np.ndarray, edges: np.ndarray, length: int, scale: tuple[int, int]):
-        trigger, gap_bits = scale
+    def __init__(self, one: Rolling, two: Rolling, units: np.ndarray, edges: np.ndarray, length: int, scale: tuple[int, ...]):
+        trigger, *levels = scale
         one.load(units)
         two.load(units)
         spot = np.arange(max(0, len(units) - trigger + 1))
-        trig = spot[(one.of(spot, spot + trigger) >> np.uint64(64 - gap_bits)) == 0]
-        doc = np.searchsorted(edges, trig, "right") - 1
-        inside = trig + trigger <= edges[doc + 1]
-        trig, doc = trig[inside], doc[inside]
-        last, reach = edges[1:] - length, length - trigger + 1
-        new = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-        before = np.where(new, edges[doc], np.concatenate([[0], trig[:-1] + 1]) if len(trig) else trig)
-        l, r = np.minimum(trig - before, reach - 1), np.minimum(length, edges[doc + 1] - trig)
-        some = l + r >= length
-        self.doc, self.trig, self.l, self.r = doc[some], trig[some], l[some], r[some]
-        # windows without a trigger in reach: before a trigger, and after the last one of a document
-        tail_from = edges[:-1].copy()
-        if len(trig):
-            np.maximum.at(tail_from, doc, trig + 1)
-        start, stop = np.concatenate([before, tail_from]), np.concatenate([np.minimum(trig - reach, last[doc]), last])
+        spelt = one.of(spot, spot + trigger)
+        # runs of windows to parse: at first, all of each document
+        doc, start, stop = np.arange(len(edges) - 1), edges[:-1], edges[1:] - length
+        found = []
+        for bits in levels:
+            some = start <= stop
+            doc, start, stop = doc[some], start[some], stop[some]
+            hit = spot[(spelt >> np.uint64(64 - bits)) == 0]
+            # triggers that windows of a run hold whole
+            i, j = np.searchsorted(hit, start), np.searchsorted(hit, stop + length - trigger, "right")
+            run, k = _runs(i, j - i)
+            trig, new = hit[k], np.concatenate([[True], run[1:] != run[:-1]])[: len(run)]
+            before = np.where(new, start[run], np.concatenate([[0], trig[:-1] + 1])[: len(trig)])
+            reach = length - trigger + 1  # windows that start fewer units before a trigger hold it whole
+            l, r = np.minimum(trig - before, reach - 1), np.minimum(length, stop[run] + length - trig)
+            full = l + r >= length
+            found.append((doc[run][full], trig[full], l[full], r[full]))
+            # windows without one: before a trigger, and after the last one of a run
+            tail = start.copy()
+            np.maximum.at(tail, run, trig + 1)
+            doc, start, stop = np.concatenate([doc[run], doc]), np.concatenate([before, tail]), np.concatenate([np.minimum(trig - reach, stop[run]), stop])
+        self.doc, self.trig, self.l, self.r = (np.concatenate(x) for x in zip(*found, strict=True))
         which, place = _runs(start, stop - start + 1)
-        self.lone = np.concatenate([doc, np.arange(len(edges) - 1)])[which], place
+        self.lone = doc[which], place
 
     def choose(self, some: np.ndarray) -> None:
         self.doc, self.trig, self.l, self.r = self.doc[some], self.trig[some], self.l[some], self.r[some]
@@ -163,39 +177,86 @@ def _window_keys(one: Rolling, two: Rolling, a: np.ndarray, length: int) -> tupl
     return _mixed(one.of(a, a + length)).view(np.int64), _mixed(two.of(a, a + length)).view(np.int64)
 
 
-#: place: twice the place in the text, and one more where units are words; lr: units before and after a trigger, or -1: a lone window.
-PARSED = "k long, c long, rid long, place long, lr long"
+#: place: document of the block, place in its text, and whether units are words; lr: units before and after a trigger, or -1: a lone
+#: window.
+PARSED = "k long, c long, bid long, place long, lr long"
 
 
-def _parse_rows(p: Contexts, one: Rolling, two: Rolling, rids: np.ndarray, edges: np.ndarray, length: int, kind: int) -> Iterator[pd.DataFrame]:
+def _place(doc, at, kind):
+    return (doc << 33) + (at << 1) + kind
+
+
+def _at(place: np.ndarray) -> np.ndarray:
+    return (place >> 1) & 0xFFFFFFFF
+
+
+def _parse_rows(p: Contexts, one: Rolling, two: Rolling, bid: int, docs: np.ndarray, edges: np.ndarray, length: int, kind: int) -> Iterator[pd.DataFrame]:
     trig, l, r = p.trig, p.l, p.r
     after, before = _halves(length)
     ahead, back = _half_keys(one, trig, l, r, length)
     c = _mixed(two.of(trig - l, trig + r) + _mixed((l.astype(np.uint64) << np.uint64(32)) + r.astype(np.uint64))).view(np.int64)
-    place, lr = 2 * (trig - edges[p.doc]) + kind, (l << 32) + r
+    place, lr = _place(docs[p.doc], trig - edges[p.doc], kind), (l << 32) + r
     for k, has in ((ahead, r >= after), (back, l >= before)):
-        yield pd.DataFrame({"k": k[has], "c": c[has], "rid": rids[p.doc[has]], "place": place[has], "lr": lr[has]})
+        yield pd.DataFrame({"k": k[has], "c": c[has], "bid": bid, "place": place[has], "lr": lr[has]})
     doc, at = p.lone
     if len(doc):
         k, c = _window_keys(one, two, at, length)
-        yield pd.DataFrame({"k": k, "c": c, "rid": rids[doc], "place": 2 * (at - edges[doc]) + kind, "lr": -1})
+        yield pd.DataFrame({"k": k, "c": c, "bid": bid, "place": _place(docs[doc], at - edges[doc], kind), "lr": -1})
+
+
+def _table(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
+
 
+def _texts(held: pa.Table, text_col: str) -> list[bytes]:
+    return [t or b"" for t in held.column(text_col).cast(pa.binary()).to_pylist()]
 
-def _parsed(length: int, words: int | None, light: bool):
+
+def _blocks(docs: DataFrame, text_col: str) -> DataFrame:
+    """(bid, body): documents, all columns, in blocks; written once, bucketed by bid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count, size, rows = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + count]), pa.array([sink.getvalue().to_pybytes()])], names=["bid", "body"])
+
+        for batch in batches:
+            at = 0
+            for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist(), 1):
+                size, rows = size + n + 64, rows + 1
+                if size >= BLOCK_BYTES or rows == BLOCK_ROWS:
+                    held.append(batch.slice(at, k - at))
+                    yield flush()
+                    held, size, rows, count, at = [], 0, 0, count + 1, k
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
+        if held:
+            yield flush()
+        release()
+
+    return stored_by(docs.mapInArrow(run, "bid long, body binary"), "texts", "bid", shuffle_partitions(docs.sparkSession))
+
+
+def _parsed(text_col: str, length: int, words: int | None, light: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two, three, open_ = Rolling(1), Rolling(2), Rolling(3), zstandard.ZstdDecompressor()
+        one, two, three = Rolling(1), Rolling(2), Rolling(3)
         least = length if words is None else min(length, 2 * words - 1)
 
-        def flush(rids: list, texts: list) -> Iterator[pd.DataFrame]:
-            rids = np.array(rids, np.int64)
+        def flush(bid: int, docs: list, texts: list) -> Iterator[pd.DataFrame]:
+            docs = np.array(docs, np.int64)
             data, edges = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
             p = Contexts(one, two, data, edges, length, BYTES)
             if words is None:
-                yield from _parse_rows(p, one, two, rids, edges, length, 0)
+                yield from _parse_rows(p, one, two, bid, docs, edges, length, 0)
                 return
             spaced = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # a blank after each, so that words end
             hashes, start, end = word_hashes(three, spaced)
-            shift = np.arange(len(edges))
             if light:
                 few = _light(start, end, len(spaced), length, words)
                 at = p.trig + p.doc
@@ -203,57 +264,135 @@ def _parsed(length: int, words: int | None, light: bool):
                 doc, at = p.lone
                 thin = few[at + doc + 1] > few[at + doc]
                 p.lone = doc[thin], at[thin]
-            yield from _parse_rows(p, one, two, rids, edges, length, 0)
-            edges = np.searchsorted(start, edges + shift)
-            yield from _parse_rows(Contexts(one, two, hashes, edges, words, WORDS), one, two, rids, edges, words, 1)
+            yield from _parse_rows(p, one, two, bid, docs, edges, length, 0)
+            edges = np.searchsorted(start, edges + np.arange(len(edges)))
+            yield from _parse_rows(Contexts(one, two, hashes, edges, words, WORDS), one, two, bid, docs, edges, words, 1)
 
         for batch in batches:
-            rids, texts, size = [], [], 0
-            for rid, z in zip(batch["_rep_id"], batch["_rep_z"], strict=True):
-                text = open_.decompress(z)
-                if len(text) >= least:
-                    rids.append(rid)
-                    texts.append(text)
-                    size += len(text)
-                if size >= CHUNK:
-                    yield from flush(rids, texts)
-                    rids, texts, size = [], [], 0
-            if rids:
-                yield from flush(rids, texts)
+            for bid, body in zip(batch["bid"], batch["body"], strict=True):
+                docs, texts, size = [], [], 0
+                for doc, text in enumerate(_texts(_table(body), text_col)):
+                    if len(text) >= least:
+                        docs.append(doc)
+                        texts.append(text)
+                        size += len(text)
+                    if size >= CHUNK:
+                        yield from flush(bid, docs, texts)
+                        docs, texts, size = [], [], 0
+                if docs:
+                    yield from flush(bid, docs, texts)
             release()
 
     return run
 
 
-CONTEXT = "kind int, rid long, place long, n int, ahead long, back long, l binary, r binary"
+#: what: 0 a context that shares a half with another one, 1 the first, 2 the last, 3 the only run of equal rows in a partition, 4 a row
+#: that stands twice or more. n: 1, or 2 for more; several: whether the run beside it has the same k.
+RUN = "what int, part int, k long, c long, bid long, place long, lr long, n int, several boolean"
+RUN_NAMES = [c.split()[0] for c in RUN.split(", ")]
+
+
+def _equal_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of rows with equal k and c in a partition sorted by them."""
+    part, held, first = TaskContext.get().partitionId(), None, True
+
+    def out(rows: pd.DataFrame, what: int) -> pd.DataFrame:
+        return rows.assign(what=what, part=part).reindex(columns=RUN_NAMES)
 
+    def twice(rows: pd.DataFrame) -> pd.DataFrame:
+        return out(rows.assign(n=2, several=False), 4)
 
-def _fetched(lengths: tuple[int, int | None]):
+    for batch in batches:
+        if not len(batch):
+            continue
+        k, c = batch["k"].to_numpy(np.int64), batch["c"].to_numpy(np.int64)
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        if held is not None:
+            new[0] = k[0] != held["k"].iloc[0] or c[0] != held["c"].iloc[0]
+        again = ~new
+        yield twice(batch[again | np.concatenate([again[1:], [False]])])
+        if held is not None and again[0] and held["n"].iloc[0] == 1:
+            yield twice(held)
+        heads = np.nonzero(new)[0]
+        size = np.diff(np.concatenate([heads, [len(k)]]))
+        runs = batch.iloc[heads].assign(n=np.minimum(size, 2).astype(np.int32), several=False)
+        if held is not None:
+            lead = heads[0] if len(heads) else len(k)
+            held["n"] = min(2, int(held["n"].iloc[0]) + int(lead))
+            runs = pd.concat([held, runs], ignore_index=True)
+        rk = runs["k"].to_numpy(np.int64)
+        same = rk[1:] == rk[:-1]
+        several = runs["several"].to_numpy(bool)
+        several[1:] |= same
+        several[:-1] |= same
+        runs["several"] = several
+        done, held = runs.iloc[:-1], runs.iloc[-1:].copy()
+        if first and len(done):
+            yield out(done.iloc[:1], 1)
+            done, first = done.iloc[1:], False
+        yield out(done[done["several"].to_numpy(bool) & (done["lr"].to_numpy(np.int64) >= 0)], 0)
+    if held is not None:
+        yield out(held, 3 if first else 2)
+
+
+def _contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(contexts that share a half with another one: bid, place, lr, n; rows that stand twice or more: bid, place, lr)."""
+    spark, order = rows.sparkSession, ["k", "c", "bid", "place"]
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    runs = stored(dealt.mapInPandas(_equal_rows, RUN), "runs")
+    ends = sorted(runs.where("what BETWEEN 1 AND 3").collect(), key=lambda r: (r["part"], r["what"] == 2))  # two rows a partition
+    chains: list[list[dict]] = []  # equal runs on both sides of partitions' ends
+    last = None
+    for r in map(lambda r: r.asDict(), ends):
+        beside = last is not None and last["part"] != r["part"]
+        if beside and (last["k"], last["c"]) == (r["k"], r["c"]):
+            chains[-1].append(r)
+        else:
+            if beside and last["k"] == r["k"]:
+                last["several"] = r["several"] = True
+            chains.append([r])
+        last = r
+    left, twice = [], []
+    for chain in chains:
+        n, head = min(2, sum(r["n"] for r in chain)), chain[0]
+        if n == 2:
+            twice += [(r["bid"], r["place"], r["lr"]) for r in chain if r["n"] == 1]
+        if any(r["several"] for r in chain) and head["lr"] >= 0:
+            left.append((head["bid"], head["place"], head["lr"], n))
+    more = spark.createDataFrame(left, "bid long, place long, lr long, n int")
+    return (
+        runs.where("what = 0").select("bid", "place", "lr", "n").union(more),
+        runs.where("what = 4").select("bid", "place", "lr").union(spark.createDataFrame(twice, "bid long, place long, lr long")),
+    )
+
+
+CONTEXT = "kind int, bid long, place long, n int, ahead long, back long, l binary, r binary"
+
+
+def _fetched(text_col: str, lengths: tuple[int, int | None]):
     """The units of contexts: r from the trigger on, l before it, the nearest first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, three, open_ = Rolling(1), Rolling(3), zstandard.ZstdDecompressor()
-        for batch in batches:
-            for rid, z, asked in zip(batch["_rep_id"], batch["_rep_z"], batch["asked"], strict=True):
-                data = np.frombuffer(open_.decompress(z), np.uint8)
-                place, lr, n = (np.array([a[c] for a in asked], np.int64) for c in ("place", "lr", "n"))
-                for kind in (0, 1):
-                    k = np.nonzero(place & 1 == kind)[0]
-                    if not len(k):
-                        continue
-                    units = word_hashes(three, data)[0] if kind else data
-                    one.load(units)
-                    trig, l, r = place[k] >> 1, lr[k] >> 32, lr[k] & 0xFFFFFFFF
-                    ahead, back = _half_keys(one, trig, l, r, lengths[kind])
-                    spots = list(zip(trig.tolist(), l.tolist(), r.tolist(), strict=True))
-                    yield pd.DataFrame(
-                        {
-                            "kind": kind, "rid": rid, "place": place[k], "n": n[k], "ahead": ahead, "back": back,
-                            "l": [units[t - a : t][::-1].tobytes() for t, a, _ in spots],
-                            "r": [units[t : t + b].tobytes() for t, _, b in spots],
-                        }
-                    )
-            release()
+    def run(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        one, three, out = Rolling(1), Rolling(3), []
+        names = [c.split()[0] for c in CONTEXT.split(", ")]
+        if not len(asked) or not len(block):
+            return pd.DataFrame(columns=names)
+        texts = _texts(_table(block["body"].iloc[0]), text_col)
+        asked = asked.drop_duplicates("place")
+        places = asked["place"].to_numpy(np.int64)
+        for (doc, kind), rows in asked.groupby([places >> 33, places & 1]):
+            data = np.frombuffer(texts[doc], np.uint8)
+            units = word_hashes(three, data)[0] if kind else data
+            one.load(units)
+            place, lr = rows["place"].to_numpy(np.int64), rows["lr"].to_numpy(np.int64)
+            trig, l, r = _at(place), lr >> 32, lr & 0xFFFFFFFF
+            ahead, back = _half_keys(one, trig, l, r, lengths[kind])
+            spots = list(zip(trig.tolist(), l.tolist(), r.tolist(), strict=True))
+            before, behind = [units[t - a : t][::-1].tobytes() for t, a, _ in spots], [units[t : t + b].tobytes() for t, _, b in spots]
+            out.append(pd.DataFrame({"kind": kind, "bid": rows["bid"], "place": place, "n": rows["n"], "ahead": ahead, "back": back, "l": before, "r": behind}))
+        release()
+        return pd.concat(out)[names]
 
     return run
 
@@ -274,7 +413,7 @@ def _common(held: tuple[np.ndarray, np.ndarray], step: int) -> np.ndarray:
 
 #: what: 0 a row of the order, 1 the first, 2 the last of a partition. before: units of the phrase; m, mm: largest LCP, LCS;
 #: proof: pairs of numbers, each an interval of d that a neighbour proves.
-ORDERED = "what int, part int, kind int, rid long, place long, n int, ahead long, back long, before int, behind int, m int, mm int, proof binary, l binary, r binary"
+ORDERED = "what int, part int, kind int, bid long, place long, n int, ahead long, back long, before int, behind int, m int, mm int, proof binary, l binary, r binary"
 NAMES = [c.split()[0] for c in ORDERED.split(", ")]
 
 
@@ -343,8 +482,8 @@ def _met(a: bytes, b: bytes) -> int:
 def _array(contexts: DataFrame, lengths: tuple[int, int | None], deep: bool, label: str) -> DataFrame:
     """The order of contexts with what neighbours tell, those on the other side of a partition's end among them."""
     spark = contexts.sparkSession
-    order = ["kind", "r", "l", "rid", "place"] if deep else ["kind", "l", "rid", "place"]
-    rows = contexts if deep else contexts.select("kind", "rid", "place", "l")
+    order = ["kind", "r", "l", "bid", "place"] if deep else ["kind", "l", "bid", "place"]
+    rows = contexts if deep else contexts.select("kind", "bid", "place", "l")
     dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     told = stored(dealt.mapInPandas(_ordered(lengths, deep), ORDERED), label)
     ends = told.where("what > 0").collect()  # two rows a partition
@@ -358,14 +497,14 @@ def _array(contexts: DataFrame, lengths: tuple[int, int | None], deep: bool, lab
         lcs = _met(a["l"], b["l"]) // unit
         lcp = _met(a["r"], b["r"]) // unit if deep else 0
         proof = np.array([max(length - lcp, 0), lcs], np.int32).tobytes() if deep and length - lcp <= lcs else b""
-        more += [(r["rid"], r["place"], lcp, lcs, bytearray(proof)) for r in (a, b)]
+        more += [(r["bid"], r["place"], lcp, lcs, bytearray(proof)) for r in (a, b)]
     ways = told.where("what = 0").drop("what", "part", "l", "r")
-    extra = spark.createDataFrame(more, "rid long, place long, m int, mm int, proof binary")
+    extra = spark.createDataFrame(more, "bid long, place long, m int, mm int, proof binary")
     return ways.unionByName(extra, allowMissingColumns=True)
 
 
 #: what: 0 a proven interval of d, 1 one that nothing proves, 2 one that may repeat.
-SETTLED = "what int, rid long, place long, k long, a int, b int"
+SETTLED = "what int, bid long, place long, k long, a int, b int"
 
 
 def _settled(lengths: tuple[int, int | None]):
@@ -382,7 +521,7 @@ def _settled(lengths: tuple[int, int | None]):
                     turn = _halves(length)[1]  # up to here the half after the trigger is whole
                     for k, i, j in ((x.ahead, a, min(b, turn)), (x.back, max(a, turn + 1), b)):
                         if i <= j:
-                            out.append((what, x.rid, x.place, k, i, j))
+                            out.append((what, x.bid, x.place, k, i, j))
 
                 put(2, low, high)
                 if x.n > 1:  # stands twice: all its windows repeat
@@ -392,7 +531,7 @@ def _settled(lengths: tuple[int, int | None]):
                     if a > at:
                         put(1, at, min(a - 1, high))
                     if b >= max(a, at):
-                        out.append((0, x.rid, x.place, 0, max(a, at), b))
+                        out.append((0, x.bid, x.place, 0, max(a, at), b))
                         at = b + 1
                     if at > high:
                         break
@@ -403,31 +542,32 @@ def _settled(lengths: tuple[int, int | None]):
     return run
 
 
-WINDOW = "core long, whole long, rid long, span long"
+WINDOW = "core long, whole long, bid long, doc int, span long"
 
 
 def _asked(lengths: tuple[int, int | None]):
     """The windows a <= d <= b of contexts, one by one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two = Rolling(1), Rolling(2)
-        for batch in batches:
-            for kind, rows in batch.groupby("kind"):
-                for at in range(0, len(rows), 1000):
-                    some = rows.iloc[at : at + 1000]
-                    dtype = np.uint64 if kind else np.uint8
-                    texts = [np.concatenate([np.frombuffer(l, dtype)[::-1], np.frombuffer(r, dtype)]) for l, r in zip(some["l"], some["r"], strict=True)]
-                    size = np.array([len(l) for l in some["l"]], np.int64) // dtype().itemsize
-                    base = np.cumsum([0, *map(len, texts)])[:-1] + size
-                    units = np.concatenate(texts)
-                    one.load(units)
-                    two.load(units)
-                    a, b = some["a"].to_numpy(np.int64), some["b"].to_numpy(np.int64)
-                    which, d = _runs(a, b - a + 1)
-                    core, whole = _window_keys(one, two, base[which] - d, lengths[kind])
-                    start = (some["place"].to_numpy(np.int64) >> 1)[which] - d
-                    yield pd.DataFrame({"core": core, "whole": whole, "rid": some["rid"].to_numpy(np.int64)[which], "span": _span(start, 1, kind)})
-            release()
+    def run(held: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        one, two, out = Rolling(1), Rolling(2), [pd.DataFrame(columns=[c.split()[0] for c in WINDOW.split(", ")])]
+        rows = held.merge(ask[["place", "a", "b"]], on="place")
+        for kind, every in rows.groupby("kind"):
+            for at in range(0, len(every), 1000):
+                some = every.iloc[at : at + 1000]
+                dtype = np.uint64 if kind else np.uint8
+                texts = [np.concatenate([np.frombuffer(l, dtype)[::-1], np.frombuffer(r, dtype)]) for l, r in zip(some["l"], some["r"], strict=True)]
+                size = np.array([len(l) for l in some["l"]], np.int64) // dtype().itemsize
+                base = np.cumsum([0, *map(len, texts)])[:-1] + size
+                units = np.concatenate(texts)
+                one.load(units)
+                two.load(units)
+                a, b = some["a"].to_numpy(np.int64), some["b"].to_numpy(np.int64)
+                which, d = _runs(a, b - a + 1)
+                core, whole = _window_keys(one, two, base[which] - d, lengths[kind])
+                place = some["place"].to_numpy(np.int64)[which]
+                out.append(pd.DataFrame({"core": core, "whole": whole, "bid": some["bid"].to_numpy(np.int64)[which], "doc": place >> 33, "span": _span(_at(place) - d, 1, kind)}))
+        release()
+        return pd.concat(out[1:] or out)
 
     return run
 
@@ -437,7 +577,7 @@ def _span(start, n, kind):
     return start * (1 << 25) + (kind * (1 << 24) + n)
 
 
-MARK = "what int, part int, core long, whole long, rid long, span long"
+MARK = "what int, part int, core long, whole long, bid long, doc int, span long"
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -460,8 +600,8 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _equal(windows: DataFrame) -> DataFrame:
-    """(rid, span) of the windows that equal another one; some may come twice."""
-    spark, order = windows.sparkSession, ["core", "whole", "rid", "span"]
+    """(bid, doc, span) of the windows that equal another one; some may come twice."""
+    spark, order = windows.sparkSession, ["core", "whole", "bid", "doc", "span"]
     dealt = windows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     marks = stored(dealt.mapInPandas(_neighbours, MARK), "windows")
     ends = marks.where("what > 0").collect()  # two rows a partition
@@ -470,57 +610,39 @@ def _equal(windows: DataFrame) -> DataFrame:
     for left, right in zip(parts, parts[1:], strict=False):
         a, b = lasts[left], firsts[right]
         if (a["core"], a["whole"]) == (b["core"], b["whole"]):
-            more += [(r["rid"], r["span"]) for r in (a, b)]
-    return marks.where("what = 0").select("rid", "span").union(spark.createDataFrame(more, "rid long, span long"))
-
-
-def _repeats(texts: DataFrame, length: int, words: int | None, light: bool) -> DataFrame:
-    """(rid, span) of windows that repeat. texts: written, _rep_id and _rep_z."""
-    lengths = (length, words)
-    rows = stored(texts.mapInPandas(_parsed(length, words, light), PARSED), "parse")
-    parse, lone = rows.where("lr >= 0"), rows.where("lr < 0")
-    often = parse.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("k")
-    shared = stored(parse.join(often, "k"), "shared")
-    distinct = stored(
-        shared.groupBy("k", "c").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), F.min(F.struct("rid", "place", "lr")).alias("x")), "contexts"
-    )
-    l, r = F.expr("lr >> 32"), F.expr("lr & 4294967295")
-    size = F.when(F.expr("place % 2 = 1"), F.lit(words or 0)).otherwise(F.lit(length))
-    low = F.greatest(F.lit(0), size - r)
-    whole = shared.join(distinct.where("n > 1").select("k", "c"), ["k", "c"]).select(
-        "rid", _span(F.expr("place div 2") - l, l - low + 1, F.expr("place % 2")).alias("span")
-    )
-    several = distinct.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("k")
-    left = distinct.join(several, "k").select("x.rid", F.struct("x.place", "x.lr", "n").alias("y"))
-    asked = left.groupBy("rid").agg(F.collect_set("y").alias("asked"))
-    held = texts.join(asked, F.col("_rep_id") == F.col("rid")).select("_rep_id", "_rep_z", "asked")
-    contexts = stored(held.mapInPandas(_fetched(lengths), CONTEXT), "suffixes")
-    told = _array(contexts, lengths, True, "parse_order").unionByName(
-        _array(contexts, lengths, False, "phrase_order").select("rid", "place", "mm"), allowMissingColumns=True
-    )
+            more += [(r["bid"], r["doc"], r["span"]) for r in (a, b)]
+    return marks.where("what = 0").select("bid", "doc", "span").union(spark.createDataFrame(more, "bid long, doc int, span long"))
+
+
+def _repeats(blocks: DataFrame, text_col: str, length: int, words: int | None, light: bool) -> DataFrame:
+    """(bid, doc, span) of windows that repeat."""
+    lengths, parts = (length, words), shuffle_partitions(blocks.sparkSession)
+    left, twice = _contexts(blocks.mapInPandas(_parsed(text_col, length, words, light), PARSED))
+    doc, at, kind = F.expr("cast(place >> 33 as int)"), F.expr("(place >> 1) & 4294967295"), F.expr("place & 1")
+    before, behind = F.expr("lr >> 32"), F.expr("lr & 4294967295")
+    low = F.greatest(F.lit(0), F.when(kind == 1, F.lit(words or 0)).otherwise(F.lit(length)) - behind)
+    span = F.when(F.col("lr") < 0, _span(at, F.lit(1), kind)).otherwise(_span(at - before, before - low + 1, kind))
+    whole = twice.select("bid", doc.alias("doc"), span.alias("span"))
+    fetched = blocks.groupBy("bid").cogroup(left.groupBy("bid")).applyInPandas(_fetched(text_col, lengths), CONTEXT)
+    contexts = stored_by(fetched, "suffixes", "bid", parts)
+    phrases = _array(contexts, lengths, False, "phrase_order").select("bid", "place", "mm")
+    told = _array(contexts, lengths, True, "parse_order").unionByName(phrases, allowMissingColumns=True)
     scalars = [F.max(c).alias(c) for c in ("kind", "n", "ahead", "back", "before", "behind", "m", "mm")]
-    each = told.groupBy("rid", "place").agg(*scalars, F.collect_list("proof").alias("proofs"))
+    each = told.groupBy("bid", "place").agg(*scalars, F.collect_list("proof").alias("proofs"))
     settled = stored(each.mapInPandas(_settled(lengths), SETTLED), "settled")
-    proven = settled.where("what = 0").select("rid", _span(F.expr("place div 2") - F.col("b"), F.col("b") - F.col("a") + 1, F.expr("place % 2")).alias("span"))
+    proven = settled.where("what = 0").select("bid", doc.alias("doc"), _span(at - F.col("b"), F.col("b") - F.col("a") + 1, kind).alias("span"))
     open_ = settled.where("what = 1").groupBy("k").agg(F.min("a").alias("_a"), F.max("b").alias("_b"))
     ask = (
         settled.where("what = 2").join(open_, "k")
-        .select("rid", "place", F.greatest("a", "_a").alias("a"), F.least("b", "_b").alias("b")).where("a <= b")
-    )
-    looked = contexts.select("kind", "rid", "place", "l", "r").join(ask, ["rid", "place"]).mapInPandas(_asked(lengths), WINDOW)
-    alone = lone.select(F.col("k").alias("core"), F.col("c").alias("whole"), "rid", _span(F.expr("place div 2"), F.lit(1), F.expr("place % 2")).alias("span"))
-    return reduce(DataFrame.union, [whole, proven, _equal(looked.union(alone))])
-
+        .select("bid", "place", F.greatest("a", "_a").alias("a"), F.least("b", "_b").alias("b")).where("a <= b")
+    )
+    looked = contexts.groupBy("bid").cogroup(ask.groupBy("bid")).applyInPandas(_asked(lengths), WINDOW)
+    return reduce(DataFrame.union, [whole, proven, _equal(looked)])
 
-def _squeezed(texts: pd.Series) -> pd.Series:
-    shut = zstandard.ZstdCompressor(level=1)
-    return texts.map(lambda t: shut.compress((t or "").encode("utf-8", "surrogatepass")))
 
-
-def _spans(marks: np.ndarray | None, length: int, text: bytes, words: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+def _spans(marks: np.ndarray, length: int, words: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Maximal runs (start, end) that windows of bytes cover, in bytes; those that windows of words cover, in words."""
     out = []
-    marks = np.asarray(marks if marks is not None else [], np.int64)
     for kind, width in ((0, length), (1, words)):
         some = marks[(marks >> 24) & 1 == kind]
         a, n = some >> 25, some & ((1 << 24) - 1)
@@ -538,23 +660,35 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], top[np.concatenate([np.nonzero(new)[0][1:] - 1, [len(a) - 1]])]
 
 
-def _kept(length: int, words: int | None, remove_words: bool):
-    def run(z: pd.Series, marks: pd.Series) -> pd.DataFrame:
-        open_, rows = zstandard.ZstdDecompressor(), []
-        for packed, m in zip(z, marks, strict=True):
-            text = open_.decompress(packed)
-            (a, b), (first, upto) = _spans(m, length, text, words)
-            if remove_words and len(first):
-                start, end = word_edges(np.frombuffer(text, np.uint8))
-                x, y = np.concatenate([a, start[first]]), np.concatenate([b, end[upto - 1]])
-                order = np.lexsort([y, x])
-                a, b = _merged(x[order], y[order])
-            starts, ends = [0, *b.tolist()], [*a.tolist(), len(text)]
-            kept = b"".join(text[i:j] for i, j in zip(starts, ends, strict=True))
-            rows.append((len(text), len(text) - len(kept), len(a), kept, int((upto - first).sum())))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
+def _kept(text_col: str, length: int, words: int | None, remove_words: bool):
+    def one(text: bytes, marks: np.ndarray) -> tuple:
+        (a, b), (first, upto) = _spans(marks, length, words)
+        if remove_words and len(first):
+            start, end = word_edges(np.frombuffer(text, np.uint8))
+            x, y = np.concatenate([a, start[first]]), np.concatenate([b, end[upto - 1]])
+            order = np.lexsort([y, x])
+            a, b = _merged(x[order], y[order])
+        starts, ends = [0, *b.tolist()], [*a.tolist(), len(text)]
+        kept = b"".join(text[i:j] for i, j in zip(starts, ends, strict=True))
+        return len(text), len(text) - len(kept), len(a), kept, int((upto - first).sum())
+
+    def run(block: pa.Table, marks: pa.Table) -> pa.Table:
+        held = _table(block.column("body")[0].as_py())
+        doc, span = (marks.column(c).to_numpy().astype(np.int64) for c in ("doc", "span"))
+        order = np.argsort(doc, kind="stable")
+        edges = np.searchsorted(doc[order], np.arange(held.num_rows + 1))
+        span = span[order]
+        rows = [one(t, span[edges[k] : edges[k + 1]]) for k, t in enumerate(_texts(held, text_col))]
+        held = held.drop_columns([text_col])
+        for (name, kind), of in zip(ADDED.items(), zip(*rows, strict=True), strict=True):
+            held = held.append_column(pa.field(name, kind), pa.chunked_array([pa.array(of, kind)]))
+        release()
+        return held.combine_chunks()
+
+    return run
+
 
-    return F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
+ADDED = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "n_passage_words": pa.int64()}
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None, passages: int | None = None) -> DataFrame:
@@ -567,14 +701,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
         raise ValueError("words are removed or counted, not both")
     if (n := words or passages) is not None and n < 4 * WORDS[0]:
         raise ValueError(f"words must be {4 * WORDS[0]} at least")
-    packed = docs.withColumn("_rep_z", F.pandas_udf(_squeezed, "binary")(F.col(text_col))).drop(text_col)
-    texts = stored(packed.withColumn("_rep_id", F.monotonically_increasing_id()), "texts")
-    found = _repeats(texts.select("_rep_id", "_rep_z"), length, n, words is not None)
-    marks = found.groupBy("rid").agg(F.collect_list("span").alias("_rep_marks"))
-    joined = texts.join(marks, F.col("_rep_id") == F.col("rid"), "left")
-    done = joined.withColumn("_rep_out", _kept(length, n, words is not None)("_rep_z", "_rep_marks"))
-    own = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return done.select(*own, *[F.col(f"_rep_out.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept", "n_passage_words")])
+    own = [f"_rep_{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index(text_col)]
+    renamed = docs.toDF(*own)
+    held = _blocks(renamed, text)
+    marks = _repeats(held, text, length, n, words is not None)
+    rest = renamed.drop(text)
+    added = "n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long"
+    schema = StructType([*rest.schema.fields, *StructType.fromDDL(added).fields])
+    done = held.groupBy("bid").cogroup(marks.groupBy("bid")).applyInArrow(_kept(text, length, n, words is not None), schema)
+    return done.toDF(*[c for c in docs.columns if c != text_col], *ADDED)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None) -> DataFrame:
