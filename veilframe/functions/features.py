@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.schema import normalized_ratings
 
@@ -105,6 +106,45 @@ def mapped(column: Column, names: dict) -> Column:
     return F.coalesce(F.create_map(*pairs)[column], column)
 
 
+def _cuts(values: DataFrame, column: str, parts: int) -> list:
+    """Bounds that cut a numeric column into at most `parts` runs of near-equal numbers of rows."""
+    at = values.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 10_000).alias("at")).first()["at"]
+    return sorted(set(at or []))
+
+
+def prefix_sums(values: DataFrame, column: str, weight: str, name: str, parts: int = 256) -> DataFrame:
+    """Add the sum of `weight` over all rows up to and with this one, in order of a numeric column of distinct values: sums inside
+    cuts, plus offsets of at most `parts` cuts."""
+    bounds = F.array(*[F.lit(b) for b in _cuts(values, column, parts)])
+    if not isinstance(values.schema[column].dataType, T.NumericType):
+        raise TypeError(f"{column} must be numeric")
+    cut = values.withColumn("_cut", F.size(F.filter(bounds.cast(T.ArrayType(values.schema[column].dataType)), lambda b: b < F.col(column))))
+    sizes = cut.groupBy("_cut").agg(F.sum(weight).alias("_n"))
+    upto = Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_cut", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inside = F.sum(weight).over(Window.partitionBy("_cut").orderBy(column))
+    return cut.withColumn("_inside", inside).join(F.broadcast(offsets), "_cut").withColumn(name, F.col("_before") + F.col("_inside")).drop("_cut", "_inside", "_before")
+
+
+def least_rows(df: DataFrame, n: int, draw: Column, tie: Column) -> Column:
+    """A condition that holds for the n rows of least (draw, tie), and for rows that equal the last of these. draw: whole numbers from 0
+    below 2**32. The edge is found from two histograms of 65,536 cells; only rows with the very draw of the edge are sorted."""
+    marked = df.select(draw.alias("_h"), tie.alias("_k"))
+    low, left = 0, n
+    for shift in (16, 0):
+        inside = marked if shift else marked.where(F.col("_h").between(low, low + (1 << 16) - 1))
+        cells = inside.groupBy(F.expr(f"_h >> {shift}").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()  # 65,536 rows at most
+        for cell in sorted(cells, key=lambda r: r["c"]):
+            if cell["n"] >= left:
+                low = cell["c"] << shift
+                break
+            left -= cell["n"]
+        else:
+            return F.lit(True)
+    edge = marked.where(F.col("_h") == low).orderBy("_k").limit(left).agg(F.max("_k")).first()[0]
+    return (draw < low) | ((draw == low) & (tie <= F.lit(edge)))
+
+
 def dense_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """(column, code): codes from 0 in order of value, without one task for all values."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()

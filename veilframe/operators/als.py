@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.features import clipped
+from veilframe.functions.features import clipped, prefix_sums
 from veilframe.operators.bias import BiasModel, evaluate, fit_bias, predict_bias
 from veilframe.operators.item_knn import collapsed, residuals
 
@@ -49,9 +49,8 @@ def raw_als_metrics(train: DataFrame, test: DataFrame, rank: int = 32, iteration
 def average_rank_share(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add the average rank of a value over the number of rows (ties share the mean of their ranks)."""
     sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    # a row for each distinct value of one figure of the catalogue
-    upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = sizes.select(column, "_n", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    total = sizes.agg(F.sum("_n").alias("_all"))
+    ranks = prefix_sums(sizes, column, "_n", "_upto").join(F.broadcast(total))
     share = (F.col("_upto") - (F.col("_n") - 1) / 2.0) / F.col("_all")
     return df.join(ranks.select(column, share.alias(name)), column)
 

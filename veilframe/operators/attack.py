@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.features import dense_index
+from veilframe.functions.features import dense_index, prefix_sums
 from veilframe.functions.hashing import draw
 from veilframe.operators.releases import Release, null_safe, row_key
+from veilframe.session import checkpointed
 
 #: Known facts up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_FACTS = 500_000
@@ -19,17 +20,17 @@ def sampled_facts(knowledge: DataFrame, n_known=(1, 2, 3), trials: int = 300, se
     """knowledge rows with n_known, trial, target_user: for each n and trial, n rows of one user who has n rows or more."""
     spark = knowledge.sparkSession
     rows = knowledge.withColumn("_key", row_key(knowledge))
-    histories = rows.groupBy(user).agg(F.count(F.lit(1)).alias("_rows"))
+    histories = checkpointed(rows.groupBy(user).agg(F.count(F.lit(1)).alias("_rows")))  # read for each n
     drawn = []
     for n in n_known:
         coded = dense_index(histories.where(F.col("_rows") >= n).select(user), user, "_i")
         size = coded.agg(F.count(F.lit(1)).alias("_size"))
         each = spark.range(trials).select(F.col("id").cast("int").alias("trial"), F.lit(n).alias("n_known"))
         each = each.join(F.broadcast(size)).where("_size > 0").withColumn("_i", draw(seed, "target", "n_known", "trial") % F.col("_size"))
-        drawn.append(coded.join(F.broadcast(each), "_i").select("trial", "n_known", F.col(user).alias("target_user")))
+        drawn.append(coded.join(F.broadcast(each) if trials <= BROADCAST_FACTS else each, "_i").select("trial", "n_known", F.col(user).alias("target_user")))
     targets = reduce(DataFrame.unionByName, drawn)
-    # trials * len(n_known) rows
-    facts = rows.join(F.broadcast(targets), rows[user] == targets["target_user"])
+    few = trials * len(n_known) <= BROADCAST_FACTS  # targets has so many rows
+    facts = rows.join(F.broadcast(targets) if few else targets, rows[user] == targets["target_user"])
     order = Window.partitionBy("n_known", "trial").orderBy(draw(seed, "fact", "n_known", "trial", "_key"), "_key")
     return facts.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("n_known")).drop("_rank", "_key")
 
@@ -59,7 +60,7 @@ def attack_trials(knowledge: DataFrame, index: DataFrame, cols, n_known=(1, 2, 3
     )
     k = F.col("candidate_count")
     return counted.select(
-        F.lit("+".join(cols)).alias("knowledge_cols"),
+        F.lit(" + ".join(cols)).alias("knowledge_cols"),
         "n_known",
         "trial",
         "target_user",
@@ -162,8 +163,11 @@ def popularity_buckets(df: DataFrame) -> DataFrame:
     """(movie_id, popularity, bucket): quartiles of the rank by (users, movie_id), cut at 1 + (n - 1) q, closed on the right."""
     pop = df.groupBy("movie_id").agg(F.countDistinct("customer_id").alias("popularity"))
     n = pop.agg(F.count(F.lit(1)).alias("_n"))
-    # the catalogue of items is sorted as a whole, not the ratings
-    ranked = pop.withColumn("_rank", F.row_number().over(Window.orderBy("popularity", "movie_id"))).join(F.broadcast(n))
+    # items of one popularity are ranked by themselves, after all less popular ones
+    sizes = pop.groupBy("popularity").agg(F.count(F.lit(1)).alias("_same"))
+    upto = prefix_sums(sizes, "popularity", "_same", "_upto").select("popularity", (F.col("_upto") - F.col("_same")).alias("_below"))
+    own = F.row_number().over(Window.partitionBy("popularity").orderBy("movie_id"))
+    ranked = pop.withColumn("_own", own).join(upto, "popularity").withColumn("_rank", F.col("_below") + F.col("_own")).join(F.broadcast(n))
     edge = lambda q: 1 + (F.col("_n") - 1) * q
     bucket = (
         F.when(F.col("_rank") <= edge(0.25), "rare").when(F.col("_rank") <= edge(0.5), "less_common").when(F.col("_rank") <= edge(0.75), "common")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.features import clipped
+from veilframe.functions.features import clipped, least_rows
 from veilframe.functions.hashing import below, draw
 from veilframe.operators.releases import Release, make_releases, row_key
+from veilframe.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -21,18 +21,11 @@ class BiasModel:
     items: DataFrame  # movie_id, bi
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-"))
-    return df.checkpoint()
-
-
 def fit_bias(df: DataFrame, rating_col: str = "rating", epochs: int = 8, reg: float = 10.0) -> BiasModel:
-    """Alternating regularised means. Ratings are grouped by (user, item) sums once, so an epoch moves two small tables."""
-    known = df.select("customer_id", "movie_id", F.col(rating_col).cast("double").alias("r")).where(F.col("r").isNotNull())
-    mean = known.agg(F.avg("r")).first()[0]
+    """Alternating regularised means. Ratings are added up by (user, item) and written once; every half epoch reads those sums."""
+    rows = df.select("customer_id", "movie_id", F.col(rating_col).cast("double").alias("r")).where(F.col("r").isNotNull())
+    known = checkpointed(rows.groupBy("customer_id", "movie_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")))
+    mean = known.agg(F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).first()[0]
     if mean is None:
         raise ValueError("there are no ratings to fit")
     items = known.select("movie_id").distinct().withColumn("bi", F.lit(0.0))
@@ -41,13 +34,13 @@ def fit_bias(df: DataFrame, rating_col: str = "rating", epochs: int = 8, reg: fl
         users = _step(known, items, "movie_id", "bi", "customer_id", "bu", mean, reg)
         items = _step(known, users, "customer_id", "bu", "movie_id", "bi", mean, reg)
         if epoch % 2 == 1 or epoch == epochs - 1:
-            users, items = _cut(users), _cut(items)
+            users, items = checkpointed(users), checkpointed(items)
     return BiasModel(mean, users, items)
 
 
 def _step(known, other, other_key, other_bias, key, bias, mean, reg) -> DataFrame:
-    left = F.col("r") - F.lit(mean) - F.coalesce(F.col(other_bias), F.lit(0.0))
-    return known.join(other, other_key).groupBy(key).agg((F.sum(left) / (F.count(F.lit(1)) + reg)).alias(bias))
+    left = F.col("s") - F.col("n") * (F.lit(mean) + F.coalesce(F.col(other_bias), F.lit(0.0)))
+    return known.join(other, other_key).groupBy(key).agg((F.sum(left) / (F.sum("n") + reg)).alias(bias))
 
 
 def predict_bias(model: BiasModel, pairs: DataFrame, name: str = "prediction") -> DataFrame:
@@ -83,24 +76,22 @@ def split(df: DataFrame, test_share: float = 0.2, seed: int = 333, check: bool =
 
 def sampled(df: DataFrame, rows: int, seed: int = 333) -> DataFrame:
     """Exactly `rows` rows (or all), by least hash."""
-    return df.orderBy(draw(seed, "sample", row_key(df)), row_key(df)).limit(rows)
+    return df.where(least_rows(df, rows, draw(seed, "sample", row_key(df)), row_key(df))).limit(rows)
 
 
 def exact_split(df: DataFrame, train_share: float = 0.8, seed: int = 333) -> tuple[DataFrame, DataFrame]:
     """(sample of exactly round(share * rows) rows, the others)."""
     n = round(df.count() * train_share)
     key = row_key(df)
-    edge = df.select(draw(seed, "exact", key).alias("_h"), key.alias("_k")).orderBy("_h", "_k").limit(n).agg(F.max(F.struct("_h", "_k")).alias("_edge"))
-    held = df.withColumn("_at", F.struct(draw(seed, "exact", key).alias("_h"), key.alias("_k"))).join(F.broadcast(edge))
-    inside = F.coalesce(F.col("_at") <= F.col("_edge"), F.lit(False))
-    return held.where(inside).drop("_at", "_edge"), held.where(~inside).drop("_at", "_edge")
+    inside = least_rows(df, n, draw(seed, "exact", key), key) if n else F.lit(False)
+    return df.where(inside), df.where(~inside)
 
 
 def holdout_users(df: DataFrame, share: float = 0.25, seed: int = 333) -> DataFrame:
     """At least one user, a share of all, by least hash."""
     users = df.select("customer_id").distinct()
     n = max(1, int(users.count() * share))
-    return users.orderBy(draw(seed, "holdout-user", "customer_id"), "customer_id").limit(n)
+    return users.where(least_rows(users, n, draw(seed, "holdout-user", "customer_id"), F.col("customer_id")))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.7, seed: int = 333) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +108,25 @@ def official_holdout(
     keys = ["movie_id", "customer_id"]
     by = order or keys
     train, test = ratings.join(pairs.select(*keys), keys, "left_anti"), ratings.join(pairs.select(*keys), keys, "left_semi")
-    return (train.orderBy(*by).limit(max_train) if max_train else train), (test.orderBy(*by).limit(max_test) if max_test else test)
+    return (first_rows(train, max_train, by) if max_train else train), (first_rows(test, max_test, by) if max_test else test)
+
+
+def first_rows(df: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """The first n rows in an order: sorted partitions are written, whole ones taken as far as they go, and one of them cut."""
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    parts = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    held = checkpointed(parts)
+    whole, left, cut = [], n, None
+    for r in held.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
+        if r["count"] > left:
+            cut = r["_part"]
+            break
+        whole.append(r["_part"])
+        left -= r["count"]
+    out = held.where(F.col("_part") < (len(whole) and whole[-1] + 1))
+    if cut is not None and left:
+        out = out.union(held.where(F.col("_part") == cut).withColumn("_rank", rank).where(F.col("_rank") <= left).drop("_rank"))
+    return out.drop("_part")
 
 
 def compare_releases(train: DataFrame, test: DataFrame, releases: list[Release] | None = None, epochs: int = 8, reg: float = 10.0, **options) -> DataFrame:

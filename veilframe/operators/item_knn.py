@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from veilframe.functions.features import clipped
 from veilframe.operators.bias import BiasModel, predict_bias
 
+HISTORY = 512
+
 
 def collapsed(df: DataFrame, rating_col: str = "rating") -> DataFrame:
     """One row for each user and movie, with the mean rating."""
@@ -22,13 +24,17 @@ def residuals(df: DataFrame, baseline: BiasModel, rating_col: str = "rating") ->
 def item_neighbours(res: DataFrame, k: int = 30, min_sim: float = 0.05) -> DataFrame:
     """(movie_id, neighbour, sim): the k most alike items of each, by cosine over all users (absent ratings count as zero).
 
-    Each pair is made once (least id first) and then read both ways. The self-join on users is quadratic in a user's history,
-    which is bounded by the catalogue; partial sums are combined before the shuffle on pairs.
+    Each pair is made once (least id first) and then read both ways. The self-join is quadratic in a user's history, so histories are
+    joined block by block of about HISTORY items, and no task has more than HISTORY**2 pairs of one key; partial sums are combined
+    before the shuffle on pairs.
     """
     norms = res.groupBy("movie_id").agg(F.sqrt(F.sum(F.col("res") * F.col("res"))).alias("norm"))
-    a = res.select("customer_id", F.col("movie_id").alias("a"), F.col("res").alias("ra"))
-    b = res.select("customer_id", F.col("movie_id").alias("b"), F.col("res").alias("rb"))
-    dots = a.join(b, "customer_id").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("dot"))
+    # a long history is dealt into blocks, and each pair of blocks is a key of its own
+    size = F.count(F.lit(1)).over(Window.partitionBy("customer_id"))
+    dealt = res.withColumn("_blocks", F.ceil(size / HISTORY).cast("int")).withColumn("_own", F.expr("cast(pmod(xxhash64(movie_id), _blocks) as int)"))
+    a = dealt.select("customer_id", F.col("movie_id").alias("a"), F.col("res").alias("ra"), F.col("_own").alias("_i"), F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_j"))
+    b = dealt.select("customer_id", F.col("movie_id").alias("b"), F.col("res").alias("rb"), F.col("_own").alias("_j"), F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_i"))
+    dots = a.join(b, ["customer_id", "_i", "_j"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("dot"))
     na, nb = norms.select(F.col("movie_id").alias("a"), F.col("norm").alias("na")), norms.select(F.col("movie_id").alias("b"), F.col("norm").alias("nb"))
     sims = (
         dots.where("dot > 0")

@@ -26,7 +26,7 @@ def release_k_anonymity(release: Release) -> DataFrame:
     rows = release.data.agg(F.count(F.lit(1)).alias("rows_released"))
     return fact_k_anonymity(release.data, release.knowledge_cols).join(F.broadcast(rows)).select(
         F.lit(release.name).alias("release_name"),
-        F.lit("+".join(release.knowledge_cols)).alias("knowledge_cols"),
+        F.lit(" + ".join(release.knowledge_cols)).alias("knowledge_cols"),
         "rows_released",
         F.lit(release.rating_col).alias("rating_col"),
         F.lit(release.description).alias("description"),

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.functions.features import expected_stars, normalize_title, rating_bucket, star_bounds, user_equals
 from veilframe.schema import normalized_titles, require_columns
@@ -29,9 +32,37 @@ class LinkageConfig:
     top_n: int = 50
 
 
-def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def title_ratio(a: str, b: str) -> float:
     """Likeness of matching blocks; it depends on which side is first."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def _two_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of pairs (_q, _norm, ...) those that may be among the two most alike of their _q and year, with the likeness _s. The share of
+    letters that lengths allow, and then that common letters allow, bounds it from above; most pairs end there."""
+    best: dict[tuple, list[float]] = {}
+    letters: dict[str, Counter] = {}
+
+    def counted(text: str) -> Counter:
+        if len(letters) > 200_000:  # bounds a task's memory
+            letters.clear()
+        if text not in letters:
+            letters[text] = Counter(text)
+        return letters[text]
+
+    for b in batches:
+        keep, scores = [], []
+        for k, (q, y, t) in enumerate(zip(b["_q"], b["_qy"], b["_norm"], strict=True)):
+            two = best.setdefault((q, None if y != y else y), [-1.0, -1.0])
+            total = len(q) + len(t)
+            if 2 * min(len(q), len(t)) / total < two[1] or 2 * (counted(q) & counted(t)).total() / total < two[1]:
+                continue
+            s = title_ratio(q, t)
+            if s >= two[1]:
+                keep.append(k)
+                scores.append(s)
+                two[:] = sorted([*two, s], reverse=True)[:2]
+        yield b.iloc[keep].assign(_s=scores)
 
 
 def match_titles(external: DataFrame, titles: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -93,8 +124,12 @@ def _fuzzy(left: DataFrame, catalogue: DataFrame, config: MatchConfig) -> DataFr
     of their own so that the others keep an equi-join."""
     pool = catalogue.where(F.col("_norm") != "").select("netflix_movie_id", "netflix_year", "_norm")
     dated = left.where(F.col("_qy").isNotNull()).join(pool, F.col("_qy") == F.col("netflix_year"))
-    undated = left.where(F.col("_qy").isNull()).withColumn("_one", F.lit(1)).join(pool.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    pairs = dated.unionByName(undated).withColumn("_s", F.pandas_udf(title_ratio, "double")("_q", "_norm"))
+    # titles without a year are asked of every part of the catalogue
+    parts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = left.where(F.col("_qy").isNull()).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    undated = asked.join(pool.withColumn("_part", F.expr(f"cast(pmod(xxhash64(netflix_movie_id), {parts}) as int)")), "_part").drop("_part")
+    both = dated.unionByName(undated)
+    pairs = both.mapInPandas(_two_best, T.StructType([*both.schema.fields, T.StructField("_s", T.DoubleType())]))
     order = Window.partitionBy("_q", "_qy").orderBy(F.col("_s").desc(), F.col("netflix_movie_id").desc())
     two = pairs.withColumn("_rank", F.row_number().over(order)).where("_rank <= 2").groupBy("_q", "_qy")
     top = two.agg(

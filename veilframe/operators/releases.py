@@ -5,13 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.features import clipped, dense_index, with_features
+from veilframe.functions.features import clipped, dense_index, prefix_sums, with_features
 from veilframe.functions.hashing import TOP, below, draw
+from veilframe.session import checkpointed
 
 ROW = "row_key"
+#: Pools of up to this many values (two numbers each) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_VALUES = 500_000
 
 
 @dataclass(frozen=True)
@@ -112,19 +115,29 @@ def other_value(index: Column, h: Column, n: Column) -> Column:
     return F.when(n <= 1, index).otherwise((index + 1 + h % F.greatest(n - 1, F.lit(1))) % n)
 
 
+def _masked(held: DataFrame, values: DataFrame, key: Column, name: str) -> DataFrame:
+    """Left join of the rows with _mask to values by key = name. The other rows meet nothing; where they are shuffled at all it is by
+    their draw, so that they spread evenly."""
+    right = values.withColumnRenamed(name, "_v").withColumn("_m", F.lit(True))
+    mine = held.withColumn("_meet", F.when(F.col("_mask"), key.cast("bigint")).otherwise(F.col("_h")))
+    return mine.join(right, (F.col("_mask") == F.col("_m")) & (F.col("_meet") == F.col("_v").cast("bigint")), "left").drop("_v", "_m", "_meet")
+
+
 def _resampled(df: DataFrame, column: str, pool: DataFrame, mask: Column, h: Column, weighted: bool) -> DataFrame:
     """Replace `column` where mask holds. pool: (column, _n rows) of each value."""
     if not weighted:
-        coded = dense_index(pool.select(column), column, "_i")
-        size = coded.agg(F.count(F.lit(1)).alias("_size"))
-        held = df.withColumn("_mask", mask).withColumn("_h", h).join(F.broadcast(size))
-        own = held.join(coded, column, "left").withColumn("_j", F.when(F.col("_mask"), other_value(F.col("_i"), F.col("_h"), F.col("_size"))).otherwise(F.col("_i")))
-        back = coded.select(F.col("_i").alias("_j"), F.col(column).alias("_new"))
-        return own.join(back, "_j", "left").withColumn(column, F.coalesce("_new", column)).drop("_mask", "_h", "_size", "_i", "_j", "_new")
+        coded = checkpointed(dense_index(pool.select(column), column, "_i"))
+        n = coded.count()
+        small = F.broadcast if n <= BROADCAST_VALUES else (lambda x: x)
+        held = df.withColumn("_mask", mask).withColumn("_h", h)
+        own = _masked(held, small(coded), F.col(column), column)
+        moved = own.withColumn("_j", F.when(F.col("_mask"), other_value(F.col("_i"), F.col("_h"), F.lit(n)))).drop("_i")
+        back = small(coded.select(F.col("_i").alias("_j0"), F.col(column).alias("_new")))
+        return _masked(moved, back, F.col("_j"), "_j0").withColumn(column, F.coalesce("_new", column)).drop("_mask", "_h", "_j", "_new")
     # counts as whole-number intervals; the own interval is cut out of the line, then the draw is looked up
-    line = pool.withColumn("_high", F.sum("_n").over(Window.orderBy(column))).withColumn("_low", F.col("_high") - F.col("_n"))
+    line = checkpointed(prefix_sums(pool, column, "_n", "_high").withColumn("_low", F.col("_high") - F.col("_n")))
     total = pool.agg(F.sum("_n").alias("_total"))
-    held = df.withColumn("_mask", mask).withColumn("_h", h).join(line, column, "left").join(F.broadcast(total))
+    held = _masked(df.withColumn("_mask", mask).withColumn("_h", h), line, F.col(column), column).join(F.broadcast(total))
     x = F.expr(f"(_h * (_total - _n)) div {TOP}")
     held = held.withColumn("_x", F.when(F.col("_mask") & (F.col("_total") > F.col("_n")), x + F.when(x >= F.col("_low"), F.col("_n")).otherwise(0)))
     step = F.expr("1 + _total div 4096")  # cells of the line, so that the lookup is an equi-join

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.features import clipped
+from veilframe.functions.features import clipped, prefix_sums
 from veilframe.functions.hashing import TOP, draw
 
 FIRST_USER = 900_000_000
@@ -21,9 +21,13 @@ LONGEST = 150
 def _intervals(df: DataFrame, column: str) -> DataFrame:
     """(value, low, high, z): values by falling frequency as intervals of [0, 1], and the normal score of the middle."""
     sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(F.col("_n").desc(), F.col(column))  # over the distinct values of one categorical column
-    held = sizes.select(F.col(column).alias("value"), F.sum("_n").over(order).alias("_up"), "_n", F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    normal = F.udf(lambda u: NormalDist().inv_cdf(min(max(u, 1e-9), 1 - 1e-9)), "double")  # once for each distinct value
+    # values of one frequency are added up by themselves, after all more frequent ones
+    levels = sizes.groupBy("_n").agg((F.col("_n") * F.count(F.lit(1))).alias("_level")).withColumn("_key", -F.col("_n"))
+    above = prefix_sums(levels, "_key", "_level", "_upto").select("_n", (F.col("_upto") - F.col("_level")).alias("_above"))
+    own = F.sum("_n").over(Window.partitionBy("_n").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    total = sizes.agg(F.sum("_n").alias("_all"))
+    held = sizes.withColumn("_own", own).join(above, "_n").join(F.broadcast(total)).select(F.col(column).alias("value"), (F.col("_above") + F.col("_own")).alias("_up"), "_n", "_all")
+    normal = F.pandas_udf(lambda s: s.clip(1e-9, 1 - 1e-9).map(NormalDist().inv_cdf), "double")  # once for each distinct value
     low, high = (F.col("_up") - F.col("_n")) / F.col("_all"), F.col("_up") / F.col("_all")
     return held.select("value", low.alias("low"), high.alias("high"), normal((low + high) / 2).alias("z"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -13,6 +12,7 @@ from veilframe.functions import features as fx
 from veilframe.functions.hashing import TOP
 from veilframe.operators import attack, bias, fidelity, item_knn, k_anonymity, linkage, neighbours, releases
 from veilframe.plans import adapters as ad
+from veilframe.session import checkpoint_folder
 
 SEED, RARE, TRIALS = 333, 20, 50
 CTE = f"WITH {ad.RATINGS}"
@@ -79,10 +79,7 @@ def summary_stats(spark, d):
 
 def _folder(spark) -> str:
     """A fresh folder that driver and executors share."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get().rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def header_block_source(spark, d):
@@ -259,7 +256,7 @@ def noisy_attack_summary(spark, d):
 NOISY_HEAD = f"""{CTE}, pool AS (SELECT v, v - 1 AS i FROM (SELECT unnest([1, 2, 3, 4, 5]) AS v)),
 noisy AS (SELECT r.customer_id, r.movie_id, CASE WHEN {ad.draw(SEED, 'mask-rating', 'r.row_key')} < {int(0.2 * TOP)}
   THEN CAST((r.rating - 1 + 1 + {ad.draw(SEED, 'value-rating', 'r.row_key')} % 4) % 5 + 1 AS INT) ELSE r.rating END AS rating FROM base r)"""
-NOISY_SQL = f"""{trials_sql('noisy', head=NOISY_HEAD)}, flags AS (SELECT 'movie_id+rating' AS knowledge_cols, n_known, CAST(trial AS INT) AS trial, target_user, candidate_count, hit AS true_user_in_candidates,
+NOISY_SQL = f"""{trials_sql('noisy', head=NOISY_HEAD)}, flags AS (SELECT 'movie_id + rating' AS knowledge_cols, n_known, CAST(trial AS INT) AS trial, target_user, candidate_count, hit AS true_user_in_candidates,
   candidate_count BETWEEN 1 AND 4 AS less_than_5_candidates, candidate_count BETWEEN 1 AND 4 AND hit AS less_than_5_correct, candidate_count BETWEEN 1 AND 4 AND NOT hit AS less_than_5_wrong,
   candidate_count = 1 AS "unique", candidate_count = 1 AND hit AS unique_correct, candidate_count = 1 AND NOT hit AS unique_wrong, candidate_count = 0 AS no_match FROM trials)"""
 
@@ -652,8 +649,8 @@ SELECT row_key, CAST(CASE WHEN h < {int(0.125 * TOP)} THEN GREATEST(1, rating -
 e AS (SELECT quantile_cont(w, 0.85) AS edge FROM w), x AS (SELECT b.*, w, edge, {ad.draw(SEED, 'latent-flip', 'row_key')} AS f, {ad.draw(SEED, 'latent-sign', 'row_key')} AS g FROM base b JOIN w USING (movie_id), e)
 SELECT row_key, CAST(CASE WHEN f < (0.08E0 + 0.47E0 * w) * {TOP} THEN GREATEST(1, LEAST(5, rating + CASE WHEN g < {TOP // 2} THEN -1 ELSE 1 END)) ELSE rating END AS INT) AS rating,
   CASE WHEN w >= edge THEN CAST(year AS VARCHAR) ELSE month END AS month FROM x"""),
-        "candidate_trials": (candidate_trials, f"""{trials_sql()} SELECT 'movie_id+rating' AS knowledge_cols, n_known, CAST(trial AS INT) AS trial, target_user, candidate_count, hit AS true_user_in_candidates, candidate_count = 1 AS "unique", round({SURETY}, 9) AS surety_pct FROM trials"""),
-        "candidate_summary": (candidate_summary, f"""{trials_sql()} SELECT 'movie_id+rating' AS knowledge_cols, n_known, round(AVG(candidate_count), 9) AS avg_candidate_size, median(candidate_count) AS median_candidate_size, {pct('candidate_count = 1', 'pct_unique')},
+        "candidate_trials": (candidate_trials, f"""{trials_sql()} SELECT 'movie_id + rating' AS knowledge_cols, n_known, CAST(trial AS INT) AS trial, target_user, candidate_count, hit AS true_user_in_candidates, candidate_count = 1 AS "unique", round({SURETY}, 9) AS surety_pct FROM trials"""),
+        "candidate_summary": (candidate_summary, f"""{trials_sql()} SELECT 'movie_id + rating' AS knowledge_cols, n_known, round(AVG(candidate_count), 9) AS avg_candidate_size, median(candidate_count) AS median_candidate_size, {pct('candidate_count = 1', 'pct_unique')},
   {pct('candidate_count <= 5', 'pct_5_or_less')}, {pct('candidate_count <= 10', 'pct_10_or_less')}, round(AVG({SURETY}), 9) AS avg_surety_pct, round(median({SURETY}), 9) AS median_surety_pct, COUNT(*) AS trials FROM trials GROUP BY n_known"""),
         "noisy_attack_trials": (noisy_attack_trials, f"{NOISY_SQL} SELECT * FROM flags"),
         "noisy_attack_summary": (noisy_attack_summary, f"""{NOISY_SQL} SELECT knowledge_cols, n_known, COUNT(*) AS trials, round(AVG(candidate_count), 9) AS avg_candidate_size, median(candidate_count) AS median_candidate_size,

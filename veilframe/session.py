@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "veilframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,3 +33,24 @@ def reachable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         held["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the session names, or one of this machine where all executors run on
+    it. On a cluster without a named one this is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and held.isDefined():
+        return held.get().rstrip("/")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = (named or tempfile.mkdtemp(prefix="veilframe-")).rstrip("/")
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written in the checkpoint folder and read from there: cuts lineage, and outlives lost executors."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()

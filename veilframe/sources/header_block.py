@@ -46,6 +46,17 @@ def _field(k: int) -> Column:
     return F.get(F.split("line", ",", 3), F.lit(k))
 
 
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows in file order: whole splits as far as they go, and the first rows of one more."""
+    sizes = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, 0))  # a row for each split
+    taken = sizes.select("file", "split", "_n", (F.lit(n) - upto + F.col("_n")).alias("_left")).where("_left > 0")
+    held = rows.join(taken, ["file", "split"])
+    rank = F.row_number().over(Window.partitionBy("file", "split").orderBy("at"))
+    cut = held.where("_n > _left").withColumn("_rank", rank).where("_rank <= _left").drop("_rank")
+    return held.where("_n <= _left").union(cut).drop("_n", "_left")
+
+
 def read_ratings(
     spark: SparkSession,
     files: list[str] | str,
@@ -71,7 +82,7 @@ def read_ratings(
     if exclude_pairs is not None:
         rows = rows.join(exclude_pairs.select("movie_id", "customer_id"), ["movie_id", "customer_id"], "left_anti")
     if max_rows is not None:
-        rows = rows.orderBy("file", "split", "at").limit(max_rows)
+        rows = _first(rows, max_rows)
     names = [f.name for f in RATINGS if include_date or f.name != "date"]
     return rows.select(*names)
 
@@ -82,7 +93,7 @@ def read_pairs(spark: SparkSession, files: list[str] | str, max_rows: int | None
     rows = _with_items(_lines(spark, files)).select(F.col("item").alias("movie_id"), _field(0).try_cast("int").alias("customer_id"), "file", "split", "at")
     rows = rows.where(F.col("customer_id").isNotNull())
     if max_rows is not None:
-        rows = rows.orderBy("file", "split", "at").limit(max_rows)
+        rows = _first(rows, max_rows)
     return rows.select(*PAIRS.names)
 
 

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def _text(value):
 
 
 def json_rows(page: str, user: str) -> list[Row]:
-    rows: list[Row] = []
+    rows: dict[Row, None] = {}  # in order, each once
     for body in re.findall(r"<script[^>]*>(.*?)</script>", page, re.S | re.I):
         try:
             payload = json.loads(_html.unescape(body).strip())
@@ -107,9 +108,8 @@ def json_rows(page: str, user: str) -> list[Row]:
             year = node.get("releaseYear")
             year = _number(year.get("year") if isinstance(year, dict) else year) if year is not None else None
             row = (str(title), int(year) if year else None, user, rating)
-            if row not in rows:
-                rows.append(row)
-    return rows
+            rows[row] = None
+    return list(rows)
 
 
 def page_rows(page: str | None, user: str) -> list[Row]:
@@ -119,7 +119,12 @@ def page_rows(page: str | None, user: str) -> list[Row]:
 def extract_ratings(pages: DataFrame, html_col: str = "html", user_col: str | None = None) -> DataFrame:
     """pages' other columns with title, year, user, rating: a row for each rating found."""
     kind = "array<struct<title:string,year:int,user:string,rating:double>>"
-    found = F.udf(lambda page, user: page_rows(page, user or ""), kind)
+
+    @F.pandas_udf(kind)
+    def found(page: pd.Series, user: pd.Series) -> pd.Series:
+        names = ("title", "year", "user", "rating")
+        return pd.Series([[dict(zip(names, r, strict=True)) for r in page_rows(p, u or "")] for p, u in zip(page, user, strict=True)])
+
     user = F.col(user_col) if user_col else F.lit("")
     rest = [c for c in pages.columns if c not in (html_col, user_col)]
     return pages.select(*rest, F.explode(found(F.col(html_col), user)).alias("_r")).select(*rest, "_r.*")
