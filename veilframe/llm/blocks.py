@@ -8,6 +8,7 @@ place. A word is at most once in a block's slice, so the most frequent word weig
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,12 +23,15 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import shuffle_partitions, stored_by
 
 BLOCK_BYTES = 8 << 20
+LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 SCHEMA = "bid long, part int, n long, body binary, docs binary"
 
 
 def release() -> None:
-    """Give memory that Arrow keeps for later back: workers live on, and an executor's limit counts all of them."""
+    """Give memory that Arrow and the C library keep for later back: workers live on, and an executor's limit counts all of them."""
     pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
 
 
 def pack(a: np.ndarray | bytes) -> bytes:

@@ -56,7 +56,7 @@ LENGTH = 400
 #: Units of a trigger, and bits that make one place in 128 bytes, or one word in 16, a trigger, and those of the denser sets: of a
 #: parse by bytes, by words.
 BYTES, WORDS = (12, 7, 4, 2), (3, 4, 2, 1)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of text and documents of a block.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
 #: Neighbours on either side that are compared in the parse's order.
