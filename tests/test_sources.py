@@ -103,8 +103,12 @@ def test_files(data_folder, tmp_path):
     assert got.read_bytes() == b"abc"
     with pytest.raises(ValueError):
         fs.scrape_ratings("ur1", "u", lambda url: "<html>")
+    assert fs.ratings_url("https://x/ratings") == "https://x/ratings" and fs.ratings_url("/user/ur7/").endswith("/user/ur7/ratings")
     with pytest.raises(ValueError):
-        fs.ratings_url("x")
+        fs.ratings_url("/")
+    (data_folder / fs.PAIRS_FILE).rename(tmp_path / "pairs")
+    assert not fs.verify_files(data_folder)["ok"] and fs.verify_files(data_folder, pairs=False)["ok"]
+    (tmp_path / "pairs").rename(data_folder / fs.PAIRS_FILE)
 
 
 def test_commands(spark, data_folder, tmp_path, capsys):
@@ -112,9 +116,57 @@ def test_commands(spark, data_folder, tmp_path, capsys):
     (tmp_path / "p.csv").write_text("title,year,user,rating\nThe Night Train,1999,u,10\nMovie With Comma,2001,u,8\n")
     out = str(tmp_path / "out")
     assert main(["linkage-attack", "--data", str(data_folder), "--out", out, "--profile", str(tmp_path / "p.csv"), "--user", "U"]) == 0
-    top = spark.read.csv(f"{out}/candidates", header=True).orderBy("rank").first()
+    top = spark.read.csv(f"{out}/linkage_U_candidates.csv", header=True).orderBy("rank").first()
     assert top["customer_id"] == "10"
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.csv")) == [f"linkage_U_{x}.csv" for x in ("candidates", "facts", "matched_titles")]
+    assert all((tmp_path / "out" / f"linkage_U_{x}.csv").is_file() for x in ("candidates", "facts", "matched_titles"))
+    assert main(["--data-dir", str(data_folder), "verify-data", "--require-probe"]) == 0
     assert main(["linkage-attack", "--data", str(data_folder), "--out", out, "--profile", str(tmp_path / "p.csv"), "--user", "nobody"]) == 1
     assert "error:" in capsys.readouterr().err
     with pytest.raises(SystemExit):
         main(["privacy-eval", "--trials", "0"])
+
+
+def test_flags_and_defaults():
+    from veilframe.cli import build_parser
+
+    parse = build_parser().parse_args
+    demo = parse(["run-demo"])
+    assert (demo.rare_min, demo.epochs, demo.top_n, demo.trials, demo.max_rows, demo.user) == (100, 6, 25, 50, 200_000, "planktonrules")
+    link = parse(["--output-dir", "o", "linkage-attack", "--no-fuzzy", "--imdb-csv", "p.csv"])
+    assert (link.out, link.no_fuzzy, link.profile, link.top_n) == ("o", True, "p.csv", 50)
+    rmse = parse(["rmse-eval", "--holdout", "probe", "--max-scan-rows", "9", "--test-fraction", "0.3", "--regularization", "5"])
+    assert (rmse.holdout, rmse.max_scan_rows, rmse.test_share, rmse.reg, rmse.epochs, rmse.rare_min) == ("probe", 9, 0.3, 5.0, 8, 500)
+    page = parse(["scrape-imdb", "--user", "u", "--ratings-url", "https://x", "--sleep-seconds", "0"])
+    assert (page.ratings_url, page.sleep_seconds) == ("https://x", 0.0)
+    assert str(parse(["download-netflix", "--archive", "a.zip"]).archive) == "a.zip"
+
+
+def test_named_sinks(spark, tmp_path):
+    from veilframe.plans import report
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "x string, y int")
+    made = report.write_sweep(str(tmp_path), df, df, report.version_tagged(df))
+    assert [p.rsplit("/", 1)[1] for p in made] == ["noise_attack_raw_results.csv", "noise_attack_summary.csv", "noise_attack_main_table.csv"]
+    assert spark.read.csv(made[2], header=True).first().dataset_version == "original_non_anonymized"
+    assert spark.read.parquet(*report.write_predictions(str(tmp_path), df)).count() == 2
+    calls = []
+    for _ in range(2):
+        assert report.cached(spark, str(tmp_path / "c"), lambda: calls.append(1) or df).count() == 2
+    assert len(calls) == 1
+    names = spark.createDataFrame([("remove_rare_movies_min_20",), ("movie_only",)], "release_name string")
+    assert [r.label for r in report.presented(names).collect()] == ["Movie only", "No rare movies, users >= 20"]
+    assert report.pivoted(df, "x", "y", "y").count() == 2
+
+
+def test_first_rows_and_limits(spark, data_folder):
+    from veilframe.operators import bias
+    from veilframe.sources.header_block import read_ratings
+
+    files = [str(data_folder / f) for f in fs.RATING_FILES]
+    every = read_ratings(spark, files)
+    for n in (1, 3, 5, 8, 20):
+        assert read_ratings(spark, files, max_rows=n).count() == min(n, 8)
+        got = bias.first_rows(every, n, ["movie_id", "customer_id"]).orderBy("movie_id", "customer_id").collect()
+        assert got == every.orderBy("movie_id", "customer_id").limit(n).collect()
+        assert bias.sampled(every, n).count() == min(n, 8)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tarfile
+import time
 import urllib.request
 import zipfile
 from collections.abc import Callable, Iterable
@@ -21,23 +22,24 @@ def data_files(folder: str | Path) -> dict[str, Path]:
     return {**{f: folder / f for f in RATING_FILES}, "titles": titles, "pairs": folder / PAIRS_FILE}
 
 
-def missing_files(folder: str | Path) -> list[str]:
-    return [p.name for p in data_files(folder).values() if not p.exists()]
+def missing_files(folder: str | Path, pairs: bool = True) -> list[str]:
+    """Names of the files that aren't there; pairs: whether the held-out pairs are needed."""
+    return [p.name for k, p in data_files(folder).items() if not p.exists() and (pairs or k != "pairs")]
 
 
-def verify_files(folder: str | Path) -> dict:
+def verify_files(folder: str | Path, pairs: bool = True) -> dict:
     held = data_files(folder)
-    missing = missing_files(folder)
+    missing = missing_files(folder, pairs)
     return {"ok": not missing, "missing": missing, "present": {p.name: p.stat().st_size for p in held.values() if p.exists()}}
 
 
-def first_folder(candidates: Iterable[str | Path]) -> Path:
+def first_folder(candidates: Iterable[str | Path], pairs: bool = True) -> Path:
     """The first folder that has all files; else an error that lists what each lacks."""
     tried = []
     for c in map(Path, candidates):
-        if c.is_dir() and not (missing := missing_files(c)):
+        if c.is_dir() and not (missing := missing_files(c, pairs)):
             return c
-        tried.append(f"{c}: {', '.join(missing_files(c)) if c.is_dir() else 'no such folder'}")
+        tried.append(f"{c}: {', '.join(missing) if c.is_dir() else 'no such folder'}")
     raise FileNotFoundError("; ".join(tried) or "no folder was named")
 
 
@@ -78,16 +80,22 @@ def unpack(archive: str | Path, folder: str | Path) -> list[Path]:
 
 
 def ratings_url(person: str) -> str:
-    if not person or not person.startswith("ur") or not person[2:].isdigit():
-        raise ValueError("a person's id is ur and digits")
-    return f"https://www.imdb.com/user/{person}/ratings"
+    """The address of a person's ratings: a full address as it is, else that of an id or name, with or without `user/` before it."""
+    if person.startswith(("http://", "https://")):
+        return person
+    name = person.strip("/").removeprefix("user/")
+    if not name:
+        raise ValueError("an address, an id or a name is needed")
+    return f"https://www.imdb.com/user/{name}/ratings"
 
 
-def scrape_ratings(person: str, name: str, fetch: Callable[[str], str]) -> list[tuple]:
-    """Rows of a person's first page of ratings; an empty page is an error. fetch: the page of an address."""
+def scrape_ratings(person: str, name: str, fetch: Callable[[str], str], pause: float = 0.0) -> list[tuple]:
+    """Rows of a person's first page of ratings; an empty page is an error. fetch: the page of an address; pause: seconds after it."""
     from veilframe.sources.html_ratings import page_rows
 
     rows = page_rows(fetch(ratings_url(person)), name)
+    if pause > 0:
+        time.sleep(pause)
     if not rows:
         raise ValueError(f"no ratings on the page of {person}")
     return rows
