@@ -45,11 +45,13 @@ def candidates(facts: DataFrame, index: DataFrame, cols, user: str = "customer_i
     return had.join(F.broadcast(wanted) if bounded else wanted, ["n_known", "trial"]).where("_had = _wanted").select("n_known", "trial", "candidate")
 
 
-def attack_trials(knowledge: DataFrame, index: DataFrame, cols, n_known=(1, 2, 3), trials: int = 300, seed: int = 333) -> DataFrame:
+def attack_trials(knowledge: DataFrame, index: DataFrame, cols, n_known=(1, 2, 3), trials: int = 300, seed: int = 333, facts: DataFrame | None = None) -> DataFrame:
     """One row for each trial: candidate_count, true_user_in_candidates, unique, surety_pct. What is known comes from `knowledge`,
-    what it is looked up in is `index`; they are the same table unless noise lies between them."""
+    what it is looked up in is `index`; they are the same table unless noise lies between them. facts: those of `knowledge`, where they
+    were drawn before."""
     cols = list(cols)
-    facts = sampled_facts(knowledge, n_known, trials, seed)
+    if facts is None:
+        facts = sampled_facts(knowledge, n_known, trials, seed)
     bounded = trials * sum(n_known) <= BROADCAST_FACTS
     found = candidates(facts, index, cols, bounded=bounded)
     targets = facts.select("n_known", "trial", "target_user").distinct()
@@ -117,14 +119,17 @@ MODES = {
 
 def evaluate_modes(df: DataFrame, modes=MODES, n_known=(1, 2, 3), trials: int = 300, seed: int = 333) -> DataFrame:
     """Summary for each kind of knowledge of one featured table."""
-    parts = [attack_trials(df, df, cols, n_known, trials, seed).withColumn("mode", F.lit(m)) for m, cols in modes.items()]
+    facts = checkpointed(sampled_facts(df, n_known, trials, seed))  # the same for all kinds
+    parts = [attack_trials(df, df, cols, n_known, trials, seed, facts).withColumn("mode", F.lit(m)) for m, cols in modes.items()]
     return attack_summary(reduce(DataFrame.unionByName, parts), ("mode", "knowledge_cols", "n_known"))
 
 
-def noisy_trials(clean: DataFrame, noisy: DataFrame, cols, n_known=(1, 2, 3, 4), trials: int = 300, seed: int = 333, cutoff: int = 5) -> DataFrame:
+def noisy_trials(
+    clean: DataFrame, noisy: DataFrame, cols, n_known=(1, 2, 3, 4), trials: int = 300, seed: int = 333, cutoff: int = 5, facts: DataFrame | None = None
+) -> DataFrame:
     """Known rows from the clean table, looked up in the noisy one; small and unique sets told apart by whether they hold the
     true user. A small set has from 1 to cutoff - 1 users."""
-    t = attack_trials(clean, noisy, cols, n_known, trials, seed)
+    t = attack_trials(clean, noisy, cols, n_known, trials, seed, facts)
     small, true = F.col("candidate_count").between(1, cutoff - 1), F.col("true_user_in_candidates")
     return t.select(
         "knowledge_cols",
@@ -180,8 +185,8 @@ BUCKETS = {"rare": 1, "less_common": 2, "common": 3, "popular": 4}
 
 def trials_with_features(df: DataFrame, cols, n_known=(1, 2, 3), trials: int = 300, seed: int = 333) -> DataFrame:
     """Trials with avg_popularity, min_popularity, rarest_bucket, avg_rating, has_low_rating, has_high_rating of what is known."""
-    facts = sampled_facts(df, n_known, trials, seed).join(popularity_buckets(df), "movie_id")
-    about = facts.groupBy("n_known", "trial").agg(
+    drawn = checkpointed(sampled_facts(df, n_known, trials, seed))
+    about = drawn.join(popularity_buckets(df), "movie_id").groupBy("n_known", "trial").agg(
         F.avg("popularity").alias("avg_popularity"),
         F.min("popularity").alias("min_popularity"),
         F.min_by("bucket", F.struct("popularity", "movie_id")).alias("rarest_bucket"),
@@ -189,7 +194,7 @@ def trials_with_features(df: DataFrame, cols, n_known=(1, 2, 3), trials: int = 3
         F.max((F.col("rating") <= 2).cast("int")).cast("boolean").alias("has_low_rating"),
         F.max((F.col("rating") >= 4).cast("int")).cast("boolean").alias("has_high_rating"),
     )
-    return attack_trials(df, df, cols, n_known, trials, seed).join(about, ["n_known", "trial"])
+    return attack_trials(df, df, cols, n_known, trials, seed, drawn).join(about, ["n_known", "trial"])
 
 
 def risk_by(trials: DataFrame, column: str) -> DataFrame:

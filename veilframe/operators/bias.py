@@ -164,23 +164,25 @@ def utility_sweep(train: DataFrame, test: DataFrame, grid: list[tuple[str, float
     the clean run. Retained by RMSE: the share of the clean model's lead over the global mean that is left."""
     base = global_mean_baseline(train, test).first()
     clean = evaluate(fit_predict(train, test)).first()
-    out = []
-    for scenario, p, noisy in grid:
-        got = clean if p == 0 else evaluate(fit_predict(noisy, test)).first()
-        lead = base["rmse"] - clean["rmse"]
-        out.append(
-            (
-                model,
-                scenario,
-                float(p),
-                got["rmse"],
-                got["mae"],
-                got["within_one_star"],
-                100 * (base["rmse"] - got["rmse"]) / lead if lead > 0 else None,
-                100 * got["within_one_star"] / clean["within_one_star"] if clean["within_one_star"] else None,
-                100 * (got["rmse"] / clean["rmse"] - 1) if clean["rmse"] else None,
-            )
+    return _swept(train, model, base, clean, [(s, p, clean if p == 0 else evaluate(fit_predict(noisy, test)).first()) for s, p, noisy in grid])
+
+
+def _swept(train: DataFrame, model: str, base, clean, found: list) -> DataFrame:
+    lead = base["rmse"] - clean["rmse"]
+    out = [
+        (
+            model,
+            scenario,
+            float(p),
+            got["rmse"],
+            got["mae"],
+            got["within_one_star"],
+            100 * (base["rmse"] - got["rmse"]) / lead if lead > 0 else None,
+            100 * got["within_one_star"] / clean["within_one_star"] if clean["within_one_star"] else None,
+            100 * (got["rmse"] / clean["rmse"] - 1) if clean["rmse"] else None,
         )
+        for scenario, p, got in found
+    ]
     return train.sparkSession.createDataFrame(
         out,
         "model string, scenario string, p double, rmse double, mae double, within_one_star double, retained_rmse_pct double, "
@@ -188,6 +190,33 @@ def utility_sweep(train: DataFrame, test: DataFrame, grid: list[tuple[str, float
     )
 
 
+def bias_sweep(train: DataFrame, test: DataFrame, grid: list[tuple[str, float, DataFrame]], epochs: int = 6, reg: float = 10.0) -> DataFrame:
+    """utility_sweep of the bias model, all points fitted together: the number of a point is part of every key, so an epoch is two joins
+    whatever the grid. Sums by (point, user, item) are written once."""
+    noisy = [(s, p, df) for s, p, df in grid if p > 0]
+    tables = [df.select(F.lit(k).alias("_v"), "customer_id", "movie_id", F.col("rating").cast("double").alias("r")) for k, df in enumerate([train, *[x[2] for x in noisy]])]
+    rows = reduce(DataFrame.union, tables).where(F.col("r").isNotNull())
+    known = checkpointed(rows.groupBy("_v", "customer_id", "movie_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")))
+    means = {r["_v"]: r["m"] for r in known.groupBy("_v").agg((F.sum("s") / F.sum("n")).alias("m")).collect()}  # one row a point
+    if len(means) < len(tables):
+        raise ValueError("there are no ratings to fit")
+    mean = F.create_map(*[F.lit(x) for kv in means.items() for x in kv])[F.col("_v")]
+    held = {"movie_id": known.select("_v", "movie_id").distinct().withColumn("b", F.lit(0.0))}
+    for epoch in range(epochs):
+        for key, other in (("customer_id", "movie_id"), ("movie_id", "customer_id")):
+            left = F.col("s") - F.col("n") * (mean + F.col("b"))
+            held[key] = known.join(held[other], ["_v", other]).groupBy("_v", key).agg((F.sum(left) / (F.sum("n") + reg)).alias("b"))
+        if epoch % 2 == 1 or epoch == epochs - 1:
+            held = {k: checkpointed(df) for k, df in held.items()}
+    asked = test.withColumn("_v", F.explode(F.array(*[F.lit(k) for k in means])))
+    users, items = (held[k].withColumnRenamed("b", n) for k, n in (("customer_id", "bu"), ("movie_id", "bi")))
+    both = asked.join(users, ["_v", "customer_id"], "left").join(items, ["_v", "movie_id"], "left")
+    value = both.withColumn("prediction", clipped(mean + F.coalesce("bu", F.lit(0.0)) + F.coalesce("bi", F.lit(0.0))))
+    got = {r["_v"]: r for r in value.groupBy("_v").agg(*metrics(F.col("rating").cast("double"), F.col("prediction"))).collect()}  # one row a point
+    number = {(s, p): k for k, (s, p, _) in enumerate(noisy, 1)}
+    return _swept(train, "bias", global_mean_baseline(train, test).first(), got[0], [(s, p, got[number.get((s, p), 0)]) for s, p, _ in grid])
+
+
 def bias_fit_predict(epochs: int = 6, reg: float = 10.0):
     return lambda train, test: predict_bias(fit_bias(train, "rating", epochs, reg), test)
 

@@ -123,11 +123,13 @@ def _masked(held: DataFrame, values: DataFrame, key: Column, name: str) -> DataF
     return mine.join(right, (F.col("_mask") == F.col("_m")) & (F.col("_meet") == F.col("_v").cast("bigint")), "left").drop("_v", "_m", "_meet")
 
 
-def _resampled(df: DataFrame, column: str, pool: DataFrame, mask: Column, h: Column, weighted: bool) -> DataFrame:
-    """Replace `column` where mask holds. pool: (column, _n rows) of each value."""
+def _resampled(df: DataFrame, column: str, pool: DataFrame, mask: Column, h: Column, weighted: bool, pools: dict) -> DataFrame:
+    """Replace `column` where mask holds. pool: (column, _n rows) of each value; pools: what was made of it before."""
     if not weighted:
-        coded = checkpointed(dense_index(pool.select(column), column, "_i"))
-        n = coded.count()
+        if column not in pools:
+            coded = checkpointed(dense_index(pool.select(column), column, "_i"))
+            pools[column] = coded, coded.count()
+        coded, n = pools[column]
         small = F.broadcast if n <= BROADCAST_VALUES else (lambda x: x)
         held = df.withColumn("_mask", mask).withColumn("_h", h)
         own = _masked(held, small(coded), F.col(column), column)
@@ -153,12 +155,12 @@ def _resampled(df: DataFrame, column: str, pool: DataFrame, mask: Column, h: Col
 
 
 def make_noisy_release(
-    df: DataFrame, rating_p: float = 0.0, movie_p: float = 0.0, user_p: float = 0.0, seed: int = 333, weighted: bool = False
+    df: DataFrame, rating_p: float = 0.0, movie_p: float = 0.0, user_p: float = 0.0, seed: int = 333, weighted: bool = False, pools: dict | None = None
 ) -> DataFrame:
     """Row noise: each of rating, movie and user is replaced by another value with its own probability. Ratings come from 1..5,
     movies and users from those of the table; weighted draws follow how often values occur. User noise is by row, not a new
-    pseudonym for the user."""
-    spark, out = df.sparkSession, df.withColumn("_key", row_key(df))
+    pseudonym for the user. pools: a dictionary that keeps the values of df for further releases of it."""
+    spark, out, pools = df.sparkSession, df.withColumn("_key", row_key(df)), {} if pools is None else pools
     for column, p in (("rating", rating_p), ("movie_id", movie_p), ("customer_id", user_p)):
         _share(p, column)
         if p == 0:
@@ -167,7 +169,7 @@ def make_noisy_release(
         if column == "rating" and not weighted:
             counts = spark.range(1, 6).select(F.col("id").cast(df.schema["rating"].dataType).alias("rating"), F.lit(1).alias("_n"))
         mask, h = below(seed, f"mask-{column}", p, "_key"), draw(seed, f"value-{column}", "_key")
-        out = _resampled(out, column, counts, mask, h, weighted)
+        out = _resampled(out, column, counts, mask, h, weighted, pools)
     return out.select(*df.columns)
 
 
@@ -178,7 +180,8 @@ SHARES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2)
 def noise_grid(df: DataFrame, shares=SHARES, scenarios=SCENARIOS, seed: int = 333, weighted: bool = False) -> list[tuple[str, float, DataFrame]]:
     """(scenario, p, release) of the whole grid."""
     on = {"rating": (1, 0, 0), "movie": (0, 1, 0), "user_id": (0, 0, 1), "all_three": (1, 1, 1)}
-    return [(s, p, make_noisy_release(df, *[p * x for x in on[s]], seed=seed, weighted=weighted)) for s in scenarios for p in shares]
+    pools: dict = {}
+    return [(s, p, make_noisy_release(df, *[p * x for x in on[s]], seed=seed, weighted=weighted, pools=pools)) for s in scenarios for p in shares]
 
 
 def latent_sensitive(df: DataFrame, weights: DataFrame, seed: int = 333) -> DataFrame:

@@ -12,9 +12,9 @@ from veilframe.functions import features as fx
 from veilframe.functions.hashing import TOP
 from veilframe.operators import attack, bias, fidelity, item_knn, k_anonymity, linkage, neighbours, releases
 from veilframe.plans import adapters as ad
-from veilframe.session import checkpoint_folder
+from veilframe.session import checkpoint_folder, checkpointed
 
-SEED, RARE, TRIALS = 333, 20, 50
+SEED, RARE, TRIALS, EPOCHS = 333, 20, 300, 8
 CTE = f"WITH {ad.RATINGS}"
 KEY = "row_key"
 
@@ -199,19 +199,19 @@ def candidate_trials(spark, d):
     return rounded(attack.attack_trials(b, b, ATTACK, (1, 2, 3), TRIALS, SEED))
 
 
-def trials_sql(index="base", ns=(1, 2, 3), cols=ATTACK, head=""):
+def trials_sql(index="base", ns=(1, 2, 3), cols=ATTACK, head="", known="base"):
     """CTEs up to trials(n_known, trial, target_user, candidate_count, hit)."""
     keys, on = ", ".join(cols), " AND ".join(f"i.{c} IS NOT DISTINCT FROM k.{c}" for c in cols)
     t = ad.draw(SEED, "target", "e.n_known", "e.trial")
     f = ad.draw(SEED, "fact", "t.n_known", "t.trial", "b.row_key")
     ns = ", ".join(map(str, ns))
-    return f"""{head or CTE}, hist AS (SELECT customer_id, COUNT(*) AS rows_ FROM base GROUP BY customer_id),
+    return f"""{head or CTE}, hist AS (SELECT customer_id, COUNT(*) AS rows_ FROM {known} GROUP BY customer_id),
 elig AS (SELECT n_known, customer_id, row_number() OVER (PARTITION BY n_known ORDER BY customer_id) - 1 AS i, COUNT(*) OVER (PARTITION BY n_known) AS size_
   FROM hist, (SELECT unnest([{ns}]) AS n_known) WHERE rows_ >= n_known),
 each_ AS (SELECT n_known, trial FROM (SELECT unnest([{ns}]) AS n_known), (SELECT unnest(range({TRIALS})) AS trial)),
 targets AS (SELECT e.n_known, e.trial, g.customer_id AS target_user FROM each_ e JOIN elig g ON g.n_known = e.n_known AND g.i = {t} % g.size_),
 facts AS (SELECT * FROM (SELECT t.n_known, t.trial, t.target_user, b.*, row_number() OVER (PARTITION BY t.n_known, t.trial ORDER BY {f}, b.row_key) AS rn
-  FROM targets t JOIN base b ON b.customer_id = t.target_user) WHERE rn <= n_known),
+  FROM targets t JOIN {known} b ON b.customer_id = t.target_user) WHERE rn <= n_known),
 known AS (SELECT DISTINCT n_known, trial, {keys} FROM facts),
 wanted AS (SELECT n_known, trial, COUNT(*) AS w FROM known GROUP BY n_known, trial),
 had AS (SELECT n_known, trial, candidate, COUNT(*) AS h FROM (SELECT DISTINCT k.n_known, k.trial, {', '.join('k.' + c for c in cols)}, i.customer_id AS candidate FROM known k JOIN {index} i ON {on}) GROUP BY n_known, trial, candidate),
@@ -227,6 +227,25 @@ def pct(flag, name):
     return f"round(AVG(CASE WHEN {flag} THEN 1.0E0 ELSE 0.0E0 END) * 100, 9) AS {name}"
 
 
+def summary_sql():
+    return f"""round(AVG(candidate_count), 9) AS avg_candidate_size, median(candidate_count) AS median_candidate_size, {pct('candidate_count = 1', 'pct_unique')},
+  {pct('candidate_count <= 5', 'pct_5_or_less')}, {pct('candidate_count <= 10', 'pct_10_or_less')}, round(AVG({SURETY}), 9) AS avg_surety_pct, round(median({SURETY}), 9) AS median_surety_pct, COUNT(*) AS trials"""
+
+
+def modes_sql():
+    parts = [f"SELECT * FROM ({trials_sql(cols=cols)} SELECT '{m}' AS mode, '{' + '.join(cols)}' AS knowledge_cols, n_known, {summary_sql()} FROM trials GROUP BY n_known)" for m, cols in attack.MODES.items()]
+    return " UNION ALL ".join(parts)
+
+
+def release_attack_sql():
+    parts = []
+    for name, at, cols, _ in RELEASES:
+        at = at.format("base")
+        t = trials_sql(at, cols=cols, head=f"{CTE}, {_release_tables('base')}", known=at)
+        parts.append(f"SELECT * FROM ({t} SELECT '{name}' AS release_name, '{' + '.join(cols)}' AS knowledge_cols, n_known, {summary_sql()} FROM trials GROUP BY n_known)")
+    return " UNION ALL ".join(parts)
+
+
 SURETY = "CASE WHEN candidate_count > 0 THEN 100.0E0 / candidate_count ELSE 0.0E0 END"
 
 
@@ -276,12 +295,12 @@ FROM trials JOIN about USING (n_known, trial) GROUP BY {column}, n_known"""
 
 
 def knowledge_modes(spark, d):
-    return rounded(attack.evaluate_modes(base(spark, d), {m: attack.MODES[m] for m in ("movie_only", "movie_rating", "movie_date")}, (1, 2), TRIALS, SEED))
+    return rounded(attack.evaluate_modes(base(spark, d), attack.MODES, (1, 2, 3), TRIALS, SEED))
 
 
 def release_attack_summary(spark, d):
     got = releases.make_releases(ad.ratings(spark, d), SEED, RARE, 5, ("movie_id", "rating"))
-    return rounded(attack.evaluate_releases(got, (3,), TRIALS, SEED)[2])
+    return rounded(attack.evaluate_releases(got, (1, 2, 3), TRIALS, SEED)[2])
 
 
 # --- splits and the bias model ----------------------------------------------------------------------------------------
@@ -309,15 +328,29 @@ def official_holdout(spark, d):
     return train.select(KEY, F.lit("train").alias("side")).union(test.select(KEY, F.lit("test").alias("side")))
 
 
-def bias_epoch1(spark, d):
+def bias_predictions(spark, d):
     train, test = bias.split(ad.ratings(spark, d), 0.2, SEED, check=False)
-    return rounded(bias.predict_bias(bias.fit_bias(train, epochs=1), test).select(KEY, "prediction"), 6)
+    return rounded(bias.predict_bias(bias.fit_bias(train, epochs=EPOCHS), test).select(KEY, "prediction"), 6)
+
 
 
-BIAS_SQL = f"""{CTE}, train AS (SELECT * FROM ratings WHERE NOT ({TEST_SQL})), test AS (SELECT * FROM ratings WHERE {TEST_SQL}),
-mu AS (SELECT AVG(CAST(rating AS DOUBLE)) AS m FROM train),
-bu AS (SELECT customer_id, SUM(rating - m) / (COUNT(*) + 10.0E0) AS bu FROM train, mu GROUP BY customer_id),
-bi AS (SELECT movie_id, SUM(rating - m - bu) / (COUNT(*) + 10.0E0) AS bi FROM train JOIN bu USING (customer_id), mu GROUP BY movie_id),
+
+def bias_ctes(epochs=EPOCHS, train="train", value="rating", p="", by=""):
+    """CTEs mu{p}(m), bu{p}(customer_id, bu), bi{p}(movie_id, bi) of a model's epochs; by: a further key of every table, with a comma."""
+    on = lambda key: f"USING ({by}{key})"
+    mean = f"CROSS JOIN mu{p}" if not by else f"JOIN mu{p} USING ({by.rstrip(', ')})"
+    grouped = f" GROUP BY {by.rstrip(', ')}" if by else ""
+    out = [f"mu{p} AS MATERIALIZED (SELECT {by}AVG(CAST({value} AS DOUBLE)) AS m FROM {train}{grouped})"]
+    for e in range(1, epochs + 1):
+        other, less = ("", "") if e == 1 else (f"JOIN bi{p}_{e - 1} {on('movie_id')}", f" - bi{p}_{e - 1}.b")
+        out.append(f"bu{p}_{e} AS MATERIALIZED (SELECT {by}customer_id, SUM({value} - m{less}) / (COUNT(*) + 10.0E0) AS b FROM {train} {other} {mean} GROUP BY {by}customer_id)")
+        out.append(f"bi{p}_{e} AS MATERIALIZED (SELECT {by}movie_id, SUM({value} - m - b) / (COUNT(*) + 10.0E0) AS b FROM {train} JOIN bu{p}_{e} {on('customer_id')} {mean} GROUP BY {by}movie_id)")
+    out.append(f"bu{p} AS (SELECT {by}customer_id, b AS bu FROM bu{p}_{epochs}), bi{p} AS (SELECT {by}movie_id, b AS bi FROM bi{p}_{epochs})")
+    return ", ".join(out)
+
+
+SPLIT_SQL = f"{CTE}, train AS (SELECT * FROM ratings WHERE NOT ({TEST_SQL})), test AS (SELECT * FROM ratings WHERE {TEST_SQL})"
+BIAS_SQL = f"""{SPLIT_SQL}, {bias_ctes()},
 pred AS (SELECT t.*, GREATEST(1.0E0, LEAST(5.0E0, m + COALESCE(bu, 0) + COALESCE(bi, 0))) AS prediction FROM test t LEFT JOIN bu USING (customer_id) LEFT JOIN bi USING (movie_id), mu)"""
 METRICS_SQL = """COUNT(*) AS test_rows, round(sqrt(AVG((prediction - rating) * (prediction - rating))), 6) AS rmse, round(AVG(abs(prediction - rating)), 6) AS mae,
 round(AVG(CASE WHEN abs(prediction - rating) <= 1 THEN 1.0E0 ELSE 0.0E0 END) * 100, 6) AS within_one_star"""
@@ -325,7 +358,7 @@ round(AVG(CASE WHEN abs(prediction - rating) <= 1 THEN 1.0E0 ELSE 0.0E0 END) * 1
 
 def bias_metrics(spark, d):
     train, test = bias.split(ad.ratings(spark, d), 0.2, SEED, check=False)
-    return rounded(bias.evaluate(bias.predict_bias(bias.fit_bias(train, epochs=1), test)), 6)
+    return rounded(bias.evaluate(bias.predict_bias(bias.fit_bias(train, epochs=EPOCHS), test)), 6)
 
 
 def global_mean(spark, d):
@@ -334,7 +367,51 @@ def global_mean(spark, d):
 
 def release_rmse(spark, d):
     train, test = bias.split(ad.ratings(spark, d), 0.2, SEED)
-    return rounded(bias.compare_releases(train, test, epochs=2, seed=SEED, rare_min=RARE, k=5, suppress_cols=("movie_id", "rating")), 6)
+    got = bias.compare_releases(train, test, epochs=EPOCHS, seed=SEED, rare_min=RARE, k=5, suppress_cols=("movie_id", "rating"))
+    return rounded(got.na.fill(-1).na.fill("none"), 6)
+
+
+def _release_tables(source):
+    """CTEs of the tables of the fixed releases made of a table with the columns of base."""
+    h = ad.draw(SEED, "rating-noise", "row_key")
+    return f"""noisy_ AS (SELECT * EXCLUDE (rating), CAST(CASE WHEN {h} < {int(0.125 * TOP)} THEN GREATEST(1, rating - 1) WHEN {h} >= {TOP - int(0.125 * TOP)} THEN LEAST(5, rating + 1) ELSE rating END AS INT) AS rating FROM {source}),
+rare_ AS (SELECT * FROM {source} WHERE movie_id IN (SELECT movie_id FROM {source} GROUP BY movie_id HAVING COUNT(DISTINCT customer_id) >= {RARE})),
+held_ AS (SELECT b.* FROM {source} b JOIN (SELECT movie_id, rating FROM {source} GROUP BY movie_id, rating HAVING COUNT(DISTINCT customer_id) >= 5) g USING (movie_id, rating))"""
+
+
+#: name, table, known columns, rating column
+RELEASES = [
+    ("original_movie_rating_month", "{}", ("movie_id", "rating", "month"), "rating"),
+    ("remove_month", "{}", ("movie_id", "rating"), "rating"),
+    ("year_only", "{}", ("movie_id", "rating", "year"), "rating"),
+    ("coarsen_rating", "{}", ("movie_id", "rating_bucket", "month"), "rating_bucket_midpoint"),
+    ("remove_month_and_coarsen_rating", "{}", ("movie_id", "rating_bucket"), "rating_bucket_midpoint"),
+    ("add_rating_noise", "noisy_", ("movie_id", "rating", "month"), "rating"),
+    (f"remove_rare_movies_min_{RARE}", "rare_", ("movie_id", "rating", "month"), "rating"),
+    ("k_suppress_movie_rating_month_k5", "held_", ("movie_id", "rating", "month"), "rating"),
+    ("movie_only", "{}", ("movie_id",), None),
+]
+
+
+def release_rmse_sql():
+    parts = [f"{CTE}, tb AS MATERIALIZED (SELECT * FROM base WHERE NOT ({TEST_SQL})), test AS MATERIALIZED (SELECT * FROM base WHERE {TEST_SQL}), {_release_tables('tb')}"]
+    fits, rows = {}, []
+    for name, at, _, value in RELEASES:
+        at = at.format("tb")
+        n = f"(SELECT COUNT(*) FROM {at})"
+        if value is None:
+            rows.append(f"SELECT '{name}' AS release_name, 'none' AS rating_col, {n} AS train_rows, -1 AS test_rows, -1.0E0 AS global_mean, -1.0E0 AS rmse, -1.0E0 AS mae, 'skipped_no_rating_labels' AS status")
+            continue
+        if (at, value) not in fits:
+            k = fits[at, value] = f"_f{len(fits)}"
+            parts.append(f"""{bias_ctes(train=at, value=value, p=k)}, e{k} AS (SELECT COUNT(*) AS n, any_value(m) AS m, sqrt(AVG(d * d)) AS r, AVG(abs(d)) AS a FROM (
+  SELECT m, GREATEST(1.0E0, LEAST(5.0E0, m + COALESCE(bu, 0) + COALESCE(bi, 0))) - rating AS d FROM test LEFT JOIN bu{k} USING (customer_id) LEFT JOIN bi{k} USING (movie_id) CROSS JOIN mu{k}))""")
+        k = fits[at, value]
+        rows.append(f"SELECT '{name}', '{value}', {n}, n, round(m, 6), round(r, 6), round(a, 6), 'ok' FROM e{k}")
+    return ", ".join(parts) + " " + " UNION ALL ".join([rows[-1], *rows[:-1]])
+
+
+RELEASE_LIST_SQL = f"{CTE}, {_release_tables('base')} " + " UNION ALL ".join(f"SELECT '{n}' AS release_name, COUNT(*) AS rows FROM {at.format('base')}" for n, at, _, _ in RELEASES)
 
 
 # --- linkage ----------------------------------------------------------------------------------------------------------
@@ -451,7 +528,7 @@ def pct_rank_weight(spark, d):
 
 def knn_parts(spark, d):
     train, test = bias.split(ad.ratings(spark, d), 0.2, SEED, check=False)
-    model = bias.fit_bias(train, epochs=1)
+    model = bias.fit_bias(train, epochs=EPOCHS)
     res = item_knn.residuals(train, model)
     return train, test, model, res
 
@@ -541,7 +618,7 @@ def als_predict(spark, d):
     from veilframe.operators.als import als_fit_predict
 
     train, test = bias.split(ad.ratings(spark, d), 0.2, SEED)
-    return als_fit_predict(rank=8, iterations=3, epochs=2)(train, test).select(KEY, "prediction")
+    return als_fit_predict()(train, test).select(KEY, "prediction")
 
 
 def als_factors(spark, d):
@@ -549,20 +626,73 @@ def als_factors(spark, d):
     from veilframe.operators.item_knn import collapsed
 
     r = ad.ratings(spark, d)
-    return factor_diagnostics(als_model(collapsed(r), "rating", 8, 3), r, ad.titles(spark, d))
+    return factor_diagnostics(als_model(collapsed(r), "rating"), r, ad.titles(spark, d))
+
+
+GRID_EPOCHS = 6
 
 
 def sweep(spark, d):
-    r = ad.ratings(spark, d)
-    train, test = bias.split(r, 0.2, SEED)
-    return bias.utility_sweep(train, test, releases.noise_grid(train, (0.0, 0.2), ("rating", "movie"), SEED), bias.bias_fit_predict(1))
+    train, test = bias.split(ad.ratings(spark, d), 0.2, SEED)
+    return rounded(bias.bias_sweep(train, test, releases.noise_grid(train, seed=SEED), GRID_EPOCHS).na.fill(-1.0), 6)
 
 
 def privacy_utility(spark, d):
     b = base(spark, d)
-    grid = releases.noise_grid(b, (0.0, 0.2), ("rating", "movie"), SEED)
-    parts = [attack.noisy_trials(b, x, ATTACK, (3,), TRIALS, SEED).withColumn("scenario", F.lit(s)).withColumn("p", F.lit(float(p))) for s, p, x in grid]
-    return bias.frontier(attack.noisy_summary(reduce(DataFrame.unionByName, parts), ("scenario", "p", "n_known")), sweep(spark, d))
+    facts = checkpointed(attack.sampled_facts(b, (1, 2, 3), TRIALS, SEED))
+    grid = releases.noise_grid(b, seed=SEED)
+    parts = [attack.noisy_trials(b, x, ATTACK, (1, 2, 3), TRIALS, SEED, facts=facts).withColumn("scenario", F.lit(s)).withColumn("p", F.lit(float(p))) for s, p, x in grid]
+    return rounded(bias.frontier(attack.noisy_summary(reduce(DataFrame.unionByName, parts), ("scenario", "p", "n_known")), sweep(spark, d)), 6)
+
+
+def grid_ctes(source):
+    """CTEs points(v, scenario, p), variants(v, and the thresholds of each column) and x: the rows of each variant. Points without
+    noise share variant 0."""
+    on = {"rating": (1, 0, 0), "movie": (0, 1, 0), "user_id": (0, 0, 1), "all_three": (1, 1, 1)}
+    points, variants = [], ["(0, 0, 0, 0)"]
+    for s in releases.SCENARIOS:
+        for share in releases.SHARES:
+            if share:
+                variants.append(f"({len(variants)}, {', '.join(str(int(share * w * TOP)) for w in on[s])})")
+            points.append(f"({len(variants) - 1 if share else 0}, '{s}', {float(share)!r}E0)")
+    h = lambda what, col: ad.draw(SEED, f"{what}-{col}", "r.row_key")
+    pool = lambda col: f"(SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT {col} AS v FROM {source}))"
+    return f"""points(v, scenario, p) AS (VALUES {', '.join(points)}), variants(v, tr, tm, tu) AS (VALUES {', '.join(variants)}),
+pool_m AS MATERIALIZED {pool('movie_id')}, pool_u AS MATERIALIZED {pool('customer_id')},
+drawn AS MATERIALIZED (SELECT r.*, {h('mask', 'rating')} AS hr, {h('mask', 'movie_id')} AS hm, {h('mask', 'customer_id')} AS hu, CAST((rating - 1 + 1 + {h('value', 'rating')} % 4) % 5 + 1 AS INT) AS nr, nm.v AS nm, nu.v AS nu
+  FROM {source} r JOIN pool_m om ON om.v = r.movie_id JOIN pool_m nm ON nm.i = (om.i + 1 + {h('value', 'movie_id')} % (om.n - 1)) % om.n
+  JOIN pool_u ou ON ou.v = r.customer_id JOIN pool_u nu ON nu.i = (ou.i + 1 + {h('value', 'customer_id')} % (ou.n - 1)) % ou.n),
+x AS MATERIALIZED (SELECT v, row_key, CASE WHEN hu < tu THEN nu ELSE customer_id END AS customer_id, CASE WHEN hm < tm THEN nm ELSE movie_id END AS movie_id, CASE WHEN hr < tr THEN nr ELSE rating END AS rating FROM drawn CROSS JOIN variants)"""
+
+
+SWEEP_CTES = f"""{grid_ctes('train')}, {bias_ctes(GRID_EPOCHS, 'x', p='_x', by='v, ')},
+errors AS (SELECT v, GREATEST(1.0E0, LEAST(5.0E0, m + COALESCE(bu, 0) + COALESCE(bi, 0))) - rating AS e FROM test CROSS JOIN variants JOIN mu_x USING (v) LEFT JOIN bu_x USING (v, customer_id) LEFT JOIN bi_x USING (v, movie_id)),
+got AS (SELECT v, sqrt(AVG(e * e)) AS rmse, AVG(abs(e)) AS mae, AVG(CASE WHEN abs(e) <= 1 THEN 1.0E0 ELSE 0.0E0 END) * 100 AS one FROM errors GROUP BY v),
+lead_ AS (SELECT (SELECT sqrt(AVG((rating - m) * (rating - m))) FROM test, (SELECT AVG(CAST(rating AS DOUBLE)) AS m FROM train)) AS base, rmse AS clean, one AS clean_one FROM got WHERE v = 0),
+swept AS (SELECT 'bias' AS model, scenario, p, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(one, 6) AS within_one_star, round(CASE WHEN base > clean THEN 100 * (base - rmse) / (base - clean) ELSE -1 END, 6) AS retained_rmse_pct,
+  round(100 * one / clean_one, 6) AS retained_within_one_pct, round(100 * (rmse / clean - 1), 6) AS rmse_increase_pct FROM points JOIN got USING (v) CROSS JOIN lead_)"""
+SWEEP_SQL = f"{SPLIT_SQL}, {SWEEP_CTES} SELECT * FROM swept"
+
+
+def frontier_sql():
+    """The attack on all variants of the whole table at once, then the sweep of the training side."""
+    head = f"{CTE}, {grid_ctes('base')}"
+    t = trials_sql(head=head)
+    cut = t.index("had AS (")
+    k = ", ".join("k." + c for c in ATTACK)
+    flags = f"""had AS (SELECT v, n_known, trial, candidate, COUNT(*) AS h FROM (SELECT DISTINCT v, k.n_known, k.trial, {k}, i.customer_id AS candidate FROM known k JOIN x i ON {' AND '.join(f'i.{c} = k.{c}' for c in ATTACK)}) GROUP BY v, n_known, trial, candidate),
+found AS (SELECT v, n_known, trial, candidate FROM had JOIN wanted USING (n_known, trial) WHERE h = w),
+trials AS (SELECT v, t.n_known, t.trial, COUNT(f.candidate) AS candidate_count, COALESCE(MAX(CASE WHEN f.candidate = t.target_user THEN 1 ELSE 0 END), 0) = 1 AS hit
+  FROM targets t CROSS JOIN variants LEFT JOIN found f USING (v, n_known, trial) GROUP BY v, t.n_known, t.trial),
+flags AS (SELECT v, n_known, candidate_count, candidate_count BETWEEN 1 AND 4 AS less_than_5_candidates, candidate_count BETWEEN 1 AND 4 AND hit AS less_than_5_correct, candidate_count BETWEEN 1 AND 4 AND NOT hit AS less_than_5_wrong,
+  candidate_count = 1 AS "unique", candidate_count = 1 AND hit AS unique_correct, candidate_count = 1 AND NOT hit AS unique_wrong, candidate_count = 0 AS no_match FROM trials)"""
+    six = lambda flag, name: pct(flag, name).replace(", 9)", ", 6)")
+    rate = lambda a, b: f"round(COALESCE(COUNT(*) FILTER ({a}) / CAST(NULLIF(COUNT(*) FILTER ({b}), 0) AS DOUBLE), 0), 6)"
+    shares = ", ".join(six(f'"{c}"', f"pct_{c}") for c in ("unique", "unique_correct", "unique_wrong", "less_than_5_candidates", "less_than_5_correct", "less_than_5_wrong", "no_match"))
+    risk_ = f"""{t[:cut]}{flags} SELECT scenario, p, n_known, COUNT(*) AS trials, round(AVG(candidate_count), 6) AS avg_candidate_size, median(candidate_count) AS median_candidate_size, {shares},
+  COUNT(*) FILTER ("unique") AS unique_count, COUNT(*) FILTER (less_than_5_candidates) AS less_than_5_count, {rate('unique_wrong', '"unique"')} AS unique_false_positive_rate, {rate('less_than_5_wrong', 'less_than_5_candidates')} AS less_than_5_false_positive_rate
+  FROM points JOIN flags USING (v) GROUP BY scenario, p, n_known"""
+    return f"SELECT * FROM ({risk_}) JOIN ({SWEEP_SQL}) USING (scenario, p)"
 
 
 def synthetic_checks(spark, d):
@@ -573,13 +703,13 @@ def train_on_synthetic(spark, d):
     from veilframe.operators.synthetic import train_on_synthetic as run
 
     train, test = bias.split(base(spark, d), 0.2, SEED)
-    return rounded(run(synthetic(spark, d), train, test, epochs=2), 6)
+    return rounded(run(synthetic(spark, d), train, test), 6)
 
 
 def raw_als(spark, d):
     from veilframe.operators.als import raw_als_metrics
 
-    return raw_als_metrics(*bias.split(ad.ratings(spark, d), 0.2, SEED), rank=8, iterations=3)
+    return raw_als_metrics(*bias.split(ad.ratings(spark, d), 0.2, SEED))
 
 
 def multi_model(spark, d):
@@ -637,7 +767,7 @@ SELECT ten, expected, low, high, CASE WHEN (low + high) / 2.0E0 <= 2 THEN 'disli
         "remove_rare_rows": (lambda s, d: rare_removed(base(s, d)).select(KEY), f"{CTE}{RARE_SQL} SELECT row_key FROM rare"),
         "equivalence_class_sizes": (class_sizes, f"{CTE} SELECT movie_id, rating, COUNT(DISTINCT customer_id) AS k FROM base GROUP BY movie_id, rating"),
         "fact_index": (fact_index, f"{CTE} SELECT DISTINCT movie_id, rating, customer_id FROM base"),
-        "release_list": (release_list, None),
+        "release_list": (release_list, RELEASE_LIST_SQL),
         "rating_noise": (rating_noise, f"""{CTE}, x AS (SELECT row_key, rating, {ad.draw(SEED, 'rating-noise', 'row_key')} AS h FROM ratings)
 SELECT row_key, CAST(CASE WHEN h < {int(0.125 * TOP)} THEN GREATEST(1, rating - 1) WHEN h >= {TOP - int(0.125 * TOP)} THEN LEAST(5, rating + 1) ELSE rating END AS INT) AS rating FROM x"""),
         "row_noise_rating": _of_noise(rating_p=0.1),
@@ -661,16 +791,16 @@ SELECT row_key, CAST(CASE WHEN f < (0.08E0 + 0.47E0 * w) * {TOP} THEN GREATEST(1
         "risk_by_popularity_bucket": (risk("rarest_bucket"), risk_sql("rarest_bucket")),
         "risk_by_low_rating": (risk("has_low_rating"), risk_sql("has_low_rating")),
         "risk_by_high_rating": (risk("has_high_rating"), risk_sql("has_high_rating")),
-        "knowledge_modes": (knowledge_modes, None),
-        "release_attack_summary": (release_attack_summary, None),
+        "knowledge_modes": (knowledge_modes, modes_sql()),
+        "release_attack_summary": (release_attack_summary, release_attack_sql()),
         "holdout_split": (holdout_split, f"{CTE} SELECT row_key, CASE WHEN {TEST_SQL} THEN 'test' ELSE 'train' END AS side FROM ratings"),
         "exact_split": (exact_split, f"{CTE} SELECT row_key, CASE WHEN row_number() OVER (ORDER BY {ad.draw(SEED, 'exact', KEY)}, row_key) <= round(COUNT(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS side FROM ratings"),
         "holdout_users": (holdout_users, f"{CTE}, u AS (SELECT DISTINCT customer_id FROM ratings) SELECT customer_id FROM u QUALIFY row_number() OVER (ORDER BY {ad.draw(SEED, 'holdout-user', 'customer_id')}, customer_id) <= GREATEST(1, CAST(FLOOR(COUNT(*) OVER () * 0.25) AS BIGINT))"),
         "official_holdout_antijoin": (official_holdout, f"{CTE}, p AS (SELECT DISTINCT movie_id, customer_id FROM ratings WHERE date >= DATE '2000-01-01') SELECT row_key, CASE WHEN p.movie_id IS NULL THEN 'train' ELSE 'test' END AS side FROM ratings r LEFT JOIN p ON p.movie_id = r.movie_id AND p.customer_id = r.customer_id"),
-        "bias_epoch1_predictions": (bias_epoch1, f"{BIAS_SQL} SELECT row_key, round(prediction, 6) AS prediction FROM pred"),
+        "bias_predictions": (bias_predictions, f"{BIAS_SQL} SELECT row_key, round(prediction, 6) AS prediction FROM pred"),
         "metrics_rmse_mae_within1": (bias_metrics, f"{BIAS_SQL} SELECT {METRICS_SQL} FROM pred"),
         "global_mean_baseline": (global_mean, f"{BIAS_SQL} SELECT {METRICS_SQL} FROM (SELECT rating, m AS prediction FROM test, mu)"),
-        "release_rmse_summary": (release_rmse, None),
+        "release_rmse_summary": (release_rmse, release_rmse_sql()),
         "match_exact_year": (match_exact_year, f"{EXACT_SQL} SELECT imdb_title, imdb_year, imdb_rating, netflix_movie_id FROM exact_ WHERE netflix_movie_id IS NOT NULL"),
         "match_unique_title": (match_unique_title, f"""{MATCH_SQL}, alone AS (SELECT norm, MAX(movie_id) AS id FROM norm_t GROUP BY norm HAVING COUNT(DISTINCT movie_id) = 1)
 SELECT p.title AS imdb_title, CAST(p.year + 1000 AS INT) AS imdb_year, p.rating AS imdb_rating, COALESCE(a.id, -1) AS netflix_movie_id, CASE WHEN a.id IS NULL THEN 'unmatched' ELSE 'unique_title' END AS match_method FROM norm_p p LEFT JOIN alone a USING (norm)"""),
@@ -703,8 +833,8 @@ SELECT customer_id AS profile, COALESCE(a, false) AS top1_hit, COALESCE(b, false
         "synthetic_release": (synthetic, None),
         "als_predict": (als_predict, None),
         "als_factor_diagnostics": (als_factors, None),
-        "utility_sweep": (sweep, None),
-        "privacy_utility_frontier": (privacy_utility, None),
+        "utility_sweep": (sweep, SWEEP_SQL),
+        "privacy_utility_frontier": (privacy_utility, frontier_sql()),
         "tabular_classifier": (text_classifier, None),
         "header_block_source": (header_block_source, f"{CTE} SELECT CAST(movie_id AS INT) AS movie_id, CAST(customer_id AS INT) AS customer_id, CAST(rating AS TINYINT) AS rating, CAST(date AS VARCHAR) AS date FROM ratings"),
         "titles_source": (titles_source, f"WITH {ad.TITLES} SELECT CAST(movie_id AS INT) AS movie_id, CASE WHEN movie_id % 7 = 0 THEN -1 ELSE year END AS year, title || ', the film' AS title FROM titles"),
