@@ -30,6 +30,20 @@ def test_components(spark):
     assert got == {x: r for x, r in want.items() if x != r}
 
 
+def test_components_of_nothing_and_scratch(spark):
+    from veilframe.llm import common
+
+    assert components.components(spark.createDataFrame([], "x long, y long")).count() == 0
+    odd = spark.createDataFrame([(1, None), (None, 2), (3, 3), (4, 5), (5, 4)], "x long, y long")
+    assert [tuple(r) for r in components.components(odd).collect()] == [(5, 4)]
+    with common.Scratch(spark) as work:
+        gone = common.stored(spark.range(3), "gone")
+        kept = work.keep(spark.range(4), "kept")
+        there = common._written[-2:]
+    assert kept.count() == 4 and there[1] in common._written and there[0] not in common._written
+    assert gone.columns == ["id"]
+
+
 # --- SimHash ------------------------------------------------------------------------------------------------------------
 def plain_simhash(t):
     w = (t or "").encode().lower().split()

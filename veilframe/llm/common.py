@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.session import checkpoint_folder
+
 #: The white space of every word definition here: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="veilframe-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 #: Paths that `stored` has written, for Scratch.
 _written: list[str] = []
 
@@ -49,15 +37,33 @@ class Scratch:
         new = _written[self.start :]
         _written[self.start :] = [p for p in new if p in self.kept]
         if kind is None:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
             for p in set(new) - self.kept:
-                at = jvm.org.apache.hadoop.fs.Path(p)
-                at.getFileSystem(conf).delete(at, True)
+                _delete(self.spark, p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Rolling:
+    """A table that is written again and again: each time the one before goes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        out, old = stored(df, label), self.path
+        self.path = _written[-1]
+        if old:
+            _written.remove(old)
+            _delete(self.spark, old)
+        return out
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to a fresh table in the shared folder and read it back: cuts lineage and fixes every value."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -66,7 +72,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def stored_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     """As stored, in hash buckets of key: later joins and groups on key read them without an exchange."""
     spark, name = df.sparkSession, f"veilframe_{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name, format="parquet")
+    df.write.bucketBy(buckets, key).option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name, format="parquet")
     back = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and back knows them
     return back

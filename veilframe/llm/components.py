@@ -1,50 +1,18 @@
 """Connected components of a graph given as edges, by alternating large and small stars.
 
-Each round is two joins on edges and a written table; the number of rounds grows with the logarithm of the longest path, and
-nothing but two numbers a round comes to the driver.
+Each round is two joins on edges and a written table, which takes the place of the one before; the number of rounds grows with the
+logarithm of the longest path, and nothing but two numbers a round comes to the driver.
+
+Defined cases: loops, repeated edges and both directions may occur; edges with a null at an end join nothing and are left out; no
+edges give no rows; the two columns may have any names, and there are no others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored
-
-
-def forest(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
-    """Edges of the same components, fewer of them: tasks of about per_task edges each keep a spanning forest of theirs.
-
-    edges: written, columns a and b, and possibly r, which keeps graphs apart.
-    """
-    names = edges.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict = {}
-
-        def find(x):
-            top = x
-            while parent.setdefault(top, top) != top:
-                top = parent[top]
-            while parent[x] != top:
-                parent[x], x = top, parent[x]
-            return top
-
-        for b in batches:
-            r = b["r"].tolist() if "r" in names else [0] * len(b)
-            keep = []
-            for k, (g, x, y) in enumerate(zip(r, b["a"].tolist(), b["b"].tolist(), strict=True)):
-                p, q = find((g, x)), find((g, y))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    keep.append(k)
-            yield b.iloc[keep]
-
-    tasks = max(1, edges.count() // per_task)
-    return edges.coalesce(tasks).mapInPandas(run, edges.schema)
+from veilframe.llm.common import Rolling
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -66,10 +34,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges: two columns of one ordered type; loops, repeats and both directions may occur.
     """
     a, b = edges.columns
-    held = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
+    table, seen = Rolling(edges.sparkSession), None
+    held = table.put(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(rounds):
-        held = stored(_small_star(_large_star(held)), "edges")
+        held = table.put(_small_star(_large_star(held)), "edges")
         now = tuple(held.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
         if now == seen:
             return held.select("a", F.col("b").alias("root"))

@@ -57,8 +57,9 @@ LENGTH = 400
 #: parse by bytes, by words.
 BYTES, WORDS = (12, 7, 4, 2), (3, 4, 2, 1)
 CHUNK = 1 << 18
-#: Bytes of text and documents of a block.
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
+#: Bytes of text and documents of a block. Packed, a block stays below half a megabyte, above which the JVM's collector keeps a value in
+#: regions of its own.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 4096
 #: Neighbours on either side that are compared in the parse's order.
 NEAR = 3
 
@@ -339,7 +340,7 @@ def _equal_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(contexts that share a half with another one: bid, place, lr, n; rows that stand twice or more: bid, place, lr)."""
     spark, order = rows.sparkSession, ["k", "c", "bid", "place"]
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     runs = stored(dealt.mapInPandas(_equal_rows, RUN), "runs")
     ends = sorted(runs.where("what BETWEEN 1 AND 3").collect(), key=lambda r: (r["part"], r["what"] == 2))  # two rows a partition
     chains: list[list[dict]] = []  # equal runs on both sides of partitions' ends
@@ -484,7 +485,7 @@ def _array(contexts: DataFrame, lengths: tuple[int, int | None], deep: bool, lab
     spark = contexts.sparkSession
     order = ["kind", "r", "l", "bid", "place"] if deep else ["kind", "l", "bid", "place"]
     rows = contexts if deep else contexts.select("kind", "bid", "place", "l")
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     told = stored(dealt.mapInPandas(_ordered(lengths, deep), ORDERED), label)
     ends = told.where("what > 0").collect()  # two rows a partition
     firsts, lasts = ({r["part"]: r for r in ends if r["what"] == w} for w in (1, 2))
@@ -602,7 +603,7 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _equal(windows: DataFrame) -> DataFrame:
     """(bid, doc, span) of the windows that equal another one; some may come twice."""
     spark, order = windows.sparkSession, ["core", "whole", "bid", "doc", "span"]
-    dealt = windows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = windows.repartitionByRange(*order).sortWithinPartitions(*order)
     marks = stored(dealt.mapInPandas(_neighbours, MARK), "windows")
     ends = marks.where("what > 0").collect()  # two rows a partition
     firsts, lasts = ({r["part"]: r for r in ends if r["what"] == w} for w in (1, 2))
