@@ -38,6 +38,7 @@ start with `_rep_`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -45,7 +46,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -480,13 +481,29 @@ def _met(a: bytes, b: bytes) -> int:
     return int(x.argmax()) if x.any() else n
 
 
+@contextmanager
+def _few_samples(spark: SparkSession) -> Iterator[None]:
+    """Bounds of ranges come from sampled keys on the driver, which are some 400 bytes here: 60 a partition, 600,000 in all."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(20, 200_000 // shuffle_partitions(spark)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def _array(contexts: DataFrame, lengths: tuple[int, int | None], deep: bool, label: str) -> DataFrame:
     """The order of contexts with what neighbours tell, those on the other side of a partition's end among them."""
     spark = contexts.sparkSession
+    # contexts with equal suffixes are dealt by their place, so that no passage is too frequent for a partition; inside it they follow
+    # their phrases, as near ones prove most
+    unit = "r" if deep else "l"
     order = ["kind", "r", "l", "bid", "place"] if deep else ["kind", "l", "bid", "place"]
     rows = contexts if deep else contexts.select("kind", "bid", "place", "l")
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    told = stored(dealt.mapInPandas(_ordered(lengths, deep), ORDERED), label)
+    with _few_samples(spark):
+        dealt = rows.repartitionByRange("kind", unit, "bid", "place").sortWithinPartitions(*order)
+        told = stored(dealt.mapInPandas(_ordered(lengths, deep), ORDERED), label)
     ends = told.where("what > 0").collect()  # two rows a partition
     firsts, lasts = ({r["part"]: r for r in ends if r["what"] == w} for w in (1, 2))
     more, parts = [], sorted(firsts)
