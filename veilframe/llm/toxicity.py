@@ -151,8 +151,15 @@ def _around(words: list[str], i: int) -> set[str]:
     return {w.strip(EDGE) for w in near}
 
 
+def _step(k: int) -> int:
+    """k with its three first binary digits: 8, 10, 12, 14, 16, 20, ..."""
+    cut = max(0, k.bit_length() - 3)
+    return k >> cut << cut
+
+
 def features(lexicon: Lexicon, context: dict[str, float], cache: dict[str, int], text: str | None) -> tuple[int, ...]:
-    """Whole numbers, so that equal vectors can be counted: matches by kind (8 at most), density, context in tenths."""
+    """Whole numbers, so that equal vectors can be counted: matches by kind, density in 200ths of the words, context in tenths. Counts go
+    on by steps of a quarter from 8 on, so that a long text's are as telling as a short one's and distinct vectors stay few."""
     words = (text or "").lower().split()
     kinds, odds, found = [0] * KINDS, 0.0, _matches(lexicon, cache, words)
     for i, m in found:
@@ -161,13 +168,13 @@ def features(lexicon: Lexicon, context: dict[str, float], cache: dict[str, int],
         odds += sum(near) / (len(near) + 4)
     if not found:
         return (0,) * (KINDS + 2)
-    density = min(10, round(200 * len(found) / max(20, len(words))))
-    return (*[min(8, k) for k in kinds], density, max(-20, min(20, round(10 * odds / len(found)))))
+    density = round(200 * len(found) / max(20, len(words)))
+    return (*[_step(k) for k in kinds], _step(density), round(10 * odds / len(found)))
 
 
 def _inputs(vectors: np.ndarray) -> np.ndarray:
     v = np.asarray(vectors, float).reshape(-1, KINDS + 2)
-    return np.column_stack([np.ones(len(v)), v[:, :KINDS] > 0, np.log1p(v[:, :KINDS]), v[:, KINDS] / 10, v[:, KINDS + 1] / 10])
+    return np.column_stack([np.ones(len(v)), v[:, :KINDS] > 0, np.log1p(v[:, :KINDS]), np.log1p(v[:, KINDS]), v[:, KINDS + 1] / 10])
 
 
 @dataclass
