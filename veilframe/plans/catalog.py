@@ -722,7 +722,9 @@ def scorecard(spark, d):
     from veilframe.plans.report import presented
     from veilframe.plans.report import scorecard as card
 
-    return presented(card(release_rmse(spark, d), release_attack_summary(spark, d)))
+    from veilframe.plans.catalog_more import neighbour_risk
+
+    return presented(card(release_rmse(spark, d), release_attack_summary(spark, d), neighbour_risk(spark, d)))
 
 
 def text_classifier(spark, d):
@@ -847,7 +849,9 @@ SELECT customer_id AS profile, COALESCE(a, false) AS top1_hit, COALESCE(b, false
     }
     for name, cols in K_ANON.items():
         out[f"fact_k_anonymity_{name}"] = (k_anon(cols), k_anon_sql(cols))
-    return out
+    from veilframe.plans import catalog_more
+
+    return out | catalog_more.entries()
 
 
 def queries() -> dict:
