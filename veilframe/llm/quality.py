@@ -186,7 +186,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     at = {c.lower(): own[i] for i, c in enumerate(docs.columns) if c in ("doc_id", "text", "lang", "source")}
     wide = renamed.select("*", *[F.col(at[c]).alias(c) for c in ("text", "lang", "source")])
     measured = stored(with_features(wide), "measured")  # counted once, for the sketches and for the verdict
-    return judged(measured, sketches(measured)).where("kept").select(*own).toDF(*docs.columns)
+    sketch = stored(sketches(measured), "sketch")  # so small that its limits are broadcast, and documents don't move
+    return judged(measured, sketch).where("kept").select(*own).toDF(*docs.columns)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
