@@ -263,3 +263,52 @@ def test_stream_of_classes(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.k for r in spark.table("classes").collect()) == [1, 2]
+
+
+def test_grid_of_factor_models(spark):
+    from veilframe.operators.als import tune
+
+    rows = spark.createDataFrame([(u, m, float(1 + (u * m) % 5)) for u in range(1, 13) for m in range(1, 9) if (u + m) % 4], "customer_id int, movie_id int, rating double")
+    found = tune(rows, ranks=(2, 3), regs=(0.1,), iterations=(2,))
+    assert len(found.validationMetrics) == 2 and found.bestModel.rank in (2, 3)
+
+
+def test_one_fit_for_a_grid_agrees_with_a_fit_for_each_point(spark):
+    rows = spark.createDataFrame([(u, m, 1 + (u * 7 + m * 3) % 5, f"{u}-{m}") for u in range(1, 30) for m in range(1, 20) if (u * m) % 3], "customer_id long, movie_id long, rating int, row_key string")
+    train, test = bias.split(rows, 0.25)
+    grid = releases.noise_grid(train, (0.0, 0.3), ("rating", "movie"))
+    one = bias.bias_sweep(train, test, grid, 3).collect()
+    each = bias.utility_sweep(train, test, grid, bias.bias_fit_predict(3)).collect()
+    for a, b in zip(one, each, strict=True):
+        assert a[:3] == b[:3] and all(x == y or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a[3:], b[3:], strict=True))
+
+
+def test_least_rows_and_prefix_sums(spark):
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("w"), (F.xxhash64("id") / 1e9).alias("x"))
+    h = F.when(F.col("id") < 50, 5).otherwise(F.expr("pmod(xxhash64(id), 4294967296)")).cast("bigint")
+    for n in (1, 30, 50, 51, 400, 500, 900):
+        want = {r.id for r in df.orderBy(h, "id").limit(n).collect()}
+        assert {r.id for r in df.where(fx.least_rows(df, n, h, F.col("id"))).collect()} == want
+    for column in ("id", "x"):
+        rows = sorted(fx.prefix_sums(df, column, "w", "upto", 16).collect(), key=lambda r: r[column])
+        total = 0
+        for r in rows:
+            total += r.w
+            assert r.upto == total
+
+
+def test_fuzzy_titles_by_all_pairs(spark):
+    from veilframe.operators import linkage
+
+    names = ["night train", "night trains", "the long road", "long roads", "silver river", "river of silver", "quiet garden", "a garden quiet"]
+    titles = spark.createDataFrame([(k, 2000 + k % 2, n) for k, n in enumerate(names)], "movie_id int, year int, title string")
+    asked = [("night trian", 2000), ("long rode", 2001), ("silvre river", None), ("garden", 2000), ("quiet gardens", None)]
+    external = spark.createDataFrame([(t, y, "u", 8.0) for t, y in asked], "title string, year int, user string, rating double")
+    got = {r.imdb_title: r for r in linkage.match_titles(external, titles, linkage.MatchConfig(0.8, 0.02)).collect()}
+    for t, y in asked:
+        q = fx.normalize_title_text(t)
+        pool = [(linkage.title_ratio(q, fx.normalize_title_text(n)), k) for k, n in enumerate(names) if y is None or 2000 + k % 2 == y]
+        best = sorted(pool, reverse=True)
+        good = best[0][0] >= 0.8 and best[0][0] - best[1][0] >= 0.02
+        assert got[t].netflix_movie_id == (best[0][1] if good else None)
+        assert math.isclose(got[t].match_score, best[0][0])

@@ -193,16 +193,6 @@ def neighbour_risk(spark, d) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def als_grid(spark, d):
-    """Errors of the best model of the grid on held-out rows."""
-    from veilframe.operators.als import tune
-
-    train, test = bias.split(ad.ratings(spark, d), 0.2, SEED)
-    model = tune(train).bestModel
-    got = model.transform(test.select(F.col("customer_id").cast("int"), F.col("movie_id").cast("int"), F.col("rating").cast("float").alias("rating")))
-    return bias.evaluate(got.withColumn("prediction", F.col("prediction").cast("double"))).withColumn("rank", F.lit(model.rank))
-
-
 def entries() -> dict:
     """name -> (query, SQL or None)."""
     draw = ad.draw
@@ -229,5 +219,4 @@ SELECT row_key, side FROM s QUALIFY row_number() OVER (PARTITION BY side ORDER B
         "release_checks": (release_checks, f"""{CTE}, n AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM base) SELECT 'in_range' AS "check", 'rating' AS "column", round((SELECT COUNT(*) FROM base WHERE rating + 1 BETWEEN (SELECT MIN(rating) FROM base) AND (SELECT MAX(rating) FROM base)) / n, 9) AS share FROM n
 UNION ALL SELECT 'known_value', 'movie_id', round((SELECT COUNT(*) FROM base WHERE movie_id * 2 IN (SELECT movie_id FROM base)) / n, 9) FROM n UNION ALL SELECT 'known_value', 'month', 1.0E0 FROM n UNION ALL SELECT 'unique_key', 'row_key', 1.0E0 FROM n"""),
         "release_membership": (release_membership, None),
-        "als_grid": (als_grid, None),
     }
