@@ -25,11 +25,12 @@ from veilframe.llm.common import BLANK, let, shuffle_partitions, table
 K, S = 5, 2
 
 
-ANCHORS = "array<struct<h:bigint,gap:int>>"
+#: An anchor is one number, 2**GAP_BITS times its hash plus its distance to the next one.
+GAP_BITS = 31
 
 
 def anchors(text: Column) -> Column:
-    """ANCHORS of the kept windows in text order. text: not null."""
+    """array<bigint> of the kept windows in text order. text: not null."""
     core = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     inner = K - S + 1
 
@@ -49,32 +50,35 @@ def anchors(text: Column) -> Column:
             closed,
             lambda at: F.transform(
                 at,
-                lambda i, n: F.struct(
-                    F.xxhash64(*[F.get(h, i + j) for j in range(K)]).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"),
-                    F.coalesce(F.get(at, n + 1) - i, F.lit(0)).alias("gap"),
-                ),
+                lambda i, n: F.shiftleft(F.xxhash64(*[F.get(h, i + j) for j in range(K)]).bitwiseAND(F.lit(0xFFFFFFFF)), GAP_BITS)
+                + F.coalesce(F.get(at, n + 1) - i, F.lit(0)),
             ),
         )
         total = F.aggregate(h, F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x)).bitwiseAND(F.lit(0xFFFFFFFF))
-        whole = F.array(F.struct(total.alias("h"), F.lit(0).alias("gap")))
+        whole = F.array(F.shiftleft(total, GAP_BITS))
         some = let(kept, lambda k: F.when(F.size(k) == 0, whole).otherwise(k))
         return F.when(F.size(h) < K, whole).otherwise(some)
 
     words = F.split(core, BLANK)
-    none = F.array().cast(ANCHORS)
+    none = F.array().cast("array<bigint>")
     return F.when(core == "", none).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of_words))
 
 
 def fingerprint(marks: Column) -> Column:
-    return F.array_join(F.transform(marks, lambda x: F.concat(F.lpad(F.lower(F.hex(x["h"])), 8, "0"), F.lit(":"), x["gap"].cast("string"))), " ")
+    def spelt(x: Column) -> Column:
+        gap = x.bitwiseAND(F.lit((1 << GAP_BITS) - 1))
+        return F.concat(F.lpad(F.lower(F.hex(F.shiftrightunsigned(x, GAP_BITS))), 8, "0"), F.lit(":"), gap.cast("string"))
+
+    return F.array_join(F.transform(marks, spelt), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Each anchor is one number with a last bit for its side. In the sorted numbers of both, equal ones are a run, and a match
-    is the smaller of two runs that differ in that bit alone: linear but for the sort, however often an anchor repeats."""
+    """Where no anchor repeats, matches are the intersection. Else each gets a last bit for its side; in the sorted numbers of both,
+    equal ones are a run, and a match is the smaller of two runs that differ in that bit alone: linear but for the sort, however
+    often an anchor repeats."""
 
     def numbers(marks: Column, side: int) -> Column:
-        return F.transform(marks, lambda x: F.call_function("shiftleft", F.xxhash64(x["h"], x["gap"]), F.lit(1)).bitwiseOR(F.lit(side).cast("long")))
+        return F.transform(marks, lambda x: F.shiftleft(x, 1).bitwiseOR(F.lit(side).cast("long")))
 
     def matched(s: Column) -> Column:
         def of_runs(at: Column) -> Column:
@@ -88,7 +92,9 @@ def likeness(a: Column, b: Column) -> Column:
         return let(runs, of_runs)
 
     total = F.size(a) + F.size(b)
-    both = let(F.sort_array(F.concat(numbers(a, 0), numbers(b, 1))), matched).cast("double")
+    once = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    runs_of_both = let(F.sort_array(F.concat(numbers(a, 0), numbers(b, 1))), matched)
+    both = F.when(once, F.size(F.array_intersect(a, b))).otherwise(runs_of_both).cast("double")
     return F.when(total == 0, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.greatest(total, F.lit(1)) - both))
 
 
