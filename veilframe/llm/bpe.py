@@ -68,15 +68,20 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, x) for x, i in t.get_vocab(True).items()], "id int, piece string")
 
 
+def _names(slices: pd.DataFrame) -> list[bytes]:
+    """The distinct words of a word partition; a word's number is its place."""
+    return sorted({w for b, n in zip(slices["body"], slices["n"], strict=True) for w in blocks.split_words(b, n)})
+
+
 def _distinct(path: str):
     def run(slices: pd.DataFrame) -> pd.DataFrame:
         """The distinct words of a word partition, each encoded once."""
         t, _ = _tokenizer(path)
-        names = sorted({w for b, n in zip(slices["body"], slices["n"], strict=True) for w in blocks.split_words(b, n)})
+        names = _names(slices)
         ids: list[list[int]] = []
         for at in range(0, len(names), 20_000):
             ids += [e.ids for e in t.encode_batch([w.decode() for w in names[at : at + 20_000]], add_special_tokens=False)]
-        return pd.DataFrame({"part": int(slices["part"].iloc[0]), "word": names, "ids": ids})
+        return pd.DataFrame({"part": int(slices["part"].iloc[0]), "number": range(len(names)), "ids": ids})
 
     return run
 
@@ -91,7 +96,8 @@ def spelt(coded: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def _answers(slices: pd.DataFrame, words_: pd.DataFrame) -> pd.DataFrame:
     """For each slice, in the order of its words: how many ids, the ids, how many bytes of text, the text."""
-    number = {bytes(w): k for k, w in enumerate(words_["word"])}
+    number = {w: k for k, w in enumerate(_names(slices))}
+    words_ = words_.sort_values("number")
     sizes = np.array([len(x) for x in words_["ids"]], np.int64)
     ids = np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in words_["ids"]]])
     texts = [t.encode("utf-8", "surrogatepass") for t in words_["text"]]
@@ -142,8 +148,8 @@ def encoded(docs: DataFrame, tokenizer_path: str, digest: bool = False) -> DataF
     """(doc_id, n_tokens, ids, decoded) of each row of docs; with digest, SHA-256 sums in place of ids and text."""
     size = blocks.BLOCK_BYTES if digest else blocks.BLOCK_BYTES // 4  # a block's ids and texts are returned together
     cut = blocks.cut(docs.select("doc_id", "text"), lambda text: words(text, tokenizer_path), "words", size_limit=size)
-    coded = blocks.answered(cut, _distinct(tokenizer_path), "part int, word binary, ids array<int>")
-    held = spelt(coded, vocabulary(docs.sparkSession, tokenizer_path))
+    coded = blocks.answered(cut, _distinct(tokenizer_path), "part int, number int, ids array<int>")
+    held = spelt(coded.repartition("part"), vocabulary(docs.sparkSession, tokenizer_path))  # dealt once for all that follows
     slices = cut.where("part >= 0").groupBy("part")
     back = slices.cogroup(held.groupBy("part")).applyInPandas(_answers, "bid long, part int, lens binary, ids binary, long binary, text binary")
     return blocks.finished(cut, back, _finish(digest), DIGEST if digest else REAL)
