@@ -202,13 +202,14 @@ def _mask(masks: list[int]) -> Column:
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs."""
-    marked = stored(fingerprints(docs, width), "simhash")
-    distinct = stored(marked.select(F.lit(0).alias("r"), "fp").distinct(), "distinct")
-    roots = components(links(distinct, distance).select("a", "b"))
-    named = distinct.join(roots, distinct["fp"] == roots["a"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    by_root = named.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(by_root, "root").select("fp", "component_id")
+    with Scratch(docs.sparkSession) as work:
+        marked = work.keep(fingerprints(docs, width), "simhash")
+        distinct = stored(marked.select(F.lit(0).alias("r"), "fp").distinct(), "distinct")
+        roots = components(links(distinct, distance).select("a", "b"))
+        named = distinct.join(roots, distinct["fp"] == roots["a"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        by_root = named.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = work.keep(named.join(by_root, "root").select("fp", "component_id"), "classes")
     return marked.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
