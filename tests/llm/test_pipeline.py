@@ -45,3 +45,24 @@ def test_odd_and_no_documents(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, ""), name)
     assert docs.count() == 0
+
+
+def test_stages_delete_what_earlier_ones_left(spark, tmp_path):
+    from pathlib import Path
+
+    from veilframe.llm.common import Stages
+
+    made = []
+
+    def stage(spark, docs, sf_dir):
+        out = stored(docs, "left")
+        made.append(out.inputFiles()[0].removeprefix("file:").replace("//", "/"))
+        return out.select("id")
+
+    run = Stages()(stage)
+    first = run(spark, spark.range(9).coalesce(1), "")
+    run(spark, first, "")  # reads what the first left
+    assert [Path(p).exists() for p in made] == [True, True]
+    first.write.parquet(str(tmp_path / "a"))
+    run(spark, spark.read.parquet(str(tmp_path / "a")), "")
+    assert [Path(p).exists() for p in made] == [False, False, True]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,30 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Stages:
+    """Deletes the tables that a stage stored, once a later stage is asked for whose documents don't read them: what a stage returns
+    must have been written by then."""
+
+    def __init__(self):
+        self.left: list[str] = []
+
+    def __call__(self, stage):
+        @wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            read = [unquote(f) for f in docs.inputFiles()] if self.left else []
+            gone = [p for p in self.left if not any(f"/{p.rpartition('/')[2]}/" in f for f in read)]  # tables' names are unique
+            self.left = [p for p in self.left if p not in gone]
+            for p in gone:
+                _delete(spark, p)
+            start = len(_written)
+            out = stage(spark, docs, sf_dir)
+            self.left += _written[start:]
+            del _written[start:]
+            return out
+
+        return run
+
+
 class Rolling:
     """A table that is written again and again: each time the one before goes."""
 
@@ -72,7 +98,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def stored_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     """As stored, in hash buckets of key: later joins and groups on key read them without an exchange."""
     spark, name = df.sparkSession, f"veilframe_{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name, format="parquet")
+    path = f"{checkpoint_folder(spark)}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
+    _written.append(path)
     back = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and back knows them
     return back
