@@ -101,8 +101,11 @@ def differencing_attack(df: DataFrame, target, value: str) -> DataFrame:
 
 
 def inferred_share(people: DataFrame, table: DataFrame, cols, label) -> DataFrame:
-    """(cols of people, matches, share): how likely the label is for someone known only by the columns."""
-    return people.join(table, list(cols)).groupBy(*people.columns).agg(F.count(F.lit(1)).alias("matches"), F.avg(label.cast("double")).alias("share"))
+    """(cols of people, matches, share): how likely the label is for someone known only by the columns. Both sides are counted before they
+    meet, so no pair of a person and a row is made; equal rows of people are one, with the matches of all."""
+    own = people.groupBy(*people.columns).agg(F.count(F.lit(1)).alias("_same"))
+    sizes = table.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"), F.avg(label.cast("double")).alias("share"))
+    return own.join(sizes, list(cols)).select(*people.columns, (F.col("_same") * F.col("_n")).alias("matches"), "share")
 
 
 def deidentified(df: DataFrame, names) -> DataFrame:
