@@ -1,8 +1,9 @@
 """Results of queries that grew too fast, and what keeps them from it."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import k_anonymity
+from veilframe.operators import attack, bias, k_anonymity, releases
 
 
 def rows(df):
@@ -16,3 +17,35 @@ def test_inferred_share_counts_before_it_joins(spark):
     assert rows(got) == [("a", 1, 6, 0.5), ("b", 1, 3, 0.5), ("c", 2, 1, None)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def _random_ratings(spark, n=400):
+    import random
+
+    rng = random.Random(3)
+    made = [(k, rng.randrange(20), rng.randrange(15), rng.randrange(1, 6)) for k in range(n)]
+    return spark.createDataFrame([(f"r{k}", u, m, r) for k, u, m, r in made], "row_key string, customer_id long, movie_id long, rating int")
+
+
+def test_cases_of_a_grid_are_its_releases(spark):
+    df = _random_ratings(spark)
+    shares, scenarios = (0.0, 0.3), ("rating", "all_three")
+    points, cases = releases.noise_cases(df, shares, scenarios)
+    grid = releases.noise_grid(df, shares, scenarios)
+    assert [x[:2] for x in points] == [x[:2] for x in grid]
+    for (_, _, v), (_, _, made) in zip(points, grid, strict=True):
+        assert rows(cases.where(F.col("_in").bitwiseAND(1 << v) != 0).select(*made.columns)) == rows(made)
+    assert cases.count() < 2 * df.count()  # not a row for each row and point
+    a, b = (bias.bias_sweep(df, df, g, 2, cases=c).na.fill(-1.0) for g, c in ((points, cases), (grid, None)))
+    for x, y in zip(rows(a), rows(b), strict=True):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:])
+
+
+def test_a_grid_is_attacked_at_once(spark):
+    df = _random_ratings(spark)
+    points, cases = releases.noise_cases(df, (0.0, 0.3), ("movie", "user_id"))
+    facts = attack.sampled_facts(df, (1, 2), 20)
+    got = attack.variant_trials(facts, cases, points, ("movie_id", "rating"), (1, 2), 20)
+    for s, p, made in releases.noise_grid(df, (0.0, 0.3), ("movie", "user_id")):
+        one = attack.noisy_trials(df, made, ("movie_id", "rating"), (1, 2), 20, facts=facts)
+        assert rows(got.where((F.col("scenario") == s) & (F.col("p") == p)).select(*one.columns)) == rows(one)

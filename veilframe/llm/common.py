@@ -9,7 +9,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.session import checkpoint_folder
+from veilframe.session import checkpoint_folder, shuffles_deleted
 
 #: The white space of every word definition here: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -90,7 +90,8 @@ class Rolling:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to a fresh table in the shared folder and read it back: cuts lineage and fixes every value."""
     path = f"{checkpoint_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -99,7 +100,8 @@ def stored_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     """As stored, in hash buckets of key: later joins and groups on key read them without an exchange."""
     spark, name = df.sparkSession, f"veilframe_{label}_{uuid.uuid4().hex}"
     path = f"{checkpoint_folder(spark)}/{name}"
-    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
+    with shuffles_deleted(spark):
+        df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
     _written.append(path)
     back = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and back knows them

@@ -129,9 +129,13 @@ def noisy_trials(
 ) -> DataFrame:
     """Known rows from the clean table, looked up in the noisy one; small and unique sets told apart by whether they hold the
     true user. A small set has from 1 to cutoff - 1 users."""
-    t = attack_trials(clean, noisy, cols, n_known, trials, seed, facts)
+    return _flagged(attack_trials(clean, noisy, cols, n_known, trials, seed, facts), cutoff)
+
+
+def _flagged(t: DataFrame, cutoff: int, *more: str) -> DataFrame:
     small, true = F.col("candidate_count").between(1, cutoff - 1), F.col("true_user_in_candidates")
     return t.select(
+        *more,
         "knowledge_cols",
         "n_known",
         "trial",
@@ -148,6 +152,30 @@ def noisy_trials(
     )
 
 
+def variant_trials(
+    facts: DataFrame, cases: DataFrame, points: list[tuple[str, float, int]], cols, n_known=(1, 2, 3), trials: int = 300, cutoff: int = 5, user: str = "customer_id"
+) -> DataFrame:
+    """noisy_trials for each point of a grid, with scenario and p. facts: of the clean table; cases: the rows of all variants (see
+    releases.noise_cases), which meet the facts once; only rows that meet one are told apart by variant."""
+    spark, cols, bounded = cases.sparkSession, list(cols), trials * sum(n_known) <= BROADCAST_FACTS
+    small_side = F.broadcast if bounded else (lambda x: x)
+    keys = facts.select("n_known", "trial", *cols).distinct()
+    wanted = keys.groupBy("n_known", "trial").agg(F.count(F.lit(1)).alias("_wanted"))
+    met = null_safe(cases.select(*cols, F.col(user).alias("candidate"), "_in"), small_side(keys), cols)
+    numbers = F.array(*[F.lit(v) for v in sorted({v for *_, v in points})])
+    each = met.withColumn("_v", F.explode(F.filter(numbers, lambda v: F.expr("_in").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), v)) != 0))).drop("_in")
+    had = each.distinct().groupBy("_v", "n_known", "trial", "candidate").agg(F.count(F.lit(1)).alias("_had"))
+    found = had.join(small_side(wanted), ["n_known", "trial"]).where("_had = _wanted").select("_v", "n_known", "trial", "candidate")
+    asked = facts.select("n_known", "trial", "target_user").distinct().withColumn("_v", F.explode(numbers))
+    held = asked.join(found, ["_v", "n_known", "trial"], "left").groupBy("_v", "n_known", "trial", "target_user").agg(
+        F.count("candidate").alias("candidate_count"), F.coalesce(F.max((F.col("candidate") == F.col("target_user")).cast("int")), F.lit(0)).alias("_true")
+    )
+    named = held.join(F.broadcast(spark.createDataFrame([(s, float(p), v) for s, p, v in points], "scenario string, p double, _v int")), "_v")
+    k, true = F.col("candidate_count"), F.col("_true") == 1
+    return _flagged(named.select("scenario", "p", F.lit(" + ".join(cols)).alias("knowledge_cols"), "n_known", "trial", "target_user", "candidate_count",
+                                 true.alias("true_user_in_candidates"), (k == 1).alias("unique")), cutoff, "scenario", "p")
+
+
 def noisy_summary(trials: DataFrame, keys=("knowledge_cols", "n_known"), cutoff: int = 5) -> DataFrame:
     small = f"less_than_{cutoff}"
     count = lambda c: F.sum(F.col(c).cast("int"))

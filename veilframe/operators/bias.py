@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.features import clipped, least_rows
 from veilframe.functions.hashing import below, draw
 from veilframe.operators.releases import Release, make_releases, row_key
-from veilframe.session import checkpointed
+from veilframe.session import checkpointed, checkpointed_by, discarded
 
 
 @dataclass(frozen=True)
@@ -21,26 +21,53 @@ class BiasModel:
     items: DataFrame  # movie_id, bi
 
 
+#: Biases of up to this many cells (values times models) are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 4_000_000
+
+
 def fit_bias(df: DataFrame, rating_col: str = "rating", epochs: int = 8, reg: float = 10.0) -> BiasModel:
-    """Alternating regularised means. Ratings are added up by (user, item) and written once; every half epoch reads those sums."""
+    """Alternating regularised means. Ratings are added up by (user, item) and written by user and by item, so that a half epoch shuffles
+    none of them where the other side's biases can be broadcast, and one row for each sum where they can't."""
     rows = df.select("customer_id", "movie_id", F.col(rating_col).cast("double").alias("r")).where(F.col("r").isNotNull())
-    known = checkpointed(rows.groupBy("customer_id", "movie_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")))
+    known = checkpointed_by(rows.groupBy("customer_id", "movie_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")), "customer_id")
     mean = known.agg(F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).first()[0]
     if mean is None:
+        discarded(known)
         raise ValueError("there are no ratings to fit")
-    items = known.select("movie_id").distinct().withColumn("bi", F.lit(0.0))
-    users = known.select("customer_id").distinct().withColumn("bu", F.lit(0.0))
-    for epoch in range(epochs):
-        users = _step(known, items, "movie_id", "bi", "customer_id", "bu", mean, reg)
-        items = _step(known, users, "customer_id", "bu", "movie_id", "bi", mean, reg)
-        if epoch % 2 == 1 or epoch == epochs - 1:
-            users, items = checkpointed(users), checkpointed(items)
-    return BiasModel(mean, users, items)
+    by = {"customer_id": known, "movie_id": checkpointed_by(known, "movie_id")}
+
+    def step(key: str, other: str, held: DataFrame | None, few: bool) -> DataFrame:
+        met = by[key] if held is None else _met(by, key, other, held, few)
+        left = F.col("s") - F.col("n") * (F.lit(mean) + (F.lit(0.0) if held is None else F.col("b")))
+        return met.groupBy(key).agg((F.sum(left) / (F.sum("n") + reg)).alias("b"))
 
+    held = _alternated(step, epochs, 1)
+    if not epochs:
+        held = {k: known.select(k).distinct().withColumn("b", F.lit(0.0)) for k in by}
+    else:
+        discarded(*by.values())
+    return BiasModel(mean, *[held[k].withColumnRenamed("b", n) for k, n in (("customer_id", "bu"), ("movie_id", "bi"))])
 
-def _step(known, other, other_key, other_bias, key, bias, mean, reg) -> DataFrame:
-    left = F.col("s") - F.col("n") * (F.lit(mean) + F.coalesce(F.col(other_bias), F.lit(0.0)))
-    return known.join(other, other_key).groupBy(key).agg((F.sum(left) / (F.sum("n") + reg)).alias(bias))
+
+def _met(by: dict, key: str, other: str, held: DataFrame, few: bool) -> DataFrame:
+    """The rows with the biases of `other`: held by `key` where these are few, else as they lie by `other`. A null meets nothing."""
+    return by[key].join(F.broadcast(held), other) if few else by[other].join(held, other)
+
+
+def _alternated(step, epochs: int, models: int) -> dict:
+    """Biases by user and by item after so many epochs of step(key, other, biases of other or None, are they few); each is written
+    once, and the one before goes."""
+    held: dict = {}
+    few: dict = {}
+    for _ in range(epochs):
+        for key, other in (("customer_id", "movie_id"), ("movie_id", "customer_id")):
+            new = checkpointed(step(key, other, held.get(other), few.get(other, False)))
+            if key in held:
+                discarded(held[key])
+            else:
+                few[key] = new.count() * models <= BROADCAST_CELLS
+            held[key] = new
+    return held
 
 
 def predict_bias(model: BiasModel, pairs: DataFrame, name: str = "prediction") -> DataFrame:
@@ -59,6 +86,9 @@ def metrics(actual: Column, predicted: Column) -> list[Column]:
     ]
 
 
+ERRORS = ("rmse", "mae", "within_one_star")
+
+
 def evaluate(predictions: DataFrame, label: str = "rating", name: str = "prediction") -> DataFrame:
     return predictions.agg(F.count(F.lit(1)).alias("test_rows"), *metrics(F.col(label).cast("double"), F.col(name)))
 
@@ -190,31 +220,59 @@ def _swept(train: DataFrame, model: str, base, clean, found: list) -> DataFrame:
     )
 
 
-def bias_sweep(train: DataFrame, test: DataFrame, grid: list[tuple[str, float, DataFrame]], epochs: int = 6, reg: float = 10.0) -> DataFrame:
-    """utility_sweep of the bias model, all points fitted together: the number of a point is part of every key, so an epoch is two joins
-    whatever the grid. Sums by (point, user, item) are written once."""
-    noisy = [(s, p, df) for s, p, df in grid if p > 0]
-    tables = [df.select(F.lit(k).alias("_v"), "customer_id", "movie_id", F.col("rating").cast("double").alias("r")) for k, df in enumerate([train, *[x[2] for x in noisy]])]
-    rows = reduce(DataFrame.union, tables).where(F.col("r").isNotNull())
-    known = checkpointed(rows.groupBy("_v", "customer_id", "movie_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")))
-    means = {r["_v"]: r["m"] for r in known.groupBy("_v").agg((F.sum("s") / F.sum("n")).alias("m")).collect()}  # one row a point
-    if len(means) < len(tables):
+def bias_sweep(train: DataFrame, test: DataFrame, grid: list, epochs: int = 6, reg: float = 10.0, cases: DataFrame | None = None) -> DataFrame:
+    """utility_sweep of the bias model, all points fitted together. grid: (scenario, p, release), or (scenario, p, number of a variant) with
+    `cases`: the rows of all variants as customer_id, movie_id, rating and _in, whose bit k tells that variant k has the row; 0 is the clean
+    one. A row that many variants share is one, and the biases of all variants are the columns of one row. Variants are fitted by
+    VARIANTS at a time."""
+    if cases is None:
+        noisy = [k for k, (_, p, _) in enumerate(grid) if p > 0]
+        if len(noisy) > MOST - 1:
+            raise ValueError(f"a sweep has {MOST} variants at most")
+        tables = [train, *[grid[k][2] for k in noisy]]
+        number = {k: v for v, k in enumerate(noisy, 1)}
+        points = [(s, p, number.get(k, 0)) for k, (s, p, _) in enumerate(grid)]
+        parts = [df.select("customer_id", "movie_id", "rating", F.lit(1 << v).cast("long").alias("_in")) for v, df in enumerate(tables)]
+        cases = reduce(DataFrame.union, parts)
+    else:
+        points = list(grid)
+    rows = cases.select("customer_id", "movie_id", F.col("rating").cast("double").alias("r"), "_in").where(F.col("r").isNotNull())
+    known = checkpointed_by(rows, "customer_id")
+    by = {"customer_id": known, "movie_id": checkpointed_by(known, "movie_id")}
+    needed, got = sorted({0, *[v for *_, v in points]}), {}
+    for at in range(0, len(needed), VARIANTS):
+        got |= _swept_variants(by, test, needed[at : at + VARIANTS], epochs, reg)
+    discarded(*by.values())
+    return _swept(train, "bias", global_mean_baseline(train, test).first(), got[0], [(s, p, got[v]) for s, p, v in points])
+
+
+#: Variants of a sweep: as many as a whole number has bits; and those that are fitted in one go.
+MOST, VARIANTS = 62, 24
+
+
+def _swept_variants(by: dict, test: DataFrame, variants: list[int], epochs: int, reg: float) -> dict:
+    """variant -> its errors on test."""
+    inside = {v: F.col("_in").bitwiseAND(F.lit(1 << v).cast("long")) != 0 for v in variants}
+    means = by["customer_id"].agg(*[F.avg(F.when(inside[v], F.col("r"))).alias(f"m{v}") for v in variants]).first()
+    if any(x is None for x in means):
         raise ValueError("there are no ratings to fit")
-    mean = F.create_map(*[F.lit(x) for kv in means.items() for x in kv])[F.col("_v")]
-    held = {"movie_id": known.select("_v", "movie_id").distinct().withColumn("b", F.lit(0.0))}
-    for epoch in range(epochs):
-        for key, other in (("customer_id", "movie_id"), ("movie_id", "customer_id")):
-            left = F.col("s") - F.col("n") * (mean + F.col("b"))
-            held[key] = known.join(held[other], ["_v", other]).groupBy("_v", key).agg((F.sum(left) / (F.sum("n") + reg)).alias("b"))
-        if epoch % 2 == 1 or epoch == epochs - 1:
-            held = {k: checkpointed(df) for k, df in held.items()}
-    asked = test.withColumn("_v", F.explode(F.array(*[F.lit(k) for k in means])))
-    users, items = (held[k].withColumnRenamed("b", n) for k, n in (("customer_id", "bu"), ("movie_id", "bi")))
-    both = asked.join(users, ["_v", "customer_id"], "left").join(items, ["_v", "movie_id"], "left")
-    value = both.withColumn("prediction", clipped(mean + F.coalesce("bu", F.lit(0.0)) + F.coalesce("bi", F.lit(0.0))))
-    got = {r["_v"]: r for r in value.groupBy("_v").agg(*metrics(F.col("rating").cast("double"), F.col("prediction"))).collect()}  # one row a point
-    number = {(s, p): k for k, (s, p, _) in enumerate(noisy, 1)}
-    return _swept(train, "bias", global_mean_baseline(train, test).first(), got[0], [(s, p, got[number.get((s, p), 0)]) for s, p, _ in grid])
+
+    def step(key: str, other: str, held: DataFrame | None, few: bool) -> DataFrame:
+        met = by[key] if held is None else _met(by, key, other, held, few)
+        less = {v: F.lit(means[f"m{v}"]) if held is None else F.lit(means[f"m{v}"]) + F.col(f"b{v}") for v in variants}
+        sums = [F.coalesce(F.sum(F.when(inside[v], F.col("r") - less[v])), F.lit(0.0)) for v in variants]
+        return met.groupBy(key).agg(*[(x / (F.count(F.when(inside[v], 1)) + reg)).alias(f"b{v}") for v, x in zip(variants, sums, strict=True)])
+
+    held = _alternated(step, epochs, len(variants))
+    asked = test.select("customer_id", "movie_id", F.col("rating").cast("double").alias("r"))
+    for key, name in (("customer_id", "u"), ("movie_id", "i")):
+        if epochs:
+            asked = asked.join(held[key].toDF(key, *[f"{name}{v}" for v in variants]), key, "left")
+    own = lambda v: sum((F.coalesce(f"{n}{v}", F.lit(0.0)) for n in "ui"), F.lit(0.0)) if epochs else F.lit(0.0)
+    found = asked.select("r", *[clipped(F.lit(means[f"m{v}"]) + own(v)).alias(f"p{v}") for v in variants])
+    row = found.agg(*[x.alias(f"{n}{v}") for v in variants for n, x in zip(ERRORS, metrics(F.col("r"), F.col(f"p{v}")), strict=True)]).first()
+    discarded(*held.values())
+    return {v: {n: row[f"{n}{v}"] for n in ERRORS} for v in variants}
 
 
 def bias_fit_predict(epochs: int = 6, reg: float = 10.0):

@@ -184,6 +184,42 @@ def noise_grid(df: DataFrame, shares=SHARES, scenarios=SCENARIOS, seed: int = 33
     return [(s, p, make_noisy_release(df, *[p * x for x in on[s]], seed=seed, weighted=weighted, pools=pools)) for s in scenarios for p in shares]
 
 
+def noise_cases(df: DataFrame, shares=SHARES, scenarios=SCENARIOS, seed: int = 333, weighted: bool = False) -> tuple[list[tuple[str, float, int]], DataFrame]:
+    """noise_grid in one table: (scenario, p, number of the variant) of the grid, and df's columns with _in, whose bit k tells that variant k
+    has the row. Points without noise share variant 0. What a draw puts in a value's place doesn't depend on p, so a row has at
+    most eight cases, whatever the grid, and is drawn once."""
+    on = {"rating": (1, 0, 0), "movie": (0, 1, 0), "user_id": (0, 0, 1), "all_three": (1, 1, 1)}
+    points, variants = [], [(0.0, 0.0, 0.0)]
+    for s in scenarios:
+        for p in shares:
+            if _share(p):
+                variants.append(tuple(p * x for x in on[s]))
+            points.append((s, p, len(variants) - 1 if p else 0))
+    if len(variants) > 62:
+        raise ValueError("a table has 62 variants at most")
+    spark, out, every = df.sparkSession, df.withColumn("_key", row_key(df)), F.lit((1 << len(variants)) - 1).cast("long")
+    cols = ("rating", "movie_id", "customer_id")
+    for k, column in enumerate(cols):
+        top = max(v[k] for v in variants)
+        out = out.withColumn(f"_old{k}", F.col(column)).withColumn(f"_at{k}", draw(seed, f"mask-{column}", "_key"))
+        if top:
+            counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+            if column == "rating" and not weighted:
+                counts = spark.range(1, 6).select(F.col("id").cast(df.schema["rating"].dataType).alias("rating"), F.lit(1).alias("_n"))
+            out = _resampled(out, column, counts, F.col(f"_at{k}") < int(top * TOP), draw(seed, f"value-{column}", "_key"), weighted, {})
+        out = out.withColumnRenamed(column, f"_new{k}")
+    for k in range(3):  # the variants that replace the column
+        bits = [F.when(F.col(f"_at{k}") < int(v[k] * TOP), F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")) for n, v in enumerate(variants) if v[k]]
+        out = out.withColumn(f"_by{k}", reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long")))
+    cases = []
+    for case in range(8):
+        moved = [case >> k & 1 for k in range(3)]
+        where = reduce(lambda a, b: a.bitwiseAND(b), [F.col(f"_by{k}") if m else every.bitwiseXOR(F.col(f"_by{k}")) for k, m in enumerate(moved)])
+        cases.append(F.struct(*[F.col(f"_{'new' if m else 'old'}{k}").alias(c) for (k, c), m in zip(enumerate(cols), moved, strict=True)], where.alias("_in")))
+    out = out.withColumn("_case", F.explode(F.filter(F.array(*cases), lambda x: x["_in"] != 0)))
+    return points, out.select(*[F.col(f"_case.{c}").alias(c) if c in cols else F.col(c) for c in df.columns], F.col("_case._in").alias("_in"))
+
+
 def latent_sensitive(df: DataFrame, weights: DataFrame, seed: int = 333) -> DataFrame:
     """Noise that grows with a movie's privacy weight (0.5 where unknown), and years in place of months from the 85th
     percentile of the movies' weights on. weights: movie_id, privacy_weight."""

@@ -633,16 +633,17 @@ GRID_EPOCHS = 6
 
 
 def sweep(spark, d):
-    train, test = bias.split(ad.ratings(spark, d), 0.2, SEED)
-    return rounded(bias.bias_sweep(train, test, releases.noise_grid(train, seed=SEED), GRID_EPOCHS).na.fill(-1.0), 6)
+    train, test = bias.split(checkpointed(ad.ratings(spark, d).drop("date")), 0.2, SEED)
+    points, cases = releases.noise_cases(train, seed=SEED)
+    return rounded(bias.bias_sweep(train, test, points, GRID_EPOCHS, cases=cases).na.fill(-1.0), 6)
 
 
 def privacy_utility(spark, d):
     b = base(spark, d)
     facts = checkpointed(attack.sampled_facts(b, (1, 2, 3), TRIALS, SEED))
-    grid = releases.noise_grid(b, seed=SEED)
-    parts = [attack.noisy_trials(b, x, ATTACK, (1, 2, 3), TRIALS, SEED, facts=facts).withColumn("scenario", F.lit(s)).withColumn("p", F.lit(float(p))) for s, p, x in grid]
-    return rounded(bias.frontier(attack.noisy_summary(reduce(DataFrame.unionByName, parts), ("scenario", "p", "n_known")), sweep(spark, d)), 6)
+    points, cases = releases.noise_cases(b, seed=SEED)
+    risk_ = attack.variant_trials(facts, cases, points, ATTACK, (1, 2, 3), TRIALS)
+    return rounded(bias.frontier(attack.noisy_summary(risk_, ("scenario", "p", "n_known")), sweep(spark, d)), 6)
 
 
 def grid_ctes(source):

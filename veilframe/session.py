@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +54,44 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside are deleted once it is written, not when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written in the checkpoint folder and read from there: cuts lineage, and outlives lost executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Written in the checkpoint folder, in compressed columns, and read from there: cuts lineage, and outlives lost executors."""
+    spark, path = df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/held-{uuid.uuid4().hex}"
+    with shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed_by(df: DataFrame, key: str) -> DataFrame:
+    """As checkpointed, in hash buckets of key: joins and groups on key read it without an exchange."""
+    spark, name = df.sparkSession, f"held_{uuid.uuid4().hex}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = f"{checkpoint_folder(spark)}/{name.replace('_', '-')}"
+    with shuffles_deleted(spark):
+        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name, format="parquet")
+    back = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and back knows them
+    return back
+
+
+def discarded(*held: DataFrame) -> None:
+    """Delete tables that `checkpointed` has written and nothing reads any more."""
+    for df in held:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(unquote(folder))
+            if at.getName().startswith("held-"):
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
