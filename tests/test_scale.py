@@ -71,3 +71,16 @@ def test_neighbours_and_predictions_part_by_part(spark, monkeypatch):
     for a in items:
         best = sorted((-round(s, 9), b) for b in items if a != b and (s := dot(a, b) / (norm[a] * norm[b])) > 0 and round(s, 9) >= 0.05)[:4]
         assert [b for _, b in best] == [r[0] for r in whole.where(F.col("movie_id") == a).orderBy("rank").select("neighbour").collect()]
+
+
+def test_factors_are_checkpointed_at_every_iteration(spark, monkeypatch):
+    from veilframe.operators import als
+
+    made = []
+    monkeypatch.setattr(als, "ALS", lambda **options: made.append(options) or als_class(**options))
+    from pyspark.ml.recommendation import ALS as als_class
+
+    model = als.als_model(_random_ratings(spark), "rating", 2, 2)
+    assert model.itemFactors.count() == 15
+    assert made[0]["checkpointInterval"] == 1  # shuffles of an iteration go with its checkpoint
+    assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()

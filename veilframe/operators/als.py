@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from veilframe.functions.features import clipped, prefix_sums
 from veilframe.operators.bias import BiasModel, evaluate, fit_bias, predict_bias
 from veilframe.operators.item_knn import collapsed, residuals
+from veilframe.session import checkpoint_folder
 
 
 def als_model(rows: DataFrame, value: str, rank: int = 40, iterations: int = 10, reg: float = 0.1, seed: int = 333):
+    """Item factors are written to the checkpoint folder at every iteration, which then deletes what it shuffled: an iteration sends each
+    factor to every block that needs it, many times the ratings, and the files of all iterations would pile up otherwise."""
+    checkpoint_folder(rows.sparkSession)
     return ALS(
-        userCol="customer_id", itemCol="movie_id", ratingCol=value, rank=rank, maxIter=iterations, regParam=reg, seed=seed, nonnegative=False, coldStartStrategy="nan"
+        userCol="customer_id", itemCol="movie_id", ratingCol=value, rank=rank, maxIter=iterations, regParam=reg, seed=seed, nonnegative=False, coldStartStrategy="nan",
+        checkpointInterval=1,
     ).fit(rows.select(F.col("customer_id").cast("int"), F.col("movie_id").cast("int"), F.col(value).cast("float").alias(value)))
 
 
