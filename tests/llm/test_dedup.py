@@ -300,3 +300,18 @@ def test_passages_are_counted_and_not_removed(spark):
 
 def test_checksums_decide_who_trains():
     assert zlib.crc32(b"7") % 7 == (zlib.crc32(str(7).encode()) % 7)
+
+
+def test_near_copies_are_searched_for_by_simhash_too(spark, monkeypatch):
+    """A close copy goes by its fingerprint alone, without a band of least hashes; linked texts that aren't alike stay."""
+    words = [f"w{k}" for k in range(3000)]
+    edits = (" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(100, 3000, 100))
+    away = lambda t: bin(simhash.simhash(t) ^ simhash.simhash(" ".join(words))).count("1")
+    texts = [" ".join(words), next(t for t in edits if 1 <= away(t) <= 2), " ".join(reversed(words))]
+    numbers = iter(range(10**6))
+    monkeypatch.setattr(simhash, "band_values", lambda *_: np.array([next(numbers) + k * 10**6 for k in range(simhash.BANDS)], np.int64))
+    linked = simhash._linked(spark.createDataFrame([(k, int(np.uint64(simhash.simhash(t)).view(np.int64))) for k, t in enumerate(texts)], "_rid long, fp long"))
+    value = {r["_rid"]: r["value"] for r in linked.collect()}
+    assert value[0] == value[1] != value[2] and {r["band"] for r in linked.collect()} == {simhash.BANDS}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [0, 2]

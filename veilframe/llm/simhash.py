@@ -248,8 +248,9 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
     """docs, all columns, without the copies and near copies of a document that stays.
 
     Equal texts leave their first row. Texts are near copies when the Jaccard index of their WORDS-word shingles is `similarity` or
-    more. They are searched for by BANDS bands of least hashes; texts that share any of these are candidates. In the order of the
-    rows, a row goes if a candidate before it that stays is alike to it, and else stays: so a row goes only for a row that stays,
+    more. They are searched for by SimHash, as in `near_duplicates`: texts whose fingerprints are linked at two bits or fewer are
+    candidates. That finds only very close copies, so BANDS bands of least hashes add further candidates: texts that share any
+    of these. In the order of the rows, a row goes if a candidate before it that stays is alike to it, and else stays: so a row goes only for a row that stays,
     and no two candidates that stay are alike.
 
     Each round compares the rows of a band value with its first `most` undecided ones. A row that is among these in all its
@@ -265,15 +266,18 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
         for b in batches:
             bands = [band_values(t, similarity) for t in b["text"]]
             sums = [xxhash.xxh128_hexdigest((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]
+            fps = np.fromiter((simhash(t) for t in b["text"]), np.uint64, len(b)).view(np.int64)
             release()
-            yield pd.DataFrame({"_rid": b["_rid"], "sum": sums, "bands": bands})
+            yield pd.DataFrame({"_rid": b["_rid"], "sum": sums, "fp": fps, "bands": bands})
 
-    marks = held.select("_rid", F.col(text).alias("text")).mapInPandas(mark, "_rid long, sum string, bands array<long>")
+    marks = held.select("_rid", F.col(text).alias("text")).mapInPandas(mark, "_rid long, sum string, fp long, bands array<long>")
     marks = stored(marks, "marks")
     first = marks.groupBy("sum").agg(F.min("_rid").alias("_rid"))
     with Scratch(docs.sparkSession) as work:
-        one = marks.join(first, ["sum", "_rid"]).select("_rid", F.posexplode("bands").alias("band", "value"))
-        shared = work.keep(_shared(stored(one, "firsts")), "shared")
+        firsts = stored(marks.join(first, ["sum", "_rid"]).select("_rid", "fp", "bands"), "firsts")
+        linked = _linked(firsts.select("_rid", "fp"))
+        bands = firsts.select("_rid", F.posexplode("bands").alias("band", "value"))
+        shared = work.keep(_shared(bands.union(linked)), "shared")
     texts = held.select("_rid", F.col(text).alias("text"))
     alike = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
     gone, most = None, 1
@@ -299,6 +303,14 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
     return kept.select(*own).toDF(*docs.columns)
 
 
+def _linked(marks: DataFrame, distance: int = 2) -> DataFrame:
+    """(_rid, band, value): the class of a row's fingerprint among all that generalised pigeonhole search links, as a further band."""
+    distinct = stored(marks.select(F.lit(0).alias("r"), "fp").distinct(), "distinct")
+    roots = components(links(distinct, distance).select("a", "b"))
+    named = marks.join(roots, marks["fp"] == roots["a"], "left")
+    return named.select("_rid", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("value"))
+
+
 def _shared(bands: DataFrame) -> DataFrame:
     """The bands' values that more than one row has."""
     many = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
