@@ -187,6 +187,35 @@ def test_no_two_that_stay_are_alike(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == want
 
 
+def test_texts_are_compared_only_where_sketches_allow_it(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, texts = [f"v{i}" for i in range(300)], []
+    for _ in range(80):  # a cloud of revisions of one text, nearly none alike to another
+        words = list(base)
+        for k in rng.choice(300, 8, replace=False):
+            words[k] = f"e{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    texts += [texts[0] + " more", None, "", " ", "a b", "a b c"]
+    sketches, limit = [simhash.sketch(t) for t in texts], (1 - 0.8) / (1 + 0.8)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            (n, x), (m, y) = sketches[i], sketches[j]
+            if simhash.jaccard(a, b) >= 0.8:
+                assert max(np.bitwise_count(x ^ y).sum(), abs(n - m)) <= limit * (n + m) + 1e-9
+    monkeypatch.setattr(simhash, "band_values", lambda t, s: np.zeros(simhash.BANDS, np.int64))  # all are candidates
+    seen, plain = [], simhash.stored
+
+    def stored(df, label):
+        out = plain(df, label)
+        seen.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == plain_greedy(texts)
+    assert sum(seen) < 200  # of over 3,000 pairs
+
+
 # --- repeats ------------------------------------------------------------------------------------------------------------
 def plain_removal(texts, length):
     seen = Counter()

@@ -239,6 +239,29 @@ def band_values(text: str | None, similarity: float) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in rows], np.uint64).view(np.int64)
 
 
+#: Bits of a text's parity sketch, as so many columns of 64.
+SKETCH = [f"b{k}" for k in range(16)]
+
+
+def sketch(text: str | None) -> tuple[int, np.ndarray]:
+    """The number of distinct WORDS-word shingles, and for each of 64 * len(SKETCH) cells whether an odd number of these falls into it. A
+    cell in which two texts differ holds a shingle that one of them alone has, so the cells that differ are no more than such shingles."""
+    words = word_list(text)
+    h = np.unique(shingle_hashes(words, WORDS)) if words else np.zeros(0, np.uint64)
+    cells = 64 * len(SKETCH)
+    odd = np.bincount((h % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return len(h), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_be_alike(similarity: float, a: str = "x", b: str = "y") -> Column:
+    """False only where two texts' sketches prove a Jaccard index below `similarity`: with n and m shingles and d that one text alone has, it
+    is (n + m - d) / (n + m + d)."""
+    col = lambda side, c: F.col(f"{side}.{c}")
+    differ = sum((F.bit_count(col(a, c).bitwiseXOR(col(b, c))) for c in SKETCH[1:]), F.bit_count(col(a, SKETCH[0]).bitwiseXOR(col(b, SKETCH[0]))))
+    least = F.greatest(differ, F.abs(col(a, "n") - col(b, "n")))
+    return least * (1 + similarity) <= (col(a, "n") + col(b, "n")) * (1 - similarity) + 1e-6
+
+
 def jaccard(a: str | None, b: str | None, width: int = WORDS) -> float:
     x, y = (set(shingle_hashes(w, width).tolist()) if (w := word_list(t)) else set() for t in (a, b))
     return len(x & y) / len(x | y) if x or y else 1.0
@@ -253,7 +276,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
     of these. In the order of the rows, a row goes if a candidate before it that stays is alike to it, and else stays: so a row goes only for a row that stays,
     and no two candidates that stay are alike.
 
-    Each round compares the rows of a band value with its first `most` undecided ones. A row that is among these in all its
+    Each round compares the rows of a band value with its first `most` undecided ones: their sketches where they meet, and the texts of
+    those pairs alone whose sketches don't prove that they are not alike. A row that is among these in all its
     bands has met all candidates before it, so the verified pairs decide it, unless they hang on one that isn't. `most`
     grows until no band value is shared by undecided rows: the first round takes the bulk of large groups of near copies in
     linear time, and only rows that are alike to none are compared with each other.
@@ -267,17 +291,19 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
             bands = [band_values(t, similarity) for t in b["text"]]
             sums = [xxhash.xxh128_hexdigest((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]
             fps = np.fromiter((simhash(t) for t in b["text"]), np.uint64, len(b)).view(np.int64)
+            sizes, odd = zip(*[sketch(t) for t in b["text"]], strict=True) if len(b) else ((), np.zeros((0, len(SKETCH)), np.int64))
             release()
-            yield pd.DataFrame({"_rid": b["_rid"], "sum": sums, "fp": fps, "bands": bands})
+            yield pd.DataFrame({"_rid": b["_rid"], "sum": sums, "fp": fps, "bands": bands, "n": sizes} | dict(zip(SKETCH, np.array(odd).T, strict=True)))
 
-    marks = held.select("_rid", F.col(text).alias("text")).mapInPandas(mark, "_rid long, sum string, fp long, bands array<long>")
+    sketched = ", ".join(f"{c} long" for c in ("n", *SKETCH))
+    marks = held.select("_rid", F.col(text).alias("text")).mapInPandas(mark, f"_rid long, sum string, fp long, bands array<long>, {sketched}")
     marks = stored(marks, "marks")
     first = marks.groupBy("sum").agg(F.min("_rid").alias("_rid"))
     with Scratch(docs.sparkSession) as work:
-        firsts = stored(marks.join(first, ["sum", "_rid"]).select("_rid", "fp", "bands"), "firsts")
+        firsts = stored(marks.join(first, ["sum", "_rid"]).drop("sum"), "firsts")
         linked = _linked(firsts.select("_rid", "fp"))
         bands = firsts.select("_rid", F.posexplode("bands").alias("band", "value"))
-        shared = work.keep(_shared(bands.union(linked)), "shared")
+        shared = work.keep(_shared(bands.union(linked)).join(firsts.select("_rid", "n", *SKETCH), "_rid"), "shared")
     texts = held.select("_rid", F.col(text).alias("text"))
     alike = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
     gone, most = None, 1
@@ -287,8 +313,9 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, text_col: str = "text"
             heads = stored(shared.withColumn("k", rank).where(F.col("k") <= most).drop("k"), "heads")
             unmet = shared.join(heads, ["band", "value", "_rid"], "left_anti").select("_rid").distinct()
             unmet = stored(unmet, "unmet")
-            met = shared.join(heads.withColumnRenamed("_rid", "x"), ["band", "value"]).where("x < _rid")
-            pairs = stored(met.select("x", F.col("_rid").alias("y")).distinct(), "pairs")
+            same = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x._rid") < F.col("y._rid"))
+            met = heads.alias("x").join(shared.alias("y"), same & may_be_alike(similarity))
+            pairs = stored(met.select(F.col("x._rid").alias("x"), F.col("y._rid").alias("y")).distinct(), "pairs")
             both = pairs.join(texts.toDF("y", "ty"), "y").join(texts.toDF("x", "tx"), "x")
             near = stored(both.where(alike("tx", "ty") >= similarity).select("x", "y"), "near")
             went, open_ = _decided(near, unmet)
