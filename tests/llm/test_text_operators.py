@@ -341,6 +341,17 @@ def test_scores_of_nothing(spark):
     assert lm.scores(none(spark)).count() == 0
 
 
+def test_questions_are_the_only_table_left_and_need_no_exchange(spark):
+    from veilframe.llm import common
+
+    start = len(common._written)
+    got = lm.scores(documents(spark), 25)
+    assert [p.rpartition("/")[2].split("_")[1] for p in common._written[start:]] == ["questions"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # by shard and by block: the sums of hot words' contexts; the result by block
+    assert plan.count("Exchange hashpartitioning(shard") == 1 and plan.count("Exchange hashpartitioning") == 3
+
+
 def test_hot_words_have_the_same_scores(spark):
     got = [{r.doc_id: r.score for r in lm.scores(documents(spark).where("doc_id > 1"), hot).collect()} for hot in (lm.HOT, 25)]
     assert got[0] == got[1] and len(got[0]) > 10

@@ -35,6 +35,11 @@ class Scratch:
         self.kept.add(_written[-1])
         return out
 
+    def keep_by(self, df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+        out = stored_by(df, label, key, buckets)
+        self.kept.add(_written[-1])
+        return out
+
     def __exit__(self, kind, *_) -> None:
         new = _written[self.start :]
         _written[self.start :] = [p for p in new if p in self.kept]

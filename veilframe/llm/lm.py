@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import blocks
-from veilframe.llm.common import shuffle_partitions, stored, stored_by, table
+from veilframe.llm.common import Scratch, shuffle_partitions, table
 from veilframe.llm.eliasfano import EliasFano
 
 HOT = 1_000_000
@@ -419,22 +419,23 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; docs: doc_id, text."""
     parts = shuffle_partitions(docs.sparkSession)
     shards = 4 * parts  # a task works on one shard at a time
-    cut = blocks.cut(docs.select("doc_id", "text"), tokens, "lm", training)
-    size = blocks.answered(cut, _size_words, SIZES).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.max("top").alias("top")).first()
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    starts = docs.where(~held).count()
-    uni = Unigrams(size["n"] or 0, size["v"] or 0, starts)
-    back = blocks.answered(cut, _count_words(parts), ANSWER)
-    asked = blocks.finished(cut, back, _ask(uni, parts, shards, hot), QUESTION)
-    if max(size["top"] or 0, starts) > hot:
-        asked = stored(asked, "questions")
-        some = stored_by(asked.where(f"shard >= {shards} AND shard < {2 * shards}"), "hot", "shard", parts)
+    with Scratch(docs.sparkSession) as work:  # the tokens go once the questions are written
+        cut = blocks.cut(docs.select("doc_id", "text"), tokens, "lm", training)
+        size = blocks.answered(cut, _size_words, SIZES).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.max("top").alias("top")).first()
+        held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+        starts = docs.where(~held).count()
+        uni = Unigrams(size["n"] or 0, size["v"] or 0, starts)
+        back = blocks.answered(cut, _count_words(parts), ANSWER)
+        # by shard: they are written once and read where they lie, in place of a table, one of hot shards, and their shuffles
+        asked = work.keep_by(blocks.finished(cut, back, _ask(uni, parts, shards, hot), QUESTION), "questions", "shard", parts)
+    plain = asked
+    if any_hot := max(size["top"] or 0, starts) > hot:
+        plain = asked.where(f"shard < {shards} OR shard >= {2 * shards}")
+    partial = plain.groupBy("shard").applyInPandas(_answer(uni), PARTIAL)
+    if any_hot:
+        some = asked.where(f"shard >= {shards} AND shard < {2 * shards}")
         added = some.groupBy("shard").applyInPandas(_parts(parts), PARTS).groupBy("to").applyInPandas(_added, PARTS)
-        partial = some.groupBy("shard").cogroup(added.groupBy("shard")).applyInPandas(_answer_hot(uni), PARTIAL)
-        asked = asked.where(f"shard < {shards} OR shard >= {2 * shards}")
-        partial = partial.union(asked.groupBy("shard").applyInPandas(_answer(uni), PARTIAL))
-    else:
-        partial = asked.groupBy("shard").applyInPandas(_answer(uni), PARTIAL)
+        partial = some.groupBy("shard").cogroup(added.groupBy("shard")).applyInPandas(_answer_hot(uni), PARTIAL).union(partial)
     return partial.groupBy("bid").applyInPandas(_sum, SCORE).withColumn("train_tokens", F.lit(uni.n).cast("long"))
 
 
