@@ -84,3 +84,28 @@ def test_factors_are_checkpointed_at_every_iteration(spark, monkeypatch):
     assert model.itemFactors.count() == 15
     assert made[0]["checkpointInterval"] == 1  # shuffles of an iteration go with its checkpoint
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
+def test_synthetic_rows_look_up_their_users(spark):
+    from veilframe.operators import synthetic
+
+    real = spark.createDataFrame([(u, m) for u in range(6) for m in range(40 * u + 3)], "customer_id long, movie_id long")
+    made = spark.range(3000)
+    got = {r.id: r.customer_id for r in synthetic.assign_users(made, real, 5).collect()}
+    assert sorted(got) == list(range(3000))
+    owners = [got[i] for i in range(3000)]
+    assert owners == sorted(owners) and owners[0] == synthetic.FIRST_USER
+    lengths = {min(40 * u + 3, synthetic.LONGEST) for u in range(6)}
+    runs = [owners.count(u) for u in sorted(set(owners))]
+    assert set(runs[:-1]) <= lengths and len(set(owners)) == owners[-1] - owners[0] + 1
+    # runs of users meet the rows: neither is shuffled by id
+    plan = synthetic.assign_users(made, real, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_copula_shuffles_no_rows_for_small_maps(spark):
+    from veilframe.operators import synthetic
+
+    df = _random_ratings(spark).withColumn("month", F.lit("2001-01"))
+    plan = synthetic.gaussian_copula(df, rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

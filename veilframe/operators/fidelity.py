@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.session import shuffles_deleted
+
 
 def dataset_profile(df: DataFrame) -> DataFrame:
     """One row: rows, users, movies, months, mean_rating, median_history, median_popularity."""
@@ -48,12 +50,14 @@ def clipped_histories(df: DataFrame, top: float | None = 0.99, fixed: int | None
 def synthetic_checks(synthetic: DataFrame, real: DataFrame, categorical=("movie_id", "month"), numeric=("rating",), key: str | None = None) -> DataFrame:
     """(check, column, share): values in range, values that the real table has, and keys that occur once."""
     spark, rows = real.sparkSession, []
-    n = max(1, synthetic.count())
-    for c in numeric:
-        lo, hi = real.agg(F.min(c), F.max(c)).first()
-        rows.append(("in_range", c, synthetic.where(F.col(c).between(lo, hi)).count() / n))
-    for c in categorical:
-        rows.append(("known_value", c, synthetic.join(real.select(c).distinct(), c, "left_semi").count() / n))
-    if key:
-        rows.append(("unique_key", key, synthetic.groupBy(key).count().where("count = 1").count() / n))
+    with shuffles_deleted(spark):
+        n = max(1, synthetic.count())
+        for c in numeric:
+            lo, hi = real.agg(F.min(c), F.max(c)).first()
+            rows.append(("in_range", c, synthetic.where(F.col(c).between(lo, hi)).count() / n))
+        for c in categorical:  # values meet, not rows
+            sizes = synthetic.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+            rows.append(("known_value", c, (sizes.join(real.select(c).distinct(), c, "left_semi").agg(F.sum("_n")).first()[0] or 0) / n))
+        if key:
+            rows.append(("unique_key", key, synthetic.groupBy(key).count().where("count = 1").count() / n))
     return spark.createDataFrame(rows, "check string, column string, share double")

@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.features import clipped, prefix_sums
 from veilframe.functions.hashing import TOP, draw
+from veilframe.session import checkpointed, discarded, shuffles_deleted
 
 FIRST_USER = 900_000_000
 LONGEST = 150
+#: Tables of up to this many cells (rows times columns) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_CELLS = 4_000_000
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows * len(table.columns) <= BROADCAST_CELLS else table
 
 
 def _intervals(df: DataFrame, column: str) -> DataFrame:
@@ -34,18 +41,20 @@ def _intervals(df: DataFrame, column: str) -> DataFrame:
 
 def gaussian_copula(df: DataFrame, columns=("movie_id", "rating", "month"), rows: int | None = None, seed: int = 333, cells: int = 4096) -> DataFrame:
     """`rows` synthetic rows (as many as df by default) with df's marginals and rank correlations. Draws depend on a row's number
-    alone."""
+    alone. A column's map of values is written once and broadcast where it is small, so that rows are not shuffled for it."""
     spark, columns = df.sparkSession, list(columns)
-    maps = {c: _intervals(df.where(F.col(c).isNotNull()), c) for c in columns}
+    maps = {c: checkpointed(_intervals(df.where(F.col(c).isNotNull()), c)) for c in columns}
+    sizes = {c: maps[c].count() for c in columns}
     coded = df.select(*columns)
-    for c in columns:
-        coded = coded.join(maps[c].select(F.col("value").alias(c), F.col("z").alias(f"_z_{c}")), c)
+    for c in sorted(columns, key=sizes.get):
+        coded = coded.join(_small(maps[c].select(F.col("value").alias(c), F.col("z").alias(f"_z_{c}")), sizes[c]), c)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
 
     def alike(a: str, b: str):  # null for a column of one value
         return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
-    corr = coded.agg(*[alike(f"_z_{columns[i]}", f"_z_{columns[j]}") for i, j in pairs]).first() if pairs else []
+    with shuffles_deleted(spark):
+        corr = coded.agg(*[alike(f"_z_{columns[i]}", f"_z_{columns[j]}") for i, j in pairs]).first() if pairs else []
     matrix = np.eye(len(columns))
     for (i, j), x in zip(pairs, corr, strict=True):
         matrix[i, j] = matrix[j, i] = 0.0 if x is None or x != x else x
@@ -62,38 +71,44 @@ def gaussian_copula(df: DataFrame, columns=("movie_id", "rating", "month"), rows
             yield pd.DataFrame({"id": b["id"], **{f"_u{k}": u[:, k] for k in range(len(columns))}})
 
     drawn = base.mapInPandas(normal, "id long, " + ", ".join(f"_u{k} double" for k in range(len(columns))))
-    for k, c in enumerate(columns):
-        at = maps[c].withColumn("_cell", F.explode(F.expr(f"sequence(cast(floor(low * {cells}) as int), cast(floor(least(high, 0.9999999999) * {cells}) as int))")))
-        at = at.select("_cell", F.col("value").alias(c), F.col("low").alias("_lo"), F.col("high").alias("_hi"))
-        mine = drawn.withColumn("_cell", F.floor(F.col(f"_u{k}") * cells).cast("int"))
+    for k, c in sorted(enumerate(columns), key=lambda x: sizes[x[1]]):
+        n_cells = max(cells, sizes[c])  # a few values in each, however many there are
+        at = maps[c].withColumn("_cell", F.explode(F.expr(f"sequence(cast(floor(low * {n_cells}) as int), cast(floor(least(high, 0.9999999999) * {n_cells}) as int))")))
+        at = _small(at.select("_cell", F.col("value").alias(c), F.col("low").alias("_lo"), F.col("high").alias("_hi")), sizes[c] + n_cells)
+        mine = drawn.withColumn("_cell", F.floor(F.col(f"_u{k}") * n_cells).cast("int"))
         on = (mine["_cell"] == at["_cell"]) & (mine[f"_u{k}"] >= at["_lo"]) & (mine[f"_u{k}"] < at["_hi"])
         drawn = mine.join(at, on).drop("_cell", "_lo", "_hi", f"_u{k}")
-    return drawn
+    return drawn.select("id", *columns)
 
 
 def assign_users(synthetic: DataFrame, real: DataFrame, seed: int = 333, longest: int = LONGEST) -> DataFrame:
     """Consecutive rows get one user each time, with as many rows as a real user drawn at random has (cut off at `longest`); ids
-    count from 900,000,000. synthetic: has id from 0."""
+    count from 900,000,000. synthetic: has id from 0; it is read more than once. Users are runs of ids, which rows look up."""
     spark = real.sparkSession
     lengths = real.groupBy("customer_id").agg(F.least(F.count(F.lit(1)), F.lit(longest)).alias("_len")).groupBy("_len").agg(F.count(F.lit(1)).alias("_users"))
     ranges = lengths.withColumn("_high", F.sum("_users").over(Window.orderBy("_len"))).withColumn("_low", F.col("_high") - F.col("_users"))
     total = lengths.agg(F.sum("_users").alias("_total"), F.min("_len").alias("_least")).first()
-    need = synthetic.count() // max(1, total["_least"] or 1) + 1
+    count, last = synthetic.agg(F.count(F.lit(1)), F.max("id")).first()
+    need = count // max(1, total["_least"] or 1) + 1
     drawn = spark.range(need).withColumn("_x", draw(seed, "history", "id") % F.lit(total["_total"] or 1))
     # at most `longest` intervals
     sized = drawn.join(F.broadcast(ranges), (F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_high"))).select("id", "_len")
-    block = 4096
+    block, cell = 4096, 256
     sums = sized.groupBy(F.expr(f"id div {block}").alias("_b")).agg(F.sum("_len").alias("_s"))
     offsets = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    reached = offsets.where(F.col("_before") <= F.lit(-1 if last is None else last))  # users beyond the last row have none
     inside = Window.partitionBy("_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         sized.withColumn("_b", F.expr(f"id div {block}"))
+        .join(F.broadcast(reached), "_b")
         .withColumn("_in", F.coalesce(F.sum("_len").over(inside), F.lit(0)))
-        .join(offsets, "_b")
         .select((F.lit(FIRST_USER) + F.col("id")).alias("customer_id"), (F.col("_before") + F.col("_in")).alias("_start"), "_len")
     )
-    rows = starts.select("customer_id", F.explode(F.expr("sequence(_start, _start + _len - 1)")).alias("id"))
-    return synthetic.join(rows, "id")
+    runs = starts.select("customer_id", "_start", (F.col("_start") + F.col("_len")).alias("_end"), F.explode(F.expr(f"sequence(_start div {cell}, (_start + _len - 1) div {cell})")).alias("_cell"))
+    runs = checkpointed(runs)
+    cols = ["id", *[c for c in synthetic.columns if c != "id"], "customer_id"]
+    own = (F.col("id") >= F.col("_start")) & (F.col("id") < F.col("_end"))
+    return synthetic.withColumn("_cell", F.expr(f"id div {cell}")).join(_small(runs, runs.count()), "_cell").where(own).select(*cols)
 
 
 def post_processed(synthetic: DataFrame, movies: DataFrame) -> DataFrame:
@@ -101,13 +116,17 @@ def post_processed(synthetic: DataFrame, movies: DataFrame) -> DataFrame:
     number = lambda c: F.round(F.col(c).cast("string").try_cast("double")).cast("int")
     held = synthetic.withColumn("rating", clipped(number("rating"), 1, 5).cast("int")).withColumn("movie_id", number("movie_id"))
     held = held.where(F.col("rating").isNotNull() & F.col("movie_id").isNotNull())
-    return held.join(movies.select("movie_id").distinct(), "movie_id", "left_semi").withColumn("date", F.concat("month", F.lit("-15")))
+    known = checkpointed(movies.select("movie_id").distinct())
+    return held.join(_small(known, known.count()), "movie_id", "left_semi").withColumn("date", F.concat("month", F.lit("-15")))
 
 
 def synthetic_release(df: DataFrame, rows: int | None = None, seed: int = 333) -> DataFrame:
-    """id, customer_id, movie_id, rating, month, date."""
-    drawn = post_processed(gaussian_copula(df, rows=rows, seed=seed), df)
-    return assign_users(drawn, df, seed)
+    """id, customer_id, movie_id, rating, month, date. The columns that are read and the rows that are drawn are written once."""
+    held = checkpointed(df.select("customer_id", "movie_id", "rating", "month"))
+    drawn = checkpointed(post_processed(gaussian_copula(held, rows=rows, seed=seed), held))
+    out = assign_users(drawn, held, seed)
+    discarded(held)
+    return out
 
 
 def train_on_synthetic(synthetic: DataFrame, real_train: DataFrame, real_test: DataFrame, epochs: int = 6) -> DataFrame:

@@ -609,9 +609,13 @@ def clipped_histories(spark, d):
 
 
 def synthetic(spark, d):
+    return synthetic_of(base(spark, d))
+
+
+def synthetic_of(df):
     from veilframe.operators.synthetic import synthetic_release
 
-    return synthetic_release(base(spark, d), seed=SEED)
+    return synthetic_release(df, seed=SEED)
 
 
 def als_predict(spark, d):
@@ -697,7 +701,8 @@ flags AS (SELECT v, n_known, candidate_count, candidate_count BETWEEN 1 AND 4 AS
 
 
 def synthetic_checks(spark, d):
-    return fidelity.synthetic_checks(synthetic(spark, d), base(spark, d), key="id")
+    real = checkpointed(base(spark, d).select("customer_id", "movie_id", "rating", "month"))
+    return fidelity.synthetic_checks(checkpointed(synthetic_of(real)), real, key="id")
 
 
 def train_on_synthetic(spark, d):
