@@ -99,11 +99,16 @@ def split(df: DataFrame, test_share: float = 0.2, seed: int = 333, check: bool =
         raise ValueError("test_share must be between 0 and 1")
     test = below(seed, "holdout", test_share, row_key(df))
     parts = df.where(~test), df.where(test)
-    if check and any(p.isEmpty() for p in parts):
-        raise ValueError("one side of the split is empty")
+    if check:
+        not_empty(*parts)
     return parts
 
 
+def not_empty(*parts: DataFrame) -> None:
+    if any(p.isEmpty() for p in parts):
+        raise ValueError("one side of the split is empty")
+
+
 def sampled(df: DataFrame, rows: int, seed: int = 333) -> DataFrame:
     """Exactly `rows` rows (or all), by least hash."""
     return df.where(least_rows(df, rows, draw(seed, "sample", row_key(df)), row_key(df))).limit(rows)

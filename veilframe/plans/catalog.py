@@ -708,8 +708,10 @@ def synthetic_checks(spark, d):
 def train_on_synthetic(spark, d):
     from veilframe.operators.synthetic import train_on_synthetic as run
 
-    train, test = bias.split(base(spark, d), 0.2, SEED)
-    return rounded(run(synthetic(spark, d), train, test), 6)
+    b = base(spark, d)
+    train, test = (checkpointed(x.select("customer_id", "movie_id", "rating", "month")) for x in bias.split(b, 0.2, SEED, check=False))
+    bias.not_empty(train, test)
+    return rounded(run(checkpointed(synthetic_of(train.union(test))), train, test), 6)
 
 
 def raw_als(spark, d):
