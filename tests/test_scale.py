@@ -109,3 +109,36 @@ def test_copula_shuffles_no_rows_for_small_maps(spark):
     df = _random_ratings(spark).withColumn("month", F.lit("2001-01"))
     plan = synthetic.gaussian_copula(df, rows=100)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_membership_reads_what_profiles_meet(spark, monkeypatch):
+    from veilframe.operators import neighbours
+
+    df = _random_ratings(spark)
+    profiles = neighbours.sample_profiles(df, 5, 3)
+    kept, plain = [], neighbours.checkpointed
+
+    def checkpointed(x):
+        out = plain(x)
+        kept.append(out)
+        return out
+
+    monkeypatch.setattr(neighbours, "checkpointed", checkpointed)
+    got = {(r.profile, r.candidate): r.sim for r in neighbours.nearest_users(profiles, df, 50).collect()}
+    movies = {r.movie_id for r in profiles.collect()}
+    assert all({r.movie_id for r in x.collect()} <= movies for x in kept if "movie_id" in x.columns)
+    vectors: dict = {}
+    for side, table in (("p", profiles), ("r", df)):
+        for r in neighbours._vectors(table, "rating", "user").collect():
+            vectors.setdefault((side, r.user), {})[r.movie_id] = r.x
+    size = lambda v: sum(x * x for x in v.values()) ** 0.5
+    for (p, c), sim in got.items():
+        a, b = vectors["p", p], vectors["r", c]
+        dot = sum(x * b[m] for m, x in a.items() if m in b)
+        assert sim == pytest.approx(dot / (size(a) * size(b)) if size(a) * size(b) else 0.0)
+    assert set(got) == {(p, c) for s, p in vectors if s == "p" for t, c in vectors if t == "r" and set(vectors["p", p]) & set(vectors["r", c])}
+    asked = []
+    auc = lambda m, o, release, col: asked.append(col) or release.sparkSession.createDataFrame([(1.0,)], "auc double")
+    monkeypatch.setattr(neighbours, "membership_auc", auc)
+    made = releases.make_releases(df, 333, 2, 2, ("movie_id", "rating"))
+    assert neighbours.release_membership(made, profiles, profiles).count() == 8 and len(asked) == 5

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from veilframe.functions.hashing import draw
 from veilframe.operators.bias import holdout_users, stratified_split
 from veilframe.operators.releases import Release, row_key
+from veilframe.session import checkpointed, discarded
 
 CENTRE = 3.0
+#: Movies of profiles, and candidates, up to this many are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def sample_profiles(df: DataFrame, n_users: int, n_facts: int, seed: int = 333) -> DataFrame:
@@ -29,13 +32,24 @@ def _vectors(df: DataFrame, rating_col: str, user: str) -> DataFrame:
     return df.where(F.col(rating_col).isNotNull()).groupBy(F.col("customer_id").alias(user), "movie_id").agg((F.avg(F.col(rating_col).cast("double")) - CENTRE).alias("x"))
 
 
+def _only(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of df with one of the (written) keys."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, keys.columns[0], "left_semi")
+
+
 def nearest_users(profiles: DataFrame, release: DataFrame, top_k: int = 10, rating_col: str = "rating") -> DataFrame:
     """(profile, candidate, sim, rank): the top_k users of the release by cosine, for each profile. Profiles without a movie of the
-    release have no row."""
-    p, r = _vectors(profiles, "rating", "profile"), _vectors(release, rating_col, "candidate")
+    release have no row. Of the release, only rows of the profiles' movies are compared, and only rows of users who have one of
+    these are added up for norms: all others are left where they are."""
+    p = _vectors(profiles, "rating", "profile")
+    movies = checkpointed(p.select("movie_id").distinct())
+    near = checkpointed(_only(release.where(F.col(rating_col).isNotNull()), movies).select("customer_id", "movie_id", rating_col))
+    users = checkpointed(near.select("customer_id").distinct())
+    whole = _only(release.select("customer_id", "movie_id", rating_col), users)
+    r, every = _vectors(near, rating_col, "candidate"), _vectors(whole, rating_col, "candidate")
     dots = p.withColumnRenamed("x", "px").join(r, "movie_id").groupBy("profile", "candidate").agg(F.sum(F.col("px") * F.col("x")).alias("_dot"))
     pn = p.groupBy("profile").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_pn"))
-    rn = r.groupBy("candidate").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_rn"))
+    rn = every.groupBy("candidate").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_rn"))
     sims = dots.join(pn, "profile").join(rn, "candidate").select("profile", "candidate", F.coalesce(F.try_divide(F.col("_dot"), F.col("_pn") * F.col("_rn")), F.lit(0.0)).alias("sim"))
     order = Window.partitionBy("profile").orderBy(F.round("sim", 9).desc(), "candidate")
     return sims.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
@@ -91,7 +105,7 @@ def membership_auc(members: DataFrame, others: DataFrame, release: DataFrame, ra
 
     spark = release.sparkSession
     parts = [membership_features(p, release, rating_col=rating_col).withColumn("label", F.lit(float(y))) for p, y in ((members, 1), (others, 0))]
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(reduce(DataFrame.unionByName, parts)).cache()
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(checkpointed(reduce(DataFrame.unionByName, parts))).cache()
     schema = "auc double, accuracy double, rows long, coefficients string"
     n, classes = rows.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
     if n < 10 or classes < 2:
@@ -110,8 +124,15 @@ def membership_auc(members: DataFrame, others: DataFrame, release: DataFrame, ra
 
 
 def release_membership(releases: list[Release], members: DataFrame, others: DataFrame) -> DataFrame:
-    """membership_auc for each release that has ratings."""
-    rows = [
-        membership_auc(members, others, r.data, r.rating_col).withColumn("release_name", F.lit(r.name)) for r in releases if r.rating_col is not None
-    ]
+    """membership_auc for each release that has ratings. Releases with the same table and label share one."""
+    rows, found = [], {}
+    for r in releases:
+        if r.rating_col is None:
+            continue
+        key = (id(r.data), r.rating_col)
+        if key not in found:
+            held = checkpointed(r.data.select("customer_id", "movie_id", r.rating_col))
+            found[key] = membership_auc(members, others, held, r.rating_col)
+            discarded(held)
+        rows.append(found[key].withColumn("release_name", F.lit(r.name)))
     return reduce(DataFrame.unionByName, rows)

@@ -12,6 +12,7 @@ from veilframe.operators import bias, fidelity, k_anonymity, neighbours, release
 from veilframe.plans import adapters as ad
 from veilframe.plans import report
 from veilframe.plans.catalog import CTE, KEY, RARE, RELEASES, SEED, _folder, _release_tables, base, rounded, table10
+from veilframe.session import checkpointed
 
 
 # --- files --------------------------------------------------------------------------------------------------------------
@@ -175,7 +176,7 @@ def release_checks(spark, d):
 
 # --- models that SQL can't express ------------------------------------------------------------------------------------------
 def release_membership(spark, d):
-    inside, members, others = neighbours.membership_sets(ad.ratings(spark, d), 60, 6, 0.25, SEED)
+    inside, members, others = (checkpointed(x) for x in neighbours.membership_sets(checkpointed(ad.ratings(spark, d).drop("date")), 60, 6, 0.25, SEED))
     made = releases.make_releases(inside, SEED, RARE, 5, ("movie_id", "rating"))
     return neighbours.release_membership(made, members, others).select("release_name", F.round("auc", 6).alias("auc"), F.round("accuracy", 6).alias("accuracy"), "rows")
 
