@@ -142,3 +142,18 @@ def test_membership_reads_what_profiles_meet(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "membership_auc", auc)
     made = releases.make_releases(df, 333, 2, 2, ("movie_id", "rating"))
     assert neighbours.release_membership(made, profiles, profiles).count() == 8 and len(asked) == 5
+
+
+def test_fixed_releases_are_fitted_together(spark, monkeypatch):
+    df = _random_ratings(spark)
+    options = dict(seed=333, rare_min=16, k=4, suppress_cols=("movie_id", "rating"))
+    apart = bias.compare_releases(df, df, releases.make_releases(df, **options), 3).collect()
+    fits = []
+    monkeypatch.setattr(bias, "fit_bias", lambda *x, **y: fits.append(x))
+    together = bias.compare_releases(df, df, epochs=3, **options).collect()
+    assert not fits and len(together) == 9
+    assert len({r.train_rows for r in together}) == 3  # the rare and the suppressed ones are smaller
+    by_name = lambda x: sorted((tuple(r) for r in x), key=lambda r: r[0])
+    for a, b in zip(by_name(apart), by_name(together), strict=True):
+        assert a[:4] + a[7:] == b[:4] + b[7:]
+        assert [x or 0 for x in a[4:7]] == pytest.approx([x or 0 for x in b[4:7]])

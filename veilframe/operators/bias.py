@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.features import clipped, least_rows
 from veilframe.functions.hashing import below, draw
-from veilframe.operators.releases import Release, make_releases, row_key
+from veilframe.operators.releases import Release, release_values, row_key
 from veilframe.session import checkpointed, checkpointed_by, discarded
 
 
@@ -166,29 +166,61 @@ def first_rows(df: DataFrame, n: int, by: list[str]) -> DataFrame:
 
 def compare_releases(train: DataFrame, test: DataFrame, releases: list[Release] | None = None, epochs: int = 8, reg: float = 10.0, **options) -> DataFrame:
     """Errors of models fitted on each release, against the true test ratings. Releases with the same training table and label
-    share one fit."""
-    spark, rows, fits = train.sparkSession, [], {}
-    for r in releases if releases is not None else make_releases(train, **options):
-        n = r.data.count()
-        row = [r.name, r.rating_col, n, None, None, None, None]
-        if r.rating_col is None:
+    share one fit. The fixed releases (releases is None) are the columns of one table and are fitted together."""
+    spark, rows, fits, sizes = train.sparkSession, [], {}, {}
+    if releases is None:
+        named, table = release_values(train, **options)
+        sizes, fits = _fit_together(table, test, sorted({n for *_, n in named}), sorted({v for _, _, v, _ in named if v}), epochs, reg)
+    else:
+        named = [(r.name, r.rating_col, (id(r.data), r.rating_col), r.data) for r in releases]
+    for name, rating_col, key, data in named:
+        n = sizes[data] if releases is None else data.count()
+        row = [name, rating_col, n, None, None, None, None]
+        if rating_col is None:
             rows.append((*row, "skipped_no_rating_labels"))
             continue
         if n == 0:
             rows.append((*row, "skipped_empty_training_set"))
             continue
-        key = (id(r.data), r.rating_col)
         if key not in fits:
-            model = fit_bias(r.data, r.rating_col, epochs, reg)
+            model = fit_bias(data, rating_col, epochs, reg)
             fits[key] = (model.mean, *evaluate(predict_bias(model, test)).first()[:3])
+        if fits[key][0] is None:
+            raise ValueError("there are no ratings to fit")
         mean, tested, rmse, mae = fits[key]
-        rows.append((r.name, r.rating_col, n, tested, mean, rmse, mae, "ok"))
+        rows.append((name, rating_col, n, tested, mean, rmse, mae, "ok"))
     frame = spark.createDataFrame(
         rows, "release_name string, rating_col string, train_rows long, test_rows long, global_mean double, rmse double, mae double, status string"
     )
     return frame.orderBy("status", F.col("rmse").asc_nulls_last(), "release_name")
 
 
+def _fit_together(table: DataFrame, test: DataFrame, flags: list[str], values: list[str], epochs: int, reg: float) -> tuple[dict, dict]:
+    """(rows of each flag; mean, test rows, RMSE and MAE of a model of each value): fit_bias and evaluate for all at once, as columns of the
+    sums of one table. A user or movie that a value lacks has the bias 0, as in predict_bias."""
+    sums = [x for v in values for x in (F.coalesce(F.sum(v), F.lit(0.0)).alias(f"s_{v}"), F.count(v).alias(f"n_{v}"))]
+    known = checkpointed_by(table.groupBy("customer_id", "movie_id").agg(*sums, *[F.count_if(f).alias(f) for f in flags]), "customer_id")
+    by = {"customer_id": known, "movie_id": checkpointed_by(known, "movie_id")}
+    means = [(F.sum(f"s_{v}") / F.nullif(F.sum(f"n_{v}"), F.lit(0))).alias(v) for v in values]
+    whole = known.agg(*means, *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in flags]).first()
+
+    def step(key: str, other: str, held: DataFrame | None, few: bool) -> DataFrame:
+        met = by[key] if held is None else _met(by, key, other, held, few)
+        less = lambda v: F.lit(whole[v] or 0.0) + (F.lit(0.0) if held is None else F.col(f"b_{v}"))
+        return met.groupBy(key).agg(*[(F.sum(F.col(f"s_{v}") - F.col(f"n_{v}") * less(v)) / (F.sum(f"n_{v}") + reg)).alias(f"b_{v}") for v in values])
+
+    held = _alternated(step, epochs, len(values))
+    asked = test.select("customer_id", "movie_id", F.col("rating").cast("double").alias("r"))
+    for key, name in (("customer_id", "u"), ("movie_id", "i")):
+        if epochs:
+            asked = asked.join(held[key].toDF(key, *[f"{name}_{v}" for v in values]), key, "left")
+    own = lambda v: sum((F.coalesce(f"{n}_{v}", F.lit(0.0)) for n in "ui"), F.lit(whole[v] or 0.0)) if epochs else F.lit(whole[v] or 0.0)
+    found = asked.select("r", *[clipped(own(v)).alias(v) for v in values])
+    row = found.agg(F.count(F.lit(1)).alias("rows"), *[x.alias(f"{n}_{v}") for v in values for n, x in zip(ERRORS, metrics(F.col("r"), F.col(v)), strict=True)]).first()
+    discarded(*by.values(), *held.values())
+    return {f: whole[f] for f in flags}, {v: (whole[v], row["rows"], row[f"rmse_{v}"], row[f"mae_{v}"]) for v in values}
+
+
 def global_mean_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
     mean = train.agg(F.avg("rating").alias("_mean"))
     return evaluate(test.join(F.broadcast(mean)).withColumn("prediction", clipped(F.col("_mean"))))

@@ -93,6 +93,27 @@ def make_releases(df: DataFrame, seed: int = 333, rare_min: int = 500, k: int =
     ]
 
 
+def release_values(df: DataFrame, seed: int = 333, rare_min: int = 500, k: int = 5, suppress_cols=("movie_id", "rating", "month")) -> tuple[list[tuple], DataFrame]:
+    """make_releases in one table, for what needs users, movies and ratings alone: (name, rating column, its value's column, its rows' column) of
+    each release, and (customer_id, movie_id, values, rows). A value is null, and a row's column false, where the release lacks the row."""
+    base = with_features(df)
+    keys = list(dict.fromkeys(["customer_id", "movie_id", "rating", "rating_bucket_midpoint", *suppress_cols]))
+    noisy = add_rating_noise(base.withColumn("_plain", F.col("rating")), seed).withColumnRenamed("rating", "_noisy").withColumnRenamed("_plain", "rating")
+    held = checkpointed(noisy.select(*keys, "_noisy"))
+    common = checkpointed(held.groupBy("movie_id").agg(F.countDistinct("customer_id").alias("_n")).where(F.col("_n") >= rare_min).select("movie_id"))
+    shared = checkpointed(class_sizes(held, list(suppress_cols)).where(F.col("k") >= k).drop("k"))
+    small = lambda x: F.broadcast(x) if x.count() <= BROADCAST_VALUES else x
+    marked = held.join(small(common.withColumn("_common", F.lit(True))), "movie_id", "left")
+    marked = null_safe(marked, small(shared.withColumn("_shared", F.lit(True))), list(suppress_cols), "left")
+    rating, mid = F.col("rating").cast("double"), F.col("rating_bucket_midpoint").cast("double")
+    rare, low = F.coalesce("_common", F.lit(False)), F.coalesce("_shared", F.lit(False))
+    values = [rating.alias("v0"), mid.alias("v1"), F.col("_noisy").cast("double").alias("v2"), F.when(rare, rating).alias("v3"), F.when(low, rating).alias("v4")]
+    table = marked.select("customer_id", "movie_id", *values, F.lit(True).alias("in0"), rare.alias("in1"), low.alias("in2"))
+    at = {"add_rating_noise": ("v2", "in0"), f"remove_rare_movies_min_{rare_min}": ("v3", "in1"), f"k_suppress_movie_rating_month_k{k}": ("v4", "in2")}
+    of = lambda r: at.get(r.name, ({"rating": "v0", "rating_bucket_midpoint": "v1", None: None}[r.rating_col], "in0"))
+    return [(r.name, r.rating_col, *of(r)) for r in make_releases(df, seed, rare_min, k, suppress_cols)], table
+
+
 def six_releases(df: DataFrame, seed: int = 333) -> list[Release]:
     """The shorter list, with its own names, of the exploratory study."""
     names = {
