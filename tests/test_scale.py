@@ -157,3 +157,13 @@ def test_fixed_releases_are_fitted_together(spark, monkeypatch):
     for a, b in zip(by_name(apart), by_name(together), strict=True):
         assert a[:4] + a[7:] == b[:4] + b[7:]
         assert [x or 0 for x in a[4:7]] == pytest.approx([x or 0 for x in b[4:7]])
+
+
+def test_scorecard_attacks_a_shared_release_once(spark, monkeypatch):
+    from veilframe.plans import catalog_more
+
+    asked = []
+    made = "top1_hit boolean, topk_hit boolean"
+    monkeypatch.setattr(catalog_more.neighbours, "nearest_neighbor_attack", lambda p, x, rating_col: asked.append(rating_col) or spark.createDataFrame([(True, True)], made))
+    got = catalog_more.neighbour_risk(_random_ratings(spark))
+    assert got.count() == 8 and len(asked) == 5

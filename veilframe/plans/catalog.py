@@ -299,7 +299,11 @@ def knowledge_modes(spark, d):
 
 
 def release_attack_summary(spark, d):
-    got = releases.make_releases(ad.ratings(spark, d), SEED, RARE, 5, ("movie_id", "rating"))
+    return release_attack_of(ad.ratings(spark, d))
+
+
+def release_attack_of(ratings):
+    got = releases.make_releases(ratings, SEED, RARE, 5, ("movie_id", "rating"))
     return rounded(attack.evaluate_releases(got, (1, 2, 3), TRIALS, SEED)[2])
 
 
@@ -366,7 +370,11 @@ def global_mean(spark, d):
 
 
 def release_rmse(spark, d):
-    train, test = bias.split(ad.ratings(spark, d), 0.2, SEED)
+    return release_rmse_of(ad.ratings(spark, d))
+
+
+def release_rmse_of(ratings):
+    train, test = bias.split(ratings, 0.2, SEED)
     got = bias.compare_releases(train, test, epochs=EPOCHS, seed=SEED, rare_min=RARE, k=5, suppress_cols=("movie_id", "rating"))
     return rounded(got.na.fill(-1).na.fill("none"), 6)
 
@@ -732,7 +740,8 @@ def scorecard(spark, d):
 
     from veilframe.plans.catalog_more import neighbour_risk
 
-    return presented(card(release_rmse(spark, d), release_attack_summary(spark, d), neighbour_risk(spark, d)))
+    r = checkpointed(ad.ratings(spark, d))
+    return presented(card(release_rmse_of(r), checkpointed(release_attack_of(r)), neighbour_risk(r)))
 
 
 def text_classifier(spark, d):

@@ -12,7 +12,7 @@ from veilframe.operators import bias, fidelity, k_anonymity, neighbours, release
 from veilframe.plans import adapters as ad
 from veilframe.plans import report
 from veilframe.plans.catalog import CTE, KEY, RARE, RELEASES, SEED, _folder, _release_tables, base, rounded, table10
-from veilframe.session import checkpointed
+from veilframe.session import checkpointed, discarded
 
 
 # --- files --------------------------------------------------------------------------------------------------------------
@@ -181,16 +181,21 @@ def release_membership(spark, d):
     return neighbours.release_membership(made, members, others).select("release_name", F.round("auc", 6).alias("auc"), F.round("accuracy", 6).alias("accuracy"), "rows")
 
 
-def neighbour_risk(spark, d) -> DataFrame:
-    """(release_name, top1_pct, topk_pct) of the nearest-neighbour attack on each release that has ratings."""
-    r = ad.ratings(spark, d)
-    profiles = neighbours.sample_profiles(r, 50, 6, SEED).cache()
+def neighbour_risk(r: DataFrame) -> DataFrame:
+    """(release_name, top1_pct, topk_pct) of the nearest-neighbour attack on each release that has ratings; releases with the same table
+    and label share one."""
+    profiles = checkpointed(neighbours.sample_profiles(r, 50, 6, SEED))
     share = lambda c: (F.avg(F.col(c).cast("double")) * 100).alias(c.replace("hit", "pct"))
-    rows = [
-        neighbours.nearest_neighbor_attack(profiles, x.data, rating_col=x.rating_col).agg(share("top1_hit"), share("topk_hit")).withColumn("release_name", F.lit(x.name))
-        for x in releases.make_releases(r, SEED, RARE, 5, ("movie_id", "rating"))
-        if x.rating_col is not None
-    ]
+    rows, found = [], {}
+    for x in releases.make_releases(r, SEED, RARE, 5, ("movie_id", "rating")):
+        if x.rating_col is None:
+            continue
+        key = (id(x.data), x.rating_col)
+        if key not in found:
+            held = checkpointed(x.data.select("customer_id", "movie_id", x.rating_col))
+            found[key] = checkpointed(neighbours.nearest_neighbor_attack(profiles, held, rating_col=x.rating_col).agg(share("top1_hit"), share("topk_hit")))
+            discarded(held)
+        rows.append(found[key].withColumn("release_name", F.lit(x.name)))
     return reduce(DataFrame.unionByName, rows)
 
 
