@@ -344,3 +344,39 @@ def test_near_copies_are_searched_for_by_simhash_too(spark, monkeypatch):
     assert value[0] == value[1] != value[2] and {r["band"] for r in linked.collect()} == {simhash.BANDS}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [0, 2]
+
+
+def test_texts_are_parsed_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    shared = [bytes(rng.integers(97, 123, 500, dtype=np.uint8)).decode() for _ in range(9)]
+    texts = [shared[k % 9] + str(k) for k in range(320)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(32)
+    parsed, parse = spark.sparkContext.accumulator(0), repeats._parsed
+
+    def counting(*options):
+        run = parse(*options)
+
+        def counted(batches):
+            def each():
+                for b in batches:
+                    parsed.add(len(b))
+                    yield b
+
+            return run(each())
+
+        return counted
+
+    monkeypatch.setattr(repeats, "_parsed", counting)
+    monkeypatch.setattr(repeats, "LEAST_BLOCKS", 1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in repeats.without_repeats(docs).withColumn("sha", F.sha2("kept", 256)).collect()}
+    assert parsed.value <= 32 + 16  # each block, and a sample for the ranges; it was twice each block
+    assert got == dict(enumerate(plain_removal([t.encode() for t in texts], 400)))
+
+
+def test_ranges_part_a_frequent_key():
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, n, 400) for n in (3, 2, 4, 50)]
+    for some in (0, 1, 7, 60):
+        bounds = sorted(zip(*[x[:some].tolist() for x in rows], strict=True))
+        columns = [np.array([b[k] for b in bounds], np.int64) for k in range(4)]
+        assert repeats._range_of(rows, columns).tolist() == [sum(b <= r for b in bounds) for r in zip(*[x.tolist() for x in rows], strict=True)]

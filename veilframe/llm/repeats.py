@@ -338,10 +338,66 @@ def _equal_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out(held, 3 if first else 2)
 
 
-def _contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: The order of parsed rows. Ranges of it come from rows of one block in SAMPLED, and LEAST_BLOCKS blocks at least: SAMPLES for each range.
+ORDER = ["k", "c", "bid", "place"]
+SAMPLED, LEAST_BLOCKS, SAMPLES = 16, 32, 60
+
+
+def _some(parse, take: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """At most `take` parsed rows of each block, and how many each of them stands for."""
+        for batch in batches:
+            for at in range(len(batch)):
+                found = [x for x in parse(iter([batch.iloc[at : at + 1]])) if len(x)]
+                if found:
+                    rows = pd.concat(found, ignore_index=True)[ORDER]
+                    some = rows.iloc[np.random.default_rng(1).permutation(len(rows))[:take]]
+                    yield some.assign(weight=len(rows) / len(some))
+
+    return run
+
+
+def _bounds(blocks: DataFrame, parse, parts: int) -> list[np.ndarray]:
+    """The first row of each range but the first, as columns of ORDER: ranges of near equal numbers of rows. Sampled here, as Spark's sample
+    for its own ranges would parse all texts once more."""
+    n = blocks.count()
+    share = max(1, min(SAMPLED, n // LEAST_BLOCKS))
+    some = blocks.where(F.pmod(F.xxhash64("bid"), F.lit(share)) == 0)
+    schema = ", ".join(f"{c} long" for c in ORDER) + ", weight double"
+    got = some.mapInPandas(_some(parse, -(-SAMPLES * parts * share // max(1, n))), schema).toPandas().sort_values(ORDER)
+    upto = got["weight"].to_numpy().cumsum()
+    if not len(upto):
+        return [np.zeros(0, np.int64)] * len(ORDER)
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts))
+    return [got[c].to_numpy(np.int64)[at] for c in ORDER]
+
+
+def _range_of(rows: list[np.ndarray], bounds: list[np.ndarray]) -> np.ndarray:
+    """How many of the sorted bounds are not above each row, column by column."""
+    low, high = (np.searchsorted(bounds[0], rows[0], side) for side in ("left", "right"))
+    if len(rows) == 1:
+        return high
+    open_, out = np.nonzero(low < high)[0], low.copy()
+    for i in np.unique(low[open_]):
+        some = open_[low[open_] == i]
+        j = high[some[0]]
+        out[some] += _range_of([x[some] for x in rows[1:]], [b[i:j] for b in bounds[1:]])
+    return out
+
+
+def _ranged(parse, bounds: list[np.ndarray]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parse(batches):
+            yield rows.assign(range=_range_of([rows[c].to_numpy(np.int64) for c in ORDER], bounds))
+
+    return run
+
+
+def _contexts(blocks: DataFrame, parse) -> tuple[DataFrame, DataFrame]:
     """(contexts that share a half with another one: bid, place, lr, n; rows that stand twice or more: bid, place, lr)."""
-    spark, order = rows.sparkSession, ["k", "c", "bid", "place"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    spark, parts = blocks.sparkSession, shuffle_partitions(blocks.sparkSession)
+    rows = blocks.mapInPandas(_ranged(parse, _bounds(blocks, parse, parts)), f"{PARSED}, range int")
+    dealt = rows.repartitionById(parts, "range").drop("range").sortWithinPartitions(*ORDER)
     runs = stored(dealt.mapInPandas(_equal_rows, RUN), "runs")
     ends = sorted(runs.where("what BETWEEN 1 AND 3").collect(), key=lambda r: (r["part"], r["what"] == 2))  # two rows a partition
     chains: list[list[dict]] = []  # equal runs on both sides of partitions' ends
@@ -635,7 +691,7 @@ def _equal(windows: DataFrame) -> DataFrame:
 def _repeats(blocks: DataFrame, text_col: str, length: int, words: int | None, light: bool) -> DataFrame:
     """(bid, doc, span) of windows that repeat."""
     lengths, parts = (length, words), shuffle_partitions(blocks.sparkSession)
-    left, twice = _contexts(blocks.mapInPandas(_parsed(text_col, length, words, light), PARSED))
+    left, twice = _contexts(blocks, _parsed(text_col, length, words, light))
     doc, at, kind = F.expr("cast(place >> 33 as int)"), F.expr("(place >> 1) & 4294967295"), F.expr("place & 1")
     before, behind = F.expr("lr >> 32"), F.expr("lr & 4294967295")
     low = F.greatest(F.lit(0), F.when(kind == 1, F.lit(words or 0)).otherwise(F.lit(length)) - behind)
