@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -370,6 +371,30 @@ def test_trie_with_sums_from_outside():
     assert np.abs(got - np.log10(want)).max() < 0.06 and uni.log(np.array([9]))[0] == np.log10(10 / 1011)
 
 
+def test_words_meet_once_and_sums_are_small(spark, monkeypatch):
+    met, answered = [], lm.blocks.answered
+    monkeypatch.setattr(lm.blocks, "answered", lambda *x: met.append(x) or answered(*x))
+    assert lm.scores(documents(spark)).count() == len(rows())
+    assert len(met) == 1  # the corpus's figures come with the words' counts
+    rng = np.random.default_rng(2)
+    n, ints = 4000, lm.blocks.pack_ints
+    one, many, own = (ints(np.array(x, np.int64)) for x in ([1], np.arange(300) > 0, np.arange(300)))
+    pick = [rng.integers(0, 300, n) for _ in range(2)]
+    asked = [7, 5, one, ints(np.zeros(1, np.int64)), many, many, own, ints(np.zeros(n, np.int64)), *map(ints, pick), ints(np.arange(n)), ints(np.arange(n) % 2), None]
+    q = lm.Questions(pd.DataFrame([asked], columns=[x.split()[0] for x in lm.QUESTION.split(", ")]))
+    got = q.answers(lm.Unigrams(100_000, 300, 50))
+    assert sum(len(x) for x in got.iloc[0] if isinstance(x, bytes)) < 6 * n  # not a float for each document
+
+
+def test_questions_are_ordered_by_three_numbers():
+    rng = np.random.default_rng(3)
+    for top in (50, 2**31 - 1):
+        v, u, w = (rng.integers(top - 40, top, 3000) for _ in range(3))
+        order = lm._by_three(v, u, w)
+        plain = np.lexsort((w, u, v))
+        assert all((x[order] == x[plain]).all() for x in (v, u, w))
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------------
 def distance(a, b):
     d = list(range(len(b) + 1))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import blocks
-from veilframe.llm.common import Scratch, shuffle_partitions, table
+from veilframe.llm.common import Scratch, shuffle_partitions, stored, table
 from veilframe.llm.eliasfano import EliasFano
 
 HOT = 1_000_000
@@ -63,7 +63,8 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-ANSWER = "bid long, part int, ids binary, counts binary"
+#: size, distinct, top: tokens, distinct words and the most frequent word's count in a partition's training rows; once, 0 in its other rows.
+ANSWER = "bid long, part int, ids binary, counts binary, size long, distinct long, top long"
 
 
 def _count_words(parts: int):
@@ -78,30 +79,18 @@ def _count_words(parts: int):
                 total[w] = total.get(w, 0) + c
         part = int(slices["part"].iloc[0])
         number = {w: 1 + part + parts * k for k, w in enumerate(sorted(total))}
-        rows = []
+        trained = [c for c in total.values() if c]
+        rows, figures = [], (sum(trained), len(trained), max(trained, default=0))
         for bid, words in zip(slices["bid"], held, strict=True):
             ids = np.fromiter((number[w] for w in words), np.int64, len(words))
             counts = np.fromiter((total[w] for w in words), np.int64, len(words))
-            rows.append((bid, part, blocks.pack_ints((ids - 1 - part) // parts), blocks.pack_ints(counts)))
-        return pd.DataFrame(rows, columns=["bid", "part", "ids", "counts"])
+            rows.append((bid, part, blocks.pack_ints((ids - 1 - part) // parts), blocks.pack_ints(counts), *figures))
+            figures = (0, 0, 0)
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])
 
     return run
 
 
-SIZES = "part int, n long, v long, top long"
-
-
-def _size_words(slices: pd.DataFrame) -> pd.DataFrame:
-    """Tokens, distinct words and the most frequent word's count in the training rows."""
-    total: dict[bytes, int] = {}
-    for body, size, own in zip(slices["body"], slices["n"], slices["docs"], strict=True):
-        for w, c in zip(blocks.split_words(body, size), blocks.unpack_ints(own).tolist(), strict=True):
-            if c:
-                total[w] = total.get(w, 0) + c
-    found = (int(slices["part"].iloc[0]), sum(total.values()), len(total), max(total.values(), default=0))
-    return pd.DataFrame([found], columns=["part", "n", "v", "top"])
-
-
 class Unigrams(NamedTuple):
     n: int
     v: int
@@ -210,7 +199,7 @@ class Trie:
     @classmethod
     def build(cls, v, u, w, n, uni_log, sums: Sums | None = None) -> Trie:
         """From distinct trigrams sorted by (v, u, w), their counts and log P(w); sums: of contexts, where the shard has not all w."""
-        words, at = np.unique(v, return_inverse=True) if sums is None else (sums.words, np.searchsorted(sums.words, v))
+        words, at = _runs(v) if sums is None else (sums.words, np.searchsorted(sums.words, v))
         span = 2 + int(max(w.max(initial=0), u.max(initial=0), 0 if sums is None else sums.u.max(initial=0)))
         pair, back = np.unique(at * span + w, return_inverse=True)  # successors of v
         c_pair = np.bincount(back, n, len(pair))
@@ -222,7 +211,7 @@ class Trie:
         p_pair = (c_pair + t_v[owner] * 10**log_w) / (c_v + t_v)[owner]
         start = np.concatenate([[0], np.cumsum(follow)]).astype(np.int64)
         if sums is None:
-            before, ctx = np.unique(at * span + u, return_inverse=True)  # predecessors of v
+            before, ctx = _runs(at * span + u)  # predecessors of v
             c_ctx, t_ctx = np.bincount(ctx, n, len(before)), np.bincount(ctx, minlength=len(before))
         else:
             before, c_ctx, t_ctx = sums.owner * span + sums.u, sums.c, sums.t
@@ -249,33 +238,60 @@ class Trie:
         )
 
     def log(self, v, u, w, uni_log) -> np.ndarray:
-        out = uni_log.copy()
+        coarse, bare = self.steps(v, u, w)
+        return np.where(bare, uni_log, 0.0) - coarse / COARSE
+
+    def steps(self, v, u, w) -> tuple[np.ndarray, np.ndarray]:
+        """(levels' steps, whether the word's own probability comes on top), of which the logarithm is made."""
+        coarse, bare = np.zeros(len(v), np.int64), np.ones(len(v), bool)
         i = self.words.find(v)
         k = np.nonzero(i >= 0)[0]
         i = i[k]
         inside = w[k] < self.span - 1
         j = self.after.find(np.where(inside, i * self.span + w[k], -1))
         found = j >= 0
-        out[k] = np.where(found, _value(self.codes["level2"], j), _value(self.codes["weight1"], i) + uni_log[k])
+        coarse[k], bare[k] = np.where(found, _step(self.codes["level2"], j), _step(self.codes["weight1"], i)), ~found
         ctx = self.before.find(np.where(u[k] < self.span, i * self.span + u[k], -1))
         deep = np.nonzero(ctx >= 0)[0]
         widest = int(self.codes["widest"][0])
         place = j[deep] - self.first.get(i[deep])
         third = self.third.find(np.where(found[deep], ctx[deep] * widest + place, -1))
-        kept = _value(self.codes["weight2"], ctx[deep]) + out[k[deep]]
-        out[k[deep]] = np.where(third >= 0, _value(self.codes["level3"], third), kept)
-        return out
+        kept = _step(self.codes["weight2"], ctx[deep]) + coarse[k[deep]]
+        coarse[k[deep]] = np.where(third >= 0, _step(self.codes["level3"], third), kept)
+        bare[k[deep]] &= third < 0
+        return coarse, bare
 
 
 def _coarse(logs: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.rint(-logs * COARSE)).astype(np.uint8)
 
 
-def _value(codes: np.ndarray, i: np.ndarray) -> np.ndarray:
-    return -codes[np.maximum(i, 0)].astype(float) / COARSE if len(codes) else np.zeros(len(i))
+def _step(codes: np.ndarray, i: np.ndarray) -> np.ndarray:
+    return codes[np.maximum(i, 0)].astype(np.int64) if len(codes) else np.zeros(len(i), np.int64)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct, which of them each is) of sorted keys."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new], np.cumsum(new) - 1
+
 
+def _by_three(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order by v, u, w; numbers from 0 of at most 31 bits."""
+    wide = [int(x.max(initial=0)).bit_length() for x in (u, w)]
+    words, rank = np.unique(v, return_inverse=True)
+    key = (u << wide[1]) | w
+    if len(words).bit_length() + sum(wide) <= 63:
+        return np.argsort((rank << sum(wide)) | key)
+    order = np.argsort(key)
+    return order[np.argsort(rank[order], kind="stable")]
 
-PARTIAL = "bid long, doc binary, score binary, own binary"
+
+#: A block's documents in a shard: steps from one to the next, and sums over their questions: of the levels' steps, of the codes of words
+#: whose own probability counts, and the number of these. Whole numbers, so sums are exact in any order.
+PARTIAL = "bid long, doc binary, coarse binary, fine binary, bare binary, own binary"
+PARTIAL_NAMES = [x.split()[0] for x in PARTIAL.split(", ")]
 
 
 class Questions:
@@ -292,7 +308,7 @@ class Questions:
         self.bids, self.sizes = rows["bid"].tolist(), [len(x) for x in cols[0]]
         v, u, w, c_v, codes, self.doc, train = (np.concatenate(x) for x in cols)
         del cols
-        self.order = order = np.lexsort((w, u, v))
+        self.order = order = _by_three(v, u, w)
         new = np.ones(len(order), bool)
         sv, su, sw = v[order], u[order], w[order]
         new[1:] = (sv[1:] != sv[:-1]) | (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])
@@ -303,25 +319,27 @@ class Questions:
 
     def answers(self, uni: Unigrams, sums: Sums | None = None) -> pd.DataFrame:
         """Each block's documents with the sums of their questions' logarithms."""
-        logs, seen = uni.log_of_code(self.codes.astype(float)), self.n > 0
+        seen = self.n > 0
+        coarse, bare = np.zeros(len(self.v), np.int64), np.ones(len(self.v), bool)
         if seen.any() or sums is not None:
-            trie = Trie.build(self.v[seen], self.u[seen], self.w[seen], self.n[seen], logs[seen], sums)
-            logs = trie.log(self.v, self.u, self.w, logs)
-        each = np.empty(len(self.order))
-        each[self.order] = logs[self.which]
+            logs = uni.log_of_code(self.codes[seen].astype(float))
+            coarse, bare = Trie.build(self.v[seen], self.u[seen], self.w[seen], self.n[seen], logs, sums).steps(self.v, self.u, self.w)
+        each = [np.empty(len(self.order), np.int64) for _ in range(3)]
+        for a, x in zip(each, (coarse, np.where(bare, self.codes, 0), bare), strict=True):
+            a[self.order] = x[self.which]
         out, at = [], 0
         for bid, size in zip(self.bids, self.sizes, strict=True):
             own, place = np.unique(self.doc[at : at + size], return_inverse=True)
-            total = np.bincount(place, each[at : at + size], len(own))
+            totals = [np.bincount(place, a[at : at + size], len(own)).astype(np.int64) for a in each]
             at += size
-            out.append((bid, blocks.pack_ints(own.astype(np.int64)), total.tobytes(), None))
-        return pd.DataFrame(out, columns=["bid", "doc", "score", "own"])
+            out.append((bid, blocks.pack_ints(np.diff(own.astype(np.int64), prepend=0)), *map(blocks.pack_ints, totals), None))
+        return pd.DataFrame(out, columns=PARTIAL_NAMES)
 
 
 def _answer(uni: Unigrams):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["own"].iloc[0] is not None:  # a block's own figures pass through
-            return pd.DataFrame({"bid": rows["bid"], "doc": None, "score": None, "own": rows["own"]})[["bid", "doc", "score", "own"]]
+            return pd.DataFrame({c: rows[c] if c in ("bid", "own") else None for c in PARTIAL_NAMES})
         return Questions(rows).answers(uni)
 
     return run
@@ -334,7 +352,7 @@ PARTS = "to long, shard long, v binary, u binary, c binary, t binary"
 def _contexts(q: Questions) -> tuple[np.ndarray, ...]:
     """(v, u, c, t): a row for each context that is asked for here, u + 1 in place of u and 0 for v alone."""
     v, u = np.concatenate([q.v, q.v]), np.concatenate([q.u + 1, np.zeros(len(q.u), np.int64)])
-    order = np.lexsort((u, v))
+    order = np.argsort(v * (int(u.max(initial=0)) + 1) + u)
     sv, su = v[order], u[order]
     new = np.ones(len(order), bool)
     new[1:] = (sv[1:] != sv[:-1]) | (su[1:] != su[:-1])
@@ -345,7 +363,8 @@ def _contexts(q: Questions) -> tuple[np.ndarray, ...]:
     c = np.bincount(which[:pairs], q.n, total)
     t = np.bincount(which[:pairs][seen], minlength=total)
     # of v alone: distinct w
-    first = np.unique(np.stack([which[pairs:][seen], q.w[seen]]), axis=1)[0]
+    span = int(q.w.max(initial=0)) + 1
+    first = np.unique(which[pairs:][seen] * span + q.w[seen]) // span
     t += np.bincount(first, minlength=total)
     c += np.bincount(which[pairs:], q.n, total)
     head = np.nonzero(new)[0]
@@ -369,8 +388,7 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     cols = [[blocks.unpack_ints(x) for x in rows[k]] for k in ("v", "u", "c", "t")]
     sizes = [len(x) for x in cols[0]]
     v, u, c, t = (np.concatenate(x) for x in cols)
-    _, which = np.unique(np.stack([v, u]), axis=1, return_inverse=True)
-    which = which.ravel()
+    _, which = np.unique(v * (int(u.max(initial=0)) + 1) + u, return_inverse=True)
     c, t = (np.bincount(which, x)[which].astype(np.int64) for x in (c, t))
     edges = np.cumsum(sizes)[:-1]
     for name, x in (("c", c), ("t", t)):
@@ -394,25 +412,31 @@ def _answer_hot(uni: Unigrams):
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _sum(rows: pd.DataFrame) -> pd.DataFrame:
-    raw = blocks.unpack(next(x for x in rows["own"] if x is not None))
-    n = len(raw) // 48
-    ids, null, lengths, known = np.frombuffer(raw[: 32 * n], np.int64).reshape(4, n)
-    base, score = np.frombuffer(raw[32 * n :], np.float64).reshape(2, n).copy()
-    parts = [(blocks.unpack_ints(d), np.frombuffer(s, np.float64)) for d, s in zip(rows["doc"], rows["score"], strict=True) if d is not None]
-    for doc, s in parts:
-        score[doc] += s
-    names = [None if x else int(i) for i, x in zip(ids, null, strict=True)]
-    return pd.DataFrame(
-        {
-            "doc_id": pd.array(names, "Int64"),
-            "held_out": [not training(i) for i in names],
-            "n_tokens": lengths,
-            "n_known": known,
-            "base_score": base,
-            "score": score.round(6),
-        }
-    )
+def _sum(uni: Unigrams):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        raw = blocks.unpack(next(x for x in rows["own"] if x is not None))
+        n = len(raw) // 48
+        ids, null, lengths, known = np.frombuffer(raw[: 32 * n], np.int64).reshape(4, n)
+        base, score = np.frombuffer(raw[32 * n :], np.float64).reshape(2, n)
+        totals = np.zeros((3, n), np.int64)
+        for r in rows.itertuples(index=False):
+            if r.doc is not None:
+                totals[:, np.cumsum(blocks.unpack_ints(r.doc))] += [blocks.unpack_ints(x) for x in (r.coarse, r.fine, r.bare)]
+        coarse, fine, bare = totals
+        score = score + fine / FINE - bare * np.log10(uni.n + uni.v + 1) - coarse / COARSE
+        names = [None if x else int(i) for i, x in zip(ids, null, strict=True)]
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array(names, "Int64"),
+                "held_out": [not training(i) for i in names],
+                "n_tokens": lengths,
+                "n_known": known,
+                "base_score": base,
+                "score": score.round(6),
+            }
+        )
+
+    return run
 
 
 def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -421,11 +445,13 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shards = 4 * parts  # a task works on one shard at a time
     with Scratch(docs.sparkSession) as work:  # the tokens go once the questions are written
         cut = blocks.cut(docs.select("doc_id", "text"), tokens, "lm", training)
-        size = blocks.answered(cut, _size_words, SIZES).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.max("top").alias("top")).first()
+        # written, so that the corpus's figures and the answers themselves come from one exchange of the words
+        back = stored(blocks.answered(cut, _count_words(parts), ANSWER), "answers")
+        size = back.agg(F.sum("size").alias("n"), F.sum("distinct").alias("v"), F.max("top").alias("top")).first()
         held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
         starts = docs.where(~held).count()
         uni = Unigrams(size["n"] or 0, size["v"] or 0, starts)
-        back = blocks.answered(cut, _count_words(parts), ANSWER)
+        back = back.select("bid", "part", "ids", "counts")
         # by shard: they are written once and read where they lie, in place of a table, one of hot shards, and their shuffles
         asked = work.keep_by(blocks.finished(cut, back, _ask(uni, parts, shards, hot), QUESTION), "questions", "shard", parts)
     plain = asked
@@ -436,7 +462,7 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
         some = asked.where(f"shard >= {shards} AND shard < {2 * shards}")
         added = some.groupBy("shard").applyInPandas(_parts(parts), PARTS).groupBy("to").applyInPandas(_added, PARTS)
         partial = some.groupBy("shard").cogroup(added.groupBy("shard")).applyInPandas(_answer_hot(uni), PARTIAL).union(partial)
-    return partial.groupBy("bid").applyInPandas(_sum, SCORE).withColumn("train_tokens", F.lit(uni.n).cast("long"))
+    return partial.groupBy("bid").applyInPandas(_sum(uni), SCORE).withColumn("train_tokens", F.lit(uni.n).cast("long"))
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
