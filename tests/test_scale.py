@@ -167,3 +167,19 @@ def test_scorecard_attacks_a_shared_release_once(spark, monkeypatch):
     monkeypatch.setattr(catalog_more.neighbours, "nearest_neighbor_attack", lambda p, x, rating_col: asked.append(rating_col) or spark.createDataFrame([(True, True)], made))
     got = catalog_more.neighbour_risk(_random_ratings(spark))
     assert got.count() == 8 and len(asked) == 5
+
+
+def test_a_model_of_neighbours_leaves_what_its_predictions_read(spark):
+    import os
+    from urllib.parse import unquote, urlparse
+
+    from veilframe.operators import item_knn
+    from veilframe.session import checkpoint_folder
+
+    df = bias.checkpointed(_random_ratings(spark))
+    folder = urlparse(checkpoint_folder(spark)).path
+    held = lambda: {x for x in os.listdir(folder) if x.startswith("held")}
+    before = held()
+    got = item_knn.knn_fit_predict(4, epochs=1)(df, df)
+    read = {unquote(f).rsplit("/", 2)[1] for f in got.inputFiles()}
+    assert held() - before <= read and got.count() == 400  # neighbours and residuals are gone

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.features import clipped, least_rows
 from veilframe.functions.hashing import below, draw
 from veilframe.operators.releases import Release, release_values, row_key
-from veilframe.session import checkpointed, checkpointed_by, discarded
+from veilframe.session import checkpointed, checkpointed_by, discarded, shuffles_deleted
 
 
 @dataclass(frozen=True)
@@ -230,8 +230,14 @@ def utility_sweep(train: DataFrame, test: DataFrame, grid: list[tuple[str, float
     """(model, scenario, p, rmse, mae, within_one_star, retained shares) of a model retrained on every noisy release. p = 0 reuses
     the clean run. Retained by RMSE: the share of the clean model's lead over the global mean that is left."""
     base = global_mean_baseline(train, test).first()
-    clean = evaluate(fit_predict(train, test)).first()
-    return _swept(train, model, base, clean, [(s, p, clean if p == 0 else evaluate(fit_predict(noisy, test)).first()) for s, p, noisy in grid])
+
+    def errors(release: DataFrame):
+        predictions = fit_predict(release, test)
+        with shuffles_deleted(train.sparkSession):
+            return evaluate(predictions).first()
+
+    clean = errors(train)
+    return _swept(train, model, base, clean, [(s, p, clean if p == 0 else errors(noisy)) for s, p, noisy in grid])
 
 
 def _swept(train: DataFrame, model: str, base, clean, found: list) -> DataFrame:
