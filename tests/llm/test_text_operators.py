@@ -449,3 +449,25 @@ def test_toxicity_learns_and_holds_out(spark):
     blank = toxicity.fit(df, lab.where("false"))
     assert {r.score for r in toxicity.scored(documents(spark), blank).collect()} == {0.0}
     assert toxicity.scored(none(spark), model).count() == 0
+
+
+def test_a_tasks_shards_are_added_up():
+    ints = lm.blocks.pack_ints
+    row = lambda bid, doc, x: [bid, ints(np.diff(doc, prepend=0)), *[ints(np.array(x) * k) for k in (1, 2, 0)], None]
+    made = [row(1, [0, 3], [5, 6]), row(2, [4], [1]), row(1, [2, 3], [7, 300])]
+    batches = [pd.DataFrame(made[:1], columns=lm.PARTIAL_NAMES), pd.DataFrame([*made[1:], [2, None, None, None, None, b"x"]], columns=lm.PARTIAL_NAMES)]
+    got = pd.concat(list(lm._together(iter(batches))))
+    assert got["bid"].tolist() == [2, 1, 2] and got["own"].iloc[0] == b"x"
+    said = got.iloc[1]
+    assert np.cumsum(lm.blocks.unpack_ints(said["doc"])).tolist() == [0, 2, 3]
+    assert [lm.blocks.unpack_ints(said[c]).tolist() for c in ("coarse", "fine", "bare")] == [[5, 7, 306], [10, 14, 612], [0, 0, 0]]
+
+
+def test_buckets_of_a_sequence_that_span_words():
+    rng = np.random.default_rng(8)
+    for values in (np.sort(rng.integers(0, 10**6, 3000)), np.arange(5000), np.concatenate([np.arange(400), [10**9]])):
+        made, known = eliasfano.EliasFano.build(values), set(values.tolist())
+        asked = np.concatenate([values, values + 1, rng.integers(-5, 10**6, 2000)])
+        at = made.find(asked)
+        assert ((at >= 0) == [x in known for x in asked.tolist()]).all()
+        assert (values[at[at >= 0]] == asked[at >= 0]).all()

@@ -9,7 +9,9 @@ place. A word is at most once in a block's slice, so the most frequent word weig
 from __future__ import annotations
 
 import ctypes
+import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,11 +84,11 @@ def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str, cou
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, count = TaskContext.get().partitionId(), 0
-        vocab: dict[bytes, int] = {}
+        vocab: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)  # a new word gets the next number
         ids, lengths, tokens, size = [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            words = list(vocab)
+            words = list(vocab)  # in the order of their numbers
             order, at = by_slice(words, parts)
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
@@ -111,15 +113,14 @@ def cut(docs: DataFrame, words_of: Callable[[str], list[bytes]], label: str, cou
             known = batch["doc_id"].isna()
             for doc, null, text in zip(batch["doc_id"], known, batch["text"], strict=True):
                 words = words_of(text or "")
-                new = vocab.setdefault
-                tokens.append(np.fromiter((new(w, len(vocab)) for w in words), np.uint32, len(words)))
+                tokens.append(np.fromiter(map(vocab.__getitem__, words), np.uint32, len(words)))
                 ids.append(None if null else int(doc))
                 lengths.append(len(words))
                 size += len(text or "") + 64
                 if size >= size_limit:
                     yield flush()
                     count += 1
-                    vocab.clear()
+                    vocab = defaultdict(itertools.count().__next__)
                     ids, lengths, tokens, size = [], [], [], 0
         if ids:
             yield flush()

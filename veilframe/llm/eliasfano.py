@@ -72,8 +72,13 @@ class EliasFano:
         where = np.nonzero((x >= 0) & (x < self.top))[0]
         h = x[where] >> self.width
         flipped = ~self.high
-        hi = _select(flipped, self.zeros, h) - h
         lo = np.where(h > 0, _select(flipped, self.zeros, np.maximum(h - 1, 0)) - (h - 1), 0)
+        # the zero that ends the bucket, where it stands in the word in which the bucket begins
+        spot = lo + h
+        rest = flipped[spot >> 6] >> (spot & 63).astype(U64)
+        hi = lo + np.bitwise_count((rest & -rest) - U64(1)).astype(np.int64)
+        far = np.nonzero(rest == 0)[0]
+        hi[far] = _select(flipped, self.zeros, h[far]) - h[far]
         end, want = hi.copy(), x[where] & ((1 << self.width) - 1)
         while len(open_ := np.nonzero(lo < hi)[0]):
             mid = (lo[open_] + hi[open_]) // 2

@@ -34,6 +34,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -113,6 +114,14 @@ def code(counts: np.ndarray) -> np.ndarray:
 QUESTION = "shard long, bid long, v binary, hot binary, u binary, w binary, code binary, at_v binary, at_u binary, at_w binary, doc binary, train binary, own binary"
 
 
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """np.lexsort((b, a)) of numbers from 0."""
+    wide = [int(x).bit_length() for x in (a.max(initial=0), b.max(initial=0), len(a))]
+    if sum(wide) > 63:
+        return np.lexsort((b, a))
+    return np.sort((((a << wide[1]) | b) << wide[2]) | np.arange(len(a))) & ((1 << wide[2]) - 1)
+
+
 def _ask(uni: Unigrams, parts: int, shards: int, most: int):
     def run(block: pd.Series, back: pd.DataFrame) -> pd.DataFrame:
         none = np.zeros(0, np.int64)
@@ -139,7 +148,7 @@ def _ask(uni: Unigrams, parts: int, shards: int, most: int):
         hot = c_v > most
         to = np.where(hot, shards + (v * 1_000_003 + w) % shards, v % shards)
         ask = np.nonzero(~alone)[0]
-        ask = ask[np.lexsort((v[ask], to[ask]))]  # documents stay in order within v
+        ask = ask[_in_order(to[ask], v[ask])]  # documents stay in order within v
         sent, edges = np.unique(to[ask], return_index=True)
         bid, rows = int(block["bid"]), []
         for s, i, j in zip(sent.tolist(), edges, [*edges[1:], len(ask)], strict=True):
@@ -244,17 +253,20 @@ class Trie:
     def steps(self, v, u, w) -> tuple[np.ndarray, np.ndarray]:
         """(levels' steps, whether the word's own probability comes on top), of which the logarithm is made."""
         coarse, bare = np.zeros(len(v), np.int64), np.ones(len(v), bool)
-        i = self.words.find(v)
+        own, which = _runs(v)
+        i = self.words.find(own)[which]
         k = np.nonzero(i >= 0)[0]
         i = i[k]
         inside = w[k] < self.span - 1
         j = self.after.find(np.where(inside, i * self.span + w[k], -1))
         found = j >= 0
         coarse[k], bare[k] = np.where(found, _step(self.codes["level2"], j), _step(self.codes["weight1"], i)), ~found
-        ctx = self.before.find(np.where(u[k] < self.span, i * self.span + u[k], -1))
+        own, which = _runs(np.where(u[k] < self.span, i * self.span + u[k], -1))
+        ctx = self.before.find(own)[which]
         deep = np.nonzero(ctx >= 0)[0]
         widest = int(self.codes["widest"][0])
-        place = j[deep] - self.first.get(i[deep])
+        own, which = _runs(i[deep])
+        place = j[deep] - self.first.get(own)[which]
         third = self.third.find(np.where(found[deep], ctx[deep] * widest + place, -1))
         kept = _step(self.codes["weight2"], ctx[deep]) + coarse[k[deep]]
         coarse[k[deep]] = np.where(third >= 0, _step(self.codes["level3"], third), kept)
@@ -336,6 +348,27 @@ class Questions:
         return pd.DataFrame(out, columns=PARTIAL_NAMES)
 
 
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of a task's shards for each block added up, so that a document has one entry for each task and not for each shard."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        own = batch["own"].notna()
+        if own.any():
+            yield batch[own]
+        for r in batch[~own].itertuples(index=False):
+            new = np.stack([np.cumsum(blocks.unpack_ints(r.doc)), *(blocks.unpack_ints(x) for x in (r.coarse, r.fine, r.bare))])
+            old = held.get(r.bid)
+            held[r.bid] = new if old is None else _summed(np.concatenate([old, new], axis=1))
+    for bid, (doc, *totals) in held.items():
+        sums = [bid, blocks.pack_ints(np.diff(doc, prepend=0)), *map(blocks.pack_ints, totals), None]
+        yield pd.DataFrame([sums], columns=PARTIAL_NAMES)
+
+
+def _summed(sums: np.ndarray) -> np.ndarray:
+    doc, which = np.unique(sums[0], return_inverse=True)
+    return np.stack([doc, *(np.bincount(which, x, len(doc)).astype(np.int64) for x in sums[1:])])
+
+
 def _answer(uni: Unigrams):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["own"].iloc[0] is not None:  # a block's own figures pass through
@@ -383,6 +416,10 @@ def _parts(parts: int):
     return run
 
 
+#: The sums alone come back, in the order in which a shard asked.
+ADDED = "to long, shard long, c binary, t binary"
+
+
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
     """The parts of each row replaced by the sums over all rows."""
     cols = [[blocks.unpack_ints(x) for x in rows[k]] for k in ("v", "u", "c", "t")]
@@ -393,15 +430,18 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     edges = np.cumsum(sizes)[:-1]
     for name, x in (("c", c), ("t", t)):
         rows[name] = [blocks.pack_ints(y) for y in np.split(x, edges)]
-    return rows
+    return rows[["to", "shard", "c", "t"]]
 
 
-def _answer_hot(uni: Unigrams):
+def _answer_hot(uni: Unigrams, parts: int):
     def run(rows: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         q = Questions(rows)
-        v, u, c, t = (np.concatenate([blocks.unpack_ints(x) for x in back[k]]) for k in ("v", "u", "c", "t"))
-        order = np.lexsort((u, v))
-        v, u, c, t = v[order], u[order], c[order].astype(float), t[order].astype(float)
+        v, u, *own = _contexts(q)
+        to = (v * 1_000_003 + u) % parts
+        c, t = (x.astype(float) for x in own)
+        for k, some, more in zip(back["to"], back["c"], back["t"], strict=True):
+            at = np.nonzero(to == k)[0]
+            c[at], t[at] = blocks.unpack_ints(some), blocks.unpack_ints(more)
         words, first = np.unique(q.v, return_index=True)
         alone, some = u == 0, (u > 0) & (c > 0)
         return q.answers(uni, Sums(words, q.c_v[first].astype(float), t[alone], np.searchsorted(words, v[some]), u[some] - 1, c[some], t[some]))
@@ -460,8 +500,9 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
     partial = plain.groupBy("shard").applyInPandas(_answer(uni), PARTIAL)
     if any_hot:
         some = asked.where(f"shard >= {shards} AND shard < {2 * shards}")
-        added = some.groupBy("shard").applyInPandas(_parts(parts), PARTS).groupBy("to").applyInPandas(_added, PARTS)
-        partial = some.groupBy("shard").cogroup(added.groupBy("shard")).applyInPandas(_answer_hot(uni), PARTIAL).union(partial)
+        added = some.groupBy("shard").applyInPandas(_parts(parts), PARTS).groupBy("to").applyInPandas(_added, ADDED)
+        partial = some.groupBy("shard").cogroup(added.groupBy("shard")).applyInPandas(_answer_hot(uni, parts), PARTIAL).union(partial)
+    partial = partial.mapInPandas(_together, PARTIAL)
     return partial.groupBy("bid").applyInPandas(_sum(uni), SCORE).withColumn("train_tokens", F.lit(uni.n).cast("long"))
 
 
