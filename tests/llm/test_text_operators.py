@@ -358,6 +358,33 @@ def test_hot_words_have_the_same_scores(spark):
     assert got[0] == got[1] and len(got[0]) > 10
 
 
+def test_questions_of_one_turn_stand_at_a_time(spark, monkeypatch):
+    from pathlib import Path
+
+    from veilframe.llm import common
+    from veilframe.session import checkpoint_folder
+
+    shared = Path(checkpoint_folder(spark).removeprefix("file:"))
+    tables = lambda label: set(shared.glob(f"veilframe_{label}_*"))
+    size = lambda p: sum(x.stat().st_size for x in p.glob("*.parquet"))
+    finished, standing = lm.blocks.finished, []
+    monkeypatch.setattr(lm.blocks, "finished", lambda *x: standing.append(len(tables("questions") - before)) or finished(*x))
+    monkeypatch.setattr(lm, "TURN_PARTS", 1)
+    monkeypatch.setattr(lm, "TURN_TOKENS", 1)
+    docs, got, sizes = documents(spark), [], []
+    for turns in (1, None, 3):
+        for hot in (lm.HOT, 25):
+            before, start, standing[:] = tables("questions"), len(common._written), []
+            got.append(sorted(lm.scores(docs, hot, turns).collect(), key=str))
+            assert standing == [0] * (turns or lm.TURNS)
+            labels = [Path(p).name.removeprefix("veilframe_").replace("-", "_").split("_")[0] for p in common._written[start:]]
+            assert labels == ["sums"] * (len(standing) - 1) + ["questions"]
+            (left,) = tables("questions") - before
+            sizes.append(size(left))
+    assert all(x == got[0] for x in got) and len(got[0]) == len(rows())
+    assert sizes[2] < 0.8 * sizes[0]
+
+
 def test_trie_with_sums_from_outside():
     """A hot word's successors are spread over shards: what sums over them comes from outside."""
     uni = lm.Unigrams(1000, 10, 5)

@@ -24,6 +24,9 @@ Such a shard has every c(v w) and c(u v w) whole. What it holds of c(u v), t(u v
 these parts, one row for each u v that they hold, to be added up, and get the sums back. The scores are those that one shard
 would give. A pair v w stays in one shard.
 
+Questions take more room than the tokens they are made of, so shards are asked in up to TURNS turns: a turn's questions are made from
+the tokens, answered, and deleted before the next. A turn has its part of the buckets, so it has tasks of the same size.
+
 Defined cases: null text counts as empty and has the end alone; repeated rows and ids are rows of their own; a null id has
 the checksum of the empty text; an empty table gives no rows; words never seen have the add-one probability of a count of
 zero; further columns are ignored.
@@ -35,6 +38,7 @@ import os
 import tempfile
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -43,10 +47,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import blocks
-from veilframe.llm.common import Scratch, shuffle_partitions, stored, table
+from veilframe.llm.common import Scratch, shuffle_partitions, stored_by, table
 from veilframe.llm.eliasfano import EliasFano
 
 HOT = 1_000_000
+TURNS, TURN_PARTS, TURN_TOKENS = 4, 12, 1 << 22  # turns at most; partitions and training tokens of a turn at least
 FINE, COARSE = 4096, 21  # steps of a unit of log10: words' counts, trie levels
 END = b""
 START = 0  # the number of the text's start as a context; words count from 1
@@ -122,49 +127,53 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sort((((a << wide[1]) | b) << wide[2]) | np.arange(len(a))) & ((1 << wide[2]) - 1)
 
 
-def _ask(uni: Unigrams, parts: int, shards: int, most: int):
+def _ask(uni: Unigrams, parts: int, shards: int, most: int, turn: int = 0, turns: int = 1):
+    """The questions to the shards of a turn, which are those of its remainder; the first one has the blocks' own figures."""
+
     def run(block: pd.Series, back: pd.DataFrame) -> pd.DataFrame:
         none = np.zeros(0, np.int64)
-        ids = np.concatenate([none, *[blocks.unpack_ints(b) * parts + 1 + p for b, p in zip(back["ids"], back["part"], strict=True)]])
-        counts = np.concatenate([none, *[blocks.unpack_ints(b) for b in back["counts"]]])
-        local = blocks.unpack_ints(block["body"])
+        # by local number; the last one is the text's start
+        ids = np.concatenate([none, *[blocks.unpack_ints(b) * parts + 1 + p for b, p in zip(back["ids"], back["part"], strict=True)], [START]])
+        counts = np.concatenate([none, *[blocks.unpack_ints(b) for b in back["counts"]], [uni.starts]])
+        codes, start = code(counts), len(ids) - 1
+        w = blocks.unpack_ints(block["body"])
         docs = blocks.documents(block)
         lengths = np.array([n for _, n in docs], np.int64)
         first = np.cumsum(lengths) - lengths
         doc = np.repeat(np.arange(len(docs)), lengths)
-        w, c = ids[local], counts[local]
-        v, u = np.concatenate([[START], w[:-1]]), np.concatenate([[START, START], w[:-2]])[: len(w)]
-        c_v = np.concatenate([[uni.starts], c[:-1]])
-        v[first], c_v[first] = START, uni.starts
-        u[first] = START
-        second = first[lengths > 1] + 1
-        u[second] = START
-        base = np.bincount(doc, uni.log(c), len(docs))
-        known = np.bincount(doc, c > 0, len(docs)).astype(np.int64)
-        codes = code(c)
-        alone = c_v == 0  # never seen as a context: the word's own probability
-        score = np.bincount(doc[alone], uni.log_of_code(codes[alone]), len(docs))
+        v, u = np.concatenate([[start], w[:-1]]), np.concatenate([[start, start], w[:-2]])[: len(w)]
+        v[first] = u[first] = start
+        u[first[lengths > 1] + 1] = start
         trains = np.array([training(i) for i, _ in docs], bool)
-        hot = c_v > most
-        to = np.where(hot, shards + (v * 1_000_003 + w) % shards, v % shards)
-        ask = np.nonzero(~alone)[0]
-        ask = ask[_in_order(to[ask], v[ask])]  # documents stay in order within v
-        sent, edges = np.unique(to[ask], return_index=True)
         bid, rows = int(block["bid"]), []
-        for s, i, j in zip(sent.tolist(), edges, [*edges[1:], len(ask)], strict=True):
-            k = ask[i:j]
+        if turn == 0:
+            base = np.bincount(doc, uni.log(counts)[w], len(docs))
+            known = np.bincount(doc, (counts > 0)[w], len(docs)).astype(np.int64)
+            alone = (counts == 0)[v]  # never seen as a context: the word's own probability
+            score = np.bincount(doc[alone], uni.log_of_code(codes)[w[alone]], len(docs))
+            held = np.array([[i or 0 for i, _ in docs], [i is None for i, _ in docs], lengths, known], np.int64)
+            figures = held.tobytes() + np.array([base, score]).tobytes()
+            rows.append((2 * shards + bid, bid, *[None] * 10, blocks.pack(figures)))
+        # all questions of a word v are of one turn, as sums over its shards are made in it
+        ask = np.nonzero(((counts > 0) & (ids % shards % turns == turn))[v])[0]
+        doc, v, u, w = doc[ask], v[ask], u[ask], w[ask]
+        c_v, codes = np.where(counts > most, counts, 0)[v], codes[w]
+        v, u, w = ids[v], ids[u], ids[w]
+        to = np.where(c_v > 0, shards + (v * 1_000_003 + w) % (shards // turns) * turns + turn, v % shards)
+        order = _in_order(to, v)  # documents stay in order within v
+        to, doc, v, u, w, c_v, codes = (x[order] for x in (to, doc, v, u, w, c_v, codes))
+        sent, edges = np.unique(to, return_index=True)
+        for s, i, j in zip(sent.tolist(), edges, [*edges[1:], len(to)], strict=True):
+            k = slice(i, j)
             dv, fv, iv = np.unique(v[k], return_index=True, return_inverse=True)
             du, iu = np.unique(u[k], return_inverse=True)
             dw, fw, iw = np.unique(w[k], return_index=True, return_inverse=True)
             steps = lambda x: blocks.pack_ints(np.diff(x, prepend=0))
             rows.append(
-                (s, bid, steps(dv), blocks.pack_ints(np.where(hot[k], c_v[k], 0)[fv]), steps(du), steps(dw), blocks.pack_ints(codes[k][fw]))
+                (s, bid, steps(dv), blocks.pack_ints(c_v[k][fv]), steps(du), steps(dw), blocks.pack_ints(codes[k][fw]))
                 + tuple(blocks.pack_ints(x) for x in (iv, iu, iw, doc[k], trains[doc[k]].astype(np.int64)))
                 + (None,)
             )
-        held = np.array([[i or 0 for i, _ in docs], [i is None for i, _ in docs], lengths, known], np.int64)
-        figures = held.tobytes() + np.array([base, score]).tobytes()
-        rows.append((2 * shards + bid, bid, *[None] * 10, blocks.pack(figures)))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in QUESTION.split(", ")])
 
     return run
@@ -479,30 +488,48 @@ def _sum(uni: Unigrams):
     return run
 
 
-def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; docs: doc_id, text."""
-    parts = shuffle_partitions(docs.sparkSession)
+def _partials(asked: DataFrame, uni: Unigrams, parts: int, shards: int, any_hot: bool) -> DataFrame:
+    """The sums of the questions that are asked, by block and task."""
+    plain = asked.where(f"shard < {shards} OR shard >= {2 * shards}") if any_hot else asked
+    partial = plain.groupBy("shard").applyInPandas(_answer(uni), PARTIAL)
+    if any_hot:
+        some = asked.where(f"shard >= {shards} AND shard < {2 * shards}")
+        added = some.groupBy("shard").applyInPandas(_parts(parts), PARTS).groupBy("to").applyInPandas(_added, ADDED)
+        partial = some.groupBy("shard").cogroup(added.groupBy("shard")).applyInPandas(_answer_hot(uni, parts), PARTIAL).union(partial)
+    return partial.mapInPandas(_together, PARTIAL)
+
+
+def scores(docs: DataFrame, hot: int = HOT, turns: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; docs: doc_id, text. turns: in how many
+    the shards are asked, one after another; None: by the input's size."""
+    spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
     shards = 4 * parts  # a task works on one shard at a time
-    with Scratch(docs.sparkSession) as work:  # the tokens go once the questions are written
+    with Scratch(spark) as work:  # the tokens go once the last questions are written
         cut = blocks.cut(docs.select("doc_id", "text"), tokens, "lm", training)
-        # written, so that the corpus's figures and the answers themselves come from one exchange of the words
-        back = stored(blocks.answered(cut, _count_words(parts), ANSWER), "answers")
+        # written, so that the corpus's figures and the answers themselves come from one exchange of the words; in the blocks' buckets,
+        # so that no turn moves them
+        back = stored_by(blocks.answered(cut, _count_words(parts), ANSWER).repartition(parts, "bid"), "answers", "bid", parts)
         size = back.agg(F.sum("size").alias("n"), F.sum("distinct").alias("v"), F.max("top").alias("top")).first()
         held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
         starts = docs.where(~held).count()
         uni = Unigrams(size["n"] or 0, size["v"] or 0, starts)
         back = back.select("bid", "part", "ids", "counts")
-        # by shard: they are written once and read where they lie, in place of a table, one of hot shards, and their shuffles
-        asked = work.keep_by(blocks.finished(cut, back, _ask(uni, parts, shards, hot), QUESTION), "questions", "shard", parts)
-    plain = asked
-    if any_hot := max(size["top"] or 0, starts) > hot:
-        plain = asked.where(f"shard < {shards} OR shard >= {2 * shards}")
-    partial = plain.groupBy("shard").applyInPandas(_answer(uni), PARTIAL)
-    if any_hot:
-        some = asked.where(f"shard >= {shards} AND shard < {2 * shards}")
-        added = some.groupBy("shard").applyInPandas(_parts(parts), PARTS).groupBy("to").applyInPandas(_added, ADDED)
-        partial = some.groupBy("shard").cogroup(added.groupBy("shard")).applyInPandas(_answer_hot(uni, parts), PARTIAL).union(partial)
-    partial = partial.mapInPandas(_together, PARTIAL)
+        any_hot = max(size["top"] or 0, starts) > hot
+        if turns is None:
+            turns = max(1, min(TURNS, parts // TURN_PARTS, uni.n // TURN_TOKENS))
+        sums = []
+        for turn in range(turns):
+            asked = blocks.finished(cut, back, _ask(uni, parts, shards, hot, turn, turns), QUESTION)
+            # by shard: they are written once and read where they lie, in place of a table, one of hot shards, and their shuffles
+            where = ("questions", "shard", -(-parts // turns))
+            if turn == turns - 1:
+                sums.append(_partials(work.keep_by(asked, *where), uni, parts, shards, any_hot))
+                continue
+            with Scratch(spark) as own:  # a turn's questions go once it is answered
+                sums.append(own.keep(_partials(stored_by(asked, *where), uni, parts, shards, any_hot), "sums"))
+            work.kept |= own.kept
+    partial = reduce(DataFrame.union, sums)
     return partial.groupBy("bid").applyInPandas(_sum(uni), SCORE).withColumn("train_tokens", F.lit(uni.n).cast("long"))
 
 
