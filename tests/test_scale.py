@@ -183,3 +183,66 @@ def test_a_model_of_neighbours_leaves_what_its_predictions_read(spark):
     got = item_knn.knn_fit_predict(4, epochs=1)(df, df)
     read = {unquote(f).rsplit("/", 2)[1] for f in got.inputFiles()}
     assert held() - before <= read and got.count() == 400  # neighbours and residuals are gone
+
+
+def test_a_sweep_of_models_fits_each_release_once(spark, monkeypatch):
+    from veilframe.operators import item_knn
+
+    df = _random_ratings(spark)
+    train, test = bias.split(df, 0.3, once=True)
+    plain = bias.split(df, 0.3)
+    assert [rows(x) for x in (train, test)] == [rows(x) for x in plain]
+    grid = releases.noise_grid(train, (0.0, 0.4), ("rating",))
+    fits, fit_bias = [], bias.fit_bias
+    monkeypatch.setattr(bias, "fit_bias", lambda *x, **y: fits.append(x) or fit_bias(*x, **y))
+    fit = bias.SharedFits()
+    models = {"bias": bias.bias_fit_predict(1, fit=fit), "item_knn": item_knn.knn_fit_predict(4, epochs=1, fit=fit)}
+    got = rows(bias.multi_model_sweep(train, test, grid, models).na.fill(-1.0))
+    assert len(got) == 4 and len(fits) == 2  # of each table, not of each model and table
+    fit.discard()
+
+    def plainly(release, asked):  # with neighbours as a table
+        base = fit_bias(release, epochs=1)
+        res = item_knn.residuals(release, base)
+        return item_knn.predict_item_knn(base, res, item_knn.item_neighbours(res, 4), asked)
+
+    want = rows(bias.utility_sweep(train, test, grid, plainly, "item_knn").na.fill(-1.0))
+    for x, y in zip(got[2:], want, strict=True):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:])
+
+
+def test_shifts_of_asked_pairs_in_parts(spark, monkeypatch):
+    from veilframe.operators import item_knn
+
+    far = 1 << 60  # ids too far apart for sums of pairs by id, customers that are null, pairs that nobody knows
+    df = _random_ratings(spark, 250).select(F.when(F.col("customer_id") > 0, F.col("customer_id")).alias("customer_id"), ((F.col("movie_id") - 7) * far).alias("movie_id"), "rating")
+    base = bias.fit_bias(df, epochs=1, keep=True)
+    res = item_knn.fitted_residuals(base)
+    asked = df.select("customer_id", "movie_id").union(spark.createDataFrame([(1, 5), (999, far), (None, far), (None, None)], "customer_id long, movie_id long"))
+    near = item_knn.item_neighbours(item_knn.residuals(df, base), 3)
+    want = {r[:2]: r.prediction for r in item_knn.predict_item_knn(base, res, near, asked).collect()}
+    got = item_knn.shifted(bias.predict_bias(base, asked, "_base"), item_knn.item_knn_shifts(res, asked, 3, pairs=1200)).collect()
+    assert {r[:2] for r in got} == set(want) and len(got) == asked.count()
+    for r in got:
+        assert r.prediction == pytest.approx(want[r[:2]])
+
+
+def test_sums_of_pairs_by_either_sort():
+    import numpy as np
+
+    from veilframe.operators import item_knn
+
+    rng = np.random.default_rng(2)
+    keys, values = rng.integers(0, 50, 400), rng.normal(size=400)
+    for top in (50, 1 << 62):
+        got, sums = item_knn._added(keys, values, top)
+        assert list(got) == sorted(set(keys)) and sums == pytest.approx([values[keys == k].sum() for k in got])
+    part = item_knn._Part(100, 7)  # a hot part adds up as it goes
+    part.most = 50
+    n, own = np.full(40, 5, "i4"), np.ones(40, "i4")
+    others, c = rng.integers(0, 100, 200).astype("i4"), rng.integers(0, 14, 40).astype("i4")
+    x, theirs = rng.normal(size=40), rng.normal(size=200)
+    part.add(n, own, c, x, others, theirs)
+    keys, sums = part.added()
+    flat = np.repeat(c, 5) * 100 + others
+    assert list(keys) == sorted(set(flat)) and sums == pytest.approx([(np.repeat(x, 5) * theirs)[flat == k].sum() for k in keys])

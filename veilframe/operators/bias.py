@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.features import clipped, least_rows
 from veilframe.functions.hashing import below, draw
-from veilframe.operators.releases import Release, release_values, row_key
-from veilframe.session import checkpointed, checkpointed_by, discarded, shuffles_deleted
+from veilframe.operators.releases import ROW, Release, release_values, row_key
+from veilframe.session import buckets, checkpointed, checkpointed_by, discarded, shuffles_deleted
 
 
 @dataclass(frozen=True)
@@ -19,34 +19,56 @@ class BiasModel:
     mean: float
     users: DataFrame  # customer_id, bu
     items: DataFrame  # movie_id, bi
+    known: DataFrame | None = None  # customer_id, movie_id, s, n: sums and numbers of the ratings, by user, if they are kept
 
 
 #: Biases of up to this many cells (values times models) are broadcast; more are joined by a shuffle.
 BROADCAST_CELLS = 4_000_000
 
 
-def fit_bias(df: DataFrame, rating_col: str = "rating", epochs: int = 8, reg: float = 10.0) -> BiasModel:
+def fit_bias(df: DataFrame, rating_col: str = "rating", epochs: int = 8, reg: float = 10.0, keep: bool = False) -> BiasModel:
     """Alternating regularised means. Ratings are added up by (user, item) and written by user and by item, so that a half epoch shuffles
-    none of them where the other side's biases can be broadcast, and one row for each sum where they can't."""
+    none of them where the other side's biases can be broadcast, and one row for each sum where they can't. A single epoch reads them by
+    item once, so they aren't written for that. Biases that are few are marked for broadcast."""
     rows = df.select("customer_id", "movie_id", F.col(rating_col).cast("double").alias("r")).where(F.col("r").isNotNull())
-    known = checkpointed_by(rows.groupBy("customer_id", "movie_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")), "customer_id")
+    placed = rows.repartition(buckets(df.sparkSession), "customer_id")
+    known = checkpointed_by(placed.groupBy("customer_id", "movie_id").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")), "customer_id", placed=True)
     mean = known.agg(F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).first()[0]
     if mean is None:
         discarded(known)
         raise ValueError("there are no ratings to fit")
-    by = {"customer_id": known, "movie_id": checkpointed_by(known, "movie_id")}
+    by = {"customer_id": known, "movie_id": checkpointed_by(known, "movie_id") if epochs > 1 else known}
 
     def step(key: str, other: str, held: DataFrame | None, few: bool) -> DataFrame:
         met = by[key] if held is None else _met(by, key, other, held, few)
         left = F.col("s") - F.col("n") * (F.lit(mean) + (F.lit(0.0) if held is None else F.col("b")))
         return met.groupBy(key).agg((F.sum(left) / (F.sum("n") + reg)).alias("b"))
 
-    held = _alternated(step, epochs, 1)
+    few: dict = {}
+    held = _alternated(step, epochs, 1, few)
     if not epochs:
         held = {k: known.select(k).distinct().withColumn("b", F.lit(0.0)) for k in by}
     else:
-        discarded(*by.values())
-    return BiasModel(mean, *[held[k].withColumnRenamed("b", n) for k, n in (("customer_id", "bu"), ("movie_id", "bi"))])
+        discarded(*[x for x in by.values() if x is not known], *[] if keep else [known])
+    named = [held[k].withColumnRenamed("b", n) for k, n in (("customer_id", "bu"), ("movie_id", "bi"))]
+    return BiasModel(mean, *[F.broadcast(x) if few.get(k) else x for k, x in zip(by, named, strict=True)], known if keep else None)
+
+
+class SharedFits:
+    """fit_bias for several models of one baseline: each table is fitted once, and the sums of its ratings are kept until discard()."""
+
+    def __init__(self):
+        self.made: dict = {}
+
+    def __call__(self, df: DataFrame, rating_col: str = "rating", epochs: int = 8, reg: float = 10.0) -> BiasModel:
+        key = (id(df), rating_col, epochs, reg)
+        if key not in self.made:
+            self.made[key] = df, fit_bias(df, rating_col, epochs, reg, keep=True)  # with df, whose id stays its own then
+        return self.made[key][1]
+
+    def discard(self) -> None:
+        discarded(*[model.known for _, model in self.made.values()])
+        self.made.clear()
 
 
 def _met(by: dict, key: str, other: str, held: DataFrame, few: bool) -> DataFrame:
@@ -54,11 +76,11 @@ def _met(by: dict, key: str, other: str, held: DataFrame, few: bool) -> DataFram
     return by[key].join(F.broadcast(held), other) if few else by[other].join(held, other)
 
 
-def _alternated(step, epochs: int, models: int) -> dict:
+def _alternated(step, epochs: int, models: int, few: dict | None = None) -> dict:
     """Biases by user and by item after so many epochs of step(key, other, biases of other or None, are they few); each is written
-    once, and the one before goes."""
+    once, and the one before goes. few: a dictionary that is told which of the two are few."""
     held: dict = {}
-    few: dict = {}
+    few = {} if few is None else few
     for _ in range(epochs):
         for key, other in (("customer_id", "movie_id"), ("movie_id", "customer_id")):
             new = checkpointed(step(key, other, held.get(other), few.get(other, False)))
@@ -93,12 +115,14 @@ def evaluate(predictions: DataFrame, label: str = "rating", name: str = "predict
     return predictions.agg(F.count(F.lit(1)).alias("test_rows"), *metrics(F.col(label).cast("double"), F.col(name)))
 
 
-def split(df: DataFrame, test_share: float = 0.2, seed: int = 333, check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(train, test): each row goes to test with the given probability."""
+def split(df: DataFrame, test_share: float = 0.2, seed: int = 333, check: bool = True, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(train, test): each row goes to test with the given probability. once: df is read and drawn once, and written."""
     if not 0 < test_share < 1:
         raise ValueError("test_share must be between 0 and 1")
-    test = below(seed, "holdout", test_share, row_key(df))
-    parts = df.where(~test), df.where(test)
+    test, names = below(seed, "holdout", test_share, row_key(df)), df.columns
+    if once:
+        df, test = checkpointed(df.withColumn("_test", test)), F.col("_test")
+    parts = df.where(~test).select(*names), df.where(test).select(*names)
     if check:
         not_empty(*parts)
     return parts
@@ -318,8 +342,8 @@ def _swept_variants(by: dict, test: DataFrame, variants: list[int], epochs: int,
     return {v: {n: row[f"{n}{v}"] for n in ERRORS} for v in variants}
 
 
-def bias_fit_predict(epochs: int = 6, reg: float = 10.0):
-    return lambda train, test: predict_bias(fit_bias(train, "rating", epochs, reg), test)
+def bias_fit_predict(epochs: int = 6, reg: float = 10.0, fit=None):
+    return lambda train, test: predict_bias((fit or fit_bias)(train, "rating", epochs, reg), test)
 
 
 def frontier(privacy: DataFrame, utility: DataFrame, keys=("scenario", "p")) -> DataFrame:
@@ -328,5 +352,8 @@ def frontier(privacy: DataFrame, utility: DataFrame, keys=("scenario", "p")) ->
 
 
 def multi_model_sweep(train: DataFrame, test: DataFrame, grid, models: dict) -> DataFrame:
-    """utility_sweep for several models: name -> fit_predict(train, test)."""
-    return reduce(DataFrame.unionByName, [utility_sweep(train, test, grid, f, name) for name, f in models.items()])
+    """utility_sweep for several models: name -> fit_predict(train, test). A noisy release is drawn once for all of them, and written."""
+    grid = [(s, p, checkpointed(noisy.drop(ROW)) if p else noisy) for s, p, noisy in grid]
+    made = [utility_sweep(train, test, grid, f, name) for name, f in models.items()]
+    discarded(*[noisy for _, p, noisy in grid if p])
+    return reduce(DataFrame.unionByName, made)

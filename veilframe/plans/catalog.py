@@ -729,10 +729,12 @@ def raw_als(spark, d):
 
 
 def multi_model(spark, d):
-    train, test = (checkpointed(x.select("row_key", "customer_id", "movie_id", "rating")) for x in bias.split(ad.ratings(spark, d), 0.2, SEED, check=False))
-    bias.not_empty(train, test)
-    models = {"bias": bias.bias_fit_predict(1), "item_knn": item_knn.knn_fit_predict(epochs=1)}
-    return bias.multi_model_sweep(train, test, releases.noise_grid(train, (0.0, 0.2), ("rating",), SEED), models)
+    train, test = bias.split(ad.ratings(spark, d).select("row_key", "customer_id", "movie_id", "rating"), 0.2, SEED, once=True)
+    fit = bias.SharedFits()
+    models = {"bias": bias.bias_fit_predict(1, fit=fit), "item_knn": item_knn.knn_fit_predict(epochs=1, fit=fit)}
+    made = bias.multi_model_sweep(train, test, releases.noise_grid(train, (0.0, 0.2), ("rating",), SEED), models)
+    fit.discard()
+    return made
 
 
 def scorecard(spark, d):

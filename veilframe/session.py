@@ -76,13 +76,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed_by(df: DataFrame, key: str) -> DataFrame:
-    """As checkpointed, in hash buckets of key: joins and groups on key read it without an exchange."""
+def buckets(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def checkpointed_by(df: DataFrame, key: str, placed: bool = False) -> DataFrame:
+    """As checkpointed, in hash buckets of key: joins and groups on key read it without an exchange. placed: the rows come from a
+    repartition(buckets, key), and lie there."""
     spark, name = df.sparkSession, f"held_{uuid.uuid4().hex}"
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets(spark)
     path = f"{checkpoint_folder(spark)}/{name.replace('_', '-')}"
     with shuffles_deleted(spark):
-        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name, format="parquet")
+        (df if placed else df.repartition(n, key)).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name, format="parquet")
     back = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and back knows them
     return back
