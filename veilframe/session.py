@@ -68,11 +68,11 @@ def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, **options) -> DataFrame:
     """Written in the checkpoint folder, in compressed columns, and read from there: cuts lineage, and outlives lost executors."""
     spark, path = df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/held-{uuid.uuid4().hex}"
     with shuffles_deleted(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
